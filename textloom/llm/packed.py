@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk; a text is never split.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of text for each hash bucket; with it the number of buckets follows the input.
 BUCKET_BYTES = 8 << 20
 #: Rows of a chunk at most, so that chunk and place fit one long.
