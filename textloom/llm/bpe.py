@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -69,9 +70,8 @@ def classes() -> np.ndarray:
     """The class of every code point, by the Unicode tables of the pattern's library."""
     import regex
 
-    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-    text = "".join(map(chr, points))
-    out, at = np.full(0x110000, OTHER, np.uint8), np.array(points)
+    at = np.concatenate([np.arange(0xD800, dtype=np.uint32), np.arange(0xE000, 0x110000, dtype=np.uint32)])
+    text, out = at.tobytes().decode("utf-32-le"), np.full(0x110000, OTHER, np.uint8)
     for kind, what in ((WHITE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for m in regex.finditer(what, text):
             out[at[m.start() : m.end()]] = kind
@@ -129,26 +129,28 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[start]
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, second hash and place of each distinct span, and for each span the index of its distinct one; checked by the second hash."""
-    a = kernels.span_hash(kernels.prefix_hash(data, 0), starts, ends, 0)
-    b = kernels.span_hash(kernels.prefix_hash(data, 1), starts, ends, 1)
-    keys, place, inverse = np.unique(a, return_index=True, return_inverse=True)
-    if not np.array_equal(b, b[place][inverse]):
-        raise ValueError("two words share a 64-bit hash")
-    return keys, b[place], place, inverse
-
-
 def chunk_words(rows: pa.Table, text: str, path: str):
-    """Pre-tokens of a chunk: bytes, first pre-token of each text, distinct words' starts and ends, which are tokens (id, else -1), index by position, hashes."""
+    """Pre-tokens of a chunk: bytes, first pre-token of each text, distinct words' starts and ends, which are tokens (id, else -1), index by position, hashes.
+
+    Equal words are found by a 64-bit hash and checked by another.
+    """
     data, offsets = kernels.column_bytes(rows.column(text))
-    starts = pre_tokens(data, offsets)
-    ends = np.append(starts[1:], len(data))
-    keys, check, place, inverse = distinct(data, starts, ends)
+    found, first, total = [], [np.zeros(1, np.int64)], 0
+    for a, b in kernels.slices(offsets):
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        starts = pre_tokens(part, at)
+        ends = np.append(starts[1:], len(part))[: len(starts)]
+        found.append((starts + offsets[a], ends + offsets[a], *(kernels.span_hash(kernels.prefix_hash(part, w), starts, ends, w) for w in (0, 1))))
+        first.append(np.searchsorted(starts, at)[1:] + total)
+        total += len(starts)
+    starts, ends, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+    keys, place, inverse = np.unique(one, return_index=True, return_inverse=True)
+    if not np.array_equal(two, two[place][inverse]):
+        raise ValueError("two words share a 64-bit hash")
     vocabulary, second, ids = whole_tokens(path)
     at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
-    known = np.where((vocabulary[at] == keys) & (second[at] == check), ids[at], -1)
-    return data, np.searchsorted(starts, offsets), starts[place], ends[place], known, inverse, keys
+    known = np.where((vocabulary[at] == keys) & (second[at] == two[place]), ids[at], -1)
+    return data, np.concatenate(first), starts[place], ends[place], known, inverse, keys
 
 
 def encode(docs: DataFrame, folder: str | None = None, *, text: str = "text", keep: Sequence[str] = ("doc_id",), ranks_path: str | None = None) -> DataFrame:
@@ -156,7 +158,7 @@ def encode(docs: DataFrame, folder: str | None = None, *, text: str = "text", ke
     path = ranks_path or default_ranks()
     folder = folder or packed.shared_folder(docs.sparkSession)
     docs = docs.select(*keep, *([text] if text not in keep else []))
-    chunks = packed.pack(docs, folder, text)
+    chunks = packed.Chunks(docs, folder, text)
     buckets = packed.bucket_count(docs, text)
 
     def ask(chunk: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -167,7 +169,7 @@ def encode(docs: DataFrame, folder: str | None = None, *, text: str = "text", ke
         for k in np.flatnonzero(np.diff(cuts)):
             own = new[order[cuts[k] : cuts[k + 1]]]
             lengths = ends[own] - starts[own]
-            for column, value in zip(out, (int(k), chunk, lengths.astype(np.uint32).tobytes(), kernels.gather(data, starts[own], lengths).tobytes()), strict=True):
+            for column, value in zip(out, (int(k), chunk, packed.squeeze(lengths.astype(np.uint32).tobytes()), packed.squeeze(kernels.gather(data, starts[own], lengths).tobytes())), strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["bucket", "chunk", "lengths", "words"])
 
@@ -176,20 +178,20 @@ def encode(docs: DataFrame, folder: str | None = None, *, text: str = "text", ke
         own = encoding(path)
         counts, ids = [], []
         for lengths, words in zip(packed.column(asked, "lengths"), packed.column(asked, "words"), strict=True):
-            at, found = 0, []
-            for n in np.frombuffer(lengths, np.uint32).tolist():
+            at, found, words = 0, [], packed.expand(words)
+            for n in np.frombuffer(packed.expand(lengths), np.uint32).tolist():
                 word = words[at : at + n]
                 at += n
                 got = memo.get(word)
                 if got is None:
-                    got = memo[word] = np.array(own.encode_ordinary(word.decode()), np.uint32).tobytes()
+                    got = memo[word] = array("I", own.encode_ordinary(word.decode())).tobytes()
                 found.append(got)
-            counts.append((np.array([len(x) for x in found], np.uint32) // 4).astype(np.uint32).tobytes())
-            ids.append(b"".join(found))
+            counts.append(packed.squeeze((np.array([len(x) for x in found], np.uint32) // 4).astype(np.uint32).tobytes()))
+            ids.append(packed.squeeze(b"".join(found)))
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "counts": pa.array(counts, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    asked = packed.each_chunk(chunks, ask, "bucket int, chunk long, lengths binary, words binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, counts binary, ids binary")
+    asked = chunks.each(ask, "bucket int, chunk long, lengths binary, words binary")
+    answers = packed.answered(asked, answer, "chunk long, bucket int, counts binary, ids binary")
     fields = [f for f in docs.schema.fields if f.name in keep]
 
     def place(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
@@ -201,20 +203,23 @@ def encode(docs: DataFrame, folder: str | None = None, *, text: str = "text", ke
         begin[known >= 0] = np.arange(total)
         for k, n, ids in zip(packed.column(got, "bucket"), packed.column(got, "counts"), packed.column(got, "ids"), strict=True):
             own = new[order[cuts[k] : cuts[k + 1]]]
-            n = np.frombuffer(n, np.uint32).astype(np.int64)
+            n = np.frombuffer(packed.expand(n), np.uint32).astype(np.int64)
             counts[own] = n
             begin[own] = total + np.cumsum(n) - n
-            parts.append(np.frombuffer(ids, np.uint32))
+            parts.append(np.frombuffer(packed.expand(ids), np.uint32))
             total += len(parts[-1])
         flat = np.concatenate(parts)
         each = counts[inverse]
-        ids = kernels.gather(flat, begin[inverse], each)
         bounds = np.concatenate([[0], np.cumsum(each)])[first]
+        ids = np.empty(bounds[-1], np.uint32)
+        for a, b in kernels.slices(bounds):
+            own = slice(first[a], first[b])
+            ids[bounds[a] : bounds[b]] = kernels.gather(flat, begin[inverse[own]], each[own])
         raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
         return pa.table({**{f.name: rows.column(f.name) for f in fields}, "n_tokens": pa.array(np.diff(bounds), pa.int64()), "ids": raw.cast(pa.binary())})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long", "ids binary"])
-    return packed.with_answers(chunks, answers, place, schema)
+    return chunks.with_answers(answers, place, schema)
 
 
 def decode(encoded: DataFrame, *, ids: str = "ids", name: str = "decoded", ranks_path: str | None = None) -> DataFrame:
@@ -225,11 +230,15 @@ def decode(encoded: DataFrame, *, ids: str = "ids", name: str = "decoded", ranks
         data, starts, lengths = token_table(path)
         for batch in batches:
             raw, offsets = kernels.column_bytes(batch.column(batch.schema.get_field_index(ids)))
-            which = np.frombuffer(raw.tobytes(), np.uint32)
-            size = lengths[which]
-            bounds = np.concatenate([[0], np.cumsum(size)])[offsets // 4]
-            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(kernels.gather(data, starts[which], size).tobytes())])
+            parts, bounds = [], [np.zeros(1, np.int64)]
+            for a, b in kernels.slices(offsets):
+                which = raw[offsets[a] : offsets[b]].copy().view(np.uint32)
+                size = lengths[which]
+                bounds.append(np.concatenate([[0], np.cumsum(size)])[(offsets[a + 1 : b + 1] - offsets[a]) // 4] + bounds[-1][-1])
+                parts.append(kernels.gather(data, starts[which], size).tobytes())
+            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(np.concatenate(bounds).tobytes()), pa.py_buffer(b"".join(parts))])
             yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())], [*batch.schema.names, name])
+            kernels.tidy()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields), f"`{name}` binary"])
     return encoded.mapInArrow(run, schema)

@@ -49,7 +49,7 @@ def prefixes(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> list[np
 
 def candidate_sets(docs: DataFrame, folder: str, *, text: str, key: str, k: int, percent: int) -> DataFrame:
     """For every row: uid, key, n (tokens), and for those that may link a 128-bit digest of the set, its prefixes and tokens."""
-    chunks = packed.pack(docs, folder, text)
+    chunks = packed.Chunks(docs, folder, text)
     buckets = packed.bucket_count(docs, text)
 
     def chunk_tokens(rows: pa.Table):
@@ -75,8 +75,8 @@ def candidate_sets(docs: DataFrame, folder: str, *, text: str, key: str, k: int,
         cuts = np.cumsum(n) - n
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "counts": pa.array([total[a : a + m].tobytes() for a, m in zip(cuts, n, strict=True)], pa.binary())})
 
-    asked = packed.each_chunk(chunks, ask, "bucket int, chunk long, tokens binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(count, "chunk long, bucket int, counts binary")
+    asked = chunks.each(ask, "bucket int, chunk long, tokens binary, counts binary")
+    answers = packed.answered(asked, count, "chunk long, bucket int, counts binary")
 
     def choose(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
         sets, keys, inverse, _ = chunk_tokens(rows)
@@ -101,7 +101,7 @@ def candidate_sets(docs: DataFrame, folder: str, *, text: str, key: str, k: int,
         return pa.table({"uid": uid, key: rows.column(key).cast(pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), **{c: pa.array(x, t) for c, x, t in zip(("s1", "s2", "first", "second", "third", "tokens"), out, kinds, strict=True)}})
 
     schema = f"uid long, `{key}` long, n long, s1 long, s2 long, first array<long>, second binary, third binary, tokens binary"
-    return packed.table(packed.with_answers(chunks, answers, choose, schema), folder, "sets")
+    return packed.table(chunks.with_answers(answers, choose, schema), folder, "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

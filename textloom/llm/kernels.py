@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import functools
 
 import numpy as np
@@ -25,19 +27,47 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (BASES[which], pow(BASES[which], -1, 2**64)):
-        p = np.full(n, b, U64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=U64))
-    return out[0], out[1]
+#: Bytes of text that the kernels take at once; they need some hundred times as many bytes of memory.
+SLICE = 1 << 19
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2**64, at least n of each."""
-    return _powers(1 << max(12, int(n).bit_length()), which)
+    if which not in _kept or len(_kept[which][0]) < n:
+        out = []
+        for b in (BASES[which], pow(BASES[which], -1, 2**64)):
+            p = np.full(max(SLICE + (SLICE >> 2), n), b, U64)
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=U64))
+        _kept[which] = out[0], out[1]
+    return _kept[which]
+
+
+def slices(offsets: np.ndarray, limit: int = SLICE) -> list[tuple[int, int]]:
+    """Ranges of texts that together have at most limit bytes, or are one text."""
+    out, a, n = [], 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def _libc():
+    return ctypes.CDLL(ctypes.util.find_library("c"))
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: workers outlive their tasks."""
+    for held in [k for k, v in _kept.items() if len(v[0]) > 2 * SLICE]:
+        del _kept[held]
+    pa.default_memory_pool().release_unused()
+    try:
+        _libc().malloc_trim(0)
+    except (AttributeError, OSError):  # another libc
+        pass
 
 
 def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
@@ -84,10 +114,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and the index of each text's first word."""
-    if lower:
-        data = LOWER[data]
-    starts, ends, first = word_spans(data, offsets)
-    return span_hash(prefix_hash(data), starts, ends), first
+    out, first, total = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
+    for a, b in slices(offsets):
+        part = data[offsets[a] : offsets[b]]
+        part = LOWER[part] if lower else part
+        starts, ends, own = word_spans(part, offsets[a : b + 1] - offsets[a])
+        out.append(span_hash(prefix_hash(part), starts, ends))
+        first.append(own[1:] + total)
+        total += len(starts)
+    return np.concatenate(out), np.concatenate(first)
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

@@ -21,8 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.kernels import tidy
+
 #: Bytes of text in a chunk; a text is never split.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of text for each hash bucket; with it the number of buckets follows the input.
 BUCKET_BYTES = 8 << 20
 #: Rows of a chunk at most, so that chunk and place fit one long.
@@ -55,9 +57,18 @@ def table(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def squeeze(raw: bytes) -> bytes:
+    """raw, compressed, behind its length."""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def expand(blob: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 def to_blob(rows: pa.RecordBatch | pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
         out.write(rows)
     return sink.getvalue().to_pybytes()
 
@@ -83,38 +94,83 @@ def is_scan(df: DataFrame) -> bool:
     return all(kind in ("Project", "Filter", "Relation", "RelationV2") for kind in kinds) and "rand(" not in plan and "monotonically" not in plan
 
 
-def pack(docs: DataFrame, folder: str, text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
-    """The chunks: chunk long, n_docs int, n_bytes long, blob binary.
-
-    Over a plain scan of files they are packed anew in each pass, which is the same each time and saves the disk; anything else
-    is written to the shared folder once.
+def chunks_of(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of a task in chunks of about so many bytes of text, numbered over all tasks."""
+    at = TaskContext.get().partitionId() << 20
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for piece in pieces(batch, text, limit // 4):
+            held.append(piece)
+            size += (pc.sum(pc.binary_length(piece.column(piece.schema.get_field_index(text)))).as_py() or 0) + 16 * piece.num_rows
+            if size >= limit or sum(x.num_rows for x in held) >= CHUNK_ROWS // 2:
+                yield at, pa.Table.from_batches(held).combine_chunks()
+                at, size = at + 1, 0
+                held.clear()
+    if held:
+        yield at, pa.Table.from_batches(held).combine_chunks()
+
+
+class Chunks:
+    """The rows of docs in numbered chunks.
+
+    Over a plain scan of files they are cut anew in each pass, which gives the same each time and saves the disk; anything else is
+    written to the shared folder once, as (chunk long, blob binary).
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 20
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal at
-            whole = pa.Table.from_batches(held).combine_chunks()
-            size = pc.sum(pc.binary_length(whole.column(text))).as_py() or 0
-            held.clear()
-            at += 1
-            return pa.RecordBatch.from_arrays([pa.array([at - 1], pa.int64()), pa.array([whole.num_rows], pa.int32()), pa.array([size], pa.int64()), pa.array([to_blob(whole)], pa.binary())], ["chunk", "n_docs", "n_bytes", "blob"])
-
-        size = 0
-        for batch in batches:
-            for piece in pieces(batch, text, limit):
-                held.append(piece)
-                size += (pc.sum(pc.binary_length(piece.column(piece.schema.get_field_index(text)))).as_py() or 0) + 16 * piece.num_rows
-                if size >= limit or sum(x.num_rows for x in held) >= CHUNK_ROWS // 2:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    chunks = docs.mapInArrow(run, "chunk long, n_docs int, n_bytes long, blob binary")
-    return chunks if is_scan(docs) else table(chunks, folder, "packed")
+    def __init__(self, docs: DataFrame, folder: str, text: str = "text", limit: int = CHUNK_BYTES):
+        self.docs, self.text, self.limit = docs, text, limit
+        self.written = None if is_scan(docs) else table(self._packed(), folder, "packed")
+
+    def _packed(self) -> DataFrame:
+        text, limit = self.text, self.limit
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, rows in chunks_of(batches, text, limit):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([to_blob(rows)], pa.binary())], ["chunk", "blob"])
+            tidy()
+
+        return self.docs.mapInArrow(run, "chunk long, blob binary")
+
+    def each(self, f: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """f over every chunk, as (chunk, rows)."""
+        text, limit = self.text, self.limit
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, rows in chunks_of(batches, text, limit):
+                yield from f(chunk, rows)
+                tidy()
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk, blob in zip(column(batch, "chunk"), batch.column(batch.schema.get_field_index("blob")), strict=True):
+                    yield from f(chunk, from_blob(blob.as_buffer()))
+                    tidy()
+
+        return self.written.mapInArrow(read, schema) if self.written else self.docs.mapInArrow(scan, schema)
+
+    def with_answers(self, answers: DataFrame, f: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """f over every chunk with its answers, as (chunk, rows, answers); a chunk without answers gets an empty table."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if left.num_rows != 1:
+                raise RuntimeError("an answer came without its chunk")
+            out = f(left.column("chunk")[0].as_py(), from_blob(left.column("blob")[0].as_buffer()), right)
+            tidy()
+            return out
+
+        return (self.written or self._packed()).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def answered(asked: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """f over the rows of every bucket."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = f(rows)
+        tidy()
+        return out
+
+    return asked.groupBy("bucket").applyInArrow(run, schema)
 
 
 def bucket_count(docs: DataFrame, text: str = "text", each: int = BUCKET_BYTES) -> int:
@@ -130,26 +186,3 @@ def by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def column(rows: pa.RecordBatch | pa.Table, name: str) -> list:
     return rows.column(rows.schema.get_field_index(name)).to_pylist()
-
-
-def each_chunk(packed: DataFrame, f: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """f over every chunk, as (chunk, rows)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = batch.column(batch.schema.get_field_index("blob"))
-            for chunk, blob in zip(column(batch, "chunk"), blobs, strict=True):
-                yield from f(chunk, from_blob(blob.as_buffer()))
-
-    return packed.select("chunk", "blob").mapInArrow(run, schema)
-
-
-def with_answers(packed: DataFrame, answers: DataFrame, f: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """f over every chunk with its answers, as (chunk, rows, answers); a chunk without answers gets an empty table."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            raise RuntimeError("an answer came without its chunk")
-        return f(left.column("chunk")[0].as_py(), from_blob(left.column("blob")[0].as_buffer()), right)
-
-    return packed.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

@@ -63,10 +63,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 def local(rows: pa.Table, text: str, key: str, length: int):
     """The anchors of a chunk that are first there with their context, in hash order, and the spans that the others cover."""
     data, offsets = kernels.column_bytes(rows.column(text))
-    place, hashes, low, high = anchors(data, offsets, length)
     ids = rows.column(key).cast(pa.int64())
     known = pc.fill_null(ids, -(2**63)).to_numpy()
-    context = kernels.span_hash(kernels.prefix_hash(data, 1), low, high, 1) ^ kernels.mix((place - low).astype(np.uint64), 3)
+    found = []
+    for a, b in kernels.slices(offsets):
+        part, at = data[offsets[a] : offsets[b]], offsets[a]
+        place, hashes, low, high = anchors(part, offsets[a : b + 1] - at, length)
+        context = kernels.span_hash(kernels.prefix_hash(part, 1), low, high, 1) ^ kernels.mix((place - low).astype(np.uint64), 3)
+        found.append((place + at, hashes, low + at, high + at, context))
+    place, hashes, low, high, context = (np.concatenate(x) for x in zip(*found, strict=True))
     doc = known[np.searchsorted(offsets, place, side="right") - 1] if len(place) else place
     order = np.lexsort((place, doc, context, hashes))
     hashes, context, place, low, high, doc = (x[order] for x in (hashes, context, place, low, high, doc))
@@ -190,7 +195,7 @@ def repeats(hashes: np.ndarray, rank: np.ndarray, data: np.ndarray, lengths: np.
 
 def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length: int) -> tuple[DataFrame, DataFrame]:
     """The chunks of docs, and for each chunk spans (starts and ends in its bytes) of repeated strings."""
-    chunks = packed.pack(docs, folder, text)
+    chunks = packed.Chunks(docs, folder, text)
     buckets = packed.bucket_count(docs, text)
 
     def ask(chunk: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -217,8 +222,8 @@ def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length:
         cuts = np.cumsum(n) - n
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "flags": pa.array([out[a : a + m].tobytes() for a, m in zip(cuts, n, strict=True)], pa.binary())})
 
-    asked = packed.each_chunk(chunks, ask, "bucket int, chunk long, hashes binary, contexts binary, docs binary, base long")
-    answers = asked.groupBy("bucket").applyInArrow(settle, "chunk long, bucket int, flags binary")
+    asked = chunks.each(ask, "bucket int, chunk long, hashes binary, contexts binary, docs binary, base long")
+    answers = packed.answered(asked, settle, "chunk long, bucket int, flags binary")
 
     def sift(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
         data, _, hashes, _, place, low, high, doc, low_again, high_again = local(rows, text, key, length)
@@ -239,7 +244,7 @@ def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length:
         n = len(out[0])
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "chunk": pa.array([chunk] * n, pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in zip(("hashes", "places", "docs", "sizes", "bytes"), out[1:], strict=True)}})
 
-    found = packed.table(packed.with_answers(chunks, answers, sift, "bucket int, chunk long, hashes binary, places binary, docs binary, sizes binary, bytes binary"), folder, "contexts")
+    found = packed.table(chunks.with_answers(answers, sift, "bucket int, chunk long, hashes binary, places binary, docs binary, sizes binary, bytes binary"), folder, "contexts")
 
     def compare(asked: pa.Table) -> pa.Table:
         read = lambda name, kind: [np.frombuffer(x, kind) for x in packed.column(asked, name)]
@@ -255,7 +260,7 @@ def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length:
         keep = [(a + np.flatnonzero(most[a : a + m] >= least[a : a + m])) for a, m in zip(cuts, n, strict=True)]
         return pa.table({"chunk": asked.column("chunk"), "starts": pa.array([starts[k].tobytes() for k in keep], pa.binary()), "ends": pa.array([ends[k].tobytes() for k in keep], pa.binary())})
 
-    compared = found.filter("bucket >= 0").groupBy("bucket").applyInArrow(compare, "chunk long, starts binary, ends binary")
+    compared = packed.answered(found.filter("bucket >= 0"), compare, "chunk long, starts binary, ends binary")
     settled = found.filter("bucket < 0").select("chunk", F.col("hashes").alias("starts"), F.col("places").alias("ends"))
     return chunks, settled.union(compared)
 
@@ -286,7 +291,7 @@ def remove_repeats(docs: DataFrame, folder: str | None = None, *, text: str = "t
         return pa.table({**{f.name: rows.column(f.name) for f in fields}, "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(np.diff(total[offsets])), "n_spans": pa.array(np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets])), "kept": kept.cast(pa.binary())})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, n_spans long, kept binary"])
-    return packed.with_answers(chunks, spans, cut, schema)
+    return chunks.with_answers(spans, cut, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
