@@ -126,7 +126,7 @@ def link_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text
     """For every row of docs: uid (its place), key, n_shingles long, group long (a uid that all rows linked with it share), component_id long (least key of the group)."""
     spark = docs.sparkSession
     folder = folder or packed.shared_folder(spark)
-    every = candidate_sets(docs.select(key, text), folder, text=text, key=key, k=k, percent=percent)
+    every = candidate_sets(docs, folder, text=text, key=key, k=k, percent=percent)
     able = every.filter("tokens is not null")
     classes = able.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"))
     member = packed.table(able.select("uid", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("uid", "rep"), folder, "members")
@@ -157,6 +157,22 @@ def link_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text
     return base.join(grouped, "group", "left").select("uid", key, F.col("n").alias("n_shingles"), "group", F.coalesce("component_id", key).alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of docs with all their columns, but of each linked group only the one with the least key (null last; of rows that repeat it, the first in place)."""
+    folder = folder or packed.shared_folder(docs.sparkSession)
+    groups = link_groups(docs, folder, text=text, key=key, k=k, percent=percent).filter("n_shingles > 0")
+    rank = F.struct(F.col(key).isNull(), key, "uid")
+    gone = groups.select("group", "uid", rank.alias("rank")).join(groups.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("members")).filter("members > 1"), "group").filter("rank <> first")
+    chunks = packed.Chunks(docs, folder, text)
+
+    def keep(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
+        stay = np.ones(rows.num_rows, bool)
+        stay[got.column("place").to_numpy()] = False
+        return rows.filter(pa.array(stay))
+
+    return chunks.with_answers(gone.select(F.shiftright("uid", 20).alias("chunk"), F.col("uid").bitwiseAND(F.lit((1 << 20) - 1)).alias("place")), keep, docs.schema)
+
+
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
-    return link_groups(docs).select("doc_id", "n_shingles", "component_id")
+    return link_groups(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

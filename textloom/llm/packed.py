@@ -30,25 +30,17 @@ BUCKET_BYTES = 8 << 20
 #: Rows of a chunk at most, so that chunk and place fit one long.
 CHUNK_ROWS = 1 << 20
 
-_folders: list[tuple[SparkSession, str]] = []
-
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the shared one that spark.checkpoint.dir names; /tmp only where no cluster has set it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/textloom-checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    _folders.append((spark, f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"))
-    return _folders[-1][1]
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the folders of earlier operators. Only for callers who have written the earlier results."""
-    while _folders:
-        _, path = _folders.pop()
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a shared folder; only for callers who have written all that reads from it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, suffix
+from textloom.llm import bpe, jaccard, lengths, pigeonhole, sharding, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(_table(spark, sf_dir, "documents"))
 
@@ -21,10 +25,33 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.query(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and item that stands in it."""
+    return pigeonhole.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers for every encoded length as a context limit."""
+    return lengths.query(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hilbert_shards": op1_hilbert_shards,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_toxicity": op4_toxicity,
+        "op7_shingle_join": op7_shingle_join,
+        "op9_decontamination": op9_decontamination,
+        "op10_token_counts": op10_token_counts,
     }
 
 

@@ -265,8 +265,11 @@ def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length:
     return chunks, settled.union(compared)
 
 
-def remove_repeats(docs: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", length: int = 100, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, n_bytes, n_removed and n_spans (long), and kept (binary: the remaining bytes, end to end) for each row of docs."""
+def remove_repeats(docs: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", length: int = 100, keep: Sequence[str] = ("doc_id",), characters: bool = False) -> DataFrame:
+    """The columns in keep, n_bytes, n_removed and n_spans (long), and kept (binary: the remaining bytes, end to end) for each row of docs.
+
+    With characters, kept is a string: a character that a cut splits goes whole.
+    """
     folder = folder or packed.shared_folder(docs.sparkSession)
     docs = docs.select(*dict.fromkeys([*keep, key, text]))
     chunks, spans = repeated_spans(docs, folder, text=text, key=key, length=length)
@@ -288,9 +291,9 @@ def remove_repeats(docs: DataFrame, folder: str | None = None, *, text: str = "t
         total = np.concatenate([[0], np.cumsum(gone)])
         bounds = offsets - total[offsets]
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data[~gone].tobytes())])
-        return pa.table({**{f.name: rows.column(f.name) for f in fields}, "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(np.diff(total[offsets])), "n_spans": pa.array(np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets])), "kept": kept.cast(pa.binary())})
+        return pa.table({**{f.name: rows.column(f.name) for f in fields}, "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(np.diff(total[offsets])), "n_spans": pa.array(np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets])), "kept": pa.array([x.as_py().decode(errors="ignore") for x in kept], pa.string()) if characters else kept.cast(pa.binary())})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, n_spans long, kept binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"n_bytes long, n_removed long, n_spans long, kept {'string' if characters else 'binary'}"])
     return chunks.with_answers(spans, cut, schema)
 
 
