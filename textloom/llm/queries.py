@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, jaccard, lengths, pigeonhole, sharding, suffix, toxicity
+from textloom.llm import bpe, extraction, jaccard, lengths, maxent, pigeonhole, quality, sharding, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,22 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(_table(spark, sf_dir, "documents"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.query(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and item that stands in it."""
     return pigeonhole.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -49,7 +61,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_toxicity": op4_toxicity,
+        "op5_quality": op5_quality,
+        "op6_main_text": op6_main_text,
         "op7_shingle_join": op7_shingle_join,
+        "op8_language_model": op8_language_model,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
     }
