@@ -1 +1,108 @@
-"""sources"""
+"""Readers of the engine's inputs. Every one returns a DataFrame and opens nothing but by Spark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+# The keys under which foreign dictionaries keep a term, in lists and in nested objects.
+LIST_KEYS = ("term", "word", "name", "arabic", "ar", "headword")
+OBJECT_KEYS = ("term", "word", "name", "definition", "meaning")
+
+CORRECTIONS = "id long, crop_base64 string, raw_text string, corrected_text string, all_engine_texts string, best_engine string, confidence double, created_at timestamp, image_hash string"
+LOGS = "id string, session_id string, device_id string, user_id string, timestamp timestamp, level string, category string, message string, details string, stack_trace string, screen string, memory_usage double, network_status string, app_version string, device_info string"
+VERSIONS = "version_id string, version_name string, base_model string, trained_on_count int, cer_score double, wer_score double, medical_term_accuracy double, training_duration int, deployed_at string, is_active boolean, notes string, created_at string"
+
+
+def corrections(rows: DataFrame) -> DataFrame:
+    """The correction store with empty instead of missing crops and engine maps, in the order of ids."""
+    engines = F.from_json(F.col("all_engine_texts"), "map<string,string>")
+    return rows.withColumn("crop_base64", F.coalesce("crop_base64", F.lit(""))).withColumn("engines", F.coalesce(engines, F.create_map().cast("map<string,string>"))).orderBy("id")
+
+
+def jdbc_corrections(spark: SparkSession, url: str, table: str = "corrections", parts: int = 32) -> DataFrame:
+    """The store out of a database, read in ranges of ids."""
+    bounds = spark.read.jdbc(url, f"(select min(id) a, max(id) b from {table}) t").first()
+    return spark.read.jdbc(url, table, column="id", lowerBound=bounds[0] or 0, upperBound=(bounds[1] or 0) + 1, numPartitions=parts)
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of JSON; bad and blank ones are dropped."""
+    raw = spark.read.schema(f"{schema}, _corrupt_record string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    return raw.withColumn("_bad", F.col("_corrupt_record").isNotNull()).filter("not _bad").drop("_bad", "_corrupt_record")
+
+
+def ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(wrong, correct) from files of {ground_truth, engine_predictions}: each differing prediction and the truth itself; later files win."""
+    rows = json_lines(spark, path, "ground_truth string, engine_predictions map<string,string>").withColumn("file", F.input_file_name())
+    pairs = rows.select("file", "ground_truth", F.explode(F.concat(F.array("ground_truth"), F.coalesce(F.map_values("engine_predictions"), F.array().cast("array<string>")))).alias("wrong")).filter("ground_truth is not null and wrong is not null")
+    return pairs.groupBy("wrong").agg(F.max_by("ground_truth", F.struct("file", "ground_truth")).alias("correct"))
+
+
+def newest_corrections(spark: SparkSession, path: str, schema: str, limit: int = 5000) -> DataFrame:
+    rows = json_lines(spark, path, schema).withColumn("file", F.input_file_name())
+    return rows.orderBy(F.desc("file")).limit(limit)
+
+
+def learned_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(wrong, correct, count) of a learned dictionary in either of its layouts: bare, or below 'corrections'."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json(F.coalesce(F.get_json_object("value", "$.corrections"), F.col("value")), "map<string, struct<correct:string, count:long, contexts:array<string>, last_seen:string>>").alias("m"))
+    return whole.select(F.explode("m").alias("wrong", "e")).select("wrong", "e.correct", "e.count", "e.contexts", "e.last_seen").filter("correct is not null")
+
+
+def term_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(variant, term, ordinal) of a {term: [variants]} file; the last writer of a variant wins."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, array<string>>").alias("m"))
+    rows = whole.select(F.posexplode(F.map_entries("m")).alias("ordinal", "e")).select("ordinal", F.col("e.key").alias("term"), F.explode(F.concat(F.array("e.key"), F.coalesce("e.value", F.array().cast("array<string>")))).alias("variant"))
+    return rows.groupBy("variant").agg(F.max_by("term", "ordinal").alias("term"), F.max("ordinal").alias("ordinal"))
+
+
+def term_set(spark: SparkSession, path: str) -> DataFrame:
+    """(term) of every dictionary file below path, whatever its shape: lists give the entries or their naming fields, objects their keys and string values, nested objects their naming fields."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).filter("v is not null")
+    top = files.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("key", "value")
+    kind = F.schema_of_variant("value")
+    text = F.try_variant_get("value", "$", "string")
+    named = lambda keys: F.explode(F.array_compact(F.array(*(F.try_variant_get("value", f"$.{k}", "string") for k in keys))))
+    parts = [
+        top.filter((kind == "STRING")).select(text.alias("term")),
+        top.filter("key is not null").filter(kind == "STRING").select(F.col("key").alias("term")),
+        top.filter("key is null").filter(F.startswith(kind, F.lit("OBJECT"))).select(named(LIST_KEYS).alias("term")),
+        top.filter("key is not null").filter(F.startswith(kind, F.lit("OBJECT"))).select(named(OBJECT_KEYS).alias("term")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.select(F.trim("term").alias("term")).filter("term <> ''").distinct()
+
+
+def samples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path, multiLine=True)
+
+
+def logs(spark: SparkSession, path: str, now, days: int = 7) -> DataFrame:
+    return json_lines(spark, path, LOGS).filter(F.col("timestamp") > F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"))
+
+
+def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+
+
+def allowed_uploads(found: DataFrame, *, most: int = 10 << 20, allowed: tuple[str, ...] = ("png", "jpg", "jpeg", "pdf", "tiff")) -> DataFrame:
+    kind = F.lower(F.element_at(F.split("path", r"\."), -1))
+    return found.withColumn("accepted", (F.col("length") <= most) & kind.isin(*allowed))
+
+
+def non_blank_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, files, lines) below path, blank lines not counted."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("file"), "value").withColumn("folder", F.element_at(F.split("file", "/"), -2))
+    return rows.groupBy("folder").agg(F.count_distinct("file").alias("files"), F.count_if(F.trim("value") != "").alias("lines"))
+
+
+def newest(rows: DataFrame, key: str, at: str) -> DataFrame:
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).filter("_r = 1").drop("_r")
+
+
+def since(rows: DataFrame, mark, at: str = "updated_at") -> DataFrame:
+    """What changed after a high-water mark."""
+    return rows.filter(F.col(at) > F.lit(mark))
