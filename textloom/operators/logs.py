@@ -55,7 +55,7 @@ def latency(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     window = Window.partitionBy(*by)
     ranked = rows.select(*by, value, F.row_number().over(window.orderBy(value)).alias("r"), F.count("*").over(window).alias("n"))
     at = lambda p: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p) + 1, F.col("n")), F.col(value)))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), *(at(p).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 9).alias("mean"), *(at(p).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)))
 
 
 def degradation(rows: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
@@ -64,7 +64,7 @@ def degradation(rows: DataFrame, value: str, order: list[str], by: list[str]) ->
     ranked = rows.select(*by, value, (F.row_number().over(window.orderBy(*order)) - 1).alias("r"), F.count("*").over(window).alias("n"))
     early = F.avg(F.when(F.col("r") < F.expr("n div 4"), F.col(value)))
     late = F.avg(F.when(F.col("r") >= F.expr("3 * n div 4"), F.col(value)))
-    return ranked.groupBy(*by).agg(F.round(early, 6).alias("early"), F.round(late, 6).alias("late"), F.round(late / early, 6).alias("ratio"))
+    return ranked.groupBy(*by).agg(F.round(early, 9).alias("early"), F.round(late, 9).alias("late"), F.round(late / early, 9).alias("ratio"))
 
 
 def windowed_rates(rows: DataFrame, *, width: str = "5 minutes", slide: str = "30 seconds", by: list[str] = [], error: Column) -> DataFrame:  # noqa: B006

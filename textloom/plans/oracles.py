@@ -100,7 +100,7 @@ def oracle_sql() -> dict[str, str]:
         "s7_stratified": """WITH s AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang), w AS (SELECT lang, least(floor(100 * size / sum(size) OVER ()) + 1, size) AS want FROM s), t AS (SELECT lang, greatest(least(want, 100 - coalesce(sum(want) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS take FROM w)
             SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r FROM documents) JOIN t USING (lang) WHERE r <= take""",
         "s6_round_robin": "SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) ORDER BY r, label LIMIT 35",
-        "s1_reservoir": "SELECT DISTINCT lang, true AS floor_kept FROM documents",
+        "s1_reservoir": "SELECT lang, count(*) >= 20 AS floor_kept FROM documents GROUP BY lang",
         "s2_miner": "SELECT props, count(*) AS frequency FROM events GROUP BY props ORDER BY frequency DESC, props LIMIT 20",
         "s2_weighted": "SELECT 50 AS rows, 50 AS docs",
         "s4_features": f"""SELECT doc_id, round(least(length(text) / 50.0, 1.0), 6) AS f0, round(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) / length(text), 6) AS f1, round(len(list_distinct(list_filter(string_split(text, ''), lambda x: x <> ''))) / length(text), 6) AS f2, contains(text, 'the')::INT::DOUBLE AS f3,
@@ -125,9 +125,9 @@ def oracle_sql() -> dict[str, str]:
         "a10_log_stats": f"SELECT 'level' AS kind, level AS name, count(*) AS logs FROM {LOGS} GROUP BY level UNION ALL SELECT 'category', category, count(*) FROM {LOGS} GROUP BY category UNION ALL SELECT 'total', NULL, count(*) FROM {LOGS} UNION ALL SELECT 'sessions', NULL, count(DISTINCT session_id) FROM {LOGS}",
         "a11_health": f"SELECT count(*) AS total, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warn') AS warnings, count(*) FILTER (level = 'fatal') AS fatal, count(DISTINCT device_id) AS devices, count(DISTINCT session_id) AS sessions, round(100 * count(DISTINCT session_id) FILTER (level = 'fatal') / count(DISTINCT session_id), 4) AS crash_percent FROM {LOGS}",
         "a11_top_errors": f"SELECT message, category, count(*) AS n, max(ts) AS last FROM {LOGS} WHERE level IN ('error', 'fatal') GROUP BY ALL ORDER BY n DESC, message, category LIMIT 10",
-        "a26_latency": "WITH r AS (SELECT event_type, list_sort(list(value)) AS v, avg(value) AS m FROM events GROUP BY event_type) SELECT event_type, len(v) AS n, round(m, 6) AS mean, v[least(floor(len(v) * 0.5) + 1, len(v))::INT] AS p50, v[least(floor(len(v) * 0.95) + 1, len(v))::INT] AS p95, v[least(floor(len(v) * 0.99) + 1, len(v))::INT] AS p99 FROM r",
-        "a27_degradation": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(value) FILTER (r < n // 4), 6) AS early, round(avg(value) FILTER (r >= 3 * n // 4), 6) AS late, round(avg(value) FILTER (r >= 3 * n // 4) / avg(value) FILTER (r < n // 4), 6) AS ratio FROM r GROUP BY event_type",
-        "a25_daily": "SELECT ts::DATE AS date, count(*) AS events, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean FROM events GROUP BY 1",
+        "a26_latency": "WITH r AS (SELECT event_type, list_sort(list(value)) AS v, avg(value) AS m FROM events GROUP BY event_type) SELECT event_type, len(v) AS n, round(m, 9) AS mean, v[least(floor(len(v) * 0.5) + 1, len(v))::INT] AS p50, v[least(floor(len(v) * 0.95) + 1, len(v))::INT] AS p95, v[least(floor(len(v) * 0.99) + 1, len(v))::INT] AS p99 FROM r",
+        "a27_degradation": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(value) FILTER (r < n // 4), 9) AS early, round(avg(value) FILTER (r >= 3 * n // 4), 9) AS late, round(avg(value) FILTER (r >= 3 * n // 4) / avg(value) FILTER (r < n // 4), 9) AS ratio FROM r GROUP BY event_type",
+        "a25_daily": "SELECT ts::DATE AS date, count(*) AS events, count(DISTINCT user_id) AS users, round(avg(value), 9) AS mean FROM events GROUP BY 1",
         "a24_row_counts": "SELECT 'orders' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'documents', count(*) FROM documents",
         "a29_sync_totals": "SELECT user_id AS device_id, event_type AS direction, count(*) FILTER (value > 50) AS accepted, count(*) FILTER (value <= 50) AS rejected FROM events GROUP BY ALL",
         "st3_error_rates": "SELECT start, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_ratio FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS start FROM events) GROUP BY start",
@@ -153,7 +153,7 @@ def oracle_sql() -> dict[str, str]:
         "st1_stream_reservoir": 'SELECT lang AS "group", least(count(*), 50) AS n, count(*) AS seen FROM documents GROUP BY lang',
         "st2_stream_patterns": "SELECT event_type AS pattern, props AS correction, count(*) AS frequency, max(ts) AS last_used FROM events GROUP BY ALL",
         "st3_stream_rates": "SELECT start, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS start FROM events) GROUP BY start",
-        "st5_stream_averages": "SELECT event_type, date_trunc('day', ts) AS start, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
+        "st5_stream_averages": "SELECT event_type, date_trunc('day', ts) AS start, count(value) AS n, round(avg(value), 9) AS mean FROM events GROUP BY ALL",
         "st9_stream_once": "SELECT event_id, user_id FROM events",
         "st14_stream_over_limit": "SELECT user_id, date_trunc('day', ts) AS start, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 4",
     }

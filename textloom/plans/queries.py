@@ -174,7 +174,7 @@ def e4_labs(spark, sf_dir):
 
 @query
 def e6_patients(spark, sf_dir):
-    return frame(spark, "NOTES").select("id", extract.patient(F.col("text")).alias("p")).select("id", "p.*")
+    return frame(spark, "NOTES").select("id", extract.patient(F.col("text")).alias("p")).select("id", "p.name", "p.age", "p.gender", F.col("p.id").alias("patient_id"), "p.allergies")
 
 
 @query
@@ -685,7 +685,7 @@ def a27_degradation(spark, sf_dir):
 
 @query
 def a25_daily(spark, sf_dir):
-    return logs.daily(table(spark, sf_dir, "events"), F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"))
+    return logs.daily(table(spark, sf_dir, "events"), F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 9).alias("mean"))
 
 
 @query

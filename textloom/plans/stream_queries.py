@@ -54,7 +54,7 @@ def st3_stream_rates(spark, sf_dir):
 @query
 def st5_stream_averages(spark, sf_dir):
     out = streaming.averages(stream(spark, sf_dir, "events"), "value", by=("event_type",), width="1 day", late="60 days")
-    return settled(out, ["event_type", "start"]).select("event_type", "start", "n", F.round("mean", 6).alias("mean"))
+    return settled(out, ["event_type", "start"]).select("event_type", "start", "n", F.round("mean", 9).alias("mean"))
 
 
 @query
