@@ -25,7 +25,8 @@ def html_text(html: Column) -> Column:
     out = F.regexp_replace(F.when(body != "", body).otherwise(bare), r"(?s)<!--.*?-->|<[^>]*>", "\n")
     for reference, character in REFERENCES:
         out = F.replace(out, F.lit(reference), F.lit(character))
-    return F.array_join(F.filter(F.transform(F.split(out, "\n"), F.trim), lambda line: line != ""), "\n")
+    lines = F.transform(F.split(out, "\n"), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
 def _paragraphs(xml: bytes, space: str) -> list[str]:

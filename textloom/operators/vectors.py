@@ -23,11 +23,19 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = 4096) -> DataFrame:
     """(query, rank, key, score): the k nearest vectors by cosine of each query, itself excepted.
 
-    Queries come in blocks of at most so many to every task, each task keeps its k best of a batch, and only those are shuffled.
+    Queries come in blocks of about so many to every task, one scan of the vectors for each block; each task keeps its k best of a
+    batch, and only those are shuffled.
     """
-    rows = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).limit(block + 1).collect()
-    if len(rows) > block:
-        raise ValueError(f"at most {block} queries at once; pass them in blocks")
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        part = _top_block(vectors, queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), key, vector, k)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _top_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    rows = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).collect()
     ids, held = np.array([r["q"] for r in rows]), np.array([r["v"] for r in rows], np.float32)
     held = held / np.maximum(np.linalg.norm(held, axis=1, keepdims=True), 1e-12) if len(held) else held
 
@@ -49,11 +57,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector
     return best.select("query", F.posexplode("b").alias("rank", "x")).select("query", (F.col("rank") + 1).alias("rank"), F.col("x.i").alias(key), (-F.col("x.s")).alias("score"))
 
 
-def assign(vectors: DataFrame, centroids: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, cluster, distance) to the nearest of a few centroids (cluster, centroid), as one row of arrays beside every vector."""
+def assign(vectors: DataFrame, centroids: DataFrame, *, key: str = "vec_id", vector: str = "embedding", most: int = 4096) -> DataFrame:
+    """(key, cluster, distance) to the nearest of at most so many centroids (cluster, centroid), as one row of arrays beside every vector."""
+    if centroids.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} centroids; assign to some of them at a time and take the least distance")
     few = F.broadcast(centroids.agg(F.sort_array(F.collect_list(F.struct("cluster", "centroid"))).alias("c")))  # one row
-    distances = F.transform("c", lambda c: F.struct(F.round(euclid(F.col(vector), c["centroid"]), 6).alias("d"), c["cluster"].alias("cluster")))
-    return vectors.join(few).select(key, F.array_min(distances).alias("best")).select(key, F.col("best.cluster").alias("cluster"), F.col("best.d").alias("distance"))
+    distances = F.transform("c", lambda c: F.struct(F.round(euclid(F.col(vector), c["centroid"]), 6).alias("d"), c["cluster"].alias("cluster"), euclid(F.col(vector), c["centroid"]).alias("distance")))
+    return vectors.join(few).select(key, F.array_min(distances).alias("best")).select(key, F.col("best.cluster").alias("cluster"), F.col("best.distance").alias("distance"))
 
 
 def centroids(vectors: DataFrame, by: str, *, vector: str = "embedding") -> DataFrame:
