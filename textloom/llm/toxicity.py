@@ -202,11 +202,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
         odds = (t + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1))
         if t >= max(5, SUPPORT * toxic) and odds >= ODDS:
             scored.append((math.log(odds), t, term))
-    # the shortest term that tells as much stands for the longer ones
+    # a beginning goes if one longer term stands in nearly all its texts, and a term if a beginning of it is left
+    longer: Counter = Counter()
+    for _, t, term in scored:
+        stem = term.rstrip("*")
+        for n in BEGINNINGS:
+            if n < len(stem) or n == len(stem) and term == stem:
+                longer[f"{stem[:n]}*"] = max(longer[f"{stem[:n]}*"], t)
     chosen: dict[str, float] = {}
-    for weight, _, term in sorted(scored, key=lambda x: (len(x[2].rstrip("*")), x[2])):
+    for weight, t, term in sorted(scored, key=lambda x: (len(x[2].rstrip("*")), x[2])):
         stem = term.rstrip("*")
-        if not any(f"{stem[:n]}*" in chosen for n in BEGINNINGS if n <= len(stem)):
+        if longer[term] < 0.9 * t and not any(f"{stem[:n]}*" in chosen for n in BEGINNINGS if n <= len(stem)):
             chosen[term] = weight
     best = sorted(chosen, key=lambda t: (-chosen[t], t))[:TERMS]
     words, beginnings = {t: chosen[t] for t in best if t[-1] != "*"}, {t[:-1]: chosen[t] for t in best if t[-1] == "*"}
