@@ -3,11 +3,12 @@
 Two such sets share a token of their prefixes under *every* global order of the tokens. Three orders are used: by document
 frequency, by its logarithm with another tie-break, and single tokens first with a third. The frequencies come from an exchange
 of packed shingles. A token that one text alone holds can't be shared, and a text whose prefix holds nothing else links with
-none: most texts leave here. Candidates share a prefix token under the first order; before their sets are compared, they must also
+none: most texts leave here. Candidates share a prefix token under the first order, at places that leave room for the overlap that their sizes ask for; before their sets are compared, they must also
 share one under the others.
 
-A group of many near copies is never expanded into its pairs. First each text is compared with its neighbours (by size) and with
-one pivot under each of its prefix tokens; what is linked thus falls into components. Then, for tokens that still hold several
+A group of many near copies is never expanded into its pairs. First each text is compared, under each of its prefix tokens, with its
+neighbours by the place that the token has in their order and with the text where it comes first (an original, as its copies' edits
+make rare tokens); what is linked thus falls into components. Then, for tokens that still hold several
 components, each text outside the largest of them is compared with the texts of other components. Any link between two texts
 therefore is either found or lies within one component already, which is all that the result tells.
 
@@ -38,13 +39,15 @@ def text_sets(rows: pa.Table, text: str, k: int) -> list[np.ndarray]:
 
 
 def prefixes(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> list[np.ndarray] | None:
-    """The shared tokens of a set's prefix under each order; None if the set can't link with any other."""
+    """The places and tokens of a set's prefix under the first order that other texts hold as well, then such tokens under the others; None if the set can't link with any other."""
     n = len(tokens)
     size = n - (percent * n + 99) // 100 + 1
     if (frequency < 2).sum() >= size:
         return None
     orders = (tokens, frequency), (kernels.mix(tokens, 21), np.log2(frequency).astype(np.int8)), (kernels.mix(tokens, 22), frequency > 1)
-    return [np.sort(tokens[own[frequency[own] > 1]]) for own in (np.lexsort(keys)[:size] for keys in orders)]
+    found = [np.lexsort(keys)[:size] for keys in orders]
+    shared = [frequency[own] > 1 for own in found]
+    return [np.flatnonzero(shared[0]), tokens[found[0][shared[0]]], *(np.sort(tokens[own[some]]) for own, some in zip(found[1:], shared[1:], strict=True))]
 
 
 def candidate_sets(docs: DataFrame, folder: str, *, text: str, key: str, k: int, percent: int) -> DataFrame:
@@ -84,23 +87,23 @@ def candidate_sets(docs: DataFrame, folder: str, *, text: str, key: str, k: int,
         frequency = np.zeros(len(keys), np.int64)
         for b, x in zip(packed.column(got, "bucket"), packed.column(got, "counts"), strict=True):
             frequency[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(x, np.uint16)
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         at = 0
         for tokens in sets:
             own = frequency[inverse[at : at + len(tokens)]]
             at += len(tokens)
             found = prefixes(tokens, own, percent) if len(tokens) else None
-            row = [None] * 6
+            row = [None] * 7
             if found is not None:
                 sums = [int(np.bitwise_xor.reduce(kernels.mix(tokens, s))) for s in (31, 32)]
-                row = [*(x - (x >> 63 << 64) for x in sums), found[0].astype(np.int64), found[1].tobytes(), found[2].tobytes(), tokens.tobytes()]
+                row = [*(x - (x >> 63 << 64) for x in sums), found[0].astype(np.int32), found[1].astype(np.int64), found[2].tobytes(), found[3].tobytes(), tokens.tobytes()]
             for column, value in zip(out, row, strict=True):
                 column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         uid = (chunk << 20) + np.arange(rows.num_rows)
-        return pa.table({"uid": uid, key: rows.column(key).cast(pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), **{c: pa.array(x, t) for c, x, t in zip(("s1", "s2", "first", "second", "third", "tokens"), out, kinds, strict=True)}})
+        return pa.table({"uid": uid, key: rows.column(key).cast(pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), **{c: pa.array(x, t) for c, x, t in zip(("s1", "s2", "places", "first", "second", "third", "tokens"), out, kinds, strict=True)}})
 
-    schema = f"uid long, `{key}` long, n long, s1 long, s2 long, first array<long>, second binary, third binary, tokens binary"
+    schema = f"uid long, `{key}` long, n long, s1 long, s2 long, places array<int>, first array<long>, second binary, third binary, tokens binary"
     return packed.table(chunks.with_answers(answers, choose, schema), folder, "sets")
 
 
@@ -130,24 +133,26 @@ def link_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text
     able = every.filter("tokens is not null")
     classes = able.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"))
     member = packed.table(able.select("uid", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("uid", "rep"), folder, "members")
-    sets = packed.table(able.join(member.filter("uid = rep").select("uid"), "uid").select("uid", "n", "first", "second", "third", "tokens"), folder, "classes")
-    rows = sets.select(F.explode("first").alias("token"), "uid", "n")
-
-    by_size = Window.partitionBy("token").orderBy("n", "uid")
-    near = rows.withColumns({"next": F.lead("uid").over(by_size), "next_n": F.lead("n").over(by_size), "pivot": F.min(F.struct("uid", "n")).over(Window.partitionBy("token"))})
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and a <> b"
-    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = near.select(F.explode(F.array(F.struct(F.col("uid").alias("a"), F.col("n"), F.col("next").alias("b"), F.col("next_n").alias("m")), F.struct(F.col("uid").alias("a"), F.col("n"), F.col("pivot.uid").alias("b"), F.col("pivot.n").alias("m")))).alias("x")).select("x.*").filter(fits).select(*pair).distinct()
+    sets = packed.table(able.join(member.filter("uid = rep").select("uid"), "uid").select("uid", "n", "places", "first", "second", "third", "tokens"), folder, "classes")
+    rows = sets.select(F.col("n"), F.col("uid"), F.explode(F.arrays_zip("first", "places")).alias("t")).select(F.col("t.first").alias("token"), F.struct(F.col("t.places").alias("place"), "n", "uid").alias("x"))
+
+    # the first token that two sets share: neither holds any token of the other before it, so enough must be left from there on
+    overlap = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+    fits = f"x.place <= x.n - {overlap} and y.place <= y.n - {overlap} and x.uid <> y.uid"
+    token = Window.partitionBy("token")
+    near = rows.withColumns({"next": F.lead("x").over(token.orderBy("x")), "pivot": F.min("x").over(token)})
+    pair = (F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
+    pairs = near.select("x", F.explode(F.array("next", "pivot")).alias("y")).filter(fits).select(*pair).distinct()
     links = packed.table(verified(pairs, sets, percent), folder, "links")
     found = components.components(links, folder, "near")
 
-    rows = packed.table(rows.join(found, rows.uid == found.node, "left").select("token", "uid", "n", F.coalesce("component", "uid").alias("own")), folder, "tokens")
+    rows = packed.table(rows.join(found, rows.x.uid == found.node, "left").select("token", "x", F.coalesce("component", "x.uid").alias("own")), folder, "tokens")
     held = rows.groupBy("token", "own").agg(F.count("*").alias("texts"))
     mixed = held.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("texts", "own")).alias("top")).filter("groups > 1").select("token", F.col("top.own").alias("top"))
     rows = rows.join(mixed, "token")
-    left = rows.filter("own <> top").select("token", F.col("uid").alias("a"), "n", F.col("own").alias("own_a"))
-    right = rows.select("token", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("own").alias("own_b"))
-    cross = left.join(right, "token").filter(f"own_a <> own_b and {fits}").select(*pair).distinct()
+    left = rows.filter("own <> top").select("token", "x", F.col("own").alias("own_x"))
+    right = rows.select("token", F.col("x").alias("y"), F.col("own").alias("own_y"))
+    cross = left.join(right, "token").filter(f"own_x <> own_y and {fits}").select(*pair).distinct()
     more = verified(cross, sets, percent)
     found = packed.table(components.components(links.union(more), folder, "all"), folder, "components")
 
