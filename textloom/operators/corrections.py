@@ -142,3 +142,35 @@ def gold_standard(regions: DataFrame, pages: DataFrame, least: int = 1) -> DataF
 
 def orphans(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.filter("not resolved").join(documents.select("document_id"), "document_id", "left_anti")
+
+
+def export_counters(rows: DataFrame, script: Column, medical: Column) -> DataFrame:
+    """Exported samples by script class, with the medical terms among them."""
+    return rows.groupBy(script.alias("script")).agg(F.count("*").alias("samples"), F.count_if(medical).alias("medical"))
+
+
+def report(regions: DataFrame, now: Column, days: int) -> DataFrame:
+    """Totals of the last so many days of (status, corrected_text, confidence, at)."""
+    corrected = F.count_if(F.col("corrected_text").isNotNull())
+    return regions.filter(F.col("at") > now - F.expr(f"interval {days} days")).agg(F.count("*").alias("total"), corrected.alias("corrected"), F.count_if(F.col("status") == "gold_standard").alias("gold"), F.round(F.avg("confidence"), 9).alias("confidence"), F.round(100 * corrected / F.nullif(F.count("*"), F.lit(0)), 6).alias("correction_percent"))
+
+
+def page_confidence(lines: DataFrame, page: str, confidence: Column) -> DataFrame:
+    return lines.groupBy(page).agg(F.round(F.avg(confidence), 9).alias("confidence"), F.count("*").alias("lines"))
+
+
+def status_tallies(regions: DataFrame) -> DataFrame:
+    return regions.agg(F.count_if(F.col("status") == "gold_standard").alias("gold"), F.count_if(F.col("status") == "pending").alias("pending"), F.count("*").alias("regions"))
+
+
+def job_progress(items: DataFrame) -> DataFrame:
+    """(job, total, done, failed, percent) of items (job, status)."""
+    done = F.count_if(F.col("status") == "done")
+    return items.groupBy("job").agg(F.count("*").alias("total"), done.alias("done"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(100 * done / F.count("*"), 6).alias("percent"))
+
+
+def valid_keys(presented: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
+    """(key_hash, valid) of presented keys: known by their hash, active and not expired. Only hashes are kept."""
+    hashed = presented.select(F.sha2("api_key", 256).alias("key_hash"))
+    joined = hashed.join(keys.select("key_hash", "active", "expires"), "key_hash", "left")
+    return joined.select("key_hash", F.coalesce(F.col("active") & (F.col("expires").isNull() | (F.col("expires") > now)), F.lit(False)).alias("valid"))

@@ -171,6 +171,16 @@ def oracle_sql() -> dict[str, str]:
         "do10_permissions": "SELECT c_custkey, c_custkey % 2 = 0 AS may_write FROM customer",
         "w3_least_used": "SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS r FROM part) WHERE r <= 3",
         "t8_argmax": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1",
+        "a6_learned_stats": "SELECT count(DISTINCT wrong) AS entries, count(*) AS corrections FROM (SELECT substr(text, 1, 3) AS wrong, substr(text, 1, 6) AS correct FROM conversations) WHERE wrong <> correct",
+        "a8_export_counters": "SELECT lang AS script, count(*) AS samples, count(*) FILTER (contains(text, 'the')) AS medical FROM documents GROUP BY lang",
+        "a9_report": "SELECT count(*) AS total, count(*) FILTER (value > 50) AS corrected, count(*) FILTER (event_type = 'purchase') AS gold, round(avg(value / 100), 9) AS confidence, round(100 * count(*) FILTER (value > 50) / count(*), 6) AS correction_percent FROM events WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 7 DAY",
+        "a22_page_confidence": "SELECT l_orderkey, round(avg(l_discount), 9) AS confidence, count(*) AS lines FROM lineitem GROUP BY l_orderkey",
+        "a23_status_tallies": "SELECT count(*) FILTER (o_orderstatus = 'F') AS gold, count(*) FILTER (o_orderstatus = 'O') AS pending, count(*) AS regions FROM orders",
+        "do9_job_progress": "SELECT user_id AS job, count(*) AS total, count(*) FILTER (event_type = 'view') AS done, count(*) FILTER (event_type = 'error') AS failed, round(100 * count(*) FILTER (event_type = 'view') / count(*), 6) AS percent FROM events GROUP BY user_id",
+        "do13_valid_keys": "SELECT sha256(k) AS key_hash, k = 'alpha' AS valid FROM (VALUES ('alpha'), ('beta'), ('gamma'), ('delta')) t(k)",
+        "p10_log_levels": "SELECT CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'warn' ELSE 'debug' END AS level, count(*) AS n FROM events GROUP BY 1",
+        "sk6_changed_only": "SELECT doc_id FROM documents WHERE text <> trim(text, ' ')",
+        "f5_levenshtein": "SELECT p_partkey, levenshtein(p_type, next) AS edits FROM (SELECT p_partkey, p_type, lead(p_type) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next FROM part) WHERE next IS NOT NULL",
         "p17_hints": f"SELECT id, concat_ws(',', CASE WHEN {SCRIPT} IN ('arabic', 'mixed') AND regexp_matches(text, '[0-9]') THEN 'digits' END, CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) > 50 THEN 'long' END, CASE WHEN regexp_matches(text, '^[^\\p{{L}}\\p{{N}}]') THEN 'first_character' END) AS hints FROM {values('TEXTS')}",
         "s8_at_ratios": "SELECT lang, least(count(*), CASE lang WHEN 'en' THEN 20 WHEN 'fr' THEN 12 ELSE 8 END) AS rows FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY lang",
         "s5_assign": """WITH d AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM d GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY label)

@@ -834,3 +834,67 @@ def t8_argmax(spark, sf_dir):
     """The best paid order of each customer, ties by the larger key."""
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), F.desc("o_orderkey"))
     return table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).filter("r = 1").select("o_custkey", "o_orderkey")
+
+
+# reports
+
+
+@query
+def a6_learned_stats(spark, sf_dir):
+    e = table(spark, sf_dir, "conversations").select(F.substr("text", F.lit(1), F.lit(3)).alias("wrong"), F.substr("text", F.lit(1), F.lit(6)).alias("correct"), F.col("role").alias("context"), F.col("turn").alias("at"))
+    return corrections.learned_stats(corrections.learn(e))
+
+
+@query
+def a8_export_counters(spark, sf_dir):
+    return corrections.export_counters(table(spark, sf_dir, "documents"), F.col("lang"), F.contains("text", F.lit("the")))
+
+
+@query
+def a9_report(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "purchase", "gold_standard").otherwise("pending").alias("status"), F.when(F.col("value") > 50, F.col("props")).alias("corrected_text"), (F.col("value") / 100).alias("confidence"), F.col("ts").alias("at"))
+    return corrections.report(e, F.lit("2024-01-30").cast("timestamp_ntz"), 7)
+
+
+@query
+def a22_page_confidence(spark, sf_dir):
+    return corrections.page_confidence(table(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_discount"))
+
+
+@query
+def a23_status_tallies(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "gold_standard").when(F.col("o_orderstatus") == "O", "pending").otherwise("approved").alias("status"))
+    return corrections.status_tallies(o)
+
+
+@query
+def do9_job_progress(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "done").otherwise("queued").alias("status"))
+    return corrections.job_progress(e)
+
+
+@query
+def do13_valid_keys(spark, sf_dir):
+    presented = spark.createDataFrame([("alpha",), ("beta",), ("gamma",), ("delta",)], "api_key string")
+    known = spark.createDataFrame([("alpha", True, None), ("beta", False, None), ("gamma", True, "2020-01-01")], "k string, active boolean, e string")
+    return corrections.valid_keys(presented, known.select(F.sha2("k", 256).alias("key_hash"), "active", F.col("e").cast("date").alias("expires")), F.lit("2024-01-01").cast("date"))
+
+
+@query
+def p10_log_levels(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    level = logs.level(F.when(F.col("event_type") == "error", F.col("props")), F.when(F.col("event_type") == "signup", 404).otherwise(200))
+    return e.groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+
+
+@query
+def sk6_changed_only(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"), F.trim("text").alias("corrected_text"))
+    return sinks.changed_only(d).select("doc_id")
+
+
+@query
+def f5_levenshtein(spark, sf_dir):
+    """Edits between neighbouring part types."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.lead("p_type").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("next"))
+    return p.filter("next is not null").select("p_partkey", F.levenshtein("p_type", "next").alias("edits"))
