@@ -42,7 +42,9 @@ def _literal(x) -> str:
         return "NULL"
     if isinstance(x, bool):
         return str(x).upper()
-    if isinstance(x, (int, float)):
+    if isinstance(x, float):
+        return f"{x!r}::DOUBLE"
+    if isinstance(x, int):
         return repr(x)
     if isinstance(x, list):
         return "[" + ", ".join(map(_literal, x)) + "]"

@@ -110,7 +110,7 @@ def oracle_sql() -> dict[str, str]:
         "a17_worst_severity": f"SELECT id, count(*) AS interactions, min_by(severity, list_position(['contraindicated', 'major', 'moderate', 'minor'], severity)) AS worst FROM ({pairs}) GROUP BY id",
         "j3_contraindications": f"""WITH r AS (SELECT id, replace(lower(drug), '_', ' ') AS drug, replace(lower(unnest(conditions)), '_', ' ') AS condition FROM {values("PATIENTS")}), k AS (SELECT replace(drug, '_', ' ') AS d, replace(condition, '_', ' ') AS c, severity FROM {contra})
             SELECT id, drug, condition, severity FROM r JOIN k ON drug = d AND condition = c""",
-        "j4_differential": f"""SELECT id, condition, round(least(sum(weight) / n, 1.0), 3) AS score FROM (SELECT id, greatest(len(symptoms), 1) AS n, lower(trim(unnest(symptoms))) AS symptom FROM {values("CASES")}) q JOIN {symptoms} USING (symptom) GROUP BY id, condition, n HAVING sum(weight) / n >= 0.01""",
+        "j4_differential": f"""SELECT id, condition, round(least(sum(weight) / n, 1.0::DOUBLE), 3) AS score FROM (SELECT id, greatest(len(symptoms), 1) AS n, lower(trim(unnest(symptoms))) AS symptom FROM {values("CASES")}) q JOIN {symptoms} USING (symptom) GROUP BY id, condition, n HAVING sum(weight) / n >= 0.01""",
         "j5_protocol": f"""SELECT q.id, p.condition, p.icd10, generate_subscripts(p.steps, 1) AS step, unnest(p.steps) AS description FROM (VALUES (1, 'hypertension'), (2, 'type 2 diabetes')) q(id, asked) JOIN {values("", PROTOCOLS, "condition, icd10, steps, medications")} p ON contains(q.asked, p.condition) OR contains(p.condition, q.asked)""",
         "j6_dosage": f"""SELECT q.id, lower(q.drug) AS drug, d.cap IS NOT NULL AS known, round(weight_kg * low, 2) AS low_mg, round(least(weight_kg * high, cap), 2) AS high_mg, round(least(weight_kg * high, cap), 2) AS dose_mg, coalesce(weight_kg * high > cap, false) AS capped, CASE WHEN age < 2 THEN 'infant' WHEN age >= 65 THEN 'elderly' END AS adjust FROM {values("DOSES")} q LEFT JOIN {dosages} d ON lower(q.drug) = d.drug""".replace("least(weight_kg * high, cap)", "CASE WHEN cap IS NULL THEN NULL ELSE least(weight_kg * high, cap) END"),
         "q1_routes": f"SELECT id, CASE {' '.join(f'''WHEN regexp_matches(lower(text), '{w}') THEN '{n}' ''' for n, w in ROUTES)} ELSE 'general' END AS route, {_mentioned(DRUGS)} AS drugs, {_mentioned(CONDITIONS)} AS conditions FROM {values('QUESTIONS')}",
@@ -128,7 +128,7 @@ def oracle_sql() -> dict[str, str]:
             ({SCRIPT} = 'arabic')::INT::DOUBLE AS f4, ({SCRIPT} = 'latin')::INT::DOUBLE AS f5, ({SCRIPT} = 'mixed')::INT::DOUBLE AS f6, ({SCRIPT} = 'numeric')::INT::DOUBLE AS f7, 0.0::DOUBLE AS f8 FROM documents""",
         "u4_with_replay": "SELECT doc_id, lang FROM documents WHERE doc_id >= 900 OR lang = 'de'",
         "u5_mixed_batch": "SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id < 20 THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END AS s FROM documents) ORDER BY s, doc_id LIMIT 120",
-        "w5_improvements": f"SELECT model, \"at\", coalesce(lag(cer) OVER w, 1.0) AS cer_before, round(coalesce(lag(cer) OVER w, 1.0) - cer, 6) AS gain, round(coalesce(lag(cer) OVER w, 1.0) - cer, 9) >= 0.005 AS deploys, sum(samples) OVER w AS total FROM {values('RUNS')} WINDOW w AS (PARTITION BY model ORDER BY \"at\")",
+        "w5_improvements": f"SELECT model, \"at\", coalesce(lag(cer) OVER w, 1.0::DOUBLE) AS cer_before, round(coalesce(lag(cer) OVER w, 1.0::DOUBLE) - cer, 6) AS gain, round(coalesce(lag(cer) OVER w, 1.0::DOUBLE) - cer, 9) >= 0.005 AS deploys, (sum(samples) OVER w)::BIGINT AS total FROM {values('RUNS')} WINDOW w AS (PARTITION BY model ORDER BY \"at\")",
         "w6_customer_running": "SELECT model, count(*) FILTER (gain >= 0.005) AS deploys, count(*) AS total FROM (SELECT o_custkey AS model, round(coalesce(lag(o_totalprice / 1000000) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 1.0) - o_totalprice / 1000000, 9) AS gain FROM orders) GROUP BY model",
         "j8_active_version": f"SELECT model, max_by(version, \"at\") AS version, max_by(cer, \"at\") AS cer FROM {values('VERSIONS')} WHERE is_active GROUP BY model",
         "w8_history": f"SELECT version, cer FROM {values('VERSIONS')} ORDER BY \"at\" DESC LIMIT 3",
@@ -163,8 +163,8 @@ def oracle_sql() -> dict[str, str]:
         "f9_durations": "SELECT * FROM (VALUES (5, '5ms'), (999, '999ms'), (1500, '1.5s'), (61000, '1.0m')) t(ms, text)",
         "do16_component_health": "SELECT n_regionkey AS system, CASE WHEN bool_and(n_nationkey < 20) THEN 'healthy' ELSE 'degraded' END AS status FROM nation GROUP BY 1",
         "sk8_log_lines": f"SELECT id, level || ',' || category || ',\"' || replace(details, '\"', '\"\"') || '\"' AS csv FROM {LOGS}",
-        "a20_roll_up": f"SELECT conv_id, count(*) AS pages, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS words, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest, bool_or(regexp_matches(text, '{ARABIC}')) AS arabic FROM conversations GROUP BY conv_id",
-        "do5_fixed_chunks": "SELECT doc_id, count(*) AS chunks, sum(length(substr(text, s::INT + 1, 500))) AS chars FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 51, 0) + 1, 450)) AS s FROM documents) GROUP BY doc_id",
+        "a20_roll_up": f"SELECT conv_id, count(*) AS pages, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest, bool_or(regexp_matches(text, '{ARABIC}')) AS arabic FROM conversations GROUP BY conv_id",
+        "do5_fixed_chunks": "SELECT doc_id, count(*) AS chunks, sum(length(substr(text, s::INT + 1, 500)))::BIGINT AS chars FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 51, 0) + 1, 450)) AS s FROM documents) GROUP BY doc_id",
         "do6_pair_cosine": "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 4) AS score FROM embeddings",
         "do6_top_vectors": "SELECT query, rank, vec_id, round(score, 4) AS score FROM (SELECT q.vec_id AS query, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 10",
         "do7_timeline": "SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY o_custkey",
