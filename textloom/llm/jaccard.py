@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from textloom.llm import components, kernels, packed
 
 MOST = 65535
+#: Tasks that the rows of one group are dealt to.
+SALTS = 32
 
 
 def text_sets(rows: pa.Table, text: str, k: int) -> list[np.ndarray]:
@@ -125,14 +127,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{x}" for c in columns for x in "ab")).mapInArrow(run, "a long, b long")
 
 
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with the one row that few has for each of some keys, a key's rows dealt to ``SALTS`` tasks by the hash of spread."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    return rows.withColumn("_salt", salt).join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "_salt"], how).drop("_salt")
+
+
 def link_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
     """For every row of docs: uid (its place), key, n_shingles long, group long (a uid that all rows linked with it share), component_id long (least key of the group)."""
     spark = docs.sparkSession
     folder = folder or packed.shared_folder(spark)
     every = candidate_sets(docs, folder, text=text, key=key, k=k, percent=percent)
     able = every.filter("tokens is not null")
-    classes = able.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"))
-    member = packed.table(able.select("uid", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("uid", "rep"), folder, "members")
+    classes = able.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"), F.count("*").alias("texts")).filter("texts > 1").select("n", "s1", "s2", "rep")
+    member = packed.table(salted_join(able.select("uid", "n", "s1", "s2"), classes, ["n", "s1", "s2"], "uid", "left").select("uid", F.coalesce("rep", "uid").alias("rep")), folder, "members")
     sets = packed.table(able.join(member.filter("uid = rep").select("uid"), "uid").select("uid", "n", "places", "first", "second", "third", "tokens"), folder, "classes")
     rows = sets.select(F.col("n"), F.col("uid"), F.explode(F.arrays_zip("first", "places")).alias("t")).select(F.col("t.first").alias("token"), F.struct(F.col("t.places").alias("place"), "n", "uid").alias("x"))
 
@@ -159,7 +167,7 @@ def link_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text
     group = member.join(found, member.rep == found.node, "left").select("uid", F.coalesce("component", "rep").alias("group"))
     base = every.select("uid", key, "n").join(group, "uid", "left").withColumn("group", F.coalesce("group", "uid"))
     grouped = base.filter("n > 0").groupBy("group").agg(F.min(key).alias("component_id"), F.count("*").alias("members")).filter("members > 1").select("group", "component_id")
-    return base.join(grouped, "group", "left").select("uid", key, F.col("n").alias("n_shingles"), "group", F.coalesce("component_id", key).alias("component_id"))
+    return salted_join(base, grouped, ["group"], "uid", "left").select("uid", key, F.col("n").alias("n_shingles"), "group", F.coalesce("component_id", key).alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
@@ -167,7 +175,8 @@ def first_of_groups(docs: DataFrame, folder: str | None = None, *, text: str = "
     folder = folder or packed.shared_folder(docs.sparkSession)
     groups = link_groups(docs, folder, text=text, key=key, k=k, percent=percent).filter("n_shingles > 0")
     rank = F.struct(F.col(key).isNull(), key, "uid")
-    gone = groups.select("group", "uid", rank.alias("rank")).join(groups.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("members")).filter("members > 1"), "group").filter("rank <> first")
+    first = groups.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("members")).filter("members > 1").select("group", "first")
+    gone = salted_join(groups.select("group", "uid", rank.alias("rank")), first, ["group"], "uid").filter("rank <> first")
     chunks = packed.Chunks(docs, folder, text)
 
     def keep(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
