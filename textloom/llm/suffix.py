@@ -279,19 +279,20 @@ def remove_repeats(docs: DataFrame, folder: str | None = None, *, text: str = "t
         data, offsets = kernels.column_bytes(rows.column(text))
         starts, ends = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in packed.column(got, c))]) for c in ("starts", "ends"))
         # a run never crosses from one text into the next, even where both touch
-        edges = np.zeros(len(data) + 1, np.int64)
-        np.add.at(edges, starts, 1)
-        np.add.at(edges, ends, -1)
-        gone = np.cumsum(edges[:-1]) > 0
+        edges = np.zeros(len(data) + 1, np.int8)
+        starts, ends = kernels.covered(starts, ends)
+        edges[starts] += 1
+        edges[ends] -= 1
+        gone = np.cumsum(edges[:-1], dtype=np.int8) > 0
         begins = gone.copy()
         if len(data):
             begins[1:] &= ~gone[:-1]
             first = offsets[:-1][offsets[:-1] < len(data)]
             begins[first] = gone[first]
-        total = np.concatenate([[0], np.cumsum(gone)])
-        bounds = offsets - total[offsets]
+        total, runs = (np.concatenate([[0], np.cumsum(x, dtype=np.int32 if len(x) < 2**31 else np.int64)])[offsets].astype(np.int64) for x in (gone, begins))
+        bounds = offsets - total
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data[~gone].tobytes())])
-        return pa.table({**{f.name: rows.column(f.name) for f in fields}, "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(np.diff(total[offsets])), "n_spans": pa.array(np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets])), "kept": pa.array([x.as_py().decode(errors="ignore") for x in kept], pa.string()) if characters else kept.cast(pa.binary())})
+        return pa.table({**{f.name: rows.column(f.name) for f in fields}, "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(np.diff(total)), "n_spans": pa.array(np.diff(runs)), "kept": pa.array([x.as_py().decode(errors="ignore") for x in kept], pa.string()) if characters else kept.cast(pa.binary())})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"n_bytes long, n_removed long, n_spans long, kept {'string' if characters else 'binary'}"])
     return chunks.with_answers(spans, cut, schema)
