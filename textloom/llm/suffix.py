@@ -29,6 +29,8 @@ from textloom.llm import kernels, packed
 
 #: Bytes of an anchor.
 ANCHOR = 32
+#: Bytes of text in a chunk. Anchors gain little from larger ones, and small rows keep the executors' heaps small.
+CHUNK_BYTES = 1 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +197,7 @@ def repeats(hashes: np.ndarray, rank: np.ndarray, data: np.ndarray, lengths: np.
 
 def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length: int) -> tuple[DataFrame, DataFrame]:
     """The chunks of docs, and for each chunk spans (starts and ends in its bytes) of repeated strings."""
-    chunks = packed.Chunks(docs, folder, text)
+    chunks = packed.Chunks(docs, folder, text, CHUNK_BYTES)
     buckets = packed.bucket_count(docs, text)
 
     def ask(chunk: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
