@@ -381,3 +381,25 @@ def test_packed_round_trip(spark, docs, tmp_path):
     assert as_rows(back) == as_rows(docs)
     docs.write.parquet(str(tmp_path / "docs"))
     assert packed.Chunks(spark.read.parquet(str(tmp_path / "docs")), f"file://{tmp_path}").written is None
+
+
+def test_chunks_keep_their_rows_when_splits_change(spark, docs, tmp_path):
+    """Each pass finds the same rows under a number, even when files are split otherwise in between."""
+    docs.repartition(6).write.parquet(str(tmp_path / "docs"))
+    chunks = packed.Chunks(spark.read.parquet(str(tmp_path / "docs")), f"file://{tmp_path}", limit=5000)
+    seen = lambda: sorted(map(tuple, chunks.each(lambda chunk, rows: iter([pa.record_batch({"chunk": pa.array([chunk]), "ids": pa.array([json.dumps(packed.column(rows, "text"))])})]), "chunk long, ids string").collect()))
+    first = seen()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert seen() == first
+        back = chunks.with_answers(spark.createDataFrame([(c, t) for c, t in first], "chunk long, ids string"), lambda chunk, rows, got: pa.table({"same": [packed.column(got, "ids") == [json.dumps(packed.column(rows, "text"))]]}), "same boolean")
+        assert [r["same"] for r in back.collect()] == [True] * len(first)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_first_of_groups_of_a_shuffled_table(docs, unique):
+    """Groups and places come from the same chunks."""
+    groups = brute_groups([(r["doc_id"], r["text"]) for r in unique.collect()])
+    got = [r["doc_id"] for r in jaccard.first_of_groups(unique).collect()]
+    assert sorted(got) == sorted(i for i, (n, first) in groups.items() if not n or i == first)

@@ -52,10 +52,9 @@ def prefixes(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> list[np
     return [np.flatnonzero(shared[0]), tokens[found[0][shared[0]]], *(np.sort(tokens[own[some]]) for own, some in zip(found[1:], shared[1:], strict=True))]
 
 
-def candidate_sets(docs: DataFrame, folder: str, *, text: str, key: str, k: int, percent: int) -> DataFrame:
-    """For every row: uid, key, n (tokens), and for those that may link a 128-bit digest of the set, its prefixes and tokens."""
-    chunks = packed.Chunks(docs, folder, text)
-    buckets = packed.bucket_count(docs, text)
+def candidate_sets(chunks: packed.Chunks, folder: str, *, text: str, key: str, k: int, percent: int) -> DataFrame:
+    """For every row of the chunks: uid, key, n (tokens), and for those that may link a 128-bit digest of the set, its prefixes and tokens."""
+    buckets = packed.bucket_count(chunks.docs, text)
 
     def chunk_tokens(rows: pa.Table):
         sets = text_sets(rows, text, k)
@@ -133,11 +132,11 @@ def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: str, h
     return rows.withColumn("_salt", salt).join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "_salt"], how).drop("_salt")
 
 
-def link_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
+def link_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85, chunks: packed.Chunks | None = None) -> DataFrame:
     """For every row of docs: uid (its place), key, n_shingles long, group long (a uid that all rows linked with it share), component_id long (least key of the group)."""
     spark = docs.sparkSession
     folder = folder or packed.shared_folder(spark)
-    every = candidate_sets(docs, folder, text=text, key=key, k=k, percent=percent)
+    every = candidate_sets(chunks or packed.Chunks(docs, folder, text), folder, text=text, key=key, k=k, percent=percent)
     able = every.filter("tokens is not null")
     classes = able.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"), F.count("*").alias("texts")).filter("texts > 1").select("n", "s1", "s2", "rep")
     member = packed.table(salted_join(able.select("uid", "n", "s1", "s2"), classes, ["n", "s1", "s2"], "uid", "left").select("uid", F.coalesce("rep", "uid").alias("rep")), folder, "members")
@@ -173,11 +172,11 @@ def link_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text
 def first_of_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
     """The rows of docs with all their columns, but of each linked group only the one with the least key (null last; of rows that repeat it, the first in place)."""
     folder = folder or packed.shared_folder(docs.sparkSession)
-    groups = link_groups(docs, folder, text=text, key=key, k=k, percent=percent).filter("n_shingles > 0")
+    chunks = packed.Chunks(docs, folder, text)
+    groups = link_groups(docs, folder, text=text, key=key, k=k, percent=percent, chunks=chunks).filter("n_shingles > 0")
     rank = F.struct(F.col(key).isNull(), key, "uid")
     first = groups.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("members")).filter("members > 1").select("group", "first")
     gone = salted_join(groups.select("group", "uid", rank.alias("rank")), first, ["group"], "uid").filter("rank <> first")
-    chunks = packed.Chunks(docs, folder, text)
 
     def keep(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
         stay = np.ones(rows.num_rows, bool)

@@ -10,7 +10,6 @@ lost executor costs only its tasks: the chunks are files in the shared folder.
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -79,13 +78,6 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
             yield batch.slice(c, min(b, c + CHUNK_ROWS) - c)
 
 
-def is_scan(df: DataFrame) -> bool:
-    """Whether df only reads files row by row, so that another pass deals the same rows to the same tasks."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    kinds = [re.sub(r"^[\s:+|-]*", "", line).split(" ")[0] for line in plan.strip().splitlines()]
-    return all(kind in ("Project", "Filter", "Relation", "RelationV2") for kind in kinds) and "rand(" not in plan and "monotonically" not in plan
-
-
 def chunks_of(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[int, pa.Table]]:
     """The rows of a task in chunks of about so many bytes of text, numbered over all tasks."""
     at = TaskContext.get().partitionId() << 20
@@ -106,13 +98,23 @@ def chunks_of(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Itera
 class Chunks:
     """The rows of docs in numbered chunks.
 
-    Over a plain scan of files they are cut anew in each pass, which gives the same each time and saves the disk; anything else is
-    written to the shared folder once, as (chunk long, blob binary).
+    They are written to the shared folder once, as (chunk long, blob binary), and every pass reads them and their numbers from there:
+    cut anew, the same number could mean other rows, as even file splits follow the cores that are registered at the moment. Rows of
+    a relation are written when the first pass asks for them, any other at once.
     """
 
     def __init__(self, docs: DataFrame, folder: str, text: str = "text", limit: int = CHUNK_BYTES):
-        self.docs, self.text, self.limit = docs, text, limit
-        self.written = None if is_scan(docs) else table(self._packed(), folder, "packed")
+        self.docs, self.folder, self.text, self.limit = docs, folder, text, limit
+        self.written: DataFrame | None = None
+        leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+        if not all("Relation" in leaves.apply(k).nodeName() for k in range(leaves.size())):
+            self.rows()
+
+    def rows(self) -> DataFrame:
+        """The written chunks."""
+        if self.written is None:
+            self.written = table(self._packed(), self.folder, "packed")
+        return self.written
 
     def _packed(self) -> DataFrame:
         text, limit = self.text, self.limit
@@ -126,12 +128,6 @@ class Chunks:
 
     def each(self, f: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """f over every chunk, as (chunk, rows)."""
-        text, limit = self.text, self.limit
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk, rows in chunks_of(batches, text, limit):
-                yield from f(chunk, rows)
-                tidy()
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -139,7 +135,7 @@ class Chunks:
                     yield from f(chunk, from_blob(blob.as_buffer()))
                     tidy()
 
-        return self.written.mapInArrow(read, schema) if self.written else self.docs.mapInArrow(scan, schema)
+        return self.rows().mapInArrow(read, schema)
 
     def with_answers(self, answers: DataFrame, f: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         """f over every chunk with its answers, as (chunk, rows, answers); a chunk without answers gets an empty table."""
@@ -151,7 +147,7 @@ class Chunks:
             tidy()
             return out
 
-        return (self.written or self._packed()).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+        return self.rows().groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def answered(asked: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
