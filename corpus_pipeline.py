@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 1. toxicity: documents that the grammar scores at 0.7 or more go.
-2. shingle join: of each group of near copies the document with the least doc_id stays (of rows that repeat it, the first in place).
+2. shingle join: of each group of near copies (0.8 or more of their shingles of five words in common) the document with the least doc_id stays (of rows that repeat it, the first in place).
 3. suffix dedup: strings of 100 bytes that stand earlier are cut out; a document of which nothing is left goes. A character that a
    cut splits goes whole, and n_chars is counted anew.
 4. decontamination: documents that hold a benchmark item go.
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from textloom.llm import bpe, jaccard, packed, pigeonhole, suffix, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words in a shingle of stage 2, and the least Jaccard similarity of near copies in percent; op7 has values of its own.
+SHINGLE, SIMILAR = 5, 80
 
 
 _folders: list[str] = []
@@ -35,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.first_of_groups(docs.select(*COLUMNS), _folder(spark))
+    return jaccard.first_of_groups(docs.select(*COLUMNS), _folder(spark), k=SHINGLE, percent=SIMILAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

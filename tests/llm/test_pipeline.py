@@ -52,3 +52,33 @@ def test_run(spark, tmp_path):
 
 def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "shingle join", "suffix dedup", "decontamination", "byte-level BPE"]
+
+
+def test_near_copies_by_five_words(spark, tmp_path):
+    """Stage 2 against a brute force of its own: five words, similarity 0.8; some copies reach that, but not 0.85 by four words."""
+    random.seed(3)
+    rows, n = [], 0
+    for family in range(20):
+        base = [f"f{family}w{i}" for i in range(100)]
+        for edits in (0, 1, 2, 2, 3):
+            copy = list(base)
+            for e in range(edits):
+                copy[random.randrange(30) + 30 * e] = f"e{n}x{e}"
+            rows.append((n, " ".join(copy)))
+            n += 1
+    rows += [(n, "a b c"), (n + 1, "a b c"), (n + 2, ""), (n + 3, "")]
+
+    def kept(k, percent):
+        shingles = {i: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if (w := t.split()) else set() for i, t in rows}
+        root = {i: i for i, _ in rows}
+        for i, a in shingles.items():
+            for j, b in shingles.items():
+                if j < i and a and b and 100 * len(a & b) >= percent * len(a | b) and root[i] != root[j]:
+                    low, high = sorted((root[i], root[j]))
+                    root = {x: low if r == high else r for x, r in root.items()}
+        return [i for i, r in root.items() if i == r]
+
+    wanted = kept(5, 80)
+    assert wanted != kept(4, 85)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()) == wanted
