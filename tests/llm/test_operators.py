@@ -403,3 +403,16 @@ def test_first_of_groups_of_a_shuffled_table(docs, unique):
     groups = brute_groups([(r["doc_id"], r["text"]) for r in unique.collect()])
     got = [r["doc_id"] for r in jaccard.first_of_groups(unique).collect()]
     assert sorted(got) == sorted(i for i, (n, first) in groups.items() if not n or i == first)
+
+
+@pytest.mark.parametrize("before, inside", [
+    ("<html><head><title>t</title></head><body>", "<script>for(i=0;i<n;i++){f(i)}</script>"),
+    ("<html><head><title>a <b</title></head><body>", "<style>p<q{}</style><textarea>x<y </textarea>"),
+    ("<html><head><title>t</title><meta charset=utf-8><style>a{}</style><body>", ""),
+    ("<html><head><title>t</title><link rel=x><template><p>no</p></template>", ""),
+    ("<html><head></head><body>", '<svg viewBox="0 0 1 1"/><svg/>'),
+    ("<html><head></head><body>", "<svg><svg><title>no</title></svg><text>no</text></svg>"),
+])
+def test_op6_skipped_elements_end_where_they_end(before, inside):
+    page = f"{before}<article><p>First words of it.</p>{inside}<p>Second words, and more of them.</p></article></body></html>"
+    assert [text for _, text, _, _ in extraction.parse(page).texts if text] == ["First words of it.", "Second words, and more of them."]

@@ -39,6 +39,10 @@ KIND = {tag: k for k, tags in enumerate(KINDS) for tag in tags.split()}
 FEATURES = 17 + len(KINDS) + 12
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
+#: Elements that hold text only, up to their own end tag; and those that can stand in a head, which any other element or text ends.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe")}
+HEAD = frozenset("html head base link meta script style title noscript template".split())
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -52,9 +56,22 @@ class Tree(NamedTuple):
     texts: list[tuple[int, str, int, int]]
 
 
+def marks(page: str) -> Iterator[re.Match]:
+    """The markup of a page, without what looks like it in elements that hold text only."""
+    m = MARKUP.search(page)
+    while m:
+        yield m
+        at, raw = m.end(), RAW.get((m[2] or m[5] or "").lower())
+        if raw and not (m[1] or m[4] or SELF_CLOSED.search(m[3] or m[6] or "")):
+            end = raw.search(page, at)
+            at = end.start() if end else len(page)
+        m = MARKUP.search(page, at)
+
+
 def parse(page: str | None) -> Tree:
     tree = Tree(["html"], [-1], [frozenset()], [])
-    stack, at, skipping, linked = [0], 0, "", 0
+    stack, at, linked = [0], 0, 0
+    skipping: list[str] = []
     parts: list[str] = []
     in_link = inline = 0
     page = page or ""
@@ -67,7 +84,9 @@ def parse(page: str | None) -> Tree:
         parts.clear()
         linked = inline = 0
 
-    for m in MARKUP.finditer(page):
+    for m in marks(page):
+        if skipping == ["head"] and page[at : m.start()].strip():
+            skipping.clear()
         if not skipping and m.start() > at:
             parts.append(page[at : m.start()])
             linked += (m.start() - at) * (in_link > 0)
@@ -76,11 +95,16 @@ def parse(page: str | None) -> Tree:
         if not tag:
             continue
         closing = m[1] or m[4]
-        if skipping:
-            skipping = "" if closing and tag == skipping else skipping
+        if skipping == ["head"] and not closing and tag not in HEAD:
+            skipping.clear()
+        if skipping and closing:
+            if tag in skipping:
+                del skipping[len(skipping) - 1 - skipping[::-1].index(tag) :]
         elif tag in SKIPPED:
-            if not closing:
-                skipping = tag
+            if not closing and not SELF_CLOSED.search(m[3] or m[6] or ""):
+                skipping.append(tag)
+        elif skipping:
+            continue
         elif tag not in BLOCKS:
             inline += 1
             if tag == "br":
@@ -114,7 +138,7 @@ def parse(page: str | None) -> Tree:
             tree.tokens.append(frozenset(w.lower() for w in WORD.findall(names)))
             if tag not in VOID:
                 stack.append(len(tree.tags) - 1)
-    if not skipping:
+    if not skipping or skipping == ["head"]:
         parts.append(page[at:])
     flush()
     return tree
