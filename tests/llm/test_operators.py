@@ -416,3 +416,24 @@ def test_first_of_groups_of_a_shuffled_table(docs, unique):
 def test_op6_skipped_elements_end_where_they_end(before, inside):
     page = f"{before}<article><p>First words of it.</p>{inside}<p>Second words, and more of them.</p></article></body></html>"
     assert [text for _, text, _, _ in extraction.parse(page).texts if text] == ["First words of it.", "Second words, and more of them."]
+
+
+def test_op2_anchors_with_many_contexts(spark, unique, tmp_path):
+    """A passage that most rows hold in other surroundings, and no group that gets all of its contexts."""
+    random.seed(4)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, " ".join(word() for _ in range(random.randrange(12))) + passage[random.randrange(3) :] + " ".join(word() for _ in range(random.randrange(12)))) for i in range(300)]
+    rows += [(i + 300, t) for i, t in rows[:20]] + [(400, passage), (401, None), (402, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {i: x[:3] for i, x in brute_repeats(rows, 100).items()}
+    for k, many in enumerate((0, 20, 10**6)):
+        folder = f"file://{tmp_path}/{k}"
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(docs, folder, many=many).collect()}
+        assert got == want
+        together = Counter(h for r in spark.read.parquet(f"{folder}/contexts").filter("bucket >= 0").collect() for h in np.frombuffer(r["hashes"], np.uint64).tolist())
+        assert max(together.values(), default=0) <= many
+    asked = suffix.sent(np.repeat(np.array([3, 5, 9], np.uint64), [1, 7, 4]))
+    assert [x.tolist() for x in asked] == [[0, 1, 2, 3, 4, 8, 9, 10, 11], [0, 3, 0, 0, 0, 0, 0, 0, 0]]
+    kept = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.remove_repeats(unique, many=0).collect()}
+    assert kept == brute_repeats([(r["doc_id"], r["text"]) for r in unique.collect()], 100)

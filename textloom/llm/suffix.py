@@ -11,6 +11,10 @@ meet. They meet in three steps:
    a merge sort that compares by the longest common extension, found by binary search over prefix polynomial hashes, and each
    extension between neighbours is verified byte by byte. Two strings are equal when they lie in one run of both orders.
 
+Of an anchor with very many contexts a chunk sends ``SENT`` in step 1, with the number of the others. Where all chunks together
+have more than ``MANY``, the contexts never meet: each chunk settles the strings around its own, and sends every distinct one once,
+as two independent hashes, to the bucket of the string, which tells where it stands first.
+
 Order: doc_id (null first), then the row's place in the table, then the start. Rows that repeat a doc_id are documents of their
 own. Null and empty texts and texts under ``length`` bytes lose nothing.
 """
@@ -31,6 +35,8 @@ from textloom.llm import kernels, packed
 ANCHOR = 32
 #: Bytes of text in a chunk. Anchors gain little from larger ones, and small rows keep the executors' heaps small.
 CHUNK_BYTES = 1 << 20
+#: Contexts of one anchor that a chunk sends to settle, and the number from which an anchor's contexts are compared string by string.
+SENT, MANY = 4, 4096
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,8 +88,8 @@ def local(rows: pa.Table, text: str, key: str, length: int):
     return data, offsets, hashes[new], context[new], place[new], low[new], high[new], doc[new], low[~new], high[~new]
 
 
-def flags(hashes: np.ndarray, contexts: np.ndarray, docs: np.ndarray, chunks: np.ndarray) -> np.ndarray:
-    """0: nothing to do, 1: the same context stands earlier, 2: first of its context, but the anchor has others."""
+def flags(hashes: np.ndarray, contexts: np.ndarray, docs: np.ndarray, chunks: np.ndarray, more: np.ndarray, many: int = MANY) -> np.ndarray:
+    """0: nothing to do, 1: the same context stands earlier, 2: first of its context, but the anchor has others; and 4 if it has over ``many``, with ``more`` that were not sent."""
     order = np.lexsort((chunks, docs, contexts, hashes))
     h, c = hashes[order], contexts[order]
     group = np.ones(len(h), bool)
@@ -91,12 +97,37 @@ def flags(hashes: np.ndarray, contexts: np.ndarray, docs: np.ndarray, chunks: np
     first = group.copy()
     first[1:] |= c[1:] != c[:-1]
     which = np.cumsum(group) - 1
-    several = np.bincount(which, first)[which] > 1 if len(h) else first
+    total = np.bincount(which, first + more[order].astype(float))[which] if len(h) else np.zeros(0)
     out = np.zeros(len(h), np.uint8)
-    out[order] = np.where(first, np.where(several, 2, 0), 1)
+    out[order] = np.where(first, np.where(total > 1, 2, 0), 1) + 4 * (total > many)
     return out
 
 
+def sent(hashes: np.ndarray, most: int = SENT) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted hashes the places of the first few of each, and how many others each of these stands for."""
+    begins = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begins, len(hashes)))
+    few = np.flatnonzero(kernels.ranges(size) < most)
+    more = np.zeros(len(hashes), np.uint32)
+    more[begins] = np.maximum(size - most, 0)
+    return few, more[few]
+
+
+def strings(data: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and documents of the strings around some anchors, each distinct one where it is first, by the first hash; and the starts of the others."""
+    last = np.minimum(place, high - length)
+    count = np.maximum(last - low + 1, 0)
+    starts = np.repeat(low, count) + kernels.ranges(count)
+    starts, own = np.unique(starts, return_index=True)
+    docs = np.repeat(docs, count)[own]
+    one, two = (kernels.span_hash(kernels.prefix_hash(data, *k), starts, starts + length, *k) for k in ((), (1,)))
+    order = np.lexsort((starts, docs, two, one))
+    one, two, starts, docs = one[order], two[order], starts[order], docs[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return one[new], two[new], starts[new], docs[new], starts[~new]
+
+
 class Suffixes:
     """Suffixes of one buffer, each with an end, sorted within groups."""
 
@@ -195,23 +226,25 @@ def repeats(hashes: np.ndarray, rank: np.ndarray, data: np.ndarray, lengths: np.
     return least, most
 
 
-def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length: int) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length: int, many: int) -> tuple[DataFrame, DataFrame]:
     """The chunks of docs, and for each chunk spans (starts and ends in its bytes) of repeated strings."""
     chunks = packed.Chunks(docs, folder, text, CHUNK_BYTES)
     buckets = packed.bucket_count(docs, text)
 
     def ask(chunk: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         _, _, hashes, context, _, _, _, doc, _, _ = local(rows, text, key, length)
+        few, more = sent(hashes)
+        hashes, context, doc = hashes[few], context[few], doc[few]
         order, cuts = packed.by_bucket(hashes, buckets)
         base = int(doc.min()) if len(doc) else 0
         wide = next(t for t in (np.uint16, np.uint32, np.uint64) if not len(doc) or int(doc.max()) - base <= np.iinfo(t).max)
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for k in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[k] : cuts[k + 1]]
             ids = np.array([int(x) - base for x in doc[own]], wide) if wide is np.uint64 else (doc[own] - base).astype(wide)
-            for column, value in zip(out, (int(k), chunk, (hashes[own] // np.uint64(buckets)).astype(np.uint32).tobytes(), context[own].tobytes(), ids.tobytes(), base), strict=True):
+            for column, value in zip(out, (int(k), chunk, (hashes[own] // np.uint64(buckets)).astype(np.uint32).tobytes(), context[own].tobytes(), ids.tobytes(), more[own].tobytes() if more[own].any() else b"", base), strict=True):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(x, pa.binary()) for x in out[2:5]), pa.array(out[5], pa.int64())], ["bucket", "chunk", "hashes", "contexts", "docs", "base"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(x, pa.binary()) for x in out[2:6]), pa.array(out[6], pa.int64())], ["bucket", "chunk", "hashes", "contexts", "docs", "more", "base"])
 
     def settle(asked: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, np.uint32) for x in packed.column(asked, "hashes")]
@@ -220,22 +253,30 @@ def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length:
         for x, base, count in zip(packed.column(asked, "docs"), packed.column(asked, "base"), n.tolist(), strict=True):
             ids = np.frombuffer(x, {2: np.uint16, 4: np.uint32, 8: np.uint64}[len(x) // count])
             docs.append((ids + np.uint64(base % 2**64)).astype(np.int64) if ids.dtype == np.uint64 else ids.astype(np.int64) + base)
-        out = flags(np.concatenate(hashes), np.frombuffer(b"".join(packed.column(asked, "contexts")), np.uint64), np.concatenate(docs), np.repeat(asked.column("chunk").to_numpy(), n))
+        more = np.concatenate([np.frombuffer(x, np.uint32) if x else np.zeros(m, np.uint32) for x, m in zip(packed.column(asked, "more"), n.tolist(), strict=True)])
+        out = flags(np.concatenate(hashes), np.frombuffer(b"".join(packed.column(asked, "contexts")), np.uint64), np.concatenate(docs), np.repeat(asked.column("chunk").to_numpy(), n), more, many)
         cuts = np.cumsum(n) - n
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "flags": pa.array([out[a : a + m].tobytes() for a, m in zip(cuts, n, strict=True)], pa.binary())})
 
-    asked = chunks.each(ask, "bucket int, chunk long, hashes binary, contexts binary, docs binary, base long")
+    asked = chunks.each(ask, "bucket int, chunk long, hashes binary, contexts binary, docs binary, more binary, base long")
     answers = packed.answered(asked, settle, "chunk long, bucket int, flags binary")
 
     def sift(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
         data, _, hashes, _, place, low, high, doc, low_again, high_again = local(rows, text, key, length)
-        order, cuts = packed.by_bucket(hashes, buckets)
-        flag = np.zeros(len(hashes), np.uint8)
+        few, _ = sent(hashes)
+        order, cuts = packed.by_bucket(hashes[few], buckets)
+        flag = np.full(len(hashes), 2, np.uint8)  # what was not sent has others
         for k, x in zip(packed.column(got, "bucket"), packed.column(got, "flags"), strict=True):
-            flag[order[cuts[k] : cuts[k + 1]]] = np.frombuffer(x, np.uint8)
-        starts, ends = kernels.covered(np.append(low_again, low[flag == 1]), np.append(high_again, high[flag == 1]))
+            flag[few[order[cuts[k] : cuts[k + 1]]]] = np.frombuffer(x, np.uint8)
+        begins = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+        heavy = (flag[begins] > 3)[np.cumsum(begins) - 1]
+        flag &= 3
+        by_string = heavy & (flag == 2)
+        one, two, first, first_doc, again = strings(data, *(x[by_string] for x in (place, low, high, doc)), length) if by_string.any() else [place[:0]] * 5
+        starts, ends = kernels.covered(np.concatenate([low_again, low[flag == 1], again]), np.concatenate([high_again, high[flag == 1], again + length]))
         out: list[list] = [[-1], [starts.astype(np.int64).tobytes()], [ends.astype(np.int64).tobytes()], [b""], [b""], [b""]]
-        mine = order[flag[order] == 2]
+        order, _ = packed.by_bucket(hashes, buckets)
+        mine = order[(flag[order] == 2) & ~heavy[order]]
         bucket = (hashes[mine] % np.uint64(buckets)).astype(np.int64)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -243,6 +284,11 @@ def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length:
             sizes = high[own] - low[own]
             for column, value in zip(out, (int(bucket[a]), hashes[own].tobytes(), place[own].astype(np.int64).tobytes(), doc[own].tobytes(), np.stack([place[own] - low[own], sizes]).astype(np.uint16).tobytes(), kernels.gather(data, low[own], sizes).tobytes()), strict=True):
                 column.append(value)
+        order, cuts = packed.by_bucket(one, buckets) if len(one) else (one, np.zeros(1, np.int64))
+        for k in np.flatnonzero(np.diff(cuts)):
+            own = order[cuts[k] : cuts[k + 1]]
+            for column, value in zip(out, (-2 - int(k), np.stack([one[own], two[own]]).tobytes(), first[own].astype(np.int64).tobytes(), first_doc[own].tobytes(), b"", b""), strict=True):
+                column.append(value)
         n = len(out[0])
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "chunk": pa.array([chunk] * n, pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in zip(("hashes", "places", "docs", "sizes", "bytes"), out[1:], strict=True)}})
 
@@ -262,19 +308,33 @@ def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length:
         keep = [(a + np.flatnonzero(most[a : a + m] >= least[a : a + m])) for a, m in zip(cuts, n, strict=True)]
         return pa.table({"chunk": asked.column("chunk"), "starts": pa.array([starts[k].tobytes() for k in keep], pa.binary()), "ends": pa.array([ends[k].tobytes() for k in keep], pa.binary())})
 
-    compared = packed.answered(found.filter("bucket >= 0"), compare, "chunk long, starts binary, ends binary")
-    settled = found.filter("bucket < 0").select("chunk", F.col("hashes").alias("starts"), F.col("places").alias("ends"))
-    return chunks, settled.union(compared)
+    def earlier(asked: pa.Table) -> pa.Table:
+        one, two = (np.concatenate([np.frombuffer(x, np.uint64).reshape(2, -1)[i] for x in packed.column(asked, "hashes")]) for i in (0, 1))
+        places, docs = ([np.frombuffer(x, np.int64) for x in packed.column(asked, c)] for c in ("places", "docs"))
+        n = np.array([len(x) for x in places])
+        place = np.concatenate(places)
+        order = np.lexsort((place, np.repeat(asked.column("chunk").to_numpy(), n), np.concatenate(docs), two, one))
+        again = np.zeros(len(place), bool)
+        again[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        cuts = np.cumsum(n) - n
+        spans = [kernels.covered(x, x + length) for x in (np.sort(place[a : a + m][again[a : a + m]]) for a, m in zip(cuts, n, strict=True))]
+        return pa.table({"chunk": asked.column("chunk"), **{c: pa.array([x[i].tobytes() for x in spans], pa.binary()) for i, c in enumerate(("starts", "ends"))}})
+
+    schema = "chunk long, starts binary, ends binary"
+    by_string = packed.answered(found.filter("bucket < -1"), earlier, schema)
+    compared = packed.answered(found.filter("bucket >= 0"), compare, schema)
+    settled = found.filter("bucket = -1").select("chunk", F.col("hashes").alias("starts"), F.col("places").alias("ends"))
+    return chunks, settled.union(compared).union(by_string)
 
 
-def remove_repeats(docs: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", length: int = 100, keep: Sequence[str] = ("doc_id",), characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", length: int = 100, keep: Sequence[str] = ("doc_id",), characters: bool = False, many: int = MANY) -> DataFrame:
     """The columns in keep, n_bytes, n_removed and n_spans (long), and kept (binary: the remaining bytes, end to end) for each row of docs.
 
     With characters, kept is a string: a character that a cut splits goes whole.
     """
     folder = folder or packed.shared_folder(docs.sparkSession)
     docs = docs.select(*dict.fromkeys([*keep, key, text]))
-    chunks, spans = repeated_spans(docs, folder, text=text, key=key, length=length)
+    chunks, spans = repeated_spans(docs, folder, text=text, key=key, length=length, many=many)
     fields = [f for f in docs.schema.fields if f.name in keep]
 
     def cut(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
