@@ -197,3 +197,16 @@ def test_orphans_resolve_in_a_stream(spark, tmp_path):
     streaming.start(joined, streaming.upsert_by(str(tmp_path / "out"), []), str(tmp_path / "checkpoint"))
     rows = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["document_ts"] is not None]
     assert [r["document_id"] for r in rows] == [1]
+
+
+def test_ordered_split_deals_its_rows(spark):
+    """Small order keys fall into many parts, and ranks stay exact."""
+    rows = spark.range(5000).withColumn("id", F.col("id") * 3)
+    split = sampling.exact_split(rows, "id", {"validation": 0.15}, "train", order=F.col("id"))
+    assert sorted(r["id"] for r in split.filter("split = 'validation'").collect()) == [3 * i for i in range(750)] and split.count() == 5000
+    assert sampling.exact_split(rows.limit(0), "id", {"validation": 0.15}, "train", order=F.col("id")).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert split.select(F.spark_partition_id().alias("task")).groupBy("task").count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

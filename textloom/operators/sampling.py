@@ -16,9 +16,19 @@ def uniform(key: str, seed: int = 42) -> Column:
 
 
 def exact_split(rows: DataFrame, key: str, shares: dict[str, float], rest: str, *, order: Column | None = None) -> DataFrame:
-    """rows with split: int(n * share) rows for each name, the others rest. Ranks are found in parts of the hash range, so no task sorts all rows."""
-    order = hashed(key) if order is None else order
-    keyed = rows.withColumn("_h", order).withColumn("_p", F.shiftright("_h", 54))  # 1024 parts of a 64-bit hash
+    """rows with split: int(n * share) rows for each name, the others rest. Ranks are found in parts of the hash range, or between quantiles of a numeric order, so no task sorts all rows (but rows of one order value meet)."""
+    if order is None:
+        keyed = rows.withColumn("_h", hashed(key)).withColumn("_p", F.shiftright("_h", 54))  # 1024 parts of a 64-bit hash
+    else:
+        keyed = rows.withColumn("_h", order)
+        bounds = sorted(set(keyed.agg(F.percentile_approx("_h", [k / 256 for k in range(1, 256)], 10000)).first()[0] or []))
+
+        def part(a: int, b: int) -> Column:
+            """The number of bounds below the order, known to be from a to b, by halves; 0 for null."""
+            m = (a + b) // 2
+            return F.lit(a) if a == b else F.when(F.col("_h") > bounds[m], part(m + 1, b)).otherwise(part(a, m))
+
+        keyed = keyed.withColumn("_p", part(0, len(bounds)))
     parts = keyed.groupBy("_p").agg(F.count("*").alias("_c"))
     offsets = parts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
     ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))).join(F.broadcast(offsets), "_p").withColumn("_r", F.col("_r") + F.col("_o"))
