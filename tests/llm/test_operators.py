@@ -82,7 +82,8 @@ def test_op1_shards(spark, docs, empty, tmp_path):
     text = {r[0]: (r[1] or "").encode() for r in sample()}
     assert all((r["size"], r["text_crc32"]) == (len(text[r["doc_id"]]) + 8, zlib.crc32(text[r["doc_id"]])) for r in rows)
     assert sharding.query(empty).count() == 0
-    sharding.write_shards(sharding.query(docs), str(tmp_path / "shards"))
+    assert (order := [r["curve"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]) == sorted(order)
+    sharding.write_shards(sharding.query(docs), str(tmp_path / "shards"), rows_per_file=20)
     assert spark.read.parquet(str(tmp_path / "shards")).count() == docs.count()
 
 
@@ -119,7 +120,7 @@ def test_suffix_sort_is_the_order_of_bytes():
     starts = np.array(random.sample(range(380), 120))
     lengths = np.minimum(20, 400 - starts)
     begin, end = np.repeat([0, 50, 51], [50, 1, 69]), np.repeat([50, 51, 120], [50, 1, 69])
-    order = suffix.Suffixes(np.frombuffer(data, np.uint8), starts, lengths).sort(begin, end)
+    order = suffix.sorted_suffixes(np.frombuffer(data, np.uint8), starts, lengths, begin, end)[0]
     text = [data[a : a + n] for a, n in zip(starts, lengths)]
     for a, b in ((0, 50), (50, 51), (51, 120)):
         assert [text[i] for i in order[a:b]] == sorted(text[a:b])
@@ -318,10 +319,63 @@ def test_op8_language_model(unique, docs, empty):
     assert maxent.score(docs).count() == docs.count() and maxent.score(empty).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
-    weights = np.random.default_rng(0).normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
-    rows = np.random.default_rng(1).integers(0, maxent.ROWS, (50, 4)).astype(np.int32)
-    assert np.allclose(np.exp(maxent.class_logs(weights, rows)).sum(1), 1, atol=1e-5)
+def test_op8_probabilities_sum_to_one():
+    random = np.random.default_rng(1)
+    model = maxent.Model(random.poisson(0.3, (maxent.FAMILIES * 50, maxent.CLASSES)))
+    rows = random.integers(0, 50, (40, maxent.FAMILIES)).astype(np.int32) + 50 * np.arange(maxent.FAMILIES, dtype=np.int32)
+    weights, bias = model.weights()
+    assert np.allclose(np.exp(maxent.class_logs(weights.astype(np.float32), bias, rows)).sum(1), 1, atol=1e-5)
+
+
+def test_op8_gradient_is_the_slope_of_the_likelihood():
+    random = np.random.default_rng(2)
+    model = maxent.Model(random.poisson(0.5, (maxent.FAMILIES * 50, maxent.CLASSES)))
+    rows = random.integers(0, 50, (200, maxent.FAMILIES)).astype(np.int32) + 50 * np.arange(maxent.FAMILIES, dtype=np.int32)
+    target = random.integers(0, maxent.CLASSES, 200)
+
+    def likelihood():
+        value = [model.values[rows[:, k]] for k in range(maxent.FAMILIES)]
+        for k, v in enumerate(value):
+            v[np.arange(200), target] += model.without[rows[:, k], target]
+        x = sum(v * model.theta[model.bins[rows[:, k]]][:, None] for k, v in enumerate(value)) + model.theta[-1] * np.log(model.share)
+        return (x[np.arange(200), target] - np.log(np.exp(x).sum(1))).sum()
+
+    slope, curvature = model.slope(rows, target)
+    curvature = curvature.reshape(len(slope), -1)
+    for k in np.flatnonzero(np.abs(slope) > 1e-3)[:6]:
+        held, theta, step = [], model.theta.copy(), 1e-3
+        for sign in (-1, 0, 1):
+            model.theta = theta.copy()
+            model.theta[k] += sign * step
+            held.append(likelihood())
+        model.theta = theta
+        assert math.isclose((held[2] - held[0]) / (2 * step), slope[k], rel_tol=1e-2, abs_tol=1e-2)
+        assert math.isclose((2 * held[1] - held[0] - held[2]) / step**2, curvature[k, k], rel_tol=5e-2, abs_tol=5e-1)
+
+
+def test_op8_learns_the_same_however_texts_are_dealt(spark, unique):
+    scores = []
+    for n in (1, 5):
+        scores.append({r["doc_id"]: r["score"] for r in maxent.score(unique.repartition(n)).collect()})
+    assert all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-4) for i in scores[0])
+
+
+def test_op8_predicts_what_follows(spark):
+    """Texts of a language in which each word tells the next: held-out ones score far above the base, shuffled ones below them."""
+    random.seed(5)
+    follow = {f"w{i}": [f"w{random.randrange(60)}" for _ in range(2)] for i in range(60)}
+    rows = []
+    for i in range(300):
+        text = ["w0"]
+        while len(text) < 60:
+            text.append(random.choice(follow[text[-1]]))
+        rows.append((i, " ".join(text)))
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 1]
+    shuffled = {i: random.sample(rows[i][1].split(), 60) for i in held[::2]}
+    rows = [(i, " ".join(shuffled.get(i, t.split()))) for i, t in rows]
+    got = {r["doc_id"]: r for r in maxent.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    mean = lambda ids, c: sum(got[i][c] for i in ids) / len(ids)
+    assert mean(held[1::2], "score") > 0.6 * mean(held[1::2], "base_score") and mean(held[1::2], "score") > mean(held[::2], "score") + 20
 
 
 def edit_distance_within(pattern, text):
@@ -365,7 +419,7 @@ def test_op10_token_counts(spark, docs, empty):
     for r in rows:
         n = r["length"]
         assert (r["n_docs"], r["docs_over"], r["docs_upto"], r["tokens_upto"], r["truncated_tokens"]) == (sizes.count(n), sum(x > n for x in sizes), sum(x <= n for x in sizes), sum(x for x in sizes if x <= n), sum(min(x, n) for x in sizes))
-    limits = lengths.at_limits(lengths.query(docs), spark.createDataFrame([(0,), (7,), (10**6,)], "limit long")).collect()
+    limits = lengths.at_limits(lengths.histogram(docs), spark.createDataFrame([(0,), (7,), (10**6,)], "limit long")).collect()
     assert {r["limit"]: (r["docs_over"], r["truncated_tokens"]) for r in limits} == {k: (sum(x > k for x in sizes), sum(min(x, k) for x in sizes)) for k in (0, 7, 10**6)}
     assert lengths.quantile(lengths.query(docs), 0.5).first()[0] == sorted(sizes)[(len(sizes) + 1) // 2 - 1]
     assert lengths.query(empty).count() == 0
@@ -437,3 +491,100 @@ def test_op2_anchors_with_many_contexts(spark, unique, tmp_path):
     assert [x.tolist() for x in asked] == [[0, 1, 2, 3, 4, 8, 9, 10, 11], [0, 3, 0, 0, 0, 0, 0, 0, 0]]
     kept = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.remove_repeats(unique, many=0).collect()}
     assert kept == brute_repeats([(r["doc_id"], r["text"]) for r in unique.collect()], 100)
+
+
+def turned(n):
+    """Two words of n letters that sums of powers modulo 2 ** 64 can't tell apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_structured_words_are_told_apart(spark, n):
+    """Ops 2, 3, 5, 7 and 8 against brute force on words that cancel out in polynomial hashes."""
+    one, two = turned(n)
+    rows = [(1, f"x {one}"), (2, f"x {two}"), (3, f"{one}\n{two}\n{one}"), (4, one), (5, two), (6, f"{one} {two} a b c {two} {one} a b c"), (7, f"{one} a b c d. {two} a b c d. {one} a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = bpe.encoding(bpe.default_ranks())
+    assert {r["doc_id"]: r["ids_sha256"] for r in bpe.digests(docs).collect()} == {i: hashlib.sha256(np.array(own.encode_ordinary(t), np.uint32).tobytes()).hexdigest() for i, t in rows}
+    found = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality.query(docs).collect()}
+    assert found == {i: (1 if i == 3 else 0, 0) for i, _ in rows}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.query(docs).collect()} == brute_groups(rows)
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix.digests(docs).collect()} == brute_repeats(rows, 100)
+    counts = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update([*words(t), None])
+    for r in maxent.score(docs).collect():
+        assert r["n_known"] == sum(counts[w] > 0 for w in [*words(dict(rows)[r["doc_id"]]), None])
+
+
+def test_words_that_share_a_hash_are_told_apart():
+    data, offsets = kernels.column_bytes(pa.array(["ab cd ab ef cd"]))
+    starts, ends, _ = kernels.word_spans(data, offsets)
+    place, index = kernels.distinct(data, starts, ends, np.zeros(5, np.uint64))
+    assert [data[starts[k] : ends[k]].tobytes() for k in place[index]] == [b"ab", b"cd", b"ab", b"ef", b"cd"] and len(place) == 3
+
+
+def test_suffixes_that_share_hashes_are_sorted_by_bytes(monkeypatch):
+    """With a base of 1 most strings share a hash; the order must be right all the same."""
+    monkeypatch.setattr(suffix, "BASE", 1)
+    random.seed(3)
+    data = bytes(random.choice(b"ab") for _ in range(300))
+    starts = np.array(random.sample(range(280), 80))
+    order, common = suffix.sorted_suffixes(np.frombuffer(data, np.uint8), starts, np.full(80, 20), np.zeros(80, np.int64), np.full(80, 80))
+    text = [data[a : a + 20] for a in starts]
+    assert [text[i] for i in order] == sorted(text)
+    assert [n for n in common[1:]] == [next((k for k in range(20) if text[a][k] != text[b][k]), 20) for a, b in zip(order, order[1:])]
+
+
+def test_long_texts_go_in_pieces(monkeypatch):
+    """The kernels give the same for small pieces as for whole texts."""
+    random.seed(7)
+    texts = [r[1] for r in sample()] + [" ".join(random.choice(["ab", "é", "x1,y", "don't", "中文", "\n"]) for _ in range(900)), "ab" * 700, None]
+    rows = pa.table({"doc_id": np.arange(len(texts)), "text": pa.array(texts, pa.string())})
+    path = bpe.default_ranks()
+
+    def everything():
+        data, first, starts, ends, known, index, _ = bpe.chunk_words(rows, "text", path)
+        tokens = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+        spans = suffix.local(rows, "text", "doc_id", 100)
+        counts = quality.text_counts(rows.column("text").combine_chunks())
+        return [tokens[k] for k in index], first.tolist(), known[index].tolist(), [x.tolist() for x in spans[2:]], {c: x.tolist() for c, x in counts.items()}, [x.tolist() for x in jaccard.text_sets(rows, "text", 4)], [x.tolist() for x in maxent.chunk_tokens(rows, "text")]
+
+    whole = everything()
+    monkeypatch.setattr(kernels, "SLICE", 150)
+    assert everything() == whole
+
+
+def test_shards_prune_every_dimension(spark):
+    """With 64 shards over three dimensions of 16 values, one value of any dimension stands in less than half of the shards."""
+    rows = spark.range(40960).select("id", *(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(16)).cast("int").alias(f"a{k}") for k in range(3)))
+    out = sharding.hilbert_shards(rows, [F.col(f"a{k}") for k in range(3)], key="id", shards=64, keep=[F.col("id"), *(F.col(f"a{k}") for k in range(3))])
+    ends = out.groupBy("shard").agg(*(f(f"a{k}").alias(f"{f.__name__}{k}") for k in range(3) for f in (F.min, F.max))).collect()
+    for k in range(3):
+        for value in range(16):
+            assert sum(r[f"min{k}"] <= value <= r[f"max{k}"] for r in ends) < 32
+
+
+def test_shards_of_equal_rows(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(4).cast("long").alias("n_chars"))
+    rows = sharding.query(docs).collect()
+    assert Counter(r["shard"] for r in rows) == dict.fromkeys(range(24), 125) and len({(r["shard"], r["slot"]) for r in rows}) == 3000
+
+
+def test_short_items_anywhere(spark):
+    docs, items = spark.createDataFrame([(1, "cat concatenate")], "doc_id long, text string"), spark.createDataFrame([(0, "cat"), (1, "nca")], "item_id long, text string")
+    assert [tuple(r) for r in pigeonhole.matches(docs, items).collect()] == [(1, 0, 0)]
+    assert sorted(tuple(r) for r in pigeonhole.matches(docs, items, whole_words=False).collect()) == [(1, 0, 0), (1, 1, 0)]
+
+
+def test_clashing_columns_of_pages_and_texts(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>Words of a page that is read, and more words of it.</p></article>", "old", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in extraction.extract(pages).collect()] == [(1, "u", "Words of a page that is read, and more words of it.", 51)]
+    docs = spark.createDataFrame([(1, "here the thing stands", 7, 8, 9)], "doc_id long, text string, item_id long, distance int, rep long")
+    items = spark.createDataFrame([(3, "the thing", 4)], "item_id long, text string, doc_id long")
+    assert [tuple(r) for r in pigeonhole.matches(docs, items).collect()] == [(1, 3, 0)]
+    assert pigeonhole.without_matches(docs, items).count() == 0

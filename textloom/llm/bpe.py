@@ -2,10 +2,10 @@
 
 Each chunk of texts cuts its texts into pre-tokens, keeps their positions, and sends every distinct one that is not itself a
 token to a hash bucket. A bucket encodes each distinct word once, whatever number of chunks sent it, and the chunk puts the ids
-back by position. Decoding gathers the bytes of the ids from the token-byte table.
+back by position. Decoding gathers the bytes of the ids from the token-byte table. Words are found by hashes, but told apart by bytes.
 
-Nulls and empty texts have no ids. Repeated rows each get their own row. Very long texts are never cut; a chunk holds one such
-text alone. Columns of other tables that clash by name don't matter: only ``text`` is read, ``keep`` is carried.
+Nulls and empty texts have no ids. Repeated rows each get their own row. A very long text stays one row of one chunk, but its words
+are cut in pieces between two matches of the pattern. Columns of other tables that clash by name don't matter: only ``text`` is read, ``keep`` is carried.
 """
 
 from __future__ import annotations
@@ -57,12 +57,12 @@ def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=2)
-def whole_tokens(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the tokens in ascending order, their second hashes and ids."""
+def whole_tokens(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens in ascending order, and their ids."""
     data, starts, lengths = token_table(path)
-    a, b = (kernels.span_hash(kernels.prefix_hash(data, w), starts, starts + lengths, w) for w in (0, 1))
-    order = np.argsort(a)
-    return a[order], b[order], order
+    hashes = kernels.span_hash(data, starts, starts + lengths)
+    order = np.argsort(hashes)
+    return hashes[order], order
 
 
 @functools.lru_cache(maxsize=1)
@@ -79,21 +79,50 @@ def classes() -> np.ndarray:
     return out
 
 
-def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the matches of the pattern start in UTF-8 texts; each ends where the next starts or its text ends."""
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the characters of UTF-8 texts begin, their code points and classes."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
-    n = len(at)
-    if not n:
-        return at
     lead = data[at]
-    point = lead.astype(np.int64)
+    point = lead.astype(np.int32)
     for floor, mask, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
         pick = np.flatnonzero((lead >= floor) & (lead < (0xE0, 0xF0, 0x100)[more - 1]))
-        value = (lead[pick] & mask).astype(np.int64)
+        value = (lead[pick] & mask).astype(np.int32)
         for k in range(1, more + 1):
             value = (value << 6) | (data[at[pick] + k] & 0x3F)
         point[pick] = value
-    kind = classes()[point]
+    return at, point, classes()[point]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about SLICE bytes that no match of the pattern crosses: they end with a text, or where a character without white
+    space is followed by white space or by one of another class (unless that may be a contraction)."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + kernels.SLICE)
+        while b < n:
+            edge = int(offsets[np.searchsorted(offsets, b)])
+            lead = np.flatnonzero((data[b : b + 4] & 0xC0) != 0x80)
+            low = b + int(lead[0]) if len(lead) else n
+            high = min(n, low + 4096)
+            while high < n and data[high] & 0xC0 == 0x80:
+                high += 1
+            at, point, kind = characters(data[low:high])
+            turn = np.flatnonzero((kind[:-1] > WHITE) & (kind[1:] != kind[:-1]) & ~((point[:-1] == 0x27) & (kind[1:] == LETTER)))
+            found = min(edge, low + int(at[turn[0] + 1]) if len(turn) else n)
+            if found <= high or found == n:
+                b = found
+                break
+            b = high
+        yield a, b
+        a = b
+
+
+def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the matches of the pattern start in UTF-8 texts; each ends where the next starts or its text ends."""
+    at, point, kind = characters(data)
+    n = len(at)
+    if not n:
+        return at
     first = np.zeros(n + 1, bool)  # of a text
     first[np.searchsorted(at, offsets)] = True
     white = kind <= WHITE
@@ -132,25 +161,31 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def chunk_words(rows: pa.Table, text: str, path: str):
     """Pre-tokens of a chunk: bytes, first pre-token of each text, distinct words' starts and ends, which are tokens (id, else -1), index by position, hashes.
 
-    Equal words are found by a 64-bit hash and checked by another.
+    Words are found by a hash and told apart by their bytes.
     """
     data, offsets = kernels.column_bytes(rows.column(text))
-    found, first, total = [], [np.zeros(1, np.int64)], 0
-    for a, b in kernels.slices(offsets):
-        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts = pre_tokens(part, at)
-        ends = np.append(starts[1:], len(part))[: len(starts)]
-        found.append((starts + offsets[a], ends + offsets[a], *(kernels.span_hash(kernels.prefix_hash(part, w), starts, ends, w) for w in (0, 1))))
-        first.append(np.searchsorted(starts, at)[1:] + total)
-        total += len(starts)
-    starts, ends, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
-    keys, place, inverse = np.unique(one, return_index=True, return_inverse=True)
-    if not np.array_equal(two, two[place][inverse]):
-        raise ValueError("two words share a 64-bit hash")
-    vocabulary, second, ids = whole_tokens(path)
+    first, seen, total = np.zeros(len(offsets), np.int64), 0, 0
+
+    def spans() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        nonlocal seen, total
+        for a, b in pieces(data, offsets):
+            upto = int(np.searchsorted(offsets, b, side="right"))
+            inside = np.unique(np.clip(offsets[max(0, seen - 1) : upto + 1], a, b)) - a
+            starts = pre_tokens(data[a:b], inside)
+            first[seen:upto] = total + np.searchsorted(starts, offsets[seen:upto] - a)
+            seen, total = upto, total + len(starts)
+            yield a, b, starts, np.append(starts[1:], b - a)[: len(starts)]
+
+    starts, ends, keys, inverse = kernels.gathered(data, spans())
+    first[seen:] = total
+    vocabulary, ids = whole_tokens(path)
+    tokens, token_starts, token_sizes = token_table(path)
     at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
-    known = np.where((vocabulary[at] == keys) & (second[at] == two[place]), ids[at], -1)
-    return data, np.concatenate(first), starts[place], ends[place], known, inverse, keys
+    hit = np.flatnonzero((vocabulary[at] == keys) & (token_sizes[ids[at]] == ends - starts))
+    hit = hit[kernels.same_spans(data, starts[hit], tokens, token_starts[ids[at[hit]]], (ends - starts)[hit])]
+    known = np.full(len(keys), -1, np.int64)
+    known[hit] = ids[at[hit]]
+    return data, first, starts, ends, known, inverse, keys
 
 
 def encode(docs: DataFrame, folder: str | None = None, *, text: str = "text", keep: Sequence[str] = ("doc_id",), ranks_path: str | None = None) -> DataFrame:
@@ -158,7 +193,7 @@ def encode(docs: DataFrame, folder: str | None = None, *, text: str = "text", ke
     path = ranks_path or default_ranks()
     folder = folder or packed.shared_folder(docs.sparkSession)
     docs = docs.select(*keep, *([text] if text not in keep else []))
-    chunks = packed.Chunks(docs, folder, text)
+    chunks = packed.Chunks(docs, folder, text, one_query=True)
     buckets = packed.bucket_count(docs, text)
 
     def ask(chunk: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:

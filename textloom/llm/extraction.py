@@ -7,9 +7,9 @@ is main text, and nothing below main text is a mere container, so that ancestors
 
 No labelled pages exist, so the model is trained on pages that ``training_page`` composes, of which every node's label is known: with
 and without semantic elements and telling attributes, with menus, notices, adverts, forms, comments and related links around and
-inside the article. It has a fixed size and is trained on the driver in a second or two; pages are only ever scanned.
+inside the article. Some have nothing but the article. The model has a fixed size and is trained on the driver in some seconds; pages are only ever scanned.
 
-Null and empty pages, and pages without text, give an empty text. Broken markup is read as far as it goes; pages of any length are
+Null and empty pages, and pages without text, give an empty text; text outside all blocks is a paragraph of its own. Broken markup is read as far as it goes; pages of any length are
 read whole. Repeated rows are rows of their own.
 """
 
@@ -80,7 +80,13 @@ def parse(page: str | None) -> Tree:
         nonlocal linked, inline
         text = " ".join(references.unescape("".join(parts)).split())
         if text or inline:
-            tree.texts.append((stack[-1], text, min(linked, len(text)), inline))
+            node = stack[-1]
+            if text and tree.tags[node] in ("html", "body"):  # bare text is a paragraph of its own
+                node = len(tree.tags)
+                tree.tags.append("p")
+                tree.parents.append(stack[-1])
+                tree.tokens.append(frozenset())
+            tree.texts.append((node, text, min(linked, len(text)), inline))
         parts.clear()
         linked = inline = 0
 
@@ -233,6 +239,8 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 36, depth: int = 4, rate:
     """Softmax boosting with histograms; every level takes each node's best cut."""
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, k]) for k, e in enumerate(edges)], 1)
+    wide, n = bins + 1, x.shape[1]
+    cell = (binned + np.arange(n) * wide).astype(np.int64)
     logits, one = np.zeros((len(x), 3)), np.eye(3)[y]
     kinds, features_, cuts, values = [], [], [], []
     for _ in range(rounds):
@@ -240,19 +248,17 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 36, depth: int = 4, rate:
         p /= p.sum(1, keepdims=True)
         for kind in range(3):
             g, h = p[:, kind] - one[:, kind], np.maximum(p[:, kind] * (1 - p[:, kind]), 1e-6)
+            each_g, each_h = np.repeat(g, n), np.repeat(h, n)
             node = np.zeros(len(x), np.int64)
             feature, cut = np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, bins + 1)
             for level in range(depth):
                 base, width = (1 << level) - 1, 1 << level
-                best = np.full(width, 1e-9)
-                for k in range(x.shape[1]):
-                    at = (node - base) * (bins + 1) + binned[:, k]
-                    gs, hs = (np.bincount(at, v, width * (bins + 1)).reshape(width, -1).cumsum(1) for v in (g, h))
-                    gain = gs**2 / (hs + ridge) + (gs[:, -1:] - gs) ** 2 / (hs[:, -1:] - hs + ridge) - gs[:, -1:] ** 2 / (hs[:, -1:] + ridge)
-                    where = gain.argmax(1)
-                    better = np.flatnonzero(gain[np.arange(width), where] > best)
-                    best[better] = gain[better, where[better]]
-                    feature[base + better], cut[base + better] = k, where[better]
+                at = (cell + ((node - base) * (n * wide))[:, None]).ravel()
+                gs, hs = (np.bincount(at, v, width * n * wide).reshape(width, n, wide).cumsum(2) for v in (each_g, each_h))
+                gain = gs**2 / (hs + ridge) + (gs[:, :, -1:] - gs) ** 2 / (hs[:, :, -1:] - hs + ridge) - gs[:, :, -1:] ** 2 / (hs[:, :, -1:] + ridge)
+                best = gain.reshape(width, -1).argmax(1)
+                better = np.flatnonzero(gain.reshape(width, -1)[np.arange(width), best] > 1e-9)
+                feature[base + better], cut[base + better] = best[better] // wide, best[better] % wide
                 node = 2 * node + 1 + (binned[np.arange(len(x)), feature[node]] > cut[node])
             leaf = node - (1 << depth) + 1
             value = -rate * np.bincount(leaf, g, 1 << depth) / (np.bincount(leaf, h, 1 << depth) + ridge)
@@ -262,9 +268,17 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 36, depth: int = 4, rate:
     return Trees(edges, np.array(kinds), np.array(features_), np.array(cuts), np.array(values))
 
 
+@functools.lru_cache(maxsize=1)
+def vocabulary() -> list[str]:
+    """Words for composed pages."""
+    random = np.random.default_rng(3)
+    return ["".join(random.choice(list("aeionrstlmdu"), random.integers(2, 9))) for _ in range(4000)]
+
+
 def training_page(random: np.random.Generator) -> str:
     """A page whose nodes carry their labels as data-y attributes."""
-    words = lambda a, b: " ".join("".join(random.choice(list("aeionrstlmdu"), random.integers(2, 9))) for _ in range(random.integers(a, b)))
+    known = vocabulary()
+    words = lambda a, b: " ".join([known[k] for k in random.integers(0, len(known), random.integers(a, b)).tolist()])
     sentence = lambda a, b: words(a, b).capitalize() + random.choice([".", ".", ".", "!", "?"])
     often = lambda p: random.random() < p
     told = often(0.7)  # whether attributes tell what blocks are for
@@ -291,6 +305,11 @@ def training_page(random: np.random.Generator) -> str:
     if often(0.15):
         paragraphs.append(block("div", 0, listing(random.integers(2, 5), 1, 3), ("share", "social", "tags")))
     heading = block("h1", 2, words(2, 12)) if often(0.9) else ""
+    if often(0.15):  # nothing but the article, or its parts alone
+        whole = heading + "".join(paragraphs)
+        for _ in range(random.integers(0, 3)):
+            whole = block(random.choice(["article", "div", "section", "main"]), 2, whole)
+        return random.choice([f"<html><body data-y=1>{whole}</body></html>", whole])
     article = block("article" if semantic else "div", 2, heading + "".join(paragraphs), ("content", "article-body", "post", "entry-content", "story"))
     comments = block(random.choice(["section", "div"]), 0, block("h3", 0, words(1, 3)) + "".join(block("div", 0, block("p", 0, sentence(3, 25)), ("comment", "reply")) for _ in range(random.integers(1, 6))), ("comments", "respond", "disqus-thread"))
     related = block(random.choice(["div", "section", "aside"]), 0, block("h3", 0, words(1, 3)) + listing(random.integers(2, 6), 2, 8), ("related", "recommended"))
@@ -312,7 +331,7 @@ LABEL = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)[^>]*?data-y=(\d)")
 
 
 @functools.lru_cache(maxsize=2)
-def model(pages: int = 500, seed: int = 7) -> Trees:
+def model(pages: int = 600, seed: int = 7) -> Trees:
     """The trees, trained on so many composed pages."""
     random = np.random.default_rng(seed)
     xs, ys = [], []

@@ -3,12 +3,13 @@
 Two such sets share a token of their prefixes under *every* global order of the tokens. Three orders are used: by document
 frequency, by its logarithm with another tie-break, and single tokens first with a third. The frequencies come from an exchange
 of packed shingles. A token that one text alone holds can't be shared, and a text whose prefix holds nothing else links with
-none: most texts leave here. Candidates share a prefix token under the first order, at places that leave room for the overlap that their sizes ask for; before their sets are compared, they must also
-share one under the others.
+none: most texts leave here. Candidates share a prefix token under the first order, at places that leave room for the overlap that
+their sizes ask for; they must also share one under the others, which is tested before their sets are fetched.
 
 A group of many near copies is never expanded into its pairs. First each text is compared, under each of its prefix tokens, with its
-neighbours by the place that the token has in their order and with the text where it comes first (an original, as its copies' edits
-make rare tokens); what is linked thus falls into components. Then, for tokens that still hold several
+neighbour by the place that the token has in their order (within parts of about ``TOGETHER`` texts, so that no common token is one
+task's) and with the text where it comes first (an original, as its copies' edits make rare tokens); what is linked thus falls into
+components. Then, for tokens that still hold several
 components, each text outside the largest of them is compared with the texts of other components. Any link between two texts
 therefore is either found or lies within one component already, which is all that the result tells.
 
@@ -19,7 +20,7 @@ part, but can't name a component that holds other ids.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from textloom.llm import components, kernels, packed
 
 MOST = 65535
-#: Tasks that the rows of one group are dealt to.
-SALTS = 32
+#: Tasks that the rows of one group are dealt to, and texts under one prefix token that are ordered together.
+SALTS, TOGETHER = 32, 256
 
 
 def text_sets(rows: pa.Table, text: str, k: int) -> list[np.ndarray]:
@@ -109,21 +110,28 @@ def candidate_sets(chunks: packed.Chunks, folder: str, *, text: str, key: str, k
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    columns = ["second", "third", "tokens"]
-    side = lambda x: sets.select(F.col("uid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    """The pairs (a, b) that link. The prefixes under the other orders are compared first; only the sets of what they leave move."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = lambda c: [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(batch.schema.get_field_index(c))]  # noqa: E731, B023
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (p, q, r, s, x, y) in enumerate(zip(*map(read, ("second_a", "second_b", "third_a", "third_b", "tokens_a", "tokens_b")), strict=True)):
-                if len(np.intersect1d(p, q, True)) and len(np.intersect1d(r, s, True)):
-                    both = len(np.intersect1d(x, y, True))
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    def both(pairs: DataFrame, columns: list[str], test: Callable[..., bool]) -> DataFrame:
+        side = lambda x: sets.select(F.col("uid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        names = [f"{c}_{x}" for c in columns for x in "ab"]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{x}" for c in columns for x in "ab")).mapInArrow(run, "a long, b long")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = [batch.column(batch.schema.get_field_index(c)) for c in names]
+                keep = [test(*(np.frombuffer(x.as_buffer(), np.uint64) for x in row)) for row in zip(*held, strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *names).mapInArrow(run, "a long, b long")
+
+    def meet(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> bool:
+        return len(np.intersect1d(p, q, True)) > 0 and len(np.intersect1d(r, s, True)) > 0
+
+    def link(x: np.ndarray, y: np.ndarray) -> bool:
+        shared = len(np.intersect1d(x, y, True))
+        return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+    return both(both(pairs, ["second", "third"], meet), ["tokens"], link)
 
 
 def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
@@ -146,9 +154,10 @@ def link_groups(docs: DataFrame, folder: str | None = None, *, text: str = "text
     # the first token that two sets share: neither holds any token of the other before it, so enough must be left from there on
     overlap = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
     fits = f"x.place <= x.n - {overlap} and y.place <= y.n - {overlap} and x.uid <> y.uid"
-    token = Window.partitionBy("token")
-    near = rows.withColumns({"next": F.lead("x").over(token.orderBy("x")), "pivot": F.min("x").over(token)})
     pair = (F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("texts"), F.min("x").alias("pivot")).filter("texts > 1")
+    part = Window.partitionBy("token", "part").orderBy("x")
+    near = rows.join(shared, "token").withColumn("part", F.expr(f"pmod(xxhash64(x.uid), greatest(1, texts div {TOGETHER}))")).withColumn("next", F.lead("x").over(part))
     pairs = near.select("x", F.explode(F.array("next", "pivot")).alias("y")).filter(fits).select(*pair).distinct()
     links = packed.table(verified(pairs, sets, percent), folder, "links")
     found = components.components(links, folder, "near")

@@ -5,14 +5,14 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import functools
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Odd multipliers; the second base gives an independent hash.
-BASES = (0x9E3779B97F4A7C55, 0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -29,19 +29,6 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 #: Bytes of text that the kernels take at once; they need some hundred times as many bytes of memory.
 SLICE = 1 << 19
-_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64, at least n of each."""
-    if which not in _kept or len(_kept[which][0]) < n:
-        out = []
-        for b in (BASES[which], pow(BASES[which], -1, 2**64)):
-            p = np.full(max(SLICE + (SLICE >> 2), n), b, U64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=U64))
-        _kept[which] = out[0], out[1]
-    return _kept[which]
 
 
 def slices(offsets: np.ndarray, limit: int = SLICE) -> list[tuple[int, int]]:
@@ -61,8 +48,6 @@ def _libc():
 
 def tidy() -> None:
     """Give freed memory back to the system: workers outlive their tasks."""
-    for held in [k for k, v in _kept.items() if len(v[0]) > 2 * SLICE]:
-        del _kept[held]
     pa.default_memory_pool().release_unused()
     try:
         _libc().malloc_trim(0)
@@ -70,16 +55,97 @@ def tidy() -> None:
         pass
 
 
-def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """P with P[j] - P[i] the hash of data[i:j], still multiplied by base**i."""
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(len(data), which)[0][: len(data)], out=out[1:])
+#: Spans of more bytes than this are hashed one by one with BLAKE2b.
+LONG = 512
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
+
+
+def loads(data: np.ndarray) -> np.ndarray:
+    """At every place the next 8 bytes as one integer, with zeros behind the end; a view of a copy."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, words: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the spans [start, end), alike wherever a span stands.
+
+    Every 8 bytes go through a finaliser together with what came before, so that no arrangement of repeated parts cancels out, as it
+    does in sums of powers modulo 2**64. Hashes with other salts are independent. words: loads(data), if at hand.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(U64), 60 + salt)
+    long = np.flatnonzero(sizes > LONG)
+    for k in long.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+    at, left, words = starts, np.where(sizes > LONG, 0, sizes), loads(data) if words is None else words
+    own = np.flatnonzero(left)
+    whole = len(own) == len(out)
+    at, left = (at, left) if whole else (at[own], left[own])
+    held = out if whole else out[own]
+    while len(own):
+        held = mix(held ^ (words[at] & _MASKS[np.minimum(left, 8)]), 61 + salt)
+        out[own] = held
+        more = left > 8
+        own, at, left, held = own[more], at[more] + 8, left[more] - 8, held[more]
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of the spans [start, end), alike wherever a span stands."""
-    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix), which)[1][starts] + (ends - starts).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+def same_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of data from starts on are those of other from others on, for so many bytes each."""
+    out = np.ones(len(sizes), bool)
+    a, b = loads(data), loads(other)
+    own, at = np.flatnonzero(sizes), 0
+    while len(own):
+        left = sizes[own] - at
+        out[own] &= (a[starts[own] + at] ^ b[others[own] + at]) & _MASKS[np.minimum(left, 8)] == 0
+        own, at = own[out[own] & (left > 8)], at + 8
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct spans, in the order of their hashes, and each span's index among them; equal hashes are checked byte by byte."""
+    _, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    inverse = inverse.astype(np.int32)
+    sizes = ends - starts
+    same = (sizes == sizes[place][inverse]) if len(place) else np.ones(0, bool)
+    check = np.flatnonzero(same & (np.arange(len(starts)) != place[inverse])) if len(place) else np.zeros(0, np.int64)
+    same[check] = same_spans(data, starts[check], data, starts[place[inverse[check]]], sizes[check])
+    others: dict[bytes, int] = {}
+    more: list[int] = []
+    for k in np.flatnonzero(~same).tolist():
+        word = data[starts[k] : ends[k]].tobytes()
+        if word not in others:
+            others[word] = len(place) + len(more)
+            more.append(k)
+        inverse[k] = others[word]
+    if more:
+        place = np.append(place, more)
+        order = np.argsort(hashes[place], kind="stable")
+        turned = np.empty(len(order), np.int32)
+        turned[order] = np.arange(len(order))
+        place, inverse = place[order], turned[inverse]
+    return place, inverse
+
+
+def gathered(data: np.ndarray, parts: Iterable[tuple[int, int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the distinct spans of some parts of data, in the order of their hashes, and each span's index among them.
+
+    Parts are (from, to, starts, ends), the latter two counted from where the part begins; only one is looked at in full at a time.
+    """
+    starts, ends, hashes, index, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int32)], 0
+    for a, b, s, e in parts:
+        part = data[a:b]
+        h = span_hash(part, s, e)
+        place, inverse = distinct(part, s, e, h)
+        starts.append(s[place] + a)
+        ends.append(e[place] + a)
+        hashes.append(h[place])
+        index.append(inverse + np.int32(total))
+        total += len(place)
+    s, e, h = np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+    place, inverse = distinct(data, s, e, h)
+    return s[place], e[place], h[place], inverse[np.concatenate(index)]
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,17 +178,44 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray, limit: int | None = None) -> list[tuple[int, int]]:
+    """Ranges of about so many bytes that cut no word; a range holds any number of texts, and a long text goes through several."""
+    limit = limit or SLICE
+    out, a, n = [], 0, len(data)
+    while a < n:
+        b = min(n, a + limit)
+        while b < n:
+            white = np.flatnonzero(SPACE[data[b : b + limit]])
+            edge = int(offsets[np.searchsorted(offsets, b)])
+            found = min(edge, b + int(white[0]) if len(white) else n)
+            if found <= b + limit or found == n:
+                b = found
+                break
+            b = min(n, b + limit)
+        out.append((a, b))
+        a = b
+    return out
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """The words of all texts in pieces: bytes, where they begin in data, and starts and ends in the piece."""
+    for a, b in cuts(data, offsets):
+        part = LOWER[data[a:b]] if lower else data[a:b]
+        inside = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, side="right")] - a
+        starts, ends, _ = word_spans(part, inside)
+        yield part, a, starts, ends
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and the index of each text's first word."""
-    out, first, total = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
-    for a, b in slices(offsets):
-        part = data[offsets[a] : offsets[b]]
-        part = LOWER[part] if lower else part
-        starts, ends, own = word_spans(part, offsets[a : b + 1] - offsets[a])
-        out.append(span_hash(prefix_hash(part), starts, ends))
-        first.append(own[1:] + total)
-        total += len(starts)
-    return np.concatenate(out), np.concatenate(first)
+    out, first, total, seen = [np.zeros(0, U64)], np.zeros(len(offsets), np.int64), 0, 0
+    for part, a, starts, ends in words_of(data, offsets, lower):
+        out.append(span_hash(part, starts, ends))
+        upto = int(np.searchsorted(offsets, a + len(part), side="right"))
+        first[seen:upto] = total + np.searchsorted(starts, offsets[seen:upto] - a)
+        seen, total = upto, total + len(starts)
+    first[seen:] = total
+    return np.concatenate(out), first
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

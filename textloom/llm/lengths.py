@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe
+from textloom.llm import bpe, packed
 
 #: Lengths in a block.
-BLOCK = 1024
+BLOCK = 256
 
 
 def histogram(docs: DataFrame, *, text: str = "text", ranks_path: str | None = None) -> DataFrame:
@@ -48,13 +48,12 @@ def answers(counts: DataFrame) -> DataFrame:
     return inside.join(blocks, "block").select("length", "n_docs", (F.col("all_docs") - upto).alias("docs_over"), upto.alias("docs_upto"), tokens.alias("tokens_upto"), (tokens + F.col("length") * (F.col("all_docs") - upto)).alias("truncated_tokens"), (upto / F.col("all_docs")).alias("share_upto"))
 
 
-def at_limits(answered: DataFrame, limits: DataFrame) -> DataFrame:
-    """The truncated total and the documents over each limit (limit long) of any size, from the rows of answers."""
-    shorter = answered.select("length", "docs_upto", "tokens_upto", "docs_over")
-    total = answered.agg(F.max("docs_upto").alias("all_docs"))
-    met = limits.join(shorter, F.col("length") <= F.col("limit"), "left").groupBy("limit").agg(F.max(F.struct("length", "docs_upto", "tokens_upto")).alias("m"))
-    over = F.col("all_docs") - F.coalesce("m.docs_upto", F.lit(0))
-    return met.join(total).select("limit", over.alias("docs_over"), (F.coalesce("m.tokens_upto", F.lit(0)) + F.col("limit") * over).alias("truncated_tokens"))
+def at_limits(counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """The documents over each limit (limit long) and the total when they are truncated to it, from a histogram: a limit is a length that no further document has."""
+    rows = counts.select("length", "n_docs", F.lit(False).alias("asked")).union(limits.select(F.col("limit").cast("long"), F.lit(0).cast("long"), F.lit(True)).distinct())
+    held = rows.groupBy("length").agg(F.sum("n_docs").alias("n_docs"), F.max("asked").alias("asked"))
+    asked = held.filter("asked").select("length")
+    return answers(held.select("length", "n_docs")).join(asked, "length").select(F.col("length").alias("limit"), "docs_over", "truncated_tokens")
 
 
 def quantile(answered: DataFrame, share: float) -> DataFrame:
@@ -62,5 +61,6 @@ def quantile(answered: DataFrame, share: float) -> DataFrame:
     return answered.filter(F.col("share_upto") >= share).agg(F.min("length").alias("length"))
 
 
-def query(docs: DataFrame) -> DataFrame:
-    return answers(histogram(docs))
+def query(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """The answers for every length; the histogram is written first, so that texts are encoded once."""
+    return answers(packed.table(histogram(docs), folder or packed.shared_folder(docs.sparkSession), "histogram"))

@@ -31,9 +31,19 @@ CHUNK_ROWS = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that spark.checkpoint.dir names; /tmp only where no cluster has set it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/textloom-checkpoints"
-    return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    """A new folder below the shared one that spark.checkpoint.dir names; it is deleted when the application ends.
+
+    Only where driver and executors are one process may it be /tmp; a cluster without the setting is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = f"{(base or 'file:///tmp/textloom-checkpoints').rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return folder
 
 
 def delete(spark: SparkSession, folder: str) -> None:
@@ -100,20 +110,22 @@ class Chunks:
 
     They are written to the shared folder once, as (chunk long, blob binary), and every pass reads them and their numbers from there:
     cut anew, the same number could mean other rows, as even file splits follow the cores that are registered at the moment. Rows of
-    a relation are written when the first pass asks for them, any other at once.
+    a relation are written when the first pass asks for them, any other at once. Where all passes are parts of one query
+    (``one_query``), chunks of a relation are not written: all passes read the same exchange, whose rows keep their numbers.
     """
 
-    def __init__(self, docs: DataFrame, folder: str, text: str = "text", limit: int = CHUNK_BYTES):
-        self.docs, self.folder, self.text, self.limit = docs, folder, text, limit
+    def __init__(self, docs: DataFrame, folder: str, text: str = "text", limit: int = CHUNK_BYTES, one_query: bool = False):
+        self.docs, self.folder, self.text, self.limit, self.one_query = docs, folder, text, limit, one_query
         self.written: DataFrame | None = None
         leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
         if not all("Relation" in leaves.apply(k).nodeName() for k in range(leaves.size())):
+            self.one_query = False
             self.rows()
 
     def rows(self) -> DataFrame:
-        """The written chunks."""
+        """The chunks, written or exchanged by their numbers."""
         if self.written is None:
-            self.written = table(self._packed(), self.folder, "packed")
+            self.written = self._packed().repartition("chunk") if self.one_query else table(self._packed(), self.folder, "packed")
         return self.written
 
     def _packed(self) -> DataFrame:

@@ -5,15 +5,17 @@ piece stands there unchanged. The pieces of all items are found in one pass by a
 verified on the window around it with Myers' bit-parallel edit distance. Both sides are compared in lower case with each run of
 white space as one space.
 
-The items are a query set: they are read in blocks of at most ``block_bytes`` of text, each block is one pass over the texts, so
-that what a task holds does not grow with the benchmark. Nothing is shuffled but the texts' own rows.
+The items are a query set: their distinct texts are read in blocks of about ``block_bytes``, each block is one pass over the texts,
+and its matches are written before the next block is read, so that what the driver and a task hold does not grow with the benchmark.
 
-Null or empty texts and items match nothing. Items under ``1 / rate`` characters have no budget and must stand unchanged between
-word edges. Repeated items and repeated rows each give their own matches.
+Null or empty texts and items match nothing. Items under ``1 / rate`` characters have no budget: they must stand unchanged, and with
+``whole_words`` (a parameter) between word edges, as a short item would otherwise be found inside words. Repeated items and repeated
+rows each give their own matches.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import packed
+
 #: Edits allowed for each character of an item.
 RATE = 0.05
 #: Bytes of item texts in a block.
@@ -57,9 +61,10 @@ def distance_within(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """The automaton of a block of items (id, text)."""
 
-    def __init__(self, items: Sequence[tuple[int, str | None]], rate: float = RATE):
+    def __init__(self, items: Sequence[tuple[int, str | None]], rate: float = RATE, whole_words: bool = True):
         import ahocorasick
 
+        self.whole_words = whole_words
         self.items = [(i, text, int(len(text) * rate)) for i, text in ((i, plain(t)) for i, t in items) if text]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, budget) in enumerate(self.items):
@@ -87,7 +92,7 @@ class Matcher:
                 seen.add((k, start))
                 if not budget:
                     stop = start + len(item)
-                    if (start == 0 or not text[start - 1].isalnum()) and (stop == len(text) or not text[stop].isalnum()):
+                    if not self.whole_words or (start == 0 or not text[start - 1].isalnum()) and (stop == len(text) or not text[stop].isalnum()):
                         found[k] = 0
                     continue
                 window = text[max(0, start - budget) : start + len(item) + budget]
@@ -97,41 +102,51 @@ class Matcher:
         return found
 
 
-def item_blocks(items: DataFrame, item_key: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks, one at a time on the driver."""
-    items = items.select(item_key, item_text).filter(F.col(item_text).isNotNull())
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length(item_text) + 16)).first()[0] or 0) / block_bytes))
+def item_texts(items: DataFrame, item_text: str, folder: str) -> DataFrame:
+    """(rep long, text) for every distinct text of the items."""
+    texts = items.select(F.col(item_text).alias("text")).filter("text is not null").distinct()
+    return packed.table(texts.select(F.monotonically_increasing_id().alias("rep"), "text"), folder, "items")
+
+
+def item_blocks(texts: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The texts in blocks, one at a time on the driver."""
+    blocks = max(1, math.ceil((texts.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) / block_bytes))
     for b in range(blocks):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == b).collect()]
+        yield [tuple(r) for r in texts.filter(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == b).collect()]
 
 
-def matches(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(key, item_key, distance int) for every item that stands in a row of docs with at most rate edits for each of its characters."""
+def hits(docs: DataFrame, block: list, *, text: str, key: str, rate: float, whole_words: bool) -> DataFrame:
+    """(key, rep long, distance int) for every item of a block that stands in a row of docs."""
 
-    def one(block: list[tuple[int, str | None]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
-            for batch in batches:
-                out: list[tuple] = []
-                for row, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    out += [(row, matcher.items[k][0], best) for k, best in sorted(matcher.matches(x.as_py()).items())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=[key, item_key, "distance"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(block, rate, whole_words)
+        for batch in batches:
+            out: list[tuple] = []
+            for row, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out += [(row, matcher.items[k][0], best) for k, best in sorted(matcher.matches(x.as_py()).items())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=[key, "rep", "distance"])
+
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, f"`{key}` long, rep long, distance int")
 
-        return docs.select(F.col(key).cast("long"), text).mapInArrow(run, f"`{key}` long, `{item_key}` long, distance int")
 
-    parts = [one(block) for block in item_blocks(items, item_key, item_text, block_bytes)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+def matches(docs: DataFrame, items: DataFrame, folder: str | None = None, *, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", rate: float = RATE, whole_words: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, item_key, distance int) for every item that stands in a row of docs with at most rate edits for each of its characters."""
+    folder = folder or packed.shared_folder(docs.sparkSession)
+    texts = item_texts(items, item_text, folder)
+    found = [packed.table(hits(docs, block, text=text, key=key, rate=rate, whole_words=whole_words), folder, f"hits{b}") for b, block in enumerate(item_blocks(texts, block_bytes))]
+    ids = items.select(F.col(item_key).cast("long").alias(item_key), F.col(item_text).alias("text")).join(texts, "text").select("rep", item_key)
+    return functools.reduce(DataFrame.union, found).join(ids, "rep").select(key, item_key, "distance")
 
 
-def without_matches(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs in which no item stands."""
-    for block in item_blocks(items, item_key, item_text, block_bytes):
+def without_matches(docs: DataFrame, items: DataFrame, folder: str | None = None, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = RATE, whole_words: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in which no item stands. Of several blocks each drops its rows from what the one before has left."""
+    folder = folder or packed.shared_folder(docs.sparkSession)
+    for b, block in enumerate(item_blocks(item_texts(items, item_text, folder), block_bytes)):
+        if b:
+            docs = packed.table(docs, folder, f"left{b}")
 
         def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
+            matcher = Matcher(block, rate, whole_words)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.matches(x.as_py()) for x in batch.column(batch.schema.get_field_index(text))], pa.bool_()))
 

@@ -1,8 +1,8 @@
 """Quality filtering by weak supervision.
 
-Ten rules look at a text and vote good, vote bad or abstain. Nobody has labelled anything: expectation-maximisation over the votes
+Nine rules look at a text and vote good, vote bad or abstain. Nobody has labelled anything: expectation-maximisation over the votes
 estimates how often each rule votes what on good and on bad texts, and the posterior probability of being good takes the place of a
-filter that every rule must pass. The rules' votes make at most 3 ** 10 patterns, so the estimate needs the count of each pattern and
+filter that every rule must pass. The rules' votes make at most 3 ** 9 patterns, so the estimate needs the count of each pattern and
 nothing else: the corpus is read once, and what reaches the driver is bounded by the number of rules.
 
 Null, empty and blank texts have no words, fail the base rule and are not kept. Texts of any length are read whole. Repeated rows
@@ -38,65 +38,85 @@ RULES = {
     "symbols": (lambda f: f["n_symbols"] / np.maximum(f["n_words"], 1), 0.02, 0.2),
     "duplicate_lines": (lambda f: f["n_dup_lines"] / np.maximum(f["n_lines"], 1), 0.1, 0.3),
     "repeats": (lambda f: f["n_repeat_words"] / np.maximum(f["n_words"], 1), 0.02, 0.1),
-    "sentences": (lambda f: f["n_marks"] / np.maximum(f["n_words"], 1), 0.015, 0.004),
     "shouting": (lambda f: f["n_upper"] / np.maximum(f["n_letters"], 1), 0.12, 0.4),
     "letters": (lambda f: f["n_letters"] / np.maximum(f["n_bytes"], 1), 0.75, 0.6),
     "bare_marks": (lambda f: f["n_bare"] / np.maximum(f["n_words"], 1), 0.03, 0.12),
-    "marks": (lambda f: f["n_marks"] / np.maximum(f["n_words"], 1), 0.3, 0.6),
+    "marks": (lambda f: np.abs(np.log2(f["n_marks"] / np.maximum(f["n_words"], 1) / 0.067 + 1e-9)), 2.16, 3.16),
 }
 
 
-def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
+def _sums(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])[bounds])
 
 
-def repeated_words(words: np.ndarray) -> int:
-    """Words of one text that lie in a window that it holds at least twice."""
-    if len(words) <= WINDOW:
-        return 0
-    _, inverse, counts = np.unique(kernels.shingles(words, WINDOW), return_inverse=True, return_counts=True)
-    hit = np.flatnonzero(counts[inverse] > 1)
-    starts, ends = kernels.covered(hit, hit + WINDOW)
-    return int((ends - starts).sum())
+def repeated_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text (words first[k] to first[k + 1]) its words in a window of five that it holds at least twice.
 
-
-def repeated_lines(line: np.ndarray, solid: np.ndarray) -> int:
-    """Lines of one text with a word that equal an earlier one."""
-    own = line[solid]
-    return len(own) - len(np.unique(own))
+    Windows whose hash comes again are told apart by the bytes of their words.
+    """
+    n = len(hashes) - WINDOW + 1
+    if n < 1:
+        return np.zeros(len(first) - 1, np.int64)
+    text = np.searchsorted(first, np.arange(n), side="right") - 1
+    inside = np.flatnonzero(np.arange(n) + WINDOW <= first[text + 1])
+    windows = kernels.shingles(hashes, WINDOW)[inside] ^ kernels.mix(text[inside].astype(np.uint64), 80)
+    ordered = np.sort(windows)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(again):
+        return np.zeros(len(first) - 1, np.int64)
+    at = np.minimum(np.searchsorted(again, windows), len(again) - 1)
+    maybe = inside[again[at] == windows]
+    words = np.unique((maybe[:, None] + np.arange(WINDOW)).ravel())
+    _, exact = kernels.distinct(data, starts[words], ends[words], hashes[words])
+    five = exact[np.searchsorted(words, maybe[:, None] + np.arange(WINDOW))]
+    _, own, counts = np.unique(np.column_stack([text[maybe], five]), axis=0, return_inverse=True, return_counts=True)
+    hit = maybe[counts[own.ravel()] > 1]
+    edges = np.zeros(len(hashes) + 1, np.int32)
+    edges[hit] += 1
+    edges[hit + WINDOW] -= 1
+    return _sums(np.cumsum(edges[:-1]) > 0, first)
 
 
 def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
-    """COUNTS and n_bytes of every text."""
+    """COUNTS and n_bytes of every text. Words and lines are found by hashes and told apart by bytes."""
     data, offsets = kernels.column_bytes(column)
-    parts = []
-    for a, b in kernels.slices(offsets):
-        raw, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts, ends, first = kernels.word_spans(raw, at)
-        prefix = kernels.prefix_hash(raw)
-        words = kernels.span_hash(prefix, starts, ends)
-        solid = ~kernels.SPACE[raw]
-        breaks = np.flatnonzero(raw == 10)
-        line_starts = np.unique(np.concatenate([at[:-1], breaks + 1]))
-        line_starts = line_starts[(line_starts < len(raw)) | np.isin(line_starts, at[:-1])]
-        text_of = np.searchsorted(at, line_starts, side="right") - 1
-        line_ends = np.minimum(np.concatenate([breaks, [len(raw)]])[np.searchsorted(breaks, line_starts)], at[text_of + 1])
-        lines = kernels.span_hash(prefix, line_starts, line_ends)
-        total = np.concatenate([[0], np.cumsum(solid)])
-        with_word = total[line_ends] > total[line_starts]
-        line_first = np.searchsorted(text_of, np.arange(b - a + 1))
-        lead = solid & ((raw & 0xC0) != 0x80)
-        pairs = list(zip(first[:-1].tolist(), first[1:].tolist(), line_first[:-1].tolist(), line_first[1:].tolist(), strict=True))
-        parts.append({
-            "n_words": np.diff(first), "word_chars": _sums(lead, at), "n_symbols": _sums(SYMBOLS[raw], at),
-            "n_dup_lines": np.array([repeated_lines(lines[c:d], with_word[c:d]) for _, _, c, d in pairs], np.int64),
-            "n_repeat_words": np.array([repeated_words(words[c:d]) for c, d, _, _ in pairs], np.int64),
-            "n_lines": np.diff(np.concatenate([[0], np.cumsum(with_word)])[line_first]),
-            "n_upper": _sums(UPPER[raw], at), "n_letters": _sums(LETTERS[raw], at), "n_bare": np.diff(np.concatenate([[0], np.cumsum((ends - starts == 1) & ~LETTERS[raw[starts]])])[first]), "n_marks": _sums(MARKS[raw], at), "n_bytes": _sums(solid, at),
-        })
+    parts = [_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in kernels.slices(offsets)]
     return {c: np.concatenate([np.zeros(0, np.int64), *(p[c] for p in parts)]) for c in (*COUNTS, "n_bytes")}
 
 
+def _counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    n = len(offsets) - 1
+    out = {c: np.zeros(n, np.int64) for c in (*COUNTS, "n_bytes")}
+    breaks = np.flatnonzero(data == 10)
+    spans, hashes = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [np.zeros(0, np.uint64)]
+    for part, a, starts, ends in kernels.words_of(data, offsets, lower=False):
+        b = a + len(part)
+        low = int(np.searchsorted(offsets, a, side="right")) - 1
+        high = int(np.searchsorted(offsets, b))
+        bounds = np.clip(offsets[low : high + 1] - a, 0, b - a)
+        solid = ~kernels.SPACE[part]
+        bare = np.zeros(len(part), bool)
+        bare[starts[ends - starts == 1]] = True
+        for name, mask in (("word_chars", solid & ((part & 0xC0) != 0x80)), ("n_symbols", SYMBOLS[part]), ("n_upper", UPPER[part]), ("n_letters", LETTERS[part]), ("n_bare", bare & ~LETTERS[part]), ("n_marks", MARKS[part]), ("n_bytes", solid)):
+            out[name][low:high] += _sums(mask, bounds)
+        spans.append((starts + a, ends + a))
+        hashes.append(kernels.span_hash(part, starts, ends))
+    starts, ends = (np.concatenate(x) for x in zip(*spans, strict=True))
+    first = np.searchsorted(starts, offsets)
+    out["n_words"] = np.diff(first)
+    out["n_repeat_words"] = repeated_words(data, starts, ends, np.concatenate(hashes), first)
+    # lines with a word: where each word's line begins, once for each
+    text = np.repeat(np.arange(n), np.diff(first))
+    begin = np.maximum(np.append(breaks + 1, 0)[np.searchsorted(breaks, starts) - 1], offsets[text])
+    new = np.append(True, begin[1:] != begin[:-1])[: len(begin)]
+    begin, text = begin[new], text[new]
+    end = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, begin)], offsets[text + 1])
+    _, line = kernels.distinct(data, begin, end, kernels.span_hash(data, begin, end))
+    out["n_lines"] = np.bincount(text, minlength=n)
+    out["n_dup_lines"] = out["n_lines"] - np.bincount(np.unique(text * (len(begin) + 1) + line) // (len(begin) + 1), minlength=n)
+    return out
+
+
 def votes(found: dict[str, np.ndarray]) -> np.ndarray:
     """The rules' votes as one number with a base-3 digit for each rule."""
     out, scale = np.zeros(len(found["n_words"]), np.int64), 1
@@ -150,7 +170,7 @@ def judge(docs: DataFrame, folder: str | None = None, *, text: str = "text", kee
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c} long" for c in COUNTS), "pattern long"])
     rows = packed.table(docs.mapInArrow(run, schema), folder, "votes").withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
-    counted = rows.filter("not base_failed").groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 3 ** 10 rows
+    counted = rows.filter("not base_failed").groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 3 ** 9 rows
     posterior = estimate([r["pattern"] for r in counted], [r["n"] for r in counted])
     spark = docs.sparkSession
     judged = F.broadcast(spark.createDataFrame([(r["pattern"], float(posterior[r["pattern"]])) for r in counted], "pattern long, quality double"))

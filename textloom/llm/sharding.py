@@ -5,8 +5,9 @@ cut into runs of equal row counts. Rows near each other in all dimensions share
 prune files.
 
 No global sort is needed. Cells are counted (the grid bounds their number, so the counts may be broadcast), large cells are split by
-a hash of the key into parts of about ``PART_ROWS`` rows, a running sum over the parts gives each its offset, and a row's rank is
-its offset plus its place within its part. A hot cell is thus never in one task.
+a hash of the row into parts of about ``PART_ROWS`` rows, running sums over the cells and over each cell's parts give each part its
+offset, and a row's rank is its offset plus its place within its part. A hot cell or key is thus never in one task, and rows that are
+the same throughout go as one with their number.
 
 Nulls: a null text has no bytes (size 8, checksum 0), a null category is a category of its own, a null or negative number is 0, a
 null key sorts first. Rows that repeat each other get slots of their own. An empty table gives no rows.
@@ -14,6 +15,7 @@ null key sorts first. Rows that repeat each other get slots of their own. An emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 #: Bits of each dimension.
 BITS = 4
 #: Rows of a part of a cell, about.
-PART_ROWS = 1 << 16
+PART_ROWS = 1 << 10
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -80,17 +82,18 @@ def hilbert_shards(rows: DataFrame, axes: Sequence[Column], *, key: str, shards:
         raise ValueError("the grid is too large to broadcast the counts of its cells")
     cell = sum((a.cast("int") * F.lit(1 << (bits * k)) for k, a in enumerate(axes)), F.lit(0))
     coordinate = [F.shiftright("cell", bits * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(len(axes))]
-    cells = rows.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).select("cell", curve_index(coordinate, bits).alias("curve"), F.ceil(F.col("n") / PART_ROWS).alias("parts"))
-    cells = F.broadcast(cells)  # at most 2 ** 20 rows, by the grid
-    part = F.pmod(F.xxhash64("row_key"), F.col("parts")).alias("part")
-
-    counted = rows.select(cell.alias("cell"), F.col(key).alias("row_key")).join(cells, "cell").groupBy("curve", part).agg(F.count("*").alias("n"))
-    order = Window.orderBy("curve", "part")
-    offsets = counted.select("curve", "part", (F.sum("n").over(order) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total"))
-
-    kept = rows.select(F.struct(*keep).alias("kept"), cell.alias("cell"), F.col(key).alias("row_key")).join(cells, "cell").select("kept", "row_key", "curve", part)
-    within = F.row_number().over(Window.partitionBy("curve", "part").orderBy("row_key", "kept"))
-    ranked = kept.withColumn("place", within).join(offsets, ["curve", "part"]).withColumn("rank", F.col("offset") + F.col("place") - 1)
+    order = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).select("cell", "n", curve_index(coordinate, bits).alias("curve"), F.ceil(F.col("n") / PART_ROWS).alias("parts"))
+    cells = F.broadcast(cells.select("cell", "curve", "parts", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total")))  # at most 2 ** 20 rows, by the grid
+
+    # rows that are the same go as one with their number
+    same = rows.select(F.struct(*keep).alias("kept"), cell.alias("cell"), F.col(key).alias("row_key")).groupBy("cell", "row_key", "kept").agg(F.count("*").alias("times"))
+    same = same.join(cells, "cell").withColumn("part", F.pmod(F.xxhash64("row_key", "kept"), F.col("parts")))
+    parts = same.groupBy("curve", "part").agg(F.sum("times").alias("n"))
+    offsets = parts.select("curve", "part", (F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")).alias("offset"))
+    upto = F.sum("times").over(Window.partitionBy("curve", "part").orderBy("row_key", "kept").rowsBetween(Window.unboundedPreceding, 0))
+    placed = same.withColumn("place", upto - F.col("times")).join(offsets, ["curve", "part"])
+    ranked = placed.select("kept", "curve", "total", "before", "offset", "place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("copy")).withColumn("rank", F.expr("before + offset + place + copy"))
     shard = F.expr(f"rank * {shards} div total")
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
     return ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - first).select("kept.*", "curve", F.col("shard").cast("int"), F.col("slot").cast("long"))
@@ -104,7 +107,7 @@ def query(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One sorted file for each shard below path, as shard=N."""
-    shards = sharded.agg(F.max("shard")).first()[0]
-    sharded.repartitionByRange((shards or 0) + 1, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 1 << 20) -> None:
+    """Sorted files of about so many rows for each shard below path, as shard=N."""
+    files = math.ceil(sharded.count() / rows_per_file)
+    sharded.repartitionByRange(max(1, files), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -4,12 +4,13 @@ A string of ``length`` bytes is a repeat if it also starts earlier. Any such str
 32-byte strings in it, so equal strings hold equal anchors at equal offsets, and only anchors (two in seventy bytes) have to
 meet. They meet in three steps:
 
-1. each chunk sends a short hash of every anchor and a hash of its context (everything that a string around it can reach); equal
-   contexts within a chunk are settled there;
-2. a bucket settles equal contexts across chunks, and tells which anchors also stand in other contexts;
+1. each chunk sends a short hash of every anchor and two hashes of its context (everything that a string around it can reach); equal
+   contexts within a chunk are settled there, byte by byte;
+2. a bucket settles equal contexts across chunks (by 160 bits of independent hashes: to send the bytes of each would move several
+   times the input), and tells which anchors also stand in other contexts;
 3. of these the chunk sends the context's bytes. Their suffixes to the right and prefixes to the left of the anchor are sorted by
    a merge sort that compares by the longest common extension, found by binary search over prefix polynomial hashes, and each
-   extension between neighbours is verified byte by byte. Two strings are equal when they lie in one run of both orders.
+   extension between neighbours is verified byte by byte (should a hash have misled, all is sorted again by bytes). Two strings are equal when they lie in one run of both orders.
 
 Of an anchor with very many contexts a chunk sends ``SENT`` in step 1, with the number of the others. Where all chunks together
 have more than ``MANY``, the contexts never meet: each chunk settles the strings around its own, and sends every distinct one once,
@@ -35,67 +36,78 @@ from textloom.llm import kernels, packed
 ANCHOR = 32
 #: Bytes of text in a chunk. Anchors gain little from larger ones, and small rows keep the executors' heaps small.
 CHUNK_BYTES = 1 << 20
+#: The base of the polynomial hashes.
+BASE = 0x9E3779B97F4A7C55
 #: Contexts of one anchor that a chunk sends to settle, and the number from which an anchor's contexts are compared string by string.
 SENT, MANY = 4, 4096
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, their hashes, and the context [low, high) of each."""
+    """Places of the anchors, their hashes, and the context [low, high) of each. Long texts are read in overlapping pieces."""
     n, gap = len(data), length - ANCHOR
-    none = np.zeros(0, np.int64)
-    sizes = np.diff(offsets)
-    if n < length or sizes.max() < length:
-        return none, none.astype(np.uint64), none, none
-    prefix = kernels.prefix_hash(data)
-    at = np.arange(n - ANCHOR + 1)
-    hashes = kernels.span_hash(prefix, at, at + ANCHOR)
-    bits = np.uint64(max(24, n.bit_length()))
-    low_bits = (np.uint64(1) << bits) - np.uint64(1)
-    least = (hashes & ~low_bits) | at.astype(np.uint64)
-    width = 1
-    while 2 * width <= gap + 1:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < gap + 1:
-        least = np.minimum(least[: len(least) - (gap + 1 - width)], least[gap + 1 - width :])
-    inside = np.zeros(n + 1, np.int8)  # +1 where starts of whole strings begin, -1 where they end
-    long = sizes >= length
-    np.add.at(inside, offsets[:-1][long], 1)
-    np.add.at(inside, offsets[1:][long] - length + 1, -1)
-    place = (least & low_bits).astype(np.int64)[np.flatnonzero(np.cumsum(inside, dtype=np.int8)[: len(least)] > 0)]
-    place = place[np.append(True, place[1:] != place[:-1])] if len(place) else place
+    places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    low_bits = np.uint64((1 << 24) - 1)
+    begins, stops = offsets[:-1], offsets[1:] - length + 1  # starts of whole strings
+    begins, stops = begins[stops > begins], stops[stops > begins]
+    for a in range(0, max(0, n - length + 1), kernels.SLICE):
+        b = min(n - length + 1, a + kernels.SLICE)
+        own = slice(np.searchsorted(stops, a, side="right"), np.searchsorted(begins, b))
+        if own.start >= own.stop:
+            continue
+        inside = np.zeros(b - a + 1, np.int32)
+        np.add.at(inside, np.maximum(begins[own] - a, 0), 1)
+        np.add.at(inside, np.minimum(stops[own] - a, b - a), -1)
+        part = data[a : b + length - 1]
+        eight = kernels.mix(kernels.loads(part)[: len(part) - 7], 70)
+        m = len(part) - ANCHOR + 1
+        hashes = eight[:m].copy()
+        for k, odd in enumerate((0x9E3779B97F4A7C55, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F), 1):
+            hashes += eight[8 * k : 8 * k + m] * np.uint64(odd)
+        hashes = kernels.mix(hashes, 71)
+        least = (hashes & ~low_bits) | np.arange(m, dtype=np.uint64)
+        width = 1
+        while 2 * width <= gap + 1:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if width < gap + 1:
+            least = np.minimum(least[: len(least) - (gap + 1 - width)], least[gap + 1 - width :])
+        place = (least & low_bits).astype(np.int64)[np.flatnonzero(np.cumsum(inside[:-1]) > 0)]
+        place = place[np.append(True, place[1:] != place[:-1])] if len(place) else place
+        places.append(place + a)
+        found.append(hashes[place])
+    place, own = np.unique(np.concatenate(places), return_index=True)
     text = np.searchsorted(offsets, place, side="right") - 1
-    return place, hashes[place], np.maximum(offsets[text], place - gap), np.minimum(offsets[text + 1], place + length)
+    return place, np.concatenate(found)[own], np.maximum(offsets[text], place - gap), np.minimum(offsets[text + 1], place + length)
 
 
 def local(rows: pa.Table, text: str, key: str, length: int):
-    """The anchors of a chunk that are first there with their context, in hash order, and the spans that the others cover."""
+    """The anchors of a chunk that are first there with their context, in hash order, and the spans that the others cover.
+
+    Within the chunk equal contexts are told by their bytes, and their two hashes are for the bucket.
+    """
     data, offsets = kernels.column_bytes(rows.column(text))
-    ids = rows.column(key).cast(pa.int64())
-    known = pc.fill_null(ids, -(2**63)).to_numpy()
-    found = []
-    for a, b in kernels.slices(offsets):
-        part, at = data[offsets[a] : offsets[b]], offsets[a]
-        place, hashes, low, high = anchors(part, offsets[a : b + 1] - at, length)
-        context = kernels.span_hash(kernels.prefix_hash(part, 1), low, high, 1) ^ kernels.mix((place - low).astype(np.uint64), 3)
-        found.append((place + at, hashes, low + at, high + at, context))
-    place, hashes, low, high, context = (np.concatenate(x) for x in zip(*found, strict=True))
+    known = pc.fill_null(rows.column(key).cast(pa.int64()), -(2**63)).to_numpy()
+    place, hashes, low, high = anchors(data, offsets, length)
+    words, lead = kernels.loads(data), kernels.mix((place - low).astype(np.uint64), 3)
+    one, two = (kernels.span_hash(data, low, high, salt, words) ^ lead for salt in (1, 2))
     doc = known[np.searchsorted(offsets, place, side="right") - 1] if len(place) else place
-    order = np.lexsort((place, doc, context, hashes))
-    hashes, context, place, low, high, doc = (x[order] for x in (hashes, context, place, low, high, doc))
+    order = np.lexsort((place, doc, two, one, hashes))
+    hashes, one, two, place, low, high, doc = (x[order] for x in (hashes, one, two, place, low, high, doc))
     new = np.ones(len(place), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (context[1:] != context[:-1])
-    return data, offsets, hashes[new], context[new], place[new], low[new], high[new], doc[new], low[~new], high[~new]
+    new[1:] = (hashes[1:] != hashes[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (np.diff(high - low) != 0)
+    again = np.flatnonzero(~new)
+    new[again] = ~kernels.same_spans(data, low[again], data, low[again - 1], (high - low)[again])
+    return data, offsets, hashes[new], np.stack([one[new], two[new]]), place[new], low[new], high[new], doc[new], low[~new], high[~new]
 
 
 def flags(hashes: np.ndarray, contexts: np.ndarray, docs: np.ndarray, chunks: np.ndarray, more: np.ndarray, many: int = MANY) -> np.ndarray:
-    """0: nothing to do, 1: the same context stands earlier, 2: first of its context, but the anchor has others; and 4 if it has over ``many``, with ``more`` that were not sent."""
-    order = np.lexsort((chunks, docs, contexts, hashes))
-    h, c = hashes[order], contexts[order]
+    """0: nothing to do, 1: the same context stands earlier, 2: first of its context, but the anchor has others; and 4 if it has over ``many``, with ``more`` that were not sent. contexts: two hashes each."""
+    order = np.lexsort((chunks, docs, contexts[1], contexts[0], hashes))
+    h, c = hashes[order], contexts[:, order]
     group = np.ones(len(h), bool)
     group[1:] = h[1:] != h[:-1]
     first = group.copy()
-    first[1:] |= c[1:] != c[:-1]
+    first[1:] |= (c[:, 1:] != c[:, :-1]).any(0)
     which = np.cumsum(group) - 1
     total = np.bincount(which, first + more[order].astype(float))[which] if len(h) else np.zeros(0)
     out = np.zeros(len(h), np.uint8)
@@ -120,7 +132,8 @@ def strings(data: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarr
     starts = np.repeat(low, count) + kernels.ranges(count)
     starts, own = np.unique(starts, return_index=True)
     docs = np.repeat(docs, count)[own]
-    one, two = (kernels.span_hash(kernels.prefix_hash(data, *k), starts, starts + length, *k) for k in ((), (1,)))
+    words = kernels.loads(data)
+    one, two = (kernels.span_hash(data, starts, starts + length, salt, words) for salt in (3, 4))
     order = np.lexsort((starts, docs, two, one))
     one, two, starts, docs = one[order], two[order], starts[order], docs[order]
     new = np.ones(len(order), bool)
@@ -132,21 +145,37 @@ class Suffixes:
     """Suffixes of one buffer, each with an end, sorted within groups."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-        self.data, self.starts, self.lengths = np.append(data, np.uint8(0)), starts, lengths
-        self.prefix = kernels.prefix_hash(data)
-        self.inverse = kernels.powers(len(self.prefix))[1]
+        self.data, self.starts, self.lengths, self.exact = np.append(data, np.uint8(0)), starts, lengths, False
+        self.powers = np.full(len(data) + 1, BASE, np.uint64)
+        self.powers[0] = 1
+        np.cumprod(self.powers, out=self.powers)
+        self.prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:-1], out=self.prefix[1:])
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common bytes of the suffixes x and y, by binary search over the prefix hashes."""
+        if self.exact:
+            return self.common(x, y)
         a, b = self.starts[x], self.starts[y]
         low, high = np.zeros(len(x), np.int64), np.minimum(self.lengths[x], self.lengths[y])
-        base_a, base_b, inv_a, inv_b = self.prefix[a], self.prefix[b], self.inverse[a], self.inverse[b]
+        base_a, base_b, up_a, up_b = self.prefix[a], self.prefix[b], self.powers[a], self.powers[b]
         while (low < high).any():
             mid = (low + high + 1) >> 1
-            same = (self.prefix[a + mid] - base_a) * inv_a == (self.prefix[b + mid] - base_b) * inv_b
+            same = (self.prefix[a + mid] - base_a) * up_b == (self.prefix[b + mid] - base_b) * up_a
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Common bytes of the suffixes x and y, byte by byte."""
+        words, limit = kernels.loads(self.data), np.minimum(self.lengths[x], self.lengths[y])
+        out, own, at = np.zeros(len(x), np.int64), np.flatnonzero(limit), 0
+        while len(own):
+            other = words[self.starts[x[own]] + at] ^ words[self.starts[y[own]] + at]
+            least = np.maximum(other & (~other + np.uint64(1)), np.uint64(1))
+            out[own] = np.minimum(limit[own], at + np.where(other == 0, 8, np.log2(least.astype(float)).astype(np.int64) // 8))
+            own, at = own[(other == 0) & (limit[own] > at + 8)], at + 8
+        return out
+
     def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         n = self.extension(x, y)
         over_x, over_y = self.lengths[x] == n, self.lengths[y] == n
@@ -178,16 +207,24 @@ class Suffixes:
             order, width = merged, 2 * width
         return order
 
-    def neighbours(self, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Common bytes of each suffix in order with the one before it (-1 at a group's start), checked byte by byte."""
+    def neighbours(self, order: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Common bytes of each suffix in order with the one before it (-1 at a group's start), and whether the hashes say the same as the bytes."""
         out = np.full(len(order), -1, np.int64)
-        at = np.flatnonzero(begin[np.arange(len(order))] != np.arange(len(order)))
-        n = self.extension(order[at - 1], order[at])
-        x, y = kernels.gather(self.data, self.starts[order[at - 1]], n), kernels.gather(self.data, self.starts[order[at]], n)
-        if not np.array_equal(x, y):
-            raise ValueError("two strings share a hash")
-        out[at] = n
-        return out
+        at = np.flatnonzero(begin != np.arange(len(order)))
+        out[at] = self.common(order[at - 1], order[at])
+        return out, self.exact or np.array_equal(out[at], self.extension(order[at - 1], order[at]))
+
+
+def sorted_suffixes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order within their groups, and each one's common bytes with the one before. Where two strings share a hash, all is sorted again by bytes."""
+    held = Suffixes(data, starts, lengths)
+    order = held.sort(begin, end)
+    common, right = held.neighbours(order, begin)
+    if not right:
+        held.exact = True
+        order = held.sort(begin, end)
+        common, _ = held.neighbours(order, begin)
+    return order, common
 
 
 def repeats(hashes: np.ndarray, rank: np.ndarray, data: np.ndarray, lengths: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,12 +241,8 @@ def repeats(hashes: np.ndarray, rank: np.ndarray, data: np.ndarray, lengths: np.
     begins = np.flatnonzero(new)
     size = np.diff(np.append(begins, len(h)))
     begin, end = np.repeat(begins, size), np.repeat(begins + size, size)
-    right = Suffixes(data, offsets + left, lengths - left)
-    right_order = right.sort(begin, end)
-    right_common = right.neighbours(right_order, begin)
-    back = Suffixes(data[::-1].copy(), len(data) - offsets - left, left)
-    left_order = back.sort(begin, end)
-    left_common = back.neighbours(left_order, begin)
+    right_order, right_common = sorted_suffixes(data, offsets + left, lengths - left, begin, end)
+    left_order, left_common = sorted_suffixes(data[::-1].copy(), len(data) - offsets - left, left, begin, end)
     found_least, found_most = np.full(len(h), gap + 1, np.int64), np.full(len(h), -1, np.int64)
     run_right, run_left = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
     for before in range(gap + 1):
@@ -234,7 +267,7 @@ def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length:
     def ask(chunk: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         _, _, hashes, context, _, _, _, doc, _, _ = local(rows, text, key, length)
         few, more = sent(hashes)
-        hashes, context, doc = hashes[few], context[few], doc[few]
+        hashes, context, doc = hashes[few], context[:, few], doc[few]
         order, cuts = packed.by_bucket(hashes, buckets)
         base = int(doc.min()) if len(doc) else 0
         wide = next(t for t in (np.uint16, np.uint32, np.uint64) if not len(doc) or int(doc.max()) - base <= np.iinfo(t).max)
@@ -242,7 +275,7 @@ def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length:
         for k in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[k] : cuts[k + 1]]
             ids = np.array([int(x) - base for x in doc[own]], wide) if wide is np.uint64 else (doc[own] - base).astype(wide)
-            for column, value in zip(out, (int(k), chunk, (hashes[own] // np.uint64(buckets)).astype(np.uint32).tobytes(), context[own].tobytes(), ids.tobytes(), more[own].tobytes() if more[own].any() else b"", base), strict=True):
+            for column, value in zip(out, (int(k), chunk, (hashes[own] // np.uint64(buckets)).astype(np.uint32).tobytes(), context[:, own].tobytes(), ids.tobytes(), more[own].tobytes() if more[own].any() else b"", base), strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(x, pa.binary()) for x in out[2:6]), pa.array(out[6], pa.int64())], ["bucket", "chunk", "hashes", "contexts", "docs", "more", "base"])
 
@@ -254,7 +287,7 @@ def repeated_spans(docs: DataFrame, folder: str, *, text: str, key: str, length:
             ids = np.frombuffer(x, {2: np.uint16, 4: np.uint32, 8: np.uint64}[len(x) // count])
             docs.append((ids + np.uint64(base % 2**64)).astype(np.int64) if ids.dtype == np.uint64 else ids.astype(np.int64) + base)
         more = np.concatenate([np.frombuffer(x, np.uint32) if x else np.zeros(m, np.uint32) for x, m in zip(packed.column(asked, "more"), n.tolist(), strict=True)])
-        out = flags(np.concatenate(hashes), np.frombuffer(b"".join(packed.column(asked, "contexts")), np.uint64), np.concatenate(docs), np.repeat(asked.column("chunk").to_numpy(), n), more, many)
+        out = flags(np.concatenate(hashes), np.concatenate([np.frombuffer(x, np.uint64).reshape(2, -1) for x in packed.column(asked, "contexts")], 1), np.concatenate(docs), np.repeat(asked.column("chunk").to_numpy(), n), more, many)
         cuts = np.cumsum(n) - n
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "flags": pa.array([out[a : a + m].tobytes() for a, m in zip(cuts, n, strict=True)], pa.binary())})
 
@@ -340,21 +373,23 @@ def remove_repeats(docs: DataFrame, folder: str | None = None, *, text: str = "t
     def cut(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
         data, offsets = kernels.column_bytes(rows.column(text))
         starts, ends = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in packed.column(got, c))]) for c in ("starts", "ends"))
-        # a run never crosses from one text into the next, even where both touch
         edges = np.zeros(len(data) + 1, np.int8)
         starts, ends = kernels.covered(starts, ends)
         edges[starts] += 1
         edges[ends] -= 1
         gone = np.cumsum(edges[:-1], dtype=np.int8) > 0
-        begins = gone.copy()
-        if len(data):
-            begins[1:] &= ~gone[:-1]
-            first = offsets[:-1][offsets[:-1] < len(data)]
-            begins[first] = gone[first]
-        total, runs = (np.concatenate([[0], np.cumsum(x, dtype=np.int32 if len(x) < 2**31 else np.int64)])[offsets].astype(np.int64) for x in (gone, begins))
-        bounds = offsets - total
+        # a run never crosses from one text into the next, even where both touch
+        begins, stops = gone.copy(), gone.copy()
+        begins[1:] &= ~gone[:-1]
+        stops[:-1] &= ~gone[1:]
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        begins[inner], stops[inner - 1] = gone[inner], gone[inner - 1]
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        text_of = np.searchsorted(offsets, starts, side="right") - 1
+        total, runs = (np.bincount(text_of, x, len(offsets) - 1).astype(np.int64) for x in (ends - starts, None))
+        bounds = offsets - np.concatenate([[0], np.cumsum(total)])
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data[~gone].tobytes())])
-        return pa.table({**{f.name: rows.column(f.name) for f in fields}, "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(np.diff(total)), "n_spans": pa.array(np.diff(runs)), "kept": pa.array([x.as_py().decode(errors="ignore") for x in kept], pa.string()) if characters else kept.cast(pa.binary())})
+        return pa.table({**{f.name: rows.column(f.name) for f in fields}, "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(total), "n_spans": pa.array(runs), "kept": pa.array([x.as_py().decode(errors="ignore") for x in kept], pa.string()) if characters else kept.cast(pa.binary())})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"n_bytes long, n_removed long, n_spans long, kept {'string' if characters else 'binary'}"])
     return chunks.with_answers(spans, cut, schema)
