@@ -182,12 +182,18 @@ def test_op4_toxicity(spark, spoken, docs, empty):
     assert blank[0] == blank[1] < 0.7
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.query(docs, none).count() == docs.count()
+    assert all(r["held_out"] is not None for r in toxicity.query(docs, none).collect())
+    few = labels.filter("doc_id < 12")
+    for some in (none, few):  # few or no labels give a lexicon too
+        said = spark.createDataFrame([(9001, "you idiot"), (9002, "what a fine day")], "doc_id long, text string")
+        got = {r["doc_id"]: r["score"] for r in toxicity.query(said.union(rows), some).collect()}
+        assert got[9001] > got[9002] and got[9002] < 0.7
     assert toxicity.query(empty, none).count() == 0
 
 
 def test_grammar_reads_clauses():
-    scorer = toxicity.Scorer(toxicity.Model({"grumbo": 2.0}, {"snarf": 1.0}, -3.0, 3.0))
-    total = lambda t: sum(scorer.clauses(t))
+    scorer = toxicity.Scorer(toxicity.Model({"grumbo": 2.0}, {"snarf": 1.0}, (-3.0, 3.0, 0.0)))
+    total = lambda t: sum(scorer.clauses(t)[0])
     assert total("you grumbo") > total("a grumbo") > total("not a grumbo") > 0
     assert total("he said grumbo") < total("you grumbo")
     assert total("nothing here") == 0 and total(None) == 0

@@ -3,12 +3,14 @@
 Words are read as symbols: insult, threat, target, negation, speech verb, quote, or any other. Three transducers are composed into
 one machine: negation marks what it scopes over, reported speech marks what others are said to have said, and the scorer weighs
 what is left, more if the clause aims at someone. The machine runs over clauses, so what counts is a matched clause and not a word
-alone; an insult's own weight is its log-odds in the labelled texts. A logistic curve over the sum makes the score.
+alone; an insult's own weight is its log-odds in the labelled texts. A logistic curve over the sum, and over the length of a text
+with a match (long ones match more by chance), makes the score.
 
 The lexicon is learned: whole words and word beginnings that stand in many toxic and hardly any clean texts of a sample of at most
-``sample`` labelled rows of each label, chosen by a hash of doc_id, near copies (by a min-hash of their shingles) counted once. Labels, language, source and doc_id are no inputs of a score.
-Without labelled rows of both kinds a short fixed lexicon serves. Null and empty texts score like texts without a match. Repeated
-label rows count once each; labels that are neither 0 nor 1 don't count.
+``sample`` labelled rows of each label, chosen by a hash of doc_id, equal texts counted once. A short list of known words counts as
+if it stood in ``PRIOR`` further texts, so that few or no labels give a lexicon too. Labels, language, source and doc_id are no inputs
+of a score. A null doc_id counts as an empty one where held_out is told, and has no label. Null and empty texts score like texts
+without a match. Repeated label rows count once each; labels that are neither 0 nor 1 don't count.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from textloom.llm import kernels
 
 #: Labelled rows of each label that are learned from, at most.
 SAMPLE = 3000
-#: Terms of the lexicon at most; the share of toxic texts that a term stands in, and its odds, at least.
-TERMS, SUPPORT, ODDS = 4000, 0.02, 20.0
+#: The share of toxic texts that a term stands in, and its odds, at least.
+SUPPORT, ODDS = 0.015, 20.0
+#: Toxic texts with every known word, and clean ones without, that count besides the sample.
+PRIOR = 5, 50
 BEGINNINGS = (4, 5, 6, 7)
 
 # Fixed word lists of the grammar.
@@ -95,8 +99,8 @@ def grammar(scope: int = 3, denied: float = 0.5, reported: float = 0.5, aimed: f
 class Model(NamedTuple):
     words: dict[str, float]
     beginnings: dict[str, float]
-    bias: float
-    slope: float
+    #: weights of 1, the logarithm of the clauses' sum, and that of the words of a text with a match
+    curve: tuple[float, float, float]
 
 
 class Scorer:
@@ -124,31 +128,37 @@ class Scorer:
                 self.memo[token] = got
         return got
 
-    def clauses(self, text: str | None) -> list[float]:
-        """The weights of the clauses that match."""
+    def clauses(self, text: str | None) -> tuple[list[float], int]:
+        """The weights of the clauses that match, and the words of a text in which any might."""
         text = (text or "").lower()
         if next(iter(self.any.iter(text)), None) is None:
-            return []
-        out, total, state = [], 0.0, 0
+            return [], 0
+        out, total, state, words = [], 0.0, 0, 0
         for token in TOKEN.findall(text):
             if token[0] in ".!?;:\n":
                 if total:
                     out.append(total)
                 total, state = 0.0, 0
                 continue
+            words += 1
             symbol, weight = self.symbol(token)
             state, factor = self.steps[state, symbol]
             total += factor * weight
-        return [*out, total] if total else out
+        return [*out, total] if total else out, words
+
+    def evidence(self, text: str | None) -> tuple[tuple[float, float], int]:
+        """What the curve looks at, and the number of clauses that match."""
+        found, words = self.clauses(text)
+        return ((math.log1p(sum(found)), math.log1p(words)) if found else (0.0, 0.0)), len(found)
 
     def score(self, text: str | None) -> tuple[float, int]:
-        found = self.clauses(text)
-        x = self.model.bias + self.model.slope * math.log1p(sum(found))
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, x)))), len(found)
+        (total, words), n = self.evidence(text)
+        bias, slope, length = self.model.curve
+        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, bias + slope * total + length * words)))), n
 
 
 def remainder(key: str, by: int) -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % by
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
 
 
 def features(text: str) -> set[str]:
@@ -168,15 +178,8 @@ def labelled(docs: DataFrame, labels: DataFrame, *, text: str, key: str, label:
 
 def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", held_out: int | None = 1, sample: int = SAMPLE) -> Model:
     """The lexicon and the curve, from the labelled rows whose crc32(key) mod 3 is not held_out (None: from all)."""
-    rows = labelled(docs, labels, text=text, key=key, label=label, held_out=held_out, sample=sample)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, first = kernels.word_hashes(*kernels.column_bytes(batch.column(0)))
-            signs = [int(kernels.shingles(words[a:b], 4).min(initial=2**64 - 1)) >> 1 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.int64())], names=["text", "y", "sign"])
-
-    rows = rows.mapInArrow(sign, "text string, y int, sign long").groupBy("sign", "y").agg(F.min("text").alias("text")).select("text", "y")
+    spark = docs.sparkSession
+    rows = labelled(docs, labels, text=text, key=key, label=label, held_out=held_out, sample=sample).groupBy("text", "y").agg(F.lit(1)).select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter(), Counter()
@@ -193,15 +196,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([held[1][t] for t in some], pa.int64()), pa.array([held[0][t] for t in some], pa.int64())], names=["term", "toxic", "clean"])
 
     counts = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = counts.filter("term = '' or toxic >= 5 and toxic > clean").orderBy(F.col("term") != "", F.desc("toxic"), "term").limit(50_000).collect()
-    toxic, clean = (found[0]["toxic"], found[0]["clean"]) if found and found[0]["term"] == "" else (0, 0)
-    if min(toxic, clean) < 10:
-        return Model(dict.fromkeys(SEEDS, 3.0), {}, -4.0, 4.0)
-    scored = []
-    for term, t, c in found[1:]:
-        odds = (t + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1))
-        if t >= max(5, SUPPORT * toxic) and odds >= ODDS:
-            scored.append((math.log(odds), t, term))
+    held = counts.filter("term = ''").first()
+    toxic, clean = (held["toxic"] if held else 0) + PRIOR[0], (held["clean"] if held else 0) + PRIOR[1]
+    known = spark.createDataFrame([(w, PRIOR[0], 0) for w in SEEDS], "term string, toxic long, clean long")
+    counts = counts.filter("term <> ''").union(known).groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    odds = (F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1))
+    # what reaches the driver: of each text of the sample at most 1 / SUPPORT terms, on average
+    scored = [tuple(r) for r in counts.filter((F.col("t") >= max(PRIOR[0], SUPPORT * toxic)) & (odds >= ODDS)).select(F.log(odds), "t", "term").collect()]
     # a beginning goes if one longer term stands in nearly all its texts, and a term if a beginning of it is left
     longer: Counter = Counter()
     for _, t, term in scored:
@@ -214,34 +215,39 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
         stem = term.rstrip("*")
         if longer[term] < 0.9 * t and not any(f"{stem[:n]}*" in chosen for n in BEGINNINGS if n <= len(stem)):
             chosen[term] = weight
-    best = sorted(chosen, key=lambda t: (-chosen[t], t))[:TERMS]
+    best = sorted(chosen, key=lambda t: (-chosen[t], t))
     words, beginnings = {t: chosen[t] for t in best if t[-1] != "*"}, {t[:-1]: chosen[t] for t in best if t[-1] == "*"}
-    raw = Model(words, beginnings, 0.0, 1.0)
+    raw = Model(words, beginnings, (0.0, 1.0, 0.0))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(raw)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([math.log1p(sum(scorer.clauses(x.as_py()))) for x in batch.column(0)], pa.float64()), batch.column(1)], names=["x", "y"])
+            found = [scorer.evidence(x.as_py())[0] for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), batch.column(1)], names=["x", "n", "y"])
 
-    pairs = rows.mapInArrow(weigh, "x double, y int").collect()  # at most 2 * sample pairs of numbers
-    x, y = np.array([p["x"] for p in pairs]), np.array([p["y"] for p in pairs], float)
-    order = np.lexsort((y, x))
+    pairs = rows.mapInArrow(weigh, "x double, n double, y int").collect()  # at most 2 * sample triples of numbers
+    # the prior's texts: such with one known word, and such without any
+    pairs = [(r["x"], r["n"], r["y"], 0.0) for r in pairs] + [(math.log1p(max(chosen.get(w, 0.0) for w in SEEDS)), math.log(50), 1, 1.0)] * PRIOR[0] + [(0.0, 0.0, 0, 1.0)] * PRIOR[1]
+    x, n, y, own = np.array(sorted(pairs)).T
     # each row of the sample stands for as many as its label has
     held = labels.select(key, F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
     held = held if held_out is None else held.filter(remainder(key, 3) != held_out)
     totals = {r["y"]: r["n"] for r in held.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    weight = np.where(y > 0, totals[1] / y.sum(), totals[0] / (len(y) - y.sum()))
-    return Model(words, beginnings, *logistic(x[order], y[order], weight[order]))
+    weight = np.ones(len(y))
+    for kind in (0, 1):
+        drawn = (y == kind) & (own == 0)
+        weight[drawn] = totals.get(kind, 0) / max(drawn.sum(), 1)
+    return Model(words, beginnings, logistic(np.stack([np.ones_like(x), x, n], 1), y, weight))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
-    """Bias and slope of a weighted logistic curve, by Newton's method."""
-    design, beta = np.stack([np.ones_like(x), x], 1), np.zeros(2)
+def logistic(design: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
+    """Weights of the columns of design in a weighted logistic curve, by Newton's method."""
+    beta = np.zeros(design.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (weight * (y - p)) - ridge * beta
-        beta = beta + np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), gradient)
-    return float(beta[0]), float(max(beta[1], 0.0))
+        beta = beta + np.clip(np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(beta)), gradient), -3, 3)
+    return tuple(float(b) for b in beta)
 
 
 def scores(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
