@@ -333,7 +333,7 @@ def test_op8_probabilities_sum_to_one():
     assert np.allclose(np.exp(maxent.class_logs(weights.astype(np.float32), bias, rows)).sum(1), 1, atol=1e-5)
 
 
-def test_op8_gradient_is_the_slope_of_the_likelihood():
+def test_op8_gradient_is_the_slope_of_the_likelihood(monkeypatch):
     random = np.random.default_rng(2)
     model = maxent.Model(random.poisson(0.5, (maxent.FAMILIES * 50, maxent.CLASSES)))
     rows = random.integers(0, 50, (200, maxent.FAMILIES)).astype(np.int32) + 50 * np.arange(maxent.FAMILIES, dtype=np.int32)
@@ -346,6 +346,7 @@ def test_op8_gradient_is_the_slope_of_the_likelihood():
         x = sum(v * model.theta[model.bins[rows[:, k]]][:, None] for k, v in enumerate(value)) + model.theta[-1] * np.log(model.share)
         return (x[np.arange(200), target] - np.log(np.exp(x).sum(1))).sum()
 
+    monkeypatch.setattr(maxent, "CURVED", 1)
     slope, curvature = model.slope(rows, target)
     curvature = curvature.reshape(len(slope), -1)
     for k in np.flatnonzero(np.abs(slope) > 1e-3)[:6]:
