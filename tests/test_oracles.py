@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from textloom.plans import oracles, stream_queries
+from textloom.plans import oracles, queries, source_queries, stream_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,12 +33,12 @@ def plain(x):
     return x.replace(tzinfo=None) if isinstance(x, datetime.datetime) else x
 
 
-@pytest.mark.parametrize("name", sorted(stream_queries.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query(spark, duck, name):
-    df = stream_queries.queries()[name](spark, SF)
+    df = queries.queries()[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    sql = oracles.oracle_sql().get(name)
+    sql = (oracles.oracle_sql() | source_queries.oracle_sql()).get(name)
     if not sql:
         assert len(set(columns)) == len(columns)
         return

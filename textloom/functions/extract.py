@@ -99,11 +99,26 @@ def labs(x: Column) -> Column:
     return F.transform(rows, lambda r: F.struct(F.trim(r["name"]).alias("name"), r["value"].try_cast("double").alias("value"), _some(r["unit"]).alias("unit"), _some(r["range"]).alias("range"), (_some(r["flag"]).isNotNull() | ~F.coalesce(in_range(r["value"].try_cast("double"), r["range"]), F.lit(True))).alias("abnormal")))
 
 
+# A telephone number behind its name, and the named patterns of lines.
+PHONE = r"(?i)(?:phone|tel|هاتف|جوال|موبايل)[:\s]*([\d+\-\s]{7,20})"
+CATALOGUE = {
+    "page_number": r"^(\d+)$",
+    "section_number": r"^(\d+)[-\.]",
+    "medical_term_arabic": r"^(ال)?[أ-ي]+(ية|يّة)?$",
+    "dosage": r"(\d+\.?\d*)\s*(مجم|mg|مل|ml|قرص|مرة)",
+}
+
+
+def named(x: Column) -> Column:
+    """The names of the catalogue's patterns that a line matches, in their order."""
+    return F.array_compact(F.array(*(F.when(x.rlike(pattern), F.lit(name)) for name, pattern in CATALOGUE.items())))
+
+
 def patient(x: Column) -> Column:
     gender = F.lower(_first(x, PATIENT["gender"]))
     allergies = F.flatten(F.transform(_all(x, ALLERGY, 1), lambda a: F.split(a, r"[,،;]")))
     allergies = F.filter(F.transform(allergies, F.trim), lambda a: (a != "") & ~F.lower(a).isin(*NO_ALLERGY))
-    return F.struct(F.trim(_first(x, PATIENT["name"])).alias("name"), ascii_digits(_first(x, PATIENT["age"])).alias("age"), F.when(gender.isin("male", "m", "ذكر"), "male").when(gender.isin("female", "f", "أنثى"), "female").alias("gender"), _first(x, PATIENT["id"]).alias("id"), allergies.alias("allergies"))
+    return F.struct(F.trim(_first(x, PATIENT["name"])).alias("name"), ascii_digits(_first(x, PATIENT["age"])).alias("age"), F.when(gender.isin("male", "m", "ذكر"), "male").when(gender.isin("female", "f", "أنثى"), "female").alias("gender"), _first(x, PATIENT["id"]).alias("id"), F.regexp_replace(_first(x, PHONE), r"^\s+|\s+$", "").alias("phone"), allergies.alias("allergies"))
 
 
 def confidence(record: Column) -> Column:

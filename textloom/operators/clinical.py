@@ -10,6 +10,17 @@ from textloom.functions.normalize import clinical_key
 # The rules as other systems have them.
 INTERACTIONS = [("warfarin", "aspirin", "major", "systematic_review"), ("metformin", "contrast_dye", "major", "expert_opinion"), ("ssri", "tramadol", "major", "cohort_study"), ("amlodipine", "simvastatin", "moderate", "randomised_trial")]
 CONTRAINDICATIONS = [("nsaid", "peptic_ulcer", "contraindicated"), ("metformin", "renal_failure", "contraindicated"), ("beta_blocker", "asthma", "major")]
+INTERACTION_TEXTS = [
+    ("warfarin", "aspirin", "Antiplatelet + anticoagulant synergism increases bleeding risk.", "Increased risk of gastrointestinal and intracranial bleeding.", "Avoid combination. If unavoidable, monitor INR closely.", "ACC/AHA Guideline 2023"),
+    ("metformin", "contrast_dye", "Contrast-induced nephropathy can precipitate lactic acidosis.", "Risk of lactic acidosis in patients with renal impairment.", "Hold metformin 48 h before and after contrast study; check eGFR.", "ESUR Contrast Media Guidelines 2023"),
+    ("ssri", "tramadol", "Serotonin syndrome risk – both increase CNS serotonin.", "Serotonin syndrome: agitation, hyperthermia, rigidity.", "Avoid combination. Use alternative analgesics.", "FDA Drug Safety Communication"),
+    ("amlodipine", "simvastatin", "CYP3A4 inhibition increases simvastatin levels.", "Increased risk of myopathy and rhabdomyolysis.", "Limit simvastatin to 20 mg/day when used with amlodipine.", "MHRA Drug Safety Update"),
+]
+CONTRAINDICATION_TEXTS = [
+    ("nsaid", "peptic_ulcer", "NSAIDs increase gastric mucosal injury and bleeding risk.", "تزيد مضادات الالتهاب غير الستيرويدية من خطر إصابة الغشاء المخاطي المعدي والنزيف.", "Use acetaminophen or a COX-2 selective inhibitor with PPI co-therapy."),
+    ("metformin", "renal_failure", "Risk of lactic acidosis in advanced renal impairment.", "خطر الحماض اللبني في حالات القصور الكلوي المتقدم.", "Switch to insulin or sulfonylurea."),
+    ("beta_blocker", "asthma", "Can cause bronchoconstriction by blocking β2 receptors.", "يمكن أن يسبب تضيق القصبات عن طريق حصار مستقبلات بيتا 2.", "Use cardioselective beta-blocker (e.g. Bisoprolol) with caution."),
+]
 DOSAGES = [("amoxicillin", 25.0, 50.0, 1500.0), ("paracetamol", 10.0, 15.0, 4000.0), ("ibuprofen", 5.0, 10.0, 1200.0)]
 SEVERITIES = ["contraindicated", "major", "moderate", "minor"]
 SYMPTOMS = [
@@ -39,6 +50,21 @@ def contraindications(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONTRAINDICATIONS, "drug string, condition string, severity string")
 
 
+def interaction_texts(spark: SparkSession) -> DataFrame:
+    """(a, b, mechanism, effect, management, source), names in their order."""
+    return spark.createDataFrame([(*sorted(r[:2]), *r[2:]) for r in INTERACTION_TEXTS], "a string, b string, mechanism string, effect string, management string, source string")
+
+
+def contraindication_texts(spark: SparkSession) -> DataFrame:
+    """(drug, condition, details, details_ar, alternative), with spaces as the lookup has them."""
+    return spark.createDataFrame([(r[0].replace("_", " "), r[1].replace("_", " "), *r[2:]) for r in CONTRAINDICATION_TEXTS], "drug string, condition string, details string, details_ar string, alternative string")
+
+
+def with_texts(found: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """found with what the rules say beside their severity; null where they say nothing."""
+    return found.join(texts, keys, "left")
+
+
 def dosages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DOSAGES, "drug string, low double, high double, cap double")
 

@@ -60,6 +60,15 @@ def three_stages(words: DataFrame, learned: DataFrame, medical: DataFrame, spell
     return joined.select("word", text.alias("corrected"), source.alias("source"))
 
 
+def staged(words: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(word, corrected, source) by any number of stages (name, (word, corrected)) in their order: the first that knows a word corrects it."""
+    joined = words.select("word").distinct()
+    for k, (_, known) in enumerate(stages):
+        joined = joined.join(known.select("word", F.col("corrected").alias(f"c{k}")).dropDuplicates(["word"]), "word", "left")
+    source = F.coalesce(*(F.when(F.col(f"c{k}").isNotNull(), F.lit(name)) for k, (name, _) in enumerate(stages)), F.lit("none"))
+    return joined.select("word", F.coalesce(*(F.col(f"c{k}") for k in range(len(stages))), "word").alias("corrected"), source.alias("source"))
+
+
 class Terms:
     """A dictionary that row-wise folds probe: exact, else the most similar of about the same length."""
 

@@ -61,3 +61,8 @@ def padded_box(box: Column, width: Column, height: Column, pad: int = 5) -> Colu
 
 def legacy_columns(regions: DataFrame) -> DataFrame:
     return regions.select("bbox", "text", "confidence", "engine")
+
+
+def reading_order(pages: DataFrame, page: str, regions: str) -> DataFrame:
+    """(page, region_index, region) of an array of regions: the order of detection is the order of reading, and (page, region_index) is unique."""
+    return pages.select(page, F.posexplode(regions).alias("region_index", "region"))

@@ -102,3 +102,16 @@ def transitions(changes: DataFrame) -> DataFrame:
     new = F.lag("corrected_text").over(order).isNull() & F.col("corrected_text").isNotNull()
     marked = changes.withColumn("new", new)
     return marked.withColumn("correction_count", F.count_if("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("new").drop("new")
+
+
+def sorted_by(rows: DataFrame, column: str, *, descending: bool = False, key: str = "version") -> DataFrame:
+    """rows in the order of a chosen column, missing values last, ties by key."""
+    if column not in rows.columns:
+        raise ValueError(f"there is no column {column}")
+    order = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+    return rows.orderBy(order, key)
+
+
+def percent(share, digits: int = 1):
+    """A share as text, such as 93.2%."""
+    return F.format_string(f"%.{digits}f%%", share * 100)

@@ -15,8 +15,8 @@ def uniform(key: str, seed: int = 42) -> Column:
     return (F.pmod(hashed(key, seed), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def exact_split(rows: DataFrame, key: str, shares: dict[str, float], rest: str, *, order: Column | None = None) -> DataFrame:
-    """rows with split: int(n * share) rows for each name, the others rest. Ranks are found in parts of the hash range, or between quantiles of a numeric order, so no task sorts all rows (but rows of one order value meet)."""
+def exact_split(rows: DataFrame, key: str, shares: dict[str, float | int], rest: str, *, order: Column | None = None) -> DataFrame:
+    """rows with split: int(n * share) rows for each name (or as many as an integer says), the others rest. Ranks are found in parts of the hash range, or between quantiles of a numeric order, so no task sorts all rows (but rows of one order value meet)."""
     if order is None:
         keyed = rows.withColumn("_h", hashed(key)).withColumn("_p", F.shiftright("_h", 54))  # 1024 parts of a 64-bit hash
     else:
@@ -35,7 +35,7 @@ def exact_split(rows: DataFrame, key: str, shares: dict[str, float], rest: str,
     name, bound = F.lit(rest), F.lit(0)
     out = F.when(F.lit(False), "")
     for split, share in shares.items():
-        bound = bound + F.floor(F.col("_n") * share)
+        bound = bound + (F.lit(share) if isinstance(share, int) else F.floor(F.col("_n") * share))
         out = out.when(F.col("_r") <= bound, split)
     return ranked.withColumn("split", out.otherwise(name)).drop("_h", "_p", "_o", "_n", "_r")
 
@@ -44,7 +44,7 @@ def hold_out(rows: DataFrame, key: str, share: float = 0.1, least: int = 20) ->
     """A validation split only where there are more than so many rows, then of one row at least."""
     n = rows.count()
     size = max(1, int(n * share)) if n > least else 0
-    return exact_split(rows, key, {"validation": size / n}, "train") if size else rows.withColumn("split", F.lit("train"))
+    return exact_split(rows, key, {"validation": size}, "train") if size else rows.withColumn("split", F.lit("train"))
 
 
 def simple_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -93,6 +93,24 @@ def miner(rows: DataFrame, text: str, capacity: int) -> DataFrame:
     return rows.groupBy(text).agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), text).limit(capacity)
 
 
+def miner_statistics(kept: DataFrame, text: str, capacity: int, threshold: float) -> DataFrame:
+    """One row: rows that the miner holds, distinct errors, the ten most frequent with their counts, and its settings."""
+    each = kept.groupBy(text).agg(F.count("*").alias("frequency"))
+    top = each.orderBy(F.desc("frequency"), text).limit(10).agg(F.sort_array(F.collect_list(F.struct((-F.col("frequency")).alias("r"), F.col(text).alias("error")))).alias("t"))
+    return each.agg(F.sum("frequency").alias("total_hard"), F.count("*").alias("unique_errors")).join(F.broadcast(top)).select("total_hard", "unique_errors", F.transform("t", lambda t: F.struct(t["error"].alias("error"), (-t["r"]).alias("frequency"))).alias("top_errors"), F.lit(capacity).alias("capacity"), F.lit(threshold).alias("threshold"))
+
+
+def victims(buffer: DataFrame, by: str, key: str, incoming: str, seed: int = 42) -> DataFrame:
+    """The row that goes when one of class incoming comes into a full buffer: of the largest other class (the least name of equals) the first by hash."""
+    largest = buffer.filter(F.col(by) != incoming).groupBy(by).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), by).limit(1).select(by)
+    return buffer.join(F.broadcast(largest), by, "left_semi").orderBy(hashed(key, seed), key).limit(1)
+
+
+def class_sample(rows: DataFrame, script: str, key: str, n: int, kind: str, seed: int = 42) -> DataFrame:
+    """n rows of one script class, by hash."""
+    return simple_sample(rows.filter(F.col(script) == kind), key, n, seed)
+
+
 def class_floor_reservoir(rows: DataFrame, by: str, key: str, capacity: int, floor: int, seed: int = 42) -> DataFrame:
     """A bounded sample: the first ``floor`` rows by hash of every class, filled up with the first of all others. The same counts as a reservoir with a class floor, for whole tables."""
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(hashed(key, seed), key)))

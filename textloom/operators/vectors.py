@@ -74,22 +74,39 @@ def centroids(vectors: DataFrame, by: str, *, vector: str = "embedding") -> Data
 
 
 def online_clusters(vectors: DataFrame, by: str, *, order: str = "vec_id", vector: str = "embedding", radius: float = 0.5, most: int = 20) -> DataFrame:
-    """One pass in order within each value of ``by``: a vector joins the nearest centre, or founds a new one if it is farther than radius and there are fewer than most; centres are running means."""
-
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        centres, counts, out = [], [], []
-        for x in batch.sort_values(order)[[order, vector]].itertuples(index=False):
-            v = np.asarray(x[1], float)
-            d = [np.linalg.norm(v - c) for c in centres]
-            k = int(np.argmin(d)) if d else 0
-            if not d or (d[k] > radius and len(centres) < most):
-                k = len(centres)
-                centres.append(v)
-                counts.append(1)
-            else:
-                counts[k] += 1
-                centres[k] = centres[k] + (v - centres[k]) / counts[k]
-            out.append((x[0], k))
-        return pd.DataFrame(out, columns=[order, "cluster"])
-
-    return vectors.groupBy(by).applyInPandas(fold, f"`{order}` long, cluster int")
+    """One pass in order within each value of ``by``: a vector joins the nearest centre, or founds a new one if it is farther than radius and there are fewer than most; centres are running means.
+
+    Rows are dealt by ``by`` and sorted (a sort may spill), and a task reads them batch by batch: it holds the centres of one value at a time and no more.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, centres, counts = object(), [], []
+        for batch in batches:
+            keys, ids, rows = (batch.column(k).to_pylist() for k in range(3))
+            out = []
+            for key, values in zip(keys, rows, strict=True):
+                if key != group:
+                    group, centres, counts = key, [], []
+                v = np.asarray(values, float)
+                d = [np.linalg.norm(v - c) for c in centres]
+                k = int(np.argmin(d)) if d else 0
+                if not d or (d[k] > radius and len(centres) < most):
+                    k = len(centres)
+                    centres.append(v)
+                    counts.append(1)
+                else:
+                    counts[k] += 1
+                    centres[k] = centres[k] + (v - centres[k]) / counts[k]
+                out.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int32())], names=[order, "cluster"])
+
+    rows = vectors.select(F.col(by).alias("_by"), F.col(order).cast("long").alias(order), vector)
+    return rows.repartition("_by").sortWithinPartitions("_by", order).mapInArrow(fold, f"`{order}` long, cluster int")
+
+
+def hybrid(vectors: DataFrame, query: list[float], texts: DataFrame, terms: list[str], *, key: str = "vec_id", vector: str = "embedding", text: str = "text", where: Column | None = None, weight: float = 0.7, n: int = 10) -> DataFrame:
+    """(key, score): the best by weight * cosine + (1 - weight) * share of the terms that the text holds, of those that where (on texts) lets through."""
+    held = texts if where is None else texts.filter(where)
+    share = sum((F.contains(F.lower(text), F.lit(t.lower())).cast("double") for t in terms), F.lit(0.0)) / max(len(terms), 1)
+    rows = vectors.select(key, cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query))).alias("near")).join(held.select(key, share.alias("told")), key)
+    return rows.select(key, F.round(weight * F.col("near") + (1 - weight) * F.col("told"), 6).alias("score")).orderBy(F.desc("score"), key).limit(n)

@@ -14,6 +14,16 @@ LOGS = "id string, session_id string, device_id string, user_id string, timestam
 VERSIONS = "version_id string, version_name string, base_model string, trained_on_count int, cer_score double, wer_score double, medical_term_accuracy double, training_duration int, deployed_at string, is_active boolean, notes string, created_at string"
 
 
+SAMPLES = "id string, text_en string, text_ar string, specialty string, difficulty string"
+TEST_SET = "image_path string, text string, raw_text string, confidence double, engines array<string>"
+
+# The lists that serve without a configuration, the demo cases, and kinds of files that are never taken.
+CONTEXT_DRUGS = ("باراسيتامول", "أموكسيسيلين", "إيبوبروفين", "ميتفورمين", "أتورفاستاتين", "أومبرازول", "سيفالكسين", "ديكلوفيناك", "سيليبريكس", "لوسارتان", "أملوديبين", "ميترونيدازول", "أزيثرومايسين", "دكساميثازون", "هيدروكورتيزون", "سالبيوتامول")
+CONTEXT_DIAGNOSES = ("كسور", "التهاب", "مزمن", "حاد", "سكري", "ضغط", "ربو", "حساسية", "فقر دم", "هشاشة عظام", "التهاب المفاصل", "ضغط دم مرتفع", "التهاب رئوي", "التهاب الجيوب الأنفية")
+DEMO = [("demo_001", "Amoxicillin 500mg twice daily for 7 days", None, "prescription", "easy"), ("demo_002", "Systolic 120, Diastolic 80 mmHg", None, "vitals", "easy")]
+BLOCKED = ("exe", "bat", "cmd", "sh", "js", "php", "py")
+
+
 def corrections(rows: DataFrame) -> DataFrame:
     """The correction store with empty instead of missing crops and engine maps, in the order of ids."""
     engines = F.from_json(F.col("all_engine_texts"), "map<string,string>")
@@ -40,8 +50,9 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newest_corrections(spark: SparkSession, path: str, schema: str, limit: int = 5000) -> DataFrame:
-    rows = json_lines(spark, path, schema).withColumn("file", F.input_file_name())
-    return rows.orderBy(F.desc("file")).limit(limit)
+    """Rows of the newest files first (by name), each file's in the order of its lines; so many at most."""
+    rows = json_lines(spark, path, schema).withColumns({"file": F.input_file_name(), "_block": F.input_file_block_start(), "_line": F.monotonically_increasing_id()})
+    return rows.orderBy(F.desc("file"), "_block", "_line").limit(limit).drop("_block", "_line")
 
 
 def learned_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -76,8 +87,55 @@ def term_set(spark: SparkSession, path: str) -> DataFrame:
     return out.select(F.trim("term").alias("term")).filter("term <> ''").distinct()
 
 
+def export(rows: DataFrame) -> DataFrame:
+    """What an export takes of the correction store: rows with a correction, their engine maps parsed."""
+    return corrections(rows).filter(F.trim(F.coalesce("corrected_text", F.lit(""))) != "").select("id", "raw_text", "corrected_text", "engines", "best_engine", "confidence")
+
+
+def export_with_crops(rows: DataFrame) -> DataFrame:
+    """The export with the crops that it was read from."""
+    return corrections(rows).filter(F.trim(F.coalesce("corrected_text", F.lit(""))) != "").select("id", "crop_base64", "raw_text", "corrected_text", "engines", "confidence")
+
+
+def cached_terms(spark: SparkSession, path: str, cache: str) -> DataFrame:
+    """The term set below path, kept in cache; where path is not there, what cache has kept (nothing, if it has none)."""
+    if exists(spark, path):
+        term_set(spark, path).write.mode("overwrite").parquet(cache)
+    return spark.read.schema("term string").parquet(cache) if exists(spark, cache) else spark.createDataFrame([], "term string")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def context_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, term) of a context configuration {drugs: [...], diagnoses: [...]}; the built-in lists where there is no such file or it can't be read."""
+    built_in = spark.createDataFrame([("drug", t) for t in CONTEXT_DRUGS] + [("diagnosis", t) for t in CONTEXT_DIAGNOSES], "kind string, term string")
+    if not exists(spark, path):
+        return built_in
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "drugs array<string>, diagnoses array<string>").alias("c"))
+    lists = F.array(F.struct(F.lit("drug").alias("kind"), F.col("c.drugs").alias("terms")), F.struct(F.lit("diagnosis").alias("kind"), F.col("c.diagnoses").alias("terms")))
+    found = whole.filter("c.drugs is not null or c.diagnoses is not null").select(F.explode(lists).alias("l")).select("l.kind", F.explode("l.terms").alias("term")).distinct()
+    return found if found.limit(1).count() else built_in
+
+
 def samples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+    """Demo cases of a JSON array; the built-in ones where there is no such file."""
+    return spark.read.schema(SAMPLES).json(path, multiLine=True) if exists(spark, path) else spark.createDataFrame(DEMO, SAMPLES)
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """The version registry: a JSON array of versions, none where there is no such file."""
+    return spark.read.schema(VERSIONS).json(path, multiLine=True) if exists(spark, path) else spark.createDataFrame([], VERSIONS)
+
+
+def test_set(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a test set's metadata, those with an image and a text."""
+    return json_lines(spark, path, TEST_SET).filter("image_path is not null and text is not null")
+
+
+test_set.__test__ = False  # no test, whatever its name
 
 
 def logs(spark: SparkSession, path: str, now, days: int = 7) -> DataFrame:
@@ -88,9 +146,11 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
-def allowed_uploads(found: DataFrame, *, most: int = 10 << 20, allowed: tuple[str, ...] = ("png", "jpg", "jpeg", "pdf", "tiff")) -> DataFrame:
-    kind = F.lower(F.element_at(F.split("path", r"\."), -1))
-    return found.withColumn("accepted", (F.col("length") <= most) & kind.isin(*allowed))
+def allowed_uploads(found: DataFrame, *, most: int = 10 << 20, allowed: tuple[str, ...] = ("png", "jpg", "jpeg", "pdf", "tiff"), blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
+    """found with accepted: small enough, of an allowed kind, and no part of the name of a blocked one."""
+    parts = F.split(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.")
+    hidden = F.arrays_overlap(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, blocked)))
+    return found.withColumn("accepted", (F.col("length") <= most) & F.element_at(parts, -1).isin(*allowed) & ~hidden)
 
 
 def non_blank_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; /tmp only where no cluster has set it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/textloom-checkpoints"
-    return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    """A new folder below the one that spark.checkpoint.dir names; it is deleted when the application ends. Only where driver and executors are one process may it be /tmp."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = f"{(base or 'file:///tmp/textloom-checkpoints').rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return folder

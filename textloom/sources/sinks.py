@@ -24,6 +24,44 @@ def table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def feedback(rows: DataFrame, path: str, *, split: str = "split", image: str = "crop_base64") -> DataFrame:
+    """Writes the training lines (image_path, text, raw_text, confidence, engines) of every split below path/SPLIT, without rows that have no image, and
+    path/metadata with the summary that it returns: (split, saved, failed)."""
+    has = F.coalesce(F.col(image), F.lit("")) != ""
+    line = rows.filter(has).select(split, F.concat(F.lit(f"{path}/images/"), F.col("id"), F.lit(".png")).alias("image_path"), F.col("corrected_text").alias("text"), "raw_text", "confidence", F.map_keys("engines").alias("engines"))
+    line.write.mode("overwrite").partitionBy(split).json(f"{path}/lines")
+    rows.groupBy(split).agg(F.count_if(has).alias("saved"), F.count_if(~has).alias("failed")).write.mode("overwrite").json(f"{path}/metadata")
+    return rows.sparkSession.read.schema(f"{split} string, saved long, failed long").json(f"{path}/metadata")
+
+
+def append_corrections(rows: DataFrame, path: str, batch: int) -> None:
+    """Adds a batch of corrections to the store below path; the same batch again replaces itself."""
+    rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def merge_patterns(counts: DataFrame, new: DataFrame) -> DataFrame:
+    """Pattern counts (pattern, correction, frequency, last_used) with those of new corrections added."""
+    return counts.unionByName(new.select(*counts.columns)).groupBy("pattern", "correction").agg(F.sum("frequency").alias("frequency"), F.max("last_used").alias("last_used"))
+
+
+def dictionary_envelope(learned: DataFrame, device: str, at: Column) -> DataFrame:
+    """Rows (device, at, entries, total, wrong, correct, count) of an upload: one line for each entry, under the head that all share."""
+    head = learned.agg(F.count("*").alias("entries"), F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+    return learned.select("wrong", "correct", "count").join(F.broadcast(head)).select(F.lit(device).alias("device"), at.alias("at"), "entries", "total", "wrong", "correct", "count")
+
+
+def save_learned(learned: DataFrame, path: str) -> None:
+    """One line {wrong: {correct, count}} for each part of the table, in the format that the reader takes; what was there is replaced."""
+    entry = F.struct("wrong", F.struct("correct", "count"))
+    parts = learned.groupBy(F.pmod(F.xxhash64("wrong"), F.lit(64)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    parts.repartition(F.col("part")).write.mode("overwrite").partitionBy("part").text(path)
+
+
+def due(last: Column, now: Column, seconds: int = 300) -> Column:
+    """Whether an upload is due: never done, or so many seconds ago."""
+    return last.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(last) >= seconds)
+
+
 def csv_line(*columns: Column, quoted: Column) -> Column:
     """A line of comma-separated values, of which only one is quoted and has its quotes doubled."""
     return F.concat_ws(",", *columns, F.concat(F.lit('"'), F.replace(quoted, F.lit('"'), F.lit('""')), F.lit('"')))

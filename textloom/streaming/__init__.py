@@ -72,6 +72,21 @@ def start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def every(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, *, seconds: int, until_idle: bool = False, mode: str = "append"):
+    """Run a batch every so many seconds; returns the running query, or with until_idle stops it once all that is there has been read."""
+    running = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    if until_idle:
+        running.processAllAvailable()
+        running.stop()
+    return running
+
+
+def next_runs(jobs: DataFrame, now: Column) -> DataFrame:
+    """jobs (name, period and offset in seconds) with due, the next time after now that lies offset behind a whole number of periods since the start of 1970 (a Thursday)."""
+    at = F.unix_timestamp(now)
+    return jobs.withColumn("due", F.timestamp_seconds((F.floor((at - F.col("offset")) / F.col("period")) + 1) * F.col("period") + F.col("offset")))
+
+
 def upsert_by(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch that writes each batch to a folder of its own, so that a repeated batch replaces itself; ``latest`` reads the newest of each key."""
 
