@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.normalize import clinical_key
+from textloom.operators.fuzzy import small
 
 # The rules as other systems have them.
 INTERACTIONS = [("warfarin", "aspirin", "major", "systematic_review"), ("metformin", "contrast_dye", "major", "expert_opinion"), ("ssri", "tramadol", "major", "cohort_study"), ("amlodipine", "simvastatin", "moderate", "randomised_trial")]
@@ -85,7 +86,7 @@ def drug_interactions(lists: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, a, b, severity, evidence) for every pair of a list's drugs (id, drugs array) that a rule names, in either order."""
     rows = lists.select("id", F.posexplode(F.transform("drugs", lambda d: F.lower(clinical_key(d)))).alias("i", "drug"))
     pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.i") < F.col("y.i"))).select(F.col("x.id").alias("id"), F.least("x.drug", "y.drug").alias("a"), F.greatest("x.drug", "y.drug").alias("b"))
-    keyed = F.broadcast(rules.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "severity", "evidence"))
+    keyed = small(rules.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "severity", "evidence"))
     return pairs.distinct().join(keyed, ["a", "b"]).select("id", "a", "b", "severity", "evidence")
 
 
@@ -98,7 +99,7 @@ def contraindicated(patients: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, drug, condition, severity) for patients (id, drug, conditions array): equal names, else names that hold each other; underscores count as spaces."""
     plain = lambda x: F.replace(F.lower(x), F.lit("_"), F.lit(" "))
     rows = patients.select("id", plain(F.col("drug")).alias("drug"), F.explode("conditions").alias("condition")).withColumn("condition", plain(F.col("condition")))
-    keyed = F.broadcast(rules.select(plain(F.col("drug")).alias("d"), plain(F.col("condition")).alias("c"), "severity"))
+    keyed = small(rules.select(plain(F.col("drug")).alias("d"), plain(F.col("condition")).alias("c"), "severity"))
     exact = rows.join(keyed, (rows.drug == keyed.d) & (rows.condition == keyed.c)).select("id", "drug", "condition", "severity")
     rest = rows.join(exact.select("id").distinct(), "id", "left_anti")
     held = lambda a, b: F.contains(a, b) | F.contains(b, a)
@@ -109,7 +110,7 @@ def contraindicated(patients: DataFrame, rules: DataFrame) -> DataFrame:
 def differential(cases: DataFrame, weights: DataFrame) -> DataFrame:
     """(id, condition, score, symptoms) for cases (id, symptoms array): summed weights over the number of symptoms, 1 at most, from 0.01 on."""
     rows = cases.withColumn("n", F.greatest(F.size("symptoms"), F.lit(1))).select("id", "n", F.explode(F.transform("symptoms", lambda s: F.lower(clinical_key(s)))).alias("symptom"))
-    found = rows.join(F.broadcast(weights), "symptom").groupBy("id", "condition", "n").agg(F.sum("weight").alias("w"), F.sort_array(F.collect_set("symptom")).alias("symptoms"), F.min("ordinal").alias("ordinal"))
+    found = rows.join(small(weights), "symptom").groupBy("id", "condition", "n").agg(F.sum("weight").alias("w"), F.sort_array(F.collect_set("symptom")).alias("symptoms"), F.min("ordinal").alias("ordinal"))
     out = found.withColumn("score", F.bround(F.least(F.round(F.col("w") / F.col("n"), 9), F.lit(1.0)), 3)).filter("score >= 0.01")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "ordinal"))
     return out.select("id", "condition", "score", "symptoms", rank.alias("rank"))
@@ -118,14 +119,14 @@ def differential(cases: DataFrame, weights: DataFrame) -> DataFrame:
 def protocol_steps(asked: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, condition, icd10, step, description) of the first protocol whose name holds the asked condition or is held by it."""
     key = F.lower(clinical_key("condition"))
-    rows = asked.select("id", key.alias("asked")).join(F.broadcast(rules), F.contains("asked", "condition") | F.contains("condition", "asked"))
+    rows = asked.select("id", key.alias("asked")).join(small(rules), F.contains("asked", "condition") | F.contains("condition", "asked"))
     best = rows.groupBy("id").agg(F.min_by(F.struct("condition", "icd10", "steps"), "ordinal").alias("p"))
     return best.select("id", "p.condition", "p.icd10", F.posexplode("p.steps").alias("step", "description")).withColumn("step", F.col("step") + 1)
 
 
 def check_dosage(asked: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, drug, known, low_mg, high_mg, dose_mg, capped, adjust) for (id, drug, weight_kg, age): weight times the rule's rates, never over its cap; under 2 and from 65 on a note to adjust."""
-    joined = asked.withColumn("drug", F.lower(clinical_key("drug"))).join(F.broadcast(rules), "drug", "left")
+    joined = asked.withColumn("drug", F.lower(clinical_key("drug"))).join(small(rules), "drug", "left")
     high = F.col("weight_kg") * F.col("high")
     dose = F.bround(F.least(high, F.col("cap")), 2)
     return joined.select("id", "drug", F.col("cap").isNotNull().alias("known"), F.bround(F.col("weight_kg") * F.col("low"), 2).alias("low_mg"), F.bround(F.least(high, F.col("cap")), 2).alias("high_mg"), dose.alias("dose_mg"), F.coalesce(high > F.col("cap"), F.lit(False)).alias("capped"), F.when(F.col("age") < 2, "infant").when(F.col("age") >= 65, "elderly").alias("adjust"))
@@ -149,7 +150,7 @@ def answers(questions: DataFrame, spark: SparkSession) -> DataFrame:
     asked = questions.select("id", route(F.col("text")).alias("route"), mentioned(F.col("text"), DRUGS).alias("drugs"), mentioned(F.col("text"), CONDITIONS).alias("conditions"))
     pairs = drug_interactions(asked.filter("route = 'interaction' and size(drugs) > 1"), interactions(spark)).groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" + ", "a", "b"))), "; ").alias("pairs"))
     steps = protocol_steps(asked.filter("route = 'treatment'").select("id", F.explode("conditions").alias("condition")), protocols(spark)).groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "description"))), lambda s: s["description"]), "; ").alias("steps"))
-    limits = asked.filter("route = 'dosage'").select("id", F.element_at(F.col("drugs"), F.when(F.size("drugs") > 0, 1)).alias("drug")).join(F.broadcast(dosages(spark)), "drug").select("id", F.format_string("%s: %.0f-%.0f mg/kg/day, at most %.0f mg", "drug", "low", "high", "cap").alias("limits"))
+    limits = asked.filter("route = 'dosage'").select("id", F.element_at(F.col("drugs"), F.when(F.size("drugs") > 0, 1)).alias("drug")).join(small(dosages(spark)), "drug").select("id", F.format_string("%s: %.0f-%.0f mg/kg/day, at most %.0f mg", "drug", "low", "high", "cap").alias("limits"))
     joined = asked.join(pairs, "id", "left").join(steps, "id", "left").join(limits, "id", "left")
     text = F.coalesce("pairs", "steps", "limits", F.lit("no rule found"))
     sure = F.when((F.col("route") == "interaction") & (F.size("drugs") < 2), 0.5).when(F.col("route") == "interaction", F.when(F.col("pairs").isNotNull(), 0.85).otherwise(0.7)).when(F.col("route") == "dosage", 0.8).when(F.col("route") == "contraindication", 0.85).when(F.col("route") == "treatment", 0.8).otherwise(F.when(F.size("conditions") > 0, 0.7).otherwise(0.3))

@@ -28,12 +28,18 @@ def quality_reasons(rows: DataFrame, *, raw: str = "raw_text", corrected: str =
     first = F.when(text == "", "empty").when(F.length(text) < MIN_LENGTH, "too_short").when(text == F.trim(F.coalesce(raw, F.lit(""))), "no_change").when(image == "", "no_image").when(bad, "bad_image")
     hashed = F.substr(F.md5(F.concat(text, F.substr(image, F.lit(1), F.lit(200)))), F.lit(1), F.lit(HASH_LENGTH))
     out = rows.withColumn("reason", first).withColumn("hash", hashed)
-    seen = F.row_number().over(Window.partitionBy("hash", F.col("reason").isNull()).orderBy(key))
-    return out.withColumn("reason", F.coalesce("reason", F.when(seen > 1, "duplicate"), F.lit("valid")))
+    # the least key of each hash is found by a grouped minimum, and joined back, so that no task sorts all copies of one text
+    least = out.filter("reason is null").groupBy(F.col("hash").alias("_h")).agg(F.min(key).alias("_first"))
+    own = F.when(F.col("reason").isNull(), F.col("hash"))
+    again = F.when(F.col(key) != F.col("_first"), "duplicate")
+    return out.join(least, own == F.col("_h"), "left").withColumn("reason", F.coalesce("reason", again, F.lit("valid"))).drop("_h", "_first")
 
 
 def keep_first(rows: DataFrame, keys: list[str | Column], order: str) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+    """The first row of each value of keys, by a grouped minimum: copies are reduced before they are shuffled."""
+    named = [F.col(k) if isinstance(k, str) else k for k in keys]
+    best = rows.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(named))).agg(F.min_by(F.struct(*rows.columns), order).alias("_r"))
+    return best.select("_r.*")
 
 
 def pattern_counts(rows: DataFrame, *, raw: str = "raw_text", corrected: str = "corrected_text", at: str = "created_at") -> DataFrame:

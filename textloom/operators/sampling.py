@@ -51,9 +51,16 @@ def simple_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
     return rows.orderBy(hashed(key, seed), key).limit(n)
 
 
+def first_ranks(rows: DataFrame, by: str, n: int, order: list[Column], deal: int = 64) -> DataFrame:
+    """The first n rows of each class with their place _r (from 1): a class's rows are dealt over some tasks, and only the first n of each meet."""
+    dealt = rows.withColumn("_d", F.pmod(F.monotonically_increasing_id(), F.lit(deal)))
+    near = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_d").orderBy(*order))).filter(F.col("_r") <= n).drop("_d", "_r")
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_r") <= n)
+
+
 def per_class(rows: DataFrame, by: str, n: int, order: list[Column]) -> DataFrame:
     """The first n rows of each class."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
+    return first_ranks(rows, by, n, order).drop("_r")
 
 
 def stratified(rows: DataFrame, by: str, n: int, order: list[Column]) -> DataFrame:
@@ -63,15 +70,13 @@ def stratified(rows: DataFrame, by: str, n: int, order: list[Column]) -> DataFra
     wanted = sizes.withColumn("want", F.least(F.floor(F.lit(n) * F.col("size") / total) + 1, F.col("size")))
     before = F.coalesce(F.sum("want").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wanted = wanted.select(by, F.greatest(F.least(F.col("want"), F.lit(n) - before), F.lit(0)).alias("_take"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.join(wanted, by).filter(F.col("_r") <= F.col("_take")).drop("_r", "_take")
+    return first_ranks(rows, by, n, order).join(wanted, by).filter(F.col("_r") <= F.col("_take")).drop("_r", "_take")
 
 
 def at_ratios(rows: DataFrame, by: str, ratios: dict[str, float], n: int, key: str) -> DataFrame:
     """max(1, int(n * ratio)) rows of each class by hash, n altogether."""
     take = F.create_map(*(x for k, r in ratios.items() for x in (F.lit(k), F.lit(max(1, int(n * r))))))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(hashed(key), key)))
-    return ranked.filter(F.col("_r") <= F.coalesce(take[F.col(by)], F.lit(0))).orderBy("_r", by).limit(n).drop("_r")
+    return first_ranks(rows, by, n, [hashed(key), F.col(key)]).filter(F.col("_r") <= F.coalesce(take[F.col(by)], F.lit(0))).orderBy("_r", by).limit(n).drop("_r")
 
 
 def hard(before: Column, confidence: Column, threshold: float = 0.3) -> Column:
@@ -113,13 +118,12 @@ def class_sample(rows: DataFrame, script: str, key: str, n: int, kind: str, seed
 
 def class_floor_reservoir(rows: DataFrame, by: str, key: str, capacity: int, floor: int, seed: int = 42) -> DataFrame:
     """A bounded sample: the first ``floor`` rows by hash of every class, filled up with the first of all others. The same counts as a reservoir with a class floor, for whole tables."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(hashed(key, seed), key)))
-    return ranked.orderBy((F.col("_r") > floor).cast("int"), hashed(key, seed), key).limit(capacity).drop("_r")
+    return first_ranks(rows, by, capacity, [hashed(key, seed), F.col(key)]).orderBy((F.col("_r") > floor).cast("int"), hashed(key, seed), key).limit(capacity).drop("_r")
 
 
 def round_robin(rows: DataFrame, cluster: str, n: int, order: list[Column]) -> DataFrame:
     """One row of each cluster in turn, in the given order within clusters."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(cluster).orderBy(*order))).orderBy("_r", cluster).limit(n).drop("_r")
+    return first_ranks(rows, cluster, n, order).orderBy("_r", cluster).limit(n).drop("_r")
 
 
 def mixed_batch(parts: list[DataFrame], key: str, n: int) -> DataFrame:

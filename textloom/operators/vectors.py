@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import shared_folder
+
 
 def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
@@ -27,11 +29,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector
     batch, and only those are shuffled.
     """
     blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        part = _top_block(vectors, queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), key, vector, k)
-        out = part if out is None else out.union(part)
-    return out
+    own = lambda b: _top_block(vectors, queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), key, vector, k)
+    if blocks == 1:
+        return own(0)
+    folder = shared_folder(vectors.sparkSession)
+    for b in range(blocks):  # the driver holds one block's queries at a time
+        own(b).write.parquet(f"{folder}/block={b}")
+    return vectors.sparkSession.read.parquet(folder).drop("block")
 
 
 def _top_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -58,9 +62,11 @@ def _top_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, *, key: str = "vec_id", vector: str = "embedding", most: int = 4096) -> DataFrame:
-    """(key, cluster, distance) to the nearest of at most so many centroids (cluster, centroid), as one row of arrays beside every vector."""
+    """(key, cluster, distance) to the nearest of some centroids (cluster, centroid), as one row of arrays beside every vector; of more than ``most`` in blocks by hash, whose least distances are merged."""
     if centroids.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} centroids; assign to some of them at a time and take the least distance")
+        blocks = -(-centroids.count() // most)
+        parts = [assign(vectors, centroids.filter(F.pmod(F.xxhash64("cluster"), F.lit(2 * blocks)) == b), key=key, vector=vector, most=10 * most) for b in range(2 * blocks)]
+        return functools.reduce(DataFrame.union, parts).groupBy(key).agg(F.min_by(F.struct("cluster", "distance"), F.struct("distance", "cluster")).alias("b")).select(key, "b.*")
     few = F.broadcast(centroids.agg(F.sort_array(F.collect_list(F.struct("cluster", "centroid"))).alias("c")))  # one row
     distances = F.transform("c", lambda c: F.struct(F.round(euclid(F.col(vector), c["centroid"]), 6).alias("d"), c["cluster"].alias("cluster"), euclid(F.col(vector), c["centroid"]).alias("distance")))
     return vectors.join(few).select(key, F.array_min(distances).alias("best")).select(key, F.col("best.cluster").alias("cluster"), F.col("best.distance").alias("distance"))

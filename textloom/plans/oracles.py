@@ -71,7 +71,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_review_state": "SELECT CASE WHEN value / 100 >= 0.75 THEN 'approved' ELSE 'pending' END AS status, CASE WHEN value / 100 > 0.9 THEN 'high' WHEN value / 100 > 0.7 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS regions, count(*) FILTER (value / 100 < 0.75) AS needs_review FROM events GROUP BY ALL",
         "p4_pending_list": "SELECT event_id, value FROM events WHERE value < 75 ORDER BY value, event_id LIMIT 50",
         "p7_hard_examples": "WITH e AS (SELECT event_type, value / 100 AS c, CASE WHEN event_id % 2 = 0 THEN value / 100 END AS b FROM events) SELECT event_type, count(*) FILTER (CASE WHEN b IS NOT NULL THEN b > 0.3 ELSE c < 1 - 0.3 END) AS hard, round(sum(b - 0.1), 4) AS gain FROM e GROUP BY event_type",
-        "p18_edited_lines": """SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: i <= 2 AND upper(string_split(text, chr(10))[i]) <> string_split(text, chr(10))[i])) AS changed FROM documents""",
+        "p18_edited_lines": "SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'the'))) AS changed FROM documents",
         "n_arabic_normalization": f"""SELECT id, trim(regexp_replace(translate({BARE}, {LETTERS}), '\\s+', ' ', 'g')) AS normalized, trim(translate(replace({BARE}, 'ـ', ''), {LETTERS})) AS learner,
             translate(regexp_replace(trim(text), '{MARKS}', '', 'g'), 'أإآة', 'اااه') AS clinical, {SCRIPT} AS script, translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789') AS digits, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS lines FROM {values("TEXTS")}""",
         "n18_text_counts": f"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, len(string_split(text, chr(10))) AS lines, regexp_matches(text, '[A-Za-z]') AS latin, {SCRIPT} AS script, substr(md5(text), 1, 16) AS hash FROM documents",
@@ -92,7 +92,7 @@ def oracle_sql() -> dict[str, str]:
         "a4_confidence_profile": f"SELECT count(*) AS n, round(avg(confidence), 3) AS mean, round(min(confidence), 3) AS least, round(max(confidence), 3) AS most FROM {c} WHERE confidence > 0",
         "a5_engine_counts": f"SELECT engine, count(*) AS texts FROM (SELECT unnest(json_keys(engines)) AS engine FROM {c}) GROUP BY engine",
         "a5_event_keys": "SELECT engine, count(*) AS texts FROM (SELECT unnest(json_keys(props)) AS engine FROM events) GROUP BY engine",
-        "a7_learn": "SELECT wrong, min_by(correct, \"at\") AS correct, count(*) AS count, array_to_string(list_sort(list_distinct(list(context))), ',') AS contexts, max(\"at\") AS last_seen FROM (SELECT substr(text, 1, 3) AS wrong, substr(text, 1, 6) AS correct, role AS context, conv_id * 1000 + turn AS \"at\" FROM conversations) WHERE wrong <> correct GROUP BY wrong",
+        "a7_learn": "SELECT wrong, min_by(correct, \"at\") AS correct, count(*) AS count, array_to_string(list_sort(list_distinct(list(context))), ',') AS contexts, max(\"at\") AS last_seen FROM (SELECT text AS wrong, trim(regexp_replace(text, '[ \\n\\t]+', ' ', 'g')) AS correct, role AS context, conv_id * 1000 + turn AS \"at\" FROM conversations) WHERE wrong <> correct GROUP BY wrong",
         "a12_languages": "SELECT coalesce(lang, 'unknown') AS lang, count(*) AS texts, count(*) FILTER (n_chars > 1000) AS changed FROM documents GROUP BY 1",
         "u6_new_characters": "SELECT DISTINCT token FROM (SELECT unnest(string_split(text, '')) AS token FROM documents) WHERE token <> '' AND NOT contains('abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ.,' || chr(10), token)",
         "u3_merge_feedback": "WITH f AS (SELECT count(*) AS n FROM documents WHERE lang = 'fr'), e AS (SELECT count(*) AS n FROM documents WHERE lang = 'en') SELECT 'fr' AS lang, n AS rows FROM f UNION ALL SELECT 'en', least(greatest(floor(f.n * (1 - 0.7::DOUBLE) / 0.7::DOUBLE)::BIGINT, 10), e.n) FROM f, e",
@@ -101,7 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "l1_exact_terms": f"SELECT w.word, t.term FROM {values('WORDS')} w LEFT JOIN {values('TERMS')} t ON t.variant = w.word",
         "m8_by_edits": _edit_one(values("WORDS"), values("TERMS")),
         "m8_brand_edits": "WITH v AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS variant FROM part), w AS (SELECT DISTINCT 'X' || substr(variant, 2) AS word FROM v) SELECT word, min(levenshtein(word, variant)) AS distance FROM w JOIN v ON levenshtein(word, variant) <= 1 GROUP BY word",
-        "m9_exact_votes": "WITH g AS (SELECT conv_id AS region_id, substr(text, 1, 2) AS text, count(*) AS votes, max(length(text) / 1000.0)::DOUBLE AS confidence, min_by(role, turn) AS engine, min(turn) AS first FROM conversations WHERE trim(substr(text, 1, 2)) <> '' GROUP BY 1, 2) SELECT region_id, text, engine, confidence, votes FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY votes DESC, confidence DESC, first) AS r FROM g) WHERE r = 1",
+        "m9_exact_votes": "WITH g AS (SELECT source || '-' || (doc_id // 1000)::VARCHAR AS region_id, lang AS text, count(*) AS votes, max(n_chars / 1000.0)::DOUBLE AS confidence, min_by('e' || (doc_id % 7), doc_id) AS engine, min(doc_id) AS first FROM documents WHERE trim(lang) <> '' GROUP BY 1, 2) SELECT region_id, text, engine, confidence, votes FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY votes DESC, confidence DESC, first) AS r FROM g) WHERE r = 1",
         "m10_boxes": "SELECT id, greatest(x1 - 5, 0) AS x1, greatest(y1 - 5, 0) AS y1, least(x2 + 5, 33) AS x2, least(y2 + 5, 24) AS y2 FROM (VALUES (1, 9, 1, 31, 22), (2, 0, 0, 5, 5)) t(id, x1, y1, x2, y2)",
         "j9_dictionary_search": "SELECT p_brand AS dictionary, count(*) AS terms FROM part WHERE contains(lower(p_name), '1') AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY p_brand",
         "j9_validate": f"SELECT w.word, coalesce(string_agg(DISTINCT t.d, ',' ORDER BY t.d), '') AS dictionaries, count(t.d) > 0 AS valid FROM {values('WORDS')} w LEFT JOIN (SELECT term, CASE WHEN ordinal % 2 = 0 THEN 'a' ELSE 'b' END AS d FROM {values('TERMS')}) t ON lower(t.term) = lower(w.word) GROUP BY w.word",
@@ -126,8 +126,8 @@ def oracle_sql() -> dict[str, str]:
         "s2_weighted": "SELECT 50 AS rows, 50 AS docs",
         "s4_features": f"""SELECT doc_id, round(least(length(text) / 50.0, 1.0), 6) AS f0, round(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) / length(text), 6) AS f1, round(len(list_distinct(list_filter(string_split(text, ''), lambda x: x <> ''))) / length(text), 6) AS f2, contains(text, 'the')::INT::DOUBLE AS f3,
             ({SCRIPT} = 'arabic')::INT::DOUBLE AS f4, ({SCRIPT} = 'latin')::INT::DOUBLE AS f5, ({SCRIPT} = 'mixed')::INT::DOUBLE AS f6, ({SCRIPT} = 'numeric')::INT::DOUBLE AS f7, 0.0::DOUBLE AS f8 FROM documents""",
-        "u4_with_replay": "SELECT doc_id, lang FROM documents WHERE doc_id >= 900 OR lang = 'de'",
-        "u5_mixed_batch": "SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id < 20 THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END AS s FROM documents) ORDER BY s, doc_id LIMIT 120",
+        "u4_with_replay": "SELECT doc_id, lang FROM documents WHERE source = 'src1' OR lang = 'de'",
+        "u5_mixed_batch": "SELECT doc_id FROM (SELECT doc_id, CASE WHEN source = 'src3' THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END AS s FROM documents) ORDER BY s, doc_id LIMIT 120",
         "w5_improvements": f"SELECT model, \"at\", coalesce(lag(cer) OVER w, 1.0::DOUBLE) AS cer_before, round(coalesce(lag(cer) OVER w, 1.0::DOUBLE) - cer, 6) AS gain, round(coalesce(lag(cer) OVER w, 1.0::DOUBLE) - cer, 9) >= 0.005 AS deploys, (sum(samples) OVER w)::BIGINT AS total FROM {values('RUNS')} WINDOW w AS (PARTITION BY model ORDER BY \"at\")",
         "w6_customer_running": "SELECT model, count(*) FILTER (gain >= 0.005) AS deploys, count(*) AS total FROM (SELECT o_custkey AS model, round(coalesce(lag(o_totalprice / 1000000) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 1.0) - o_totalprice / 1000000, 9) AS gain FROM orders) GROUP BY model",
         "j8_active_version": f"SELECT model, max_by(version, \"at\") AS version, max_by(cer, \"at\") AS cer FROM {values('VERSIONS')} WHERE is_active GROUP BY model",
@@ -171,7 +171,7 @@ def oracle_sql() -> dict[str, str]:
         "do10_permissions": "SELECT c_custkey, c_custkey % 2 = 0 AS may_write FROM customer",
         "w3_least_used": "SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS r FROM part) WHERE r <= 3",
         "t8_argmax": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1",
-        "a6_learned_stats": "SELECT count(DISTINCT wrong) AS entries, count(*) AS corrections FROM (SELECT substr(text, 1, 3) AS wrong, substr(text, 1, 6) AS correct FROM conversations) WHERE wrong <> correct",
+        "a6_learned_stats": "SELECT count(DISTINCT wrong) AS entries, count(*) AS corrections FROM (SELECT text AS wrong, trim(regexp_replace(text, '[ \\n\\t]+', ' ', 'g')) AS correct FROM conversations) WHERE wrong <> correct",
         "a8_export_counters": "SELECT lang AS script, count(*) AS samples, count(*) FILTER (contains(text, 'the')) AS medical FROM documents GROUP BY lang",
         "a9_report": "SELECT count(*) AS total, count(*) FILTER (value > 50) AS corrected, count(*) FILTER (event_type = 'purchase') AS gold, round(avg(value / 100), 9) AS confidence, round(100 * count(*) FILTER (value > 50) / count(*), 6) AS correction_percent FROM events WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 7 DAY",
         "a22_page_confidence": "SELECT l_orderkey, round(avg(l_discount), 9) AS confidence, count(*) AS lines FROM lineitem GROUP BY l_orderkey",

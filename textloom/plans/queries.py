@@ -85,8 +85,9 @@ def p17_hints(spark, sf_dir):
 
 @query
 def p18_edited_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("edited", F.array_join(F.slice(F.split("text", "\n"), 1, 2), "\n"))
-    rows = docs.select("doc_id", F.explode(corrections.changed_lines(F.upper("text"), F.col("edited"))).alias("l"))
+    """Whole texts against themselves with one word in capitals."""
+    docs = table(spark, sf_dir, "documents").withColumn("edited", F.replace("text", F.lit("the"), F.lit("THE")))
+    rows = docs.select("doc_id", F.explode(corrections.changed_lines(F.col("text"), F.col("edited"))).alias("l"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("l.predicted") != F.col("l.corrected")).alias("changed"))
 
 
@@ -272,7 +273,7 @@ def a5_event_keys(spark, sf_dir):
 
 @query
 def a7_learn(spark, sf_dir):
-    e = table(spark, sf_dir, "conversations").select(F.substr("text", F.lit(1), F.lit(3)).alias("wrong"), F.substr("text", F.lit(1), F.lit(6)).alias("correct"), F.col("role").alias("context"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
+    e = table(spark, sf_dir, "conversations").select(F.col("text").alias("wrong"), F.trim(F.regexp_replace("text", "[ \n\t]+", " ")).alias("correct"), F.col("role").alias("context"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
     return corrections.learn(e).select("wrong", "correct", "count", F.array_join("contexts", ",").alias("contexts"), "last_seen")
 
 
@@ -397,8 +398,8 @@ def m9_votes(spark, sf_dir):
 
 @query
 def m9_exact_votes(spark, sf_dir):
-    """Roles vote with the first letters of their turns in each conversation."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("region_id"), F.col("turn").alias("ordinal"), F.col("role").alias("engine"), F.substr("text", F.lit(1), F.lit(2)).alias("text"), (F.length("text") / 1000.0).alias("confidence"))
+    """Documents of one source and thousand of ids vote with their languages."""
+    c = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 1000).cast("string")).alias("region_id"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("e"), (F.col("doc_id") % 7).cast("string")).alias("engine"), F.col("lang").alias("text"), (F.col("n_chars") / 1000.0).alias("confidence"))
     return ensemble.exact_vote(c)
 
 
@@ -547,14 +548,15 @@ def s4_features(spark, sf_dir):
 
 @query
 def u4_with_replay(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return sampling.with_replay(d.filter("doc_id >= 900"), d.filter("lang = 'de'"), "doc_id")
+    """The texts of one source as new ones, German ones as what is replayed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return sampling.with_replay(d.filter("source = 'src1'"), d.filter("lang = 'de'"), "doc_id").select("doc_id", "lang")
 
 
 @query
 def u5_mixed_batch(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return sampling.mixed_batch([d.filter("doc_id < 20"), d.filter("lang = 'fr'"), d], "doc_id", 120).select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return sampling.mixed_batch([d.filter("source = 'src3'"), d.filter("lang = 'fr'"), d], "doc_id", 120).select("doc_id")
 
 
 # registry and evaluation
@@ -841,7 +843,7 @@ def t8_argmax(spark, sf_dir):
 
 @query
 def a6_learned_stats(spark, sf_dir):
-    e = table(spark, sf_dir, "conversations").select(F.substr("text", F.lit(1), F.lit(3)).alias("wrong"), F.substr("text", F.lit(1), F.lit(6)).alias("correct"), F.col("role").alias("context"), F.col("turn").alias("at"))
+    e = table(spark, sf_dir, "conversations").select(F.col("text").alias("wrong"), F.trim(F.regexp_replace("text", "[ \n\t]+", " ")).alias("correct"), F.col("role").alias("context"), F.col("turn").alias("at"))
     return corrections.learned_stats(corrections.learn(e))
 
 

@@ -195,12 +195,12 @@ def st11_since(spark, sf_dir):
     return sources.since(o, mark, "o_orderdate").select("o_orderkey")
 
 
-@said("SELECT doc_id, n_chars * 4000 <= 10485760 AND lang IN ('en', 'de') AND NOT source = 'web' AS accepted FROM documents")
+@said("SELECT doc_id, n_chars * 4000 <= 10485760 AND lang IN ('en', 'de') AND NOT source = 'src1' AS accepted FROM documents")
 def p16_uploads(spark, sf_dir):
-    """Documents as files: English are png, German pdf, others txt; those from the web hide a blocked kind in their names."""
+    """Documents as files: English are png, German pdf, others txt; those of one source hide a blocked kind in their names."""
     d = table(spark, sf_dir, "documents")
     kind = F.when(F.col("lang") == "en", "png").when(F.col("lang") == "de", "PDF").otherwise("txt")
-    files = d.select("doc_id", (F.col("n_chars") * 4000).alias("length"), F.concat(F.lit("/up.exe/"), "doc_id", F.when(F.col("source") == "web", ".exe.").otherwise("."), kind).alias("path"))
+    files = d.select("doc_id", (F.col("n_chars") * 4000).alias("length"), F.concat(F.lit("/up.exe/"), "doc_id", F.when(F.col("source") == "src1", ".exe.").otherwise("."), kind).alias("path"))
     return sources.allowed_uploads(files).select("doc_id", "accepted")
 
 
