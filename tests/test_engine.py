@@ -210,3 +210,98 @@ def test_ordered_split_deals_its_rows(spark):
         assert split.select(F.spark_partition_id().alias("task")).groupBy("task").count().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("n", [49, 71, 142, 151])
+def test_hold_out_holds_as_many_as_it_says(spark, n):
+    got = sampling.hold_out(spark.range(n), "id").filter("split = 'validation'").count()
+    assert got == int(n * 0.1)
+
+
+def test_ranks_in_parts(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(400)).alias("v"), "id")
+    got = logs.ranked(rows, ["g"], ["v", "id"], parts=16).collect()
+    for g in range(3):
+        own = sorted((r["v"], r["id"], r["r"], r["n"]) for r in got if r["g"] == g)
+        assert [x[2] for x in own] == list(range(1000)) and {x[3] for x in own} == {1000}
+    same = spark.range(50).select(F.lit(1).alias("g"), F.lit(2.0).alias("v"), "id")
+    assert sorted(r["r"] for r in logs.ranked(same, ["g"], ["v", "id"]).collect()) == list(range(50))
+
+
+def test_first_rows_of_classes_however_they_are_dealt(spark):
+    rows = spark.range(900).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("h"), "id").repartition(5)
+    want = {g: [i for _, i in sorted((r["h"], r["id"]) for r in rows.collect() if r["g"] == g)][:7] for g in (0, 1)}
+    got = sampling.first_ranks(rows, "g", 7, [F.col("h"), F.col("id")]).orderBy("g", "_r").collect()
+    assert {g: [r["id"] for r in got if r["g"] == g] for g in (0, 1)} == want
+
+
+def test_keep_first_takes_whole_rows(spark):
+    rows = spark.createDataFrame([(3, "a", "x"), (1, "a", None), (2, "b", "y"), (5, None, "z"), (4, None, "w")], "id int, k string, v string")
+    assert sorted(map(tuple, corrections.keep_first(rows, ["k"], "id").collect())) == [(1, "a", None), (2, "b", "y"), (4, None, "w")]
+
+
+def test_centroids_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "vec_id long, embedding array<float>")
+    centres = spark.createDataFrame([(c, [float(c), float(c)]) for c in range(9)], "cluster int, centroid array<double>")
+    by = lambda most: sorted(map(tuple, vectors.assign(rows, centres, most=most).collect()))
+    assert by(4096) == by(2)
+
+
+def test_vector_queries_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i % 11) - 5, float(i % 7) - 3, 1.0]) for i in range(120)], "vec_id long, embedding array<float>")
+    asked = rows.filter("vec_id % 10 = 0")
+    by = lambda block: sorted((r["query"], r["rank"], round(r["score"], 5)) for r in vectors.top_k(rows, asked, k=4, block=block).collect())
+    assert by(4096) == by(5)
+
+
+def test_online_clusters_in_order(spark):
+    """Against the plain fold over each class."""
+    random.seed(1)
+    rows = [(i, f"g{i % 3}", [random.random() * 4, random.random() * 4]) for i in range(200)]
+    got = {r["vec_id"]: r["cluster"] for r in vectors.online_clusters(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").repartition(7), "label", radius=1.0, most=5).collect()}
+    for g in ("g0", "g1", "g2"):
+        centres, counts = [], []
+        for i, _, v in (r for r in rows if r[1] == g):
+            d = [((v[0] - c[0]) ** 2 + (v[1] - c[1]) ** 2) ** 0.5 for c in centres]
+            k = d.index(min(d)) if d else 0
+            if not d or (d[k] > 1.0 and len(centres) < 5):
+                k = len(centres)
+                centres.append(list(v))
+                counts.append(1)
+            else:
+                counts[k] += 1
+                centres[k] = [c + (x - c) / counts[k] for c, x in zip(centres[k], v)]
+            assert got[i] == k
+
+
+def test_hidden_kinds_of_files(spark):
+    rows = spark.createDataFrame([("/a/x.png", 5), ("/a/x.exe.png", 5), ("/a.exe/x.pdf", 5), ("/a/x.txt", 5), ("/a/x.png", 11 << 20), ("/a/js.png", 5)], "path string, length long")
+    assert [r["accepted"] for r in sources.allowed_uploads(rows).collect()] == [True, False, True, False, False, True]
+
+
+def test_context_file_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "broken.json").write_text('{"drugs": [')
+    (tmp_path / "one.json").write_text('{"drugs": ["x"], "diagnoses": []}')
+    found = lambda name: sorted(tuple(r) for r in sources.context_terms(spark, str(tmp_path / name)).collect())
+    assert len(found("none.json")) == len(found("broken.json")) == len(sources.CONTEXT_DRUGS) + len(sources.CONTEXT_DIAGNOSES)
+    assert found("one.json") == [("drug", "x")]
+
+
+def test_sorting_by_a_chosen_column(spark):
+    rows = spark.createDataFrame([("a", 2.0), ("b", None), ("c", 1.0)], "version string, cer double")
+    assert [r[0] for r in registry.sorted_by(rows, "cer").collect()] == ["c", "a", "b"]
+    assert [r[0] for r in registry.sorted_by(rows, "cer", descending=True).collect()] == ["a", "c", "b"]
+    with pytest.raises(ValueError):
+        registry.sorted_by(rows, "nothing")
+
+
+def test_a_batch_every_few_seconds(spark, tmp_path):
+    spark.range(20).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    running = streaming.every(stream, streaming.upsert_by(str(tmp_path / "out"), []), str(tmp_path / "c"), seconds=1, until_idle=True)
+    assert not running.isActive and spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_phone_behind_its_name(spark):
+    text = "Patient: Ali\nهاتف: 055 123 4567\nEnd"
+    assert one(spark, [(text,)], "t string", extract.patient(F.col("t"))["phone"]) == ["055 123 4567"]

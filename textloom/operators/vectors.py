@@ -66,7 +66,7 @@ def assign(vectors: DataFrame, centroids: DataFrame, *, key: str = "vec_id", vec
     if centroids.limit(most + 1).count() > most:
         blocks = -(-centroids.count() // most)
         parts = [assign(vectors, centroids.filter(F.pmod(F.xxhash64("cluster"), F.lit(2 * blocks)) == b), key=key, vector=vector, most=10 * most) for b in range(2 * blocks)]
-        return functools.reduce(DataFrame.union, parts).groupBy(key).agg(F.min_by(F.struct("cluster", "distance"), F.struct("distance", "cluster")).alias("b")).select(key, "b.*")
+        return functools.reduce(DataFrame.union, parts).filter("cluster is not null").groupBy(key).agg(F.min_by(F.struct("cluster", "distance"), F.struct("distance", "cluster")).alias("b")).select(key, "b.*")
     few = F.broadcast(centroids.agg(F.sort_array(F.collect_list(F.struct("cluster", "centroid"))).alias("c")))  # one row
     distances = F.transform("c", lambda c: F.struct(F.round(euclid(F.col(vector), c["centroid"]), 6).alias("d"), c["cluster"].alias("cluster"), euclid(F.col(vector), c["centroid"]).alias("distance")))
     return vectors.join(few).select(key, F.array_min(distances).alias("best")).select(key, F.col("best.cluster").alias("cluster"), F.col("best.distance").alias("distance"))

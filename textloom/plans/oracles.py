@@ -6,6 +6,7 @@ tests/ holds those against fixed results.
 
 from __future__ import annotations
 
+from textloom.functions.redact import KEYWORDS
 from textloom.functions.redact import PATTERNS as PRIVATE_PATTERNS
 from textloom.operators.clinical import CONDITIONS, CONTRAINDICATIONS, DOSAGES, DRUGS, INTERACTIONS, PROTOCOLS, ROUTES, SYMPTOMS
 from textloom.operators.documents import REFERENCES
@@ -64,6 +65,12 @@ def oracle_sql() -> dict[str, str]:
         (SELECT id, lower(trim(unnest(drugs))) AS d, generate_subscripts(drugs, 1) AS i FROM {values("DRUG_LISTS")}) x JOIN (SELECT id, lower(trim(unnest(drugs))) AS d, generate_subscripts(drugs, 1) AS i FROM {values("DRUG_LISTS")}) y ON x.id = y.id AND x.i < y.i) p
         JOIN (SELECT least(a, b) AS a2, greatest(a, b) AS b2, severity, evidence FROM {interactions}) i ON p.a = i.a2 AND p.b = i.b2"""
     found = {
+        "m5_doses": r"SELECT word, regexp_matches(word, '(?i)^\d+(\.\d+)?\s*(mg|ml|mcg|g|مجم|مل|ملغ|جم)?$') AS dose, regexp_replace(regexp_replace(regexp_replace(regexp_replace(word, '(\d)\s*مجم$', '\1 mg'), '(\d)\s*ملغ$', '\1 mg'), '(\d)\s*مل$', '\1 ml'), '(\d)\s*جم$', '\1 g') AS spelled FROM (VALUES ('5mg'), ('10 ml'), ('7 مجم'), ('abc'), ('3.5')) t(word)",
+        "m1_context_rules": r"SELECT id, regexp_replace(regexp_replace(text, '(\d+)\s*(مل|mg|مجم)($|[^\p{L}\d])', '\1 \2\3', 'g'), '(\d+)\s*(مرة|مرات|times)($|[^\p{L}\d])', '\1 \2\3', 'g') AS text FROM (VALUES (1, 'خذ 500مجم مع 10 mg و 3مرات'), (2, '5mgx')) t(id, text)",
+        "do5_sentences": r"SELECT doc_id, sentences FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?؟])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sentences FROM documents) WHERE sentences > 0",
+        "do8_fhir": "SELECT event_id, to_json({'resourceType': 'Observation', 'code': {'text': event_type}, 'subject': {'reference': 'Patient/' || user_id}, 'effectiveDateTime': strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'valueQuantity': {'value': value}})::VARCHAR AS resource FROM events",
+        "a2_store_stats": f"WITH p AS {PATTERNS.format(c)}, t AS (SELECT * FROM p ORDER BY frequency DESC, pattern, correction LIMIT 10) SELECT (SELECT count(*) FROM {c} x) AS total, (SELECT count(DISTINCT pattern) FROM p) AS patterns, (SELECT '[' || string_agg('{{\"n\":' || -frequency || coalesce(',\"pattern\":\"' || pattern || '\"', '') || coalesce(',\"correction\":\"' || correction || '\"', '') || '}}', ',' ORDER BY frequency DESC, pattern NULLS FIRST, correction NULLS FIRST) || ']' FROM t) AS top",
+        "r3_context_lines": f"SELECT id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '{'|'.join(KEYWORDS)}') AND length(trim(x)) > 5 THEN '[REDACTED]' ELSE x END), chr(10)) AS redacted FROM (VALUES (1, 'اسم المريض: علي' || chr(10) || 'ok'), (2, 'العنوان' || chr(10) || 'x'), (3, 'plain')) t(id, text)",
         "entry_quality_profile": r"SELECT lang, count(*) AS docs, round(avg(length(text)), 4) AS avg_len, count(*) FILTER (length(text) > 1000) AS long_docs, count(*) FILTER (regexp_matches(text, '[\w.\-]+@[\w.\-]+\.\w{2,}')) AS with_email, count(*) FILTER (regexp_matches(text, '\b[0-9]{10}\b')) AS with_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY lang",
         "j1_gold_standard": """WITH r AS (SELECT o_orderkey AS region_id, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'gold_standard' WHEN 'O' THEN 'pending' ELSE 'approved' END AS status, CASE WHEN o_totalprice > 200000 THEN o_orderpriority END AS corrected_text, o_orderkey % 3 AS n, o_orderdate AS corrected_at FROM orders)
             SELECT region_id, c_name AS page, status, corrected_text, corrected_at FROM r JOIN customer ON o_custkey = c_custkey WHERE status = 'gold_standard' OR (status = 'pending' AND corrected_text IS NOT NULL AND n >= 1)""",
