@@ -6,6 +6,10 @@
    cut splits goes whole, and n_chars is counted anew.
 4. decontamination: documents that hold a benchmark item go.
 5. byte-level BPE: token ids for what is left, with their number.
+
+Null and empty texts stay through stages 1, 2 and 4 and have no ids; stage 3 drops no row that has lost nothing. Null doc_ids come last
+where an id decides, and rows that repeat an id are documents of their own. An empty table gives an empty result. Columns beside those
+of documents are not carried.
 """
 
 from __future__ import annotations
@@ -20,15 +24,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE, SIMILAR = 5, 80
 
 
-_folders: list[str] = []
+_folders: dict[str, str] = {}
 
 
-def _folder(spark: SparkSession) -> str:
-    """A shared folder for a stage. The one before has been written when a stage begins, so what it left there goes."""
-    while _folders:
-        packed.delete(spark, _folders.pop())
-    _folders.append(packed.shared_folder(spark))
-    return _folders[0]
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """A shared folder for a stage. The one before over the same tables has been written when a stage begins, so what it left there goes."""
+    if sf_dir in _folders:
+        packed.delete(spark, _folders.pop(sf_dir))
+    _folders[sf_dir] = packed.shared_folder(spark)
+    return _folders[sf_dir]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,21 +41,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.first_of_groups(docs.select(*COLUMNS), _folder(spark), k=SHINGLE, percent=SIMILAR)
+    return jaccard.first_of_groups(docs.select(*COLUMNS), _folder(spark, sf_dir), k=SHINGLE, percent=SIMILAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix.remove_repeats(docs, _folder(spark), keep=("doc_id", "lang", "source"), characters=True)
+    cut = suffix.remove_repeats(docs, _folder(spark, sf_dir), keep=("doc_id", "lang", "source"), characters=True)
     cut = cut.filter("n_removed = 0 or n_removed < n_bytes").withColumnRenamed("kept", "text")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pigeonhole.without_matches(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _folder(spark))
+    return pigeonhole.without_matches(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _folder(spark, sf_dir))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, _folder(spark), keep=COLUMNS).select(*COLUMNS, "n_tokens", "ids")
+    return bpe.encode(docs, _folder(spark, sf_dir), keep=COLUMNS).select(*COLUMNS, "n_tokens", "ids")
 
 
 STAGES = [
