@@ -82,3 +82,17 @@ def test_near_copies_by_five_words(spark, tmp_path):
     assert wanted != kept(4, 85)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()) == wanted
+
+
+def test_edge_rows(spark, tmp_path):
+    """Null ids and texts, empty texts, repeated rows and a further column; then an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, item_id long"
+    rows = [(1, "a few words of a text", "en", "s", 21, 0), (1, "a few words of a text", "en", "s", 21, 0), (None, "other words without an id", "en", "s", 25, 0), (None, None, None, None, None, None), (2, None, "en", "s", None, 0), (3, "", "en", "s", 0, 0)]
+    for name, some in (("full", rows), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(0, "no such passage anywhere")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got) == [(-1, ""), (-1, "other words without an id"), (1, "a few words of a text"), (2, ""), (3, "")]
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
