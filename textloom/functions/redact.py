@@ -39,8 +39,10 @@ def redact(x: Column | str, *, lines: bool = True) -> Column:
     """
     out = col(x)
     for name, pattern in PATTERNS:
-        guard = r"(?!\s*\d\s{7,14}(?![\d\-\(\)]))" if name == "phone" else ""
+        # what a phone number may begin with is looked at first, or its optional parts would be tried at every character
+        guard = r"(?=[+\d\s\-])(?!\s*\d\s{7,14}(?![\d\-\(\)]))" if name == "phone" else ""
         out = F.regexp_replace(out, f"{guard}{pattern}", MASK)
+    out = F.when(col(x).rlike("[0-9@]"), out).otherwise(col(x))  # no pattern matches without a digit or an @
     if not lines:
         return out
     told = "|".join(KEYWORDS)
