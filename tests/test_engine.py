@@ -305,3 +305,8 @@ def test_a_batch_every_few_seconds(spark, tmp_path):
 def test_phone_behind_its_name(spark):
     text = "Patient: Ali\nهاتف: 055 123 4567\nEnd"
     assert one(spark, [(text,)], "t string", extract.patient(F.col("t"))["phone"]) == ["055 123 4567"]
+
+
+def test_character_references_of_pages(spark):
+    page = "<p>a &#233; &#xE9; &#x1F600; &amp;#65; &mdash; &#0; &#xD800; &#12 &#99999999; b</p>"
+    assert one(spark, [(page,), (None,), ("plain",)], "t string", documents.html_text(F.col("t"))) == ["a é é 😀 &#65; — &#0; &#xD800; &#12 &#99999999; b", None, "plain"]

@@ -14,8 +14,23 @@ from pyspark.sql import functions as F
 
 from textloom.functions.normalize import has_basic_arabic, word_count
 
-# Named character references that pages use; numeric ones are rare in text and stay.
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# The named character references of text; the ampersand's comes last.
+REFERENCES = (("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&reg;", "®"), ("&trade;", "™"), ("&deg;", "°"), ("&euro;", "€"), ("&pound;", "£"), ("&sect;", "§"), ("&times;", "×"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def numeric_references(text: Column) -> Column:
+    """Decimal and hexadecimal character references as their characters; what names no character stays as it is."""
+    character = lambda code: F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+    def piece(p: Column) -> Column:
+        decimal, hexadecimal = F.regexp_extract(p, "^([0-9]{1,7});", 1), F.regexp_extract(p, "^[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(decimal != "", decimal).when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).cast("long")
+        fine = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(fine, F.concat(character(code), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p))
+
+    parts = F.split(text, "&#")
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    return F.when(F.contains(text, F.lit("&#")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
 
 
 def html_text(html: Column) -> Column:
@@ -23,6 +38,7 @@ def html_text(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
     body = F.regexp_extract(bare, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
     out = F.regexp_replace(F.when(body != "", body).otherwise(bare), r"(?s)<!--.*?-->|<[^>]*>", "\n")
+    out = numeric_references(out)
     for reference, character in REFERENCES:
         out = F.replace(out, F.lit(reference), F.lit(character))
     lines = F.transform(F.split(out, "\n"), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", ""))
