@@ -256,3 +256,13 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new[1:] = s[1:] > e[:-1]
     at = np.flatnonzero(new)
     return s[at], e[np.append(at[1:], len(s)) - 1]
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The spans of each text (the index of its first one, and one more at the end) with a space between them."""
+    sizes = ends - starts
+    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    spaced = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
+    spaced[np.repeat(begins, sizes) + ranges(sizes)] = gather(data, starts, sizes)
+    edge = np.append(begins, len(spaced))[first]
+    return [spaced[a : max(a, b - 1)].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]

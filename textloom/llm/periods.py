@@ -151,13 +151,7 @@ def of_batch(texts: pa.Array, keys: list, arrange: Callable[[object, int], tuple
             gone[a + s + p] += 1
             gone[a + s + length] -= 1
     kept = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
-    sizes = (ends - starts)[ids[kept]]
-    # each word with a space behind it; the last one's goes
-    spaced = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
-    begins = np.cumsum(sizes + 1) - (sizes + 1)
-    spaced[np.repeat(begins, sizes) + kernels.ranges(sizes)] = kernels.gather(data, starts[ids[kept]], sizes)
-    edge = np.append(begins, len(spaced))[np.searchsorted(kept, first)]
-    joined = [spaced[a : max(a, b - 1)].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    joined = kernels.joined(data, starts[ids[kept]], ends[ids[kept]], np.searchsorted(kept, first))
     return np.diff(first).tolist(), found, joined
 
 

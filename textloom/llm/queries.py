@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import audit, bpe, extraction, jaccard, lengths, maxent, periods, pigeonhole, quality, sharding, suffix, toxicity
+from textloom.llm import audit, blocks, bpe, extraction, jaccard, lengths, maxent, periods, pigeonhole, quality, sharding, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.query(_table(spark, sf_dir, "documents"))
 
 
+def op11_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.query(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.query(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_model": op8_language_model,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
+        "op11_block_dedup": op11_block_dedup,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_filter_audit": op13_filter_audit,
     }
