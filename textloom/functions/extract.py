@@ -1,11 +1,14 @@
-"""Structured fields out of clinical free text, as one select of column expressions."""
+"""Structured fields out of clinical free text, as one select of column expressions.
+
+Numbers may be in the digits of any script: what is returned as a number is read from them, what is returned as text keeps them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.normalize import ascii_digits
+from textloom.functions.patterns import native, plain_digits
 
 # What the fields look like in English and Arabic notes.
 PRESSURE = r"(?i)(?:BP|blood pressure|ضغط الدم|الضغط)[:\s]*(\d{2,3})\s*/\s*(\d{2,3})"
@@ -26,7 +29,11 @@ ICD = r"\b([A-Z]\d{2}(?:\.\d{1,4})?)\b"
 DIAGNOSIS = r"(?i)(?:dx|diagnosis|diagnoses|تشخيص|المرض|الحالة)[:\s–-]+(.+?)(?:\n|$)"
 CHRONIC = r"(?i)(?:chronic|مزمن|long[- ]standing|دائم)"
 UNIT = r"mg/dL|mmol/L|g/L|U/L|ng/mL|pg/mL|mg/L|µmol/L|%|ملغ/ديسيلتر|ملمول/لتر"
-LAB = rf"(?i)([A-Za-z؀-ۿ][\w؀-ۿ \-]{{1,50}}?)\s*[:\s]\s*(\d+(?:\.\d+)?)\s*({UNIT})(?:\s*\(?([<>]?\s*[\d.]+(?:\s*[-~]\s*[\d.]+)?)\s*(?:{UNIT})?\)?)?(?:\s*(high|low|↑|↓|مرتفع|منخفض|crit|حرج))?"
+# any other unit of an amount in a volume, and names of labs that need none
+UNIT = rf"(?:{UNIT}|[\w^]{{1,9}}/(?:dL|L|mL|[µu]L|mm3|hpf|ديسيلتر|لتر)(?!\w))"
+KNOWN_LABS = r"hemoglobin|haemoglobin|glucose|creatinine|urea|sodium|potassium|calcium|cholesterol|triglycerides|bilirubin|albumin|platelets|hematocrit|HbA1c|INR|WBC|RBC|TSH|ESR|CRP|الهيموجلوبين|السكر|الكرياتينين|اليوريا|الصوديوم|البوتاسيوم|الكالسيوم|الكوليسترول"
+NUMBER = r"\d+(?:\.\d+)?"
+LAB = rf"(?i)(\b(?:{KNOWN_LABS})\b|[A-Za-z؀-ۿ][\w؀-ۿ \-]{{1,50}}?(?=\s*[:\s]\s*{NUMBER}\s*{UNIT}))\s*[:\s]\s*({NUMBER})(?![\d/])\s*({UNIT})?(?:\s*\(?([<>]?\s*[\d.]+(?:\s*[-~]\s*[\d.]+)?)\s*{UNIT}?\)?)?(?:\s*(high|low|↑|↓|مرتفع|منخفض|crit|حرج))?"
 PATIENT = {
     "name": r"(?i)(?:patient[:\s]|المريض[:\s]|الاسم[:\s]|name[:\s]+)\s*([A-Za-z؀-ۿ][\w؀-ۿ \-']{1,80})",
     "age": r"(?i)(?:age|العمر)[:\s]*([\d٠-٩]+)",
@@ -38,11 +45,11 @@ NO_ALLERGY = ("none", "nka", "nkda", "no", "nil", "لا يوجد", "لا")
 
 
 def _first(x: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
+    return F.nullif(F.regexp_extract(x, native(pattern), group), F.lit(""))
 
 
 def _all(x: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(x, F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(x, F.lit(native(pattern)), F.lit(group))
 
 
 def _some(x: Column) -> Column:
@@ -51,8 +58,8 @@ def _some(x: Column) -> Column:
 
 def vitals(x: Column) -> Column:
     """First match of each sign; a pressure without its name counts where none has one."""
-    pressure = [F.coalesce(_first(x, PRESSURE, g), _first(x, PRESSURE_ALONE, g)).try_cast("int") for g in (1, 2)]
-    return F.struct(pressure[0].alias("systolic"), pressure[1].alias("diastolic"), *(_first(x, p).try_cast("double").alias(n) for n, p in VITALS.items()))
+    pressure = [plain_digits(F.coalesce(_first(x, PRESSURE, g), _first(x, PRESSURE_ALONE, g))).try_cast("int") for g in (1, 2)]
+    return F.struct(pressure[0].alias("systolic"), pressure[1].alias("diastolic"), *(plain_digits(_first(x, p)).try_cast("double").alias(n) for n, p in VITALS.items()))
 
 
 def medications(x: Column, *, strict: bool = True) -> Column:
@@ -86,7 +93,7 @@ def _window(x: Column, code: Column, before: int = 60, behind: int = 100) -> Col
 
 def in_range(value: Column, text: Column) -> Column:
     """Whether a value lies in a reference range lo-hi, <x or >x; null where the range can't be read."""
-    clean = F.regexp_replace(text, r"\s", "")
+    clean = F.regexp_replace(plain_digits(text), native(r"\s"), "")
     low, high = (F.regexp_extract(clean, r"^([\d.]+)[-~]([\d.]+)", g).try_cast("double") for g in (1, 2))
     below, above = F.regexp_extract(clean, r"^<([\d.]+)", 1).try_cast("double"), F.regexp_extract(clean, r"^>([\d.]+)", 1).try_cast("double")
     return F.when(low.isNotNull() & high.isNotNull(), value.between(low, high)).when(below.isNotNull(), value < below).when(above.isNotNull(), value > above)
@@ -96,7 +103,7 @@ def labs(x: Column) -> Column:
     """Array of (name, value, unit, range, abnormal): abnormal by a written flag, else by the range, else false."""
     parts = ("name", "value", "unit", "range", "flag")
     rows = F.arrays_zip(*(_all(x, LAB, g + 1).alias(n) for g, n in enumerate(parts)))
-    return F.transform(rows, lambda r: F.struct(F.trim(r["name"]).alias("name"), r["value"].try_cast("double").alias("value"), _some(r["unit"]).alias("unit"), _some(r["range"]).alias("range"), (_some(r["flag"]).isNotNull() | ~F.coalesce(in_range(r["value"].try_cast("double"), r["range"]), F.lit(True))).alias("abnormal")))
+    return F.transform(rows, lambda r: F.struct(F.trim(r["name"]).alias("name"), plain_digits(r["value"]).try_cast("double").alias("value"), _some(r["unit"]).alias("unit"), _some(r["range"]).alias("range"), (_some(r["flag"]).isNotNull() | ~F.coalesce(in_range(plain_digits(r["value"]).try_cast("double"), r["range"]), F.lit(True))).alias("abnormal")))
 
 
 # A telephone number behind its name, and the named patterns of lines.
@@ -111,14 +118,14 @@ CATALOGUE = {
 
 def named(x: Column) -> Column:
     """The names of the catalogue's patterns that a line matches, in their order."""
-    return F.array_compact(F.array(*(F.when(x.rlike(pattern), F.lit(name)) for name, pattern in CATALOGUE.items())))
+    return F.array_compact(F.array(*(F.when(x.rlike(native(pattern)), F.lit(name)) for name, pattern in CATALOGUE.items())))
 
 
 def patient(x: Column) -> Column:
     gender = F.lower(_first(x, PATIENT["gender"]))
     allergies = F.flatten(F.transform(_all(x, ALLERGY, 1), lambda a: F.split(a, r"[,،;]")))
     allergies = F.filter(F.transform(allergies, F.trim), lambda a: (a != "") & ~F.lower(a).isin(*NO_ALLERGY))
-    return F.struct(F.trim(_first(x, PATIENT["name"])).alias("name"), ascii_digits(_first(x, PATIENT["age"])).alias("age"), F.when(gender.isin("male", "m", "ذكر"), "male").when(gender.isin("female", "f", "أنثى"), "female").alias("gender"), _first(x, PATIENT["id"]).alias("id"), F.regexp_replace(_first(x, PHONE), r"^\s+|\s+$", "").alias("phone"), allergies.alias("allergies"))
+    return F.struct(F.trim(_first(x, PATIENT["name"])).alias("name"), plain_digits(_first(x, PATIENT["age"])).alias("age"), F.when(gender.isin("male", "m", "ذكر"), "male").when(gender.isin("female", "f", "أنثى"), "female").alias("gender"), _first(x, PATIENT["id"]).alias("id"), F.regexp_replace(_first(x, PHONE), native(r"^\s+|\s+$"), "").alias("phone"), allergies.alias("allergies"))
 
 
 def confidence(record: Column) -> Column:
@@ -131,7 +138,7 @@ def confidence(record: Column) -> Column:
 def warnings(x: Column, record: Column) -> Column:
     """What the text names but no entry was read for."""
     told = (("medications", r"(?i)medication|drug|دواء|أدوية"), ("diagnoses", r"(?i)diagnos|تشخيص"), ("labs", r"(?i)\blab|مختبر|تحليل"))
-    return F.array_compact(F.array(*(F.when(x.rlike(p) & (F.size(record[g]) == 0), F.lit(f"no {g} read")) for g, p in told)))
+    return F.array_compact(F.array(*(F.when(x.rlike(native(p)) & (F.size(record[g]) == 0), F.lit(f"no {g} read")) for g, p in told)))
 
 
 def extract_all(x: Column, *, strict: bool = True) -> Column:

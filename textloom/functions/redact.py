@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.patterns import native
+
 MASK = "[REDACTED]"
 # The patterns in their order of application, and the keywords of sensitive lines.
 PATTERNS = (
@@ -21,6 +23,8 @@ PATTERNS = (
     ("medical_number", r"(?i)(?:عيادة|مريض|حجز|موعد|رقم|كشف|تذكرة)[\s:]*(\d{3,8})"),
 )
 KEYWORDS = ("اسم المريض", "رقم المريض", "رقم الملف", "الاسم", "تاريخ الميلاد", "العمر", "الهاتف", "الجوال", "العنوان", "رقم الهوية")
+#: What a phone number may begin with is looked at first, or its optional parts would be tried at every character; and it is over 3 characters.
+GUARD = r"(?=[+\d]|[\s\-]\d)(?!\s*\d\s{7,14}(?![\d\-\(\)]))"
 
 
 def col(x: Column | str) -> Column:
@@ -29,7 +33,7 @@ def col(x: Column | str) -> Column:
 
 def counts(x: Column | str) -> list[Column]:
     """Matches of each pattern on the text as it is; they overlap."""
-    return [F.regexp_count(col(x), F.lit(pattern)).alias(f"n_{name}") for name, pattern in PATTERNS]
+    return [F.regexp_count(col(x), F.lit(native(pattern))).alias(f"n_{name}") for name, pattern in PATTERNS]
 
 
 def redact(x: Column | str, *, lines: bool = True) -> Column:
@@ -39,10 +43,8 @@ def redact(x: Column | str, *, lines: bool = True) -> Column:
     """
     out = col(x)
     for name, pattern in PATTERNS:
-        # what a phone number may begin with is looked at first, or its optional parts would be tried at every character
-        guard = r"(?=[+\d\s\-])(?!\s*\d\s{7,14}(?![\d\-\(\)]))" if name == "phone" else ""
-        out = F.regexp_replace(out, f"{guard}{pattern}", MASK)
-    out = F.when(col(x).rlike("[0-9@]"), out).otherwise(col(x))  # no pattern matches without a digit or an @
+        out = F.regexp_replace(out, native(f"{GUARD if name == 'phone' else ''}{pattern}"), MASK)
+    out = F.when(col(x).rlike(native(r"[\d@]")), out).otherwise(col(x))  # no pattern matches without a digit of any script or an @
     if not lines:
         return out
     told = "|".join(KEYWORDS)

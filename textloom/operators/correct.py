@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import normalize
+from textloom.functions.patterns import native
 from textloom.functions.similarity import indel, matcher
 from textloom.operators import fuzzy
 
@@ -21,18 +22,18 @@ FREQUENCY = "مرة|مرات|times"
 
 def context_rules(x: Column) -> Column:
     """A space between a number and its unit, and before words of frequency."""
-    out = F.regexp_replace(x, rf"(\d+)\s*({UNITS})(?![\p{{L}}\d])", "$1 $2")
-    return F.regexp_replace(out, rf"(\d+)\s*({FREQUENCY})(?![\p{{L}}\d])", "$1 $2")
+    out = F.regexp_replace(x, native(rf"(\d+)\s*({UNITS})\b"), "$1 $2")
+    return F.regexp_replace(out, native(rf"(\d+)\s*({FREQUENCY})\b"), "$1 $2")
 
 
 def is_dose(x: Column) -> Column:
-    return x.rlike(DOSE)
+    return x.rlike(native(DOSE))
 
 
 def spell_units(x: Column) -> Column:
     out = x
     for other, usual in SPELLINGS:
-        out = F.regexp_replace(out, rf"(?<=\d)\s*{other}$", f" {usual}")
+        out = F.regexp_replace(out, native(rf"(?<=\d)\s*{other}$"), f" {usual}")
     return out
 
 

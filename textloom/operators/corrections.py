@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.normalize import length_bin, pattern_key
+from textloom.functions.patterns import native
 from textloom.functions.similarity import indel_ratio, may_reach
 
 # Fixed values of the quality rules.
@@ -116,7 +117,7 @@ def languages(rows: DataFrame, lang: str, changed: Column) -> DataFrame:
 
 def hints(text: Column, script: Column) -> Column:
     """What looks odd in a correction: digits in Arabic, more than 50 words, a first character that is no letter or digit."""
-    return F.array_compact(F.array(F.when(script.isin("arabic", "mixed") & text.rlike(r"\d"), "digits"), F.when(F.size(F.split(F.trim(text), r"\s+")) > 50, "long"), F.when(text.rlike(r"^[^\p{L}\p{N}]"), "first_character")))
+    return F.array_compact(F.array(F.when(script.isin("arabic", "mixed") & text.rlike(native(r"\d")), "digits"), F.when(F.size(F.split(F.trim(text), r"\s+")) > 50, "long"), F.when(text.rlike(r"^[^\p{L}\p{N}]"), "first_character")))
 
 
 def merge_feedback(feedback: DataFrame, existing: DataFrame, key: str, share: float = 0.7, least: int = 10, seed: int = 42) -> DataFrame:

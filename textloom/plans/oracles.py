@@ -65,8 +65,6 @@ def oracle_sql() -> dict[str, str]:
         (SELECT id, lower(trim(unnest(drugs))) AS d, generate_subscripts(drugs, 1) AS i FROM {values("DRUG_LISTS")}) x JOIN (SELECT id, lower(trim(unnest(drugs))) AS d, generate_subscripts(drugs, 1) AS i FROM {values("DRUG_LISTS")}) y ON x.id = y.id AND x.i < y.i) p
         JOIN (SELECT least(a, b) AS a2, greatest(a, b) AS b2, severity, evidence FROM {interactions}) i ON p.a = i.a2 AND p.b = i.b2"""
     found = {
-        "m5_doses": r"SELECT word, regexp_matches(word, '(?i)^\d+(\.\d+)?\s*(mg|ml|mcg|g|مجم|مل|ملغ|جم)?$') AS dose, regexp_replace(regexp_replace(regexp_replace(regexp_replace(word, '(\d)\s*مجم$', '\1 mg'), '(\d)\s*ملغ$', '\1 mg'), '(\d)\s*مل$', '\1 ml'), '(\d)\s*جم$', '\1 g') AS spelled FROM (VALUES ('5mg'), ('10 ml'), ('7 مجم'), ('abc'), ('3.5')) t(word)",
-        "m1_context_rules": r"SELECT id, regexp_replace(regexp_replace(text, '(\d+)\s*(مل|mg|مجم)($|[^\p{L}\d])', '\1 \2\3', 'g'), '(\d+)\s*(مرة|مرات|times)($|[^\p{L}\d])', '\1 \2\3', 'g') AS text FROM (VALUES (1, 'خذ 500مجم مع 10 mg و 3مرات'), (2, '5mgx')) t(id, text)",
         "do5_sentences": r"SELECT doc_id, sentences FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?؟])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sentences FROM documents) WHERE sentences > 0",
         "do8_fhir": "SELECT event_id, to_json({'resourceType': 'Observation', 'code': {'text': event_type}, 'subject': {'reference': 'Patient/' || user_id}, 'effectiveDateTime': strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'valueQuantity': {'value': value}})::VARCHAR AS resource FROM events",
         "a2_store_stats": f"WITH p AS {PATTERNS.format(c)}, t AS (SELECT * FROM p ORDER BY frequency DESC, pattern, correction LIMIT 10) SELECT (SELECT count(*) FROM {c} x) AS total, (SELECT count(DISTINCT pattern) FROM p) AS patterns, (SELECT '[' || string_agg('{{\"n\":' || -frequency || coalesce(',\"pattern\":\"' || pattern || '\"', '') || coalesce(',\"correction\":\"' || correction || '\"', '') || '}}', ',' ORDER BY frequency DESC, pattern NULLS FIRST, correction NULLS FIRST) || ']' FROM t) AS top",
@@ -83,9 +81,6 @@ def oracle_sql() -> dict[str, str]:
             translate(regexp_replace(trim(text), '{MARKS}', '', 'g'), 'أإآة', 'اااه') AS clinical, {SCRIPT} AS script, translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789') AS digits, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS lines FROM {values("TEXTS")}""",
         "n18_text_counts": f"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, len(string_split(text, chr(10))) AS lines, regexp_matches(text, '[A-Za-z]') AS latin, {SCRIPT} AS script, substr(md5(text), 1, 16) AS hash FROM documents",
         "a21_private_counts": r"SELECT doc_id, len(regexp_extract_all(text, '[\w.\-]+@[\w.\-]+\.\w{2,}')) AS n_email, len(regexp_extract_all(text, '\b\d{10}\b')) AS n_national_id, len(regexp_extract_all(text, '\b(?:\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}|\d{4}[/\-]\d{1,2}[/\-]\d{1,2})\b')) AS n_date, length(text) AS chars, len(string_split(text, chr(10))) AS lines FROM documents",
-        "e1_vitals": rf"""WITH v AS (SELECT id, regexp_extract(text, '(?i)(?:BP|blood pressure)[:\s]*(\d{{2,3}})\s*/\s*(\d{{2,3}})', ['a', 'b']) AS n, regexp_extract(text, '(\d{{2,3}})\s*/\s*(\d{{2,3}})', ['a', 'b']) AS s, text FROM {values("NOTES")})
-            SELECT id, try_cast(coalesce(nullif(n.a, ''), nullif(s.a, '')) AS INT) AS systolic, try_cast(coalesce(nullif(n.b, ''), nullif(s.b, '')) AS INT) AS diastolic, try_cast(regexp_extract(text, '(?i)(?:HR|heart rate|pulse)[:\s]*(\d{{2,3}})', 1) AS DOUBLE) AS heart_rate, try_cast(regexp_extract(text, '(?i)(?:temp(?:erature)?)[:\s]*([\d.]+)', 1) AS DOUBLE) AS temperature,
-            try_cast(regexp_extract(text, '(?i)(?:SpO2|oxygen sat)[:\s]*([\d.]+)', 1) AS DOUBLE) AS oxygen, try_cast(regexp_extract(text, '(?i)(?:RR|respiratory rate)[:\s]*(\d{{1,2}})', 1) AS DOUBLE) AS respiration FROM v""",
         "e8_icd_codes": r"SELECT regexp_extract(upper(substr(p_type, 1, 1)) || lpad(p_size::VARCHAR, 2, '0'), '\b([A-Z]\d{2}(?:\.\d{1,4})?)\b', 1) AS code, count(*) AS parts FROM part GROUP BY code",
         "p6_quality_reasons": _reasons(f"(SELECT *, crop_base64 AS crop FROM {c})"),
         "p6_document_reasons": "SELECT reason, count(*) AS docs FROM (" + _reasons("(SELECT doc_id AS id, string_split(text, chr(10))[1] AS raw_text, text AS corrected_text, CASE WHEN doc_id % 10 > 0 THEN lang END AS crop FROM documents)") + ") GROUP BY reason",

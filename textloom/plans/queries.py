@@ -153,37 +153,6 @@ def r3_context_lines(spark, sf_dir):
     return rows.select("id", redact.redact("text").alias("redacted"))
 
 
-@query
-def e1_vitals(spark, sf_dir):
-    return frame(spark, "NOTES").select("id", extract.vitals(F.col("text")).alias("v")).select("id", "v.*")
-
-
-@query
-def e2_medications(spark, sf_dir):
-    return frame(spark, "NOTES").select("id", F.explode(extract.medications(F.col("text"))).alias("m")).select("id", "m.*")
-
-
-@query
-def e3_diagnoses(spark, sf_dir):
-    return frame(spark, "NOTES").select("id", F.explode(extract.diagnoses(F.col("text"))).alias("m")).select("id", "m.*")
-
-
-@query
-def e4_labs(spark, sf_dir):
-    return frame(spark, "NOTES").select("id", F.explode(extract.labs(F.col("text"))).alias("m")).select("id", "m.*")
-
-
-@query
-def e6_patients(spark, sf_dir):
-    return frame(spark, "NOTES").select("id", extract.patient(F.col("text")).alias("p")).select("id", "p.name", "p.age", "p.gender", F.col("p.id").alias("patient_id"), "p.allergies")
-
-
-@query
-def e7_records(spark, sf_dir):
-    rows = frame(spark, "NOTES").withColumn("record", extract.extract_all(F.col("text")))
-    return rows.select("id", F.to_json("record").alias("record"), F.to_json(extract.confidence(F.col("record"))).alias("confidence"), extract.warnings(F.col("text"), F.col("record")).alias("warnings"))
-
-
 @query
 def e8_icd_codes(spark, sf_dir):
     """Codes of one letter and two digits in part names, by the rule of diagnoses."""
@@ -356,12 +325,6 @@ def l9_phrases(spark, sf_dir):
     return correct.match_phrases(rows, terms).select("id", F.to_json("phrases").alias("phrases"))
 
 
-@query
-def m1_context_rules(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "خذ 500مجم مع 10 mg و 3مرات"), (2, "5mgx")], "id int, text string")
-    return rows.select("id", correct.context_rules(F.col("text")).alias("text"))
-
-
 @query
 def m4_correct_text(spark, sf_dir):
     terms = spark.createDataFrame([("الفقرات القطنية", "الفقرات القطنية", 1), ("كسر", "كسر", 2)], "variant string, term string, ordinal int").withColumn("variant", normalize.normalize_arabic("variant"))
@@ -369,12 +332,6 @@ def m4_correct_text(spark, sf_dir):
     return correct.correct_text(rows, terms).select("id", "corrected", "changed")
 
 
-@query
-def m5_doses(spark, sf_dir):
-    rows = spark.createDataFrame([("5mg",), ("10 ml",), ("7 مجم",), ("abc",), ("3.5",)], "word string")
-    return rows.select("word", correct.is_dose(F.col("word")).alias("dose"), correct.spell_units(F.col("word")).alias("spelled"))
-
-
 @query
 def m6_word_cascade(spark, sf_dir):
     list_of = lambda names: spark.createDataFrame([(d, d, i) for i, d in enumerate(names)], "variant string, term string, ordinal int")
