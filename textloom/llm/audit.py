@@ -4,8 +4,8 @@ The words of each text are exploded and aggregated by (document, word), then by
 flags of the other filters each document has a mask of the filters that it fails, and a part of the table comes down to 32 conditional
 counts (three times: documents, good ones, toxic ones). All orders are read off those counts.
 
-* Text is exchanged once, by document and a salt of the task that read it; both aggregations of words stand behind that exchange. An
-  empty word marks each row, so that rows which repeat a document (doc_id and text) share one total, and texts without words stay.
+* Text is exchanged once, by document and a salt of the task that read it; both aggregations of words stand behind that exchange. Empty
+  words mark each row, so that rows which repeat a document (doc_id and a hash of its text) share one total, and texts without words stay.
 * Copies are settled by the digest of the text. Only digests that stand more than once are joined back, each under the salts that its
   rows have, so that no group of copies is one task's.
 * Documents are counted by (doc_id, part, mask) before labels are joined to them, so that a doc_id of many rows, or none, is one row.
@@ -25,19 +25,20 @@ from pyspark.sql import functions as F
 LETTERS = "ABCDE"
 #: Words that a text must have at least, and the least share of distinct ones and the largest of capitals in percent.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 100, 80, 10
-SYMBOLS, CAPITALS, WHITE = "[#$%&*|]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\x20\x09-\x0D]+"
+SYMBOLS, NO_CAPITALS, WHITE = "[#$%&*|]", "[^A-Z]+", r"[\x20\x09-\x0D]+"
 #: Tasks that the rows of one document or one text are dealt to.
 SALTS = 32
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_words, n_distinct) for every distinct pair of doc_id and digest, from rows (doc_id, digest, text)."""
-    salted = docs.select("doc_id", "digest", (F.spark_partition_id() % SALTS).alias("salt"), "text").repartition("doc_id", "digest", "salt")
-    words = salted.select("doc_id", "digest", "salt", F.explode(F.concat(F.array(F.lit("")), F.filter(F.split("text", WHITE), lambda w: w != ""))).alias("word"))
-    counts = words.groupBy("doc_id", "digest", "salt", "word").agg(F.count("*").alias("n"))
-    rows, word = F.sum(F.when(F.col("word") == "", F.col("n"))), F.col("word") != ""
-    sums = counts.groupBy("doc_id", "digest", "salt").agg((F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)) / rows).cast("long").alias("n_words"), F.count_if(word).alias("n_distinct"))
-    return sums.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
+    """(doc_id, version, n_words, n_distinct) for every distinct pair of doc_id and version, from rows (doc_id, version, text)."""
+    salted = docs.select("doc_id", "version", (F.spark_partition_id() % SALTS).alias("salt"), "text").repartition("doc_id", "version", "salt")
+    # with white space on both sides every row has two empty words, whatever its text begins and ends with
+    words = salted.select("doc_id", "version", "salt", F.explode(F.split(F.concat(F.lit(" "), "text", F.lit(" ")), WHITE)).alias("word"))
+    counts = words.groupBy("doc_id", "version", "salt", "word").agg(F.count("*").alias("n"))
+    empty, word = F.sum(F.when(F.col("word") == "", F.col("n"))), F.col("word") != ""
+    sums = counts.groupBy("doc_id", "version", "salt").agg((2 * F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)) / empty).cast("long").alias("n_words"), F.count_if(word).alias("n_distinct"))
+    return sums.groupBy("doc_id", "version").agg(F.max("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
@@ -50,13 +51,13 @@ def first_copies(docs: DataFrame) -> DataFrame:
 def masks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, part, mask, n): how many documents of that doc_id and part fail the filters whose bits (A: 1 ... E: 16) the mask has."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("part"), whole.alias("text"), F.unhex(F.sha2(whole, 256)).alias("digest"))
-    c = 100 * (F.length("text") - F.length(F.translate("text", CAPITALS, ""))) > MOST_CAPITALS * F.length("text")
-    flags = rows.select("doc_id", "digest", "part", (F.xxhash64("doc_id") % SALTS).alias("salt"), (4 * c.cast("int") + 8 * F.col("text").rlike(SYMBOLS).cast("int")).alias("flags"))
-    flags = flags.groupBy("doc_id", "digest", "part", "salt", "flags").agg(F.count("*").alias("n"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("part"), whole.alias("text"), F.xxhash64(whole).alias("version"))
+    c = 100 * F.length(F.regexp_replace("text", NO_CAPITALS, "")) > MOST_CAPITALS * F.length("text")
+    flags = rows.select("doc_id", "version", F.unhex(F.sha2("text", 256)).alias("digest"), "part", (F.xxhash64("doc_id") % SALTS).alias("salt"), (4 * c.cast("int") + 8 * F.col("text").rlike(SYMBOLS).cast("int")).alias("flags"))
+    flags = flags.groupBy("doc_id", "version", "digest", "part", "salt", "flags").agg(F.count("*").alias("n"))
     flags = flags.join(first_copies(flags.select("doc_id", "digest", "salt")), ["digest", "salt"], "left")
-    words = word_counts(rows).withColumnsRenamed({"doc_id": "word_id", "digest": "word_digest"})
-    both = flags.join(words, F.col("doc_id").eqNullSafe(F.col("word_id")) & (F.col("digest") == F.col("word_digest")), "outer")
+    words = word_counts(rows).withColumnsRenamed({"doc_id": "word_id", "version": "word_version"})
+    both = flags.join(words, F.col("doc_id").eqNullSafe(F.col("word_id")) & (F.col("version") == F.col("word_version")), "outer")
     a, b = F.col("n_words") < LEAST_WORDS, 100 * F.col("n_distinct") < LEAST_DISTINCT * F.col("n_words")
     e = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return both.groupBy("doc_id", "part", (a.cast("int") + 2 * b.cast("int") + F.col("flags") + 16 * e.cast("int")).alias("mask")).agg(F.sum("n").alias("n"))
