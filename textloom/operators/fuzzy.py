@@ -1,8 +1,8 @@
 """Exact, phonetic and fuzzy lookups of words in dictionaries, as joins.
 
-Every lookup goes over distinct words, probes exactly first, and only for the misses compares fuzzily: an equi-join on the length
-(each word is exploded over the lengths that a term may have), a native bound on the edit distance, and the exact ratio on what is left.
-A dictionary is broadcast only below ``BROADCAST_ROWS`` rows; beyond, the same joins shuffle.
+Every lookup goes over distinct words, probes exactly first, and only for the misses compares fuzzily: candidates by an equi-join on
+pieces of the strings (see ``signatures``), a native bound on the edit distance, and the exact ratio on what is left. That holds for
+dictionaries of any size; a small one is broadcast where terms are joined by equality alone.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import similarity
+from textloom.operators import signatures
 
 BROADCAST_ROWS = 200_000
 
@@ -39,11 +40,10 @@ def best_match(words: DataFrame, terms: DataFrame, *, ratio: float, metric: str
     distinct = words.select("word").filter("word is not null").distinct()
     if longest is not None:
         distinct = distinct.filter(F.length("word") <= longest)
-    near = distinct.withColumn("n", F.explode(F.sequence(F.greatest(F.length("word") - slack, F.lit(1)), F.length("word") + slack)))
-    sized = small(terms.select("variant", "term", "ordinal", F.length("variant").alias("n")))
-    pairs = near.join(sized, "n").filter(similarity.may_reach(F.col("word"), F.col("variant"), ratio))
+    named = terms.filter("variant <> ''").groupBy("variant").agg(F.min_by("term", "ordinal").alias("term"), F.min("ordinal").alias("ordinal"))
+    pairs = signatures.near_pairs(distinct, named.select("variant"), ratio=ratio, slack=slack).filter(similarity.may_reach(F.col("word"), F.col("variant"), ratio))
     score = similarity.indel_ratio("word", "variant") / 100 if metric == "indel" else similarity.matcher_ratio("word", "variant")
-    pairs = pairs.withColumn("score", score).filter(F.col("score") > ratio if strictly else F.col("score") >= ratio)
+    pairs = pairs.withColumn("score", score).filter(F.col("score") > ratio if strictly else F.col("score") >= ratio).join(named, "variant")
     best = pairs.groupBy("word").agg(F.max_by(F.struct("term", "variant", "score"), F.struct("score", -F.col("ordinal"))).alias("best"))
     return best.select("word", "best.*")
 
@@ -59,14 +59,16 @@ def exact_then_fuzzy(words: DataFrame, terms: DataFrame, **how) -> DataFrame:
 
 def first_similar(words: DataFrame, terms: DataFrame, *, ratio: float, either_way: bool = True) -> DataFrame:
     """(word, term): the first term (by ordinal) that holds the word, is held by it, or is similar over ratio."""
-    held = F.contains("word", "variant")
-    held = held | F.contains("variant", "word") if either_way else held
-    maybe = held | similarity.may_reach(F.col("word"), F.col("variant"), ratio)
-    pairs = words.select("word").filter("word <> ''").distinct().join(small(terms.filter("variant <> ''").select("variant", "term", "ordinal")), maybe)
-    pairs = pairs.withColumn("held", held)
-    sure = pairs.filter("held").select("word", "term", "ordinal")
-    rest = pairs.filter("not held").filter(similarity.matcher_ratio("word", "variant") > ratio).select("word", "term", "ordinal")
-    return sure.union(rest).groupBy("word").agg(F.min_by("term", "ordinal").alias("term"))
+    own = words.select("word").filter("word <> ''").distinct()
+    named = terms.filter("variant <> ''").groupBy("variant").agg(F.min(F.struct("ordinal", "term")).alias("value"))
+    # terms that stand in the word
+    found = signatures.containing_pairs(named.select(F.col("variant").alias("inner")), own.select(F.col("word").alias("outer")))
+    found = found.select(F.col("inner").alias("variant"), F.col("outer").alias("word")).join(named, "variant").select("word", "value")
+    if either_way:
+        found = found.union(signatures.first_containing(own.select(F.col("word").alias("inner")), named.select(F.col("variant").alias("outer"), "value")))
+    near = signatures.near_pairs(own, named.select("variant"), ratio=ratio).filter(similarity.may_reach(F.col("word"), F.col("variant"), ratio))
+    near = near.filter(similarity.matcher_ratio("word", "variant") > ratio).join(named, "variant").select("word", "value")
+    return found.union(near).groupBy("word").agg(F.min("value").alias("value")).select("word", "value.term")
 
 
 def by_edits(words: DataFrame, terms: DataFrame, *, most: int = 1) -> DataFrame:
