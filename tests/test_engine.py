@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom import sources, streaming
 from textloom.functions import extract, normalize, redact, similarity
+from tests.test_folds import Local
 from textloom.operators import clinical, correct, corrections, documents, ensemble, evaluate, fuzzy, logs, registry, sampling, vectors
 from textloom.plans.fixtures import frame
 from textloom.sources import sinks
@@ -93,7 +94,7 @@ def test_suggestions(spark):
 
 
 def test_folds():
-    terms = correct.Terms({"blood pressure": "blood pressure", "كسر": "كسر"})
+    terms = Local({"blood pressure": "blood pressure", "كسر": "كسر"})
     assert correct.phrases("high blod pressure now".split(), terms) == [("high", 1), ("blood pressure", 3)]  # the longest window that is similar enough
     assert correct.phrases("of blood pressure".split(), terms)[-1] == ("blood pressure", 2) or correct.phrases("of blood pressure".split(), terms) == [("blood pressure", 3)]
     assert correct.merge_fragments(["ك", "سر"], terms) == ["كسر"]

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from textloom.plans import note_queries, oracles, queries, source_queries, stream_queries  # noqa: F401
+from textloom.plans import note_queries, oracles, queries, source_queries, stream_queries, term_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -20,14 +20,19 @@ def frames(spark, words, variants):
     return spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(v,) for v in variants], "variant string")
 
 
+def near(w, v, ratio, slack=None):
+    """With a second ratio among those that may be asked for."""
+    return signatures.near_pairs(w.withColumn("ratio", F.lit(ratio)), v, ratios=[ratio, 0.95], slack=slack).drop("ratio")
+
+
 @pytest.mark.parametrize("ratio", [0.3, 0.55, 0.65, 0.75, 0.8, 0.9, 1.0])
 def test_near_pairs_hold_every_pair_at_the_ratio(spark, ratio):
     words, variants = strings(120, seed=1), strings(120, seed=2)
     w, v = frames(spark, words, variants)
-    got = {tuple(r) for r in signatures.near_pairs(w, v, ratio=ratio).collect()}
+    got = {tuple(r) for r in near(w, v, ratio).collect()}
     want = {(a, b) for a in words for b in variants if a and b and indel(a, b) / 100 >= ratio}
     assert want <= got
-    slack = {tuple(r) for r in signatures.near_pairs(w, v, ratio=ratio, slack=1).collect()}
+    slack = {tuple(r) for r in near(w, v, ratio, 1).collect()}
     assert {(a, b) for a, b in want if abs(len(a) - len(b)) <= 1} <= slack and all(abs(len(a) - len(b)) <= 1 for a, b in slack)
 
 
@@ -37,7 +42,7 @@ def test_near_pairs_are_few(spark):
     variants = sorted({"".join(random.choice("abcdefghijklmnoprstuvw") for _ in range(random.randrange(8, 15))) for _ in range(2000)})
     words = [v[:3] + "x" + v[4:] for v in variants[:500]]
     w, v = frames(spark, words, variants)
-    got = signatures.near_pairs(w, v, ratio=0.8, slack=3).count()
+    got = near(w, v, 0.8, 3).count()
     of_length = sum(abs(len(a) - len(b)) <= 3 for a in words for b in variants)
     assert 500 <= got < of_length / 15
 

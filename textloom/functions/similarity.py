@@ -45,9 +45,9 @@ def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([matcher(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def may_reach(a: Column, b: Column, ratio: float) -> Column:
+def may_reach(a: Column, b: Column, ratio: float | Column) -> Column:
     """Necessary for a ratio (0 to 1) of either kind: few enough edits for the lengths. Levenshtein's distance is never the larger one."""
-    room = F.floor((F.length(a) + F.length(b)) * F.lit(round(1.0 - ratio, 9)) + F.lit(1e-6)).cast("int")
+    room = F.floor((F.length(a) + F.length(b)) * (F.lit(1.0) - (F.lit(ratio) if isinstance(ratio, float) else ratio)) + F.lit(1e-6)).cast("int")
     return F.levenshtein(a, b) <= room
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import normalize
 from textloom.functions.patterns import native
-from textloom.functions.similarity import indel, matcher
 from textloom.operators import fuzzy
+from textloom.sources.shared import shared_folder
 
 # Units of doses, their usual spelling, and words of frequency.
 UNITS = "مل|mg|مجم"
@@ -70,35 +70,22 @@ def staged(words: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataFrame:
     return joined.select("word", F.coalesce(*(F.col(f"c{k}") for k in range(len(stages))), "word").alias("corrected"), source.alias("source"))
 
 
-class Terms:
-    """A dictionary that row-wise folds probe: exact, else the most similar of about the same length."""
+class Answers:
+    """What the dictionary has said so far about strings that a fold probes; what it hasn't is asked, and taken as unknown meanwhile."""
 
-    def __init__(self, terms: dict[str, str], metric: str = "indel"):
-        self.terms, self.metric, self.memo = terms, metric, {}
-        self.by_length: dict[int, list[str]] = {}
-        for variant in terms:
-            self.by_length.setdefault(len(variant), []).append(variant)
+    def __init__(self, known: dict[str, str | None]):
+        self.known, self.asked = known, set()
 
-    def find(self, word: str, ratio: float, slack: int = 3) -> str | None:
-        if (word, ratio) not in self.memo:
-            self.memo[word, ratio] = self._find(word, ratio, slack)
-        return self.memo[word, ratio]
-
-    def _find(self, word: str, ratio: float, slack: int) -> str | None:
+    def find(self, word: str, ratio: float) -> str | None:
         if len(word) < 2:
             return None
-        if word in self.terms:
-            return self.terms[word]
-        best, score = None, -1.0
-        for n in range(max(1, len(word) - slack), len(word) + slack + 1):
-            for variant in self.by_length.get(n, ()):
-                s = indel(word, variant) / 100 if self.metric == "indel" else matcher(word, variant)
-                if s >= ratio and s > score:
-                    best, score = self.terms[variant], s
-        return best
-
-
-def merge_fragments(words: list[str], terms: Terms) -> list[str]:
+        key = f"{ratio} {word}"
+        if key not in self.known:
+            self.asked.add(key)
+        return self.known.get(key)
+
+
+def merge_fragments(words: list[str], terms: Answers) -> list[str]:
     """Left to right: a short Arabic word is joined with the next one or two, else with the one before, else looked up alone."""
     out: list[str] = []
     i = 0
@@ -124,7 +111,7 @@ def merge_fragments(words: list[str], terms: Terms) -> list[str]:
     return out
 
 
-def merge_line(line: str, terms: Terms) -> str:
+def merge_line(line: str, terms: Answers) -> str:
     """A line of short words as one term where that is similar enough, else by its fragments."""
     words = line.split()
     if words and len(words) <= 6 and all(len(w) <= 4 for w in words):
@@ -138,7 +125,7 @@ def merge_line(line: str, terms: Terms) -> str:
     return " ".join(merge_fragments(words, terms))
 
 
-def correct_line(line: str, terms: Terms) -> str:
+def correct_line(line: str, terms: Answers) -> str:
     """The whole line at 0.80, else its merged words, each Arabic one of three letters at least at 0.80."""
     whole = terms.find(line, 0.80)
     if whole:
@@ -149,7 +136,7 @@ def correct_line(line: str, terms: Terms) -> str:
     return " ".join((terms.find(w, 0.80) or w) if len(w) >= 3 and any("؀" <= c <= "ۿ" for c in w) else w for w in merged.split())
 
 
-def phrases(words: list[str], terms: Terms, longest: int = 4, ratio: float = 0.65) -> list[tuple[str, int]]:
+def phrases(words: list[str], terms: Answers, longest: int = 4, ratio: float = 0.65) -> list[tuple[str, int]]:
     """Greedy cover from the left, longest window first: (term, words covered); a word that starts none covers itself."""
     out, i = [], 0
     while i < len(words):
@@ -165,27 +152,63 @@ def phrases(words: list[str], terms: Terms, longest: int = 4, ratio: float = 0.6
     return out
 
 
-def _fold(df: DataFrame, column: str, name: str, terms: DataFrame, most: int, kind: str, f) -> DataFrame:
-    rows = terms.select("variant", "term", "ordinal").orderBy("ordinal").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a fold takes at most {most} terms; use the joins of textloom.operators.fuzzy on single words beyond")
-    held = {r["variant"]: r["term"] for r in rows}
-
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Terms(held)
-        for batch in batches:
-            yield batch.map(lambda x: None if x is None else f(x, own))
-
-    return df.withColumn(name, run(F.col(column)))
-
-
-def correct_text(df: DataFrame, terms: DataFrame, *, text: str = "text", name: str = "corrected", most: int = 20_000) -> DataFrame:
-    """df with the corrected text and whether it changed: normalised, context rules, then correct_line on every row (order-dependent, so in Arrow batches)."""
+def fold_lines(df: DataFrame, terms: DataFrame, f: Callable[[str, Answers], object], kind: str, ratios: Sequence[float], *, text: str, name: str, slack: int = 3) -> DataFrame:
+    """df with f(text, answers) as name, for folds that probe a dictionary of any size as they go.
+
+    In each round every distinct text that isn't done is folded with the answers that it has, and asks for those that it lacks; the
+    distinct questions of all texts are joined with the dictionary: exactly, then by the index of segments. A fold whose probes don't
+    depend on answers is done after one round, others after as many as answers lead to new questions. Rounds are tables in the shared folder.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    named = terms.select("variant", "term", "ordinal")
+
+    @F.pandas_udf(f"struct<value:{kind},asks:array<string>>")
+    def step(texts: pd.Series, known: pd.Series) -> pd.DataFrame:
+        values, asks = [], []
+        for x, pairs in zip(texts, known, strict=True):
+            answers = Answers({p["ask"]: p["term"] for p in pairs})
+            values.append(f(x, answers))
+            asks.append(sorted(answers.asked))
+        return pd.DataFrame({"value": values, "asks": asks})
+
+    def lookup(asked: DataFrame) -> DataFrame:
+        """(ask, term) for every question that has an answer."""
+        own = asked.select("ask", F.substring_index("ask", " ", 1).cast("double").alias("ratio"), F.expr("substring(ask, instr(ask, ' ') + 1)").alias("word"))
+        hits = own.join(fuzzy.exact(own.select("word").distinct(), named).filter("term is not null"), "word").select("ask", "term")
+        misses = own.join(hits.select("ask"), "ask", "left_anti")
+        near = fuzzy.best_matches(misses.select("word", "ratio"), named, ratios=ratios, slack=slack).select("word", "ratio", F.col("term"))
+        return hits.union(misses.join(near, ["word", "ratio"]).select("ask", "term"))
+
+    def written(part: DataFrame, label: str) -> DataFrame:
+        part.write.parquet(f"{folder}/{label}")
+        return spark.read.schema(part.schema).parquet(f"{folder}/{label}")
+
+    none = F.array().cast("array<struct<ask:string,term:string>>")
+    open_ = df.select(F.sha2(F.col(text), 256).alias("_key"), F.col(text).alias("_text")).filter("_text is not null").groupBy("_key").agg(F.any_value("_text").alias("_text")).withColumn("_known", none)
+    done, k = None, 0
+    while True:
+        folded = written(open_.withColumn("_out", step("_text", "_known")), f"round{k}")
+        finished = folded.filter(F.size("_out.asks") == 0).select("_key", F.col("_out.value").alias(name))
+        done = finished if done is None else done.union(finished)
+        waiting = folded.filter(F.size("_out.asks") > 0)
+        if waiting.isEmpty():
+            break
+        asks = waiting.select("_key", F.explode("_out.asks").alias("ask"))
+        answers = written(lookup(asks.select("ask").distinct()), f"answers{k}")
+        heard = asks.join(answers, "ask", "left").groupBy("_key").agg(F.collect_list(F.struct("ask", "term")).alias("_heard"))
+        open_ = waiting.join(heard, "_key").select("_key", "_text", F.concat("_known", "_heard").alias("_known"))
+        k += 1
+    return df.withColumn("_key", F.sha2(F.col(text), 256)).join(done, "_key", "left").drop("_key")
+
+
+def correct_text(df: DataFrame, terms: DataFrame, *, text: str = "text", name: str = "corrected") -> DataFrame:
+    """df with the corrected text and whether it changed: normalised, context rules, then correct_line on every row."""
     ready = df.withColumn("_ready", context_rules(normalize.normalize_arabic(text)))
-    out = _fold(ready, "_ready", name, terms, most, "string", correct_line)
+    out = fold_lines(ready, terms, correct_line, "string", (0.55, 0.60, 0.65, 0.75, 0.80), text="_ready", name=name)
     return out.withColumn("changed", F.coalesce(F.col(name) != F.col(text), F.lit(False))).drop("_ready")
 
 
-def match_phrases(df: DataFrame, terms: DataFrame, *, text: str = "text", name: str = "phrases", most: int = 20_000) -> DataFrame:
-    return _fold(df, text, name, terms, most, "array<struct<term:string,n:int>>", lambda x, own: [{"term": t, "n": n} for t, n in phrases(x.split(), own)])
+def match_phrases(df: DataFrame, terms: DataFrame, *, text: str = "text", name: str = "phrases", ratio: float = 0.65) -> DataFrame:
+    """df with an array of (term, n): the greedy cover of each text by terms of two to four words, and single words between them."""
+    return fold_lines(df, terms, lambda x, own: [{"term": t, "n": n} for t, n in phrases(x.split(), own, ratio=ratio)], "array<struct<term:string,n:int>>", (ratio,), text=text, name=name)

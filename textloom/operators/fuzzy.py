@@ -7,6 +7,8 @@ dictionaries of any size; a small one is broadcast where terms are joined by equ
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,17 @@ def best_match(words: DataFrame, terms: DataFrame, *, ratio: float, metric: str
     distinct = words.select("word").filter("word is not null").distinct()
     if longest is not None:
         distinct = distinct.filter(F.length("word") <= longest)
+    return best_matches(distinct.withColumn("ratio", F.lit(float(ratio))), terms, ratios=[ratio], metric=metric, slack=slack, strictly=strictly).drop("ratio")
+
+
+def best_matches(asked: DataFrame, terms: DataFrame, *, ratios: Sequence[float], metric: str = "indel", slack: int | None = 3, strictly: bool = False) -> DataFrame:
+    """(word, ratio, term, variant, score): as best_match, for distinct words that each ask for a ratio of their own, one of ratios."""
     named = terms.filter("variant <> ''").groupBy("variant").agg(F.min_by("term", "ordinal").alias("term"), F.min("ordinal").alias("ordinal"))
-    pairs = signatures.near_pairs(distinct, named.select("variant"), ratio=ratio, slack=slack).filter(similarity.may_reach(F.col("word"), F.col("variant"), ratio))
+    pairs = signatures.near_pairs(asked, named.select("variant"), ratios=ratios, slack=slack).filter(similarity.may_reach(F.col("word"), F.col("variant"), F.col("ratio")))
     score = similarity.indel_ratio("word", "variant") / 100 if metric == "indel" else similarity.matcher_ratio("word", "variant")
-    pairs = pairs.withColumn("score", score).filter(F.col("score") > ratio if strictly else F.col("score") >= ratio).join(named, "variant")
-    best = pairs.groupBy("word").agg(F.max_by(F.struct("term", "variant", "score"), F.struct("score", -F.col("ordinal"))).alias("best"))
-    return best.select("word", "best.*")
+    pairs = pairs.withColumn("score", score).filter(F.col("score") > F.col("ratio") if strictly else F.col("score") >= F.col("ratio")).join(named, "variant")
+    best = pairs.groupBy("word", "ratio").agg(F.max_by(F.struct("term", "variant", "score"), F.struct("score", -F.col("ordinal"))).alias("best"))
+    return best.select("word", "ratio", "best.*")
 
 
 def exact_then_fuzzy(words: DataFrame, terms: DataFrame, **how) -> DataFrame:
@@ -66,7 +73,7 @@ def first_similar(words: DataFrame, terms: DataFrame, *, ratio: float, either_wa
     found = found.select(F.col("inner").alias("variant"), F.col("outer").alias("word")).join(named, "variant").select("word", "value")
     if either_way:
         found = found.union(signatures.first_containing(own.select(F.col("word").alias("inner")), named.select(F.col("variant").alias("outer"), "value")))
-    near = signatures.near_pairs(own, named.select("variant"), ratio=ratio).filter(similarity.may_reach(F.col("word"), F.col("variant"), ratio))
+    near = signatures.near_pairs(own.withColumn("ratio", F.lit(float(ratio))), named.select("variant"), ratios=[ratio]).filter(similarity.may_reach(F.col("word"), F.col("variant"), ratio))
     near = near.filter(similarity.matcher_ratio("word", "variant") > ratio).join(named, "variant").select("word", "value")
     return found.union(near).groupBy("word").agg(F.min("value").alias("value")).select("word", "value.term")
 

@@ -11,6 +11,8 @@ on the one side is exploded over its segments for every length of a partner, eac
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,42 +20,42 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
-def _common(m: Column, n: Column, ratio: float) -> Column:
+def _common(m: Column, n: Column, ratio: Column) -> Column:
     """Characters that strings of these lengths must have in common, in order."""
-    return F.greatest(F.ceil((m + n) * F.lit(ratio / 2) - F.lit(1e-6)).cast("int"), F.lit(1))
+    return F.greatest(F.ceil((m + n) * ratio / 2 - F.lit(1e-6)).cast("int"), F.lit(1))
 
 
-def _partners(m: Column, ratio: float, slack: int | None) -> Column:
+def _partners(m: Column, ratio: Column, slack: int | None) -> Column:
     """The lengths of strings that may reach the ratio with one of length m."""
-    low, high = F.ceil(m * F.lit(ratio / (2 - ratio)) - F.lit(1e-6)).cast("int"), F.floor(m * F.lit((2 - ratio) / ratio) + F.lit(1e-6)).cast("int")
+    low, high = F.ceil(m * ratio / (2 - ratio) - F.lit(1e-6)).cast("int"), F.floor(m * (2 - ratio) / ratio + F.lit(1e-6)).cast("int")
     if slack is not None:
         low, high = F.greatest(low, m - slack), F.least(high, m + slack)
     low = F.greatest(low, F.lit(1))
     return F.when(low <= high, F.sequence(low, high))
 
 
-def near_pairs(words: DataFrame, variants: DataFrame, *, ratio: float, slack: int | None = None) -> DataFrame:
-    """Pairs (word, variant) that hold all with an indel or matcher ratio of ``ratio`` or more (and lengths at most slack apart), and few others.
+def near_pairs(words: DataFrame, variants: DataFrame, *, ratios: Sequence[float], slack: int | None = None) -> DataFrame:
+    """Pairs (word, ratio, variant) that hold all with an indel or matcher ratio of ``ratio`` or more (and lengths at most slack apart), and few others.
 
-    words (word) and variants (variant) should be distinct; empty strings have no partner.
+    words (word, ratio: one of ratios) and variants (variant) should be distinct; empty strings have no partner.
     """
-    m, n, i = F.col("m"), F.col("n"), F.col("i")
+    m, n, i, ratio = F.col("m"), F.col("n"), F.col("i"), F.col("ratio")
     room = m + n - 2 * _common(m, n, ratio)
     parts = F.least(room + 1, n)  # with fewer characters than edits, single characters: one at least is common
     start = F.floor(i * n / parts).cast("int")
     size = F.floor((i + 1) * n / parts).cast("int") - start
     # segments of the variants for each length of a word
-    right = variants.select("variant", F.length("variant").alias("n")).filter("n > 0")
+    right = variants.select("variant", F.length("variant").alias("n"), F.explode(F.array(*(F.lit(float(r)) for r in ratios))).alias("ratio")).filter("n > 0")
     right = right.withColumn("m", F.explode(_partners(n, ratio, slack))).withColumn("i", F.explode(F.sequence(F.lit(0), parts - 1)))
-    right = right.select("variant", "m", "n", "i", F.substr("variant", start + 1, size).alias("piece"))
+    right = right.select("variant", "ratio", "m", "n", "i", F.substr("variant", start + 1, size).alias("piece"))
     # and where a word may hold them
-    left = words.select("word", F.length("word").alias("m")).filter("m > 0")
+    left = words.select("word", "ratio", F.length("word").alias("m")).filter("m > 0")
     left = left.withColumn("n", F.explode(_partners(m, ratio, slack))).withColumn("i", F.explode(F.sequence(F.lit(0), parts - 1)))
     exact = parts == room + 1
     shifts = F.when(exact, F.transform(F.sequence(F.lit(0), i), lambda k: 2 * k - i)).otherwise(F.sequence(_common(m, n, ratio) - n, m - _common(m, n, ratio)))
     shifts = F.filter(shifts, lambda x: (x + start >= 0) & (x + start + size <= m) & (~exact | (F.abs(m - n - x) <= room - i)))
-    left = left.withColumn("shift", F.explode(shifts)).select("word", "m", "n", "i", F.substr("word", start + F.col("shift") + 1, size).alias("piece")).distinct()
-    return left.join(right, ["m", "n", "i", "piece"]).select("word", "variant").distinct()
+    left = left.withColumn("shift", F.explode(shifts)).select("word", "ratio", "m", "n", "i", F.substr("word", start + F.col("shift") + 1, size).alias("piece")).distinct()
+    return left.join(right, ["ratio", "m", "n", "i", "piece"]).select("word", "ratio", "variant").distinct()
 
 
 def grams(x: Column, most: int = GRAM) -> Column:

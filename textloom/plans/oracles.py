@@ -100,8 +100,6 @@ def oracle_sql() -> dict[str, str]:
         "u3_merge_feedback": "WITH f AS (SELECT count(*) AS n FROM documents WHERE lang = 'fr'), e AS (SELECT count(*) AS n FROM documents WHERE lang = 'en') SELECT 'fr' AS lang, n AS rows FROM f UNION ALL SELECT 'en', least(greatest(floor(f.n * (1 - 0.7::DOUBLE) / 0.7::DOUBLE)::BIGINT, 10), e.n) FROM f, e",
         "do3_latest_states": "SELECT user_id AS region_id, max_by(props, event_id) FILTER (event_type = 'purchase') AS corrected_text, count(*) FILTER (event_type = 'purchase') AS correction_count, CASE WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'gold_standard' WHEN count(*) FILTER (event_type = 'signup') > 0 THEN 'approved' ELSE 'pending' END AS status, max(event_id) AS updated_at FROM events GROUP BY user_id",
         "p15_orphans": "SELECT doc_id AS document_id FROM labels WHERE toxic <> 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
-        "l1_exact_terms": f"SELECT w.word, t.term FROM {values('WORDS')} w LEFT JOIN {values('TERMS')} t ON t.variant = w.word",
-        "m8_by_edits": _edit_one(values("WORDS"), values("TERMS")),
         "m8_brand_edits": "WITH v AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS variant FROM part), w AS (SELECT DISTINCT 'X' || substr(variant, 2) AS word FROM v) SELECT word, min(levenshtein(word, variant)) AS distance FROM w JOIN v ON levenshtein(word, variant) <= 1 GROUP BY word",
         "m9_exact_votes": "WITH g AS (SELECT source || '-' || (doc_id // 1000)::VARCHAR AS region_id, lang AS text, count(*) AS votes, max(n_chars / 1000.0)::DOUBLE AS confidence, min_by('e' || (doc_id % 7), doc_id) AS engine, min(doc_id) AS first FROM documents WHERE trim(lang) <> '' GROUP BY 1, 2) SELECT region_id, text, engine, confidence, votes FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY votes DESC, confidence DESC, first) AS r FROM g) WHERE r = 1",
         "m10_boxes": "SELECT id, greatest(x1 - 5, 0) AS x1, greatest(y1 - 5, 0) AS y1, least(x2 + 5, 33) AS x2, least(y2 + 5, 24) AS y2 FROM (VALUES (1, 9, 1, 31, 22), (2, 0, 0, 5, 5)) t(id, x1, y1, x2, y2)",

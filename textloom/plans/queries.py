@@ -279,16 +279,6 @@ def p15_orphans(spark, sf_dir):
 # dictionaries and correction
 
 
-@query
-def l1_exact_terms(spark, sf_dir):
-    return fuzzy.exact(frame(spark, "WORDS"), frame(spark, "TERMS")).select("word", "term")
-
-
-@query
-def m8_by_edits(spark, sf_dir):
-    return fuzzy.by_edits(frame(spark, "WORDS"), frame(spark, "TERMS"), most=1)
-
-
 @query
 def m8_brand_edits(spark, sf_dir):
     """Part types within one edit of a misspelt list of themselves."""
@@ -297,57 +287,6 @@ def m8_brand_edits(spark, sf_dir):
     return fuzzy.by_edits(words, types.select("variant", F.col("variant").alias("term"), F.lit(1).alias("ordinal")), most=1).select("word", "distance")
 
 
-@query
-def l4_learned_lookup(spark, sf_dir):
-    return fuzzy.exact_then_fuzzy(frame(spark, "WORDS"), frame(spark, "TERMS"), ratio=0.82, metric="matcher", longest=20, strictly=True).select("word", "term", F.round("score", 6).alias("score"))
-
-
-@query
-def l5_fuzzy_terms(spark, sf_dir):
-    return fuzzy.best_match(frame(spark, "WORDS"), frame(spark, "TERMS"), ratio=0.75).select("word", "term", F.round("score", 6).alias("score"))
-
-
-@query
-def l6_first_similar(spark, sf_dir):
-    return fuzzy.first_similar(frame(spark, "WORDS"), frame(spark, "TERMS"), ratio=0.70)
-
-
-@query
-def l7_drug_similar(spark, sf_dir):
-    drugs = spark.createDataFrame([(d, d, i) for i, d in enumerate(clinical.DRUGS)], "variant string, term string, ordinal int")
-    return fuzzy.first_similar(frame(spark, "WORDS"), drugs, ratio=0.75, either_way=False)
-
-
-@query
-def l9_phrases(spark, sf_dir):
-    terms = spark.createDataFrame([("blood pressure", "blood pressure", 1), ("heart failure", "heart failure", 2)], "variant string, term string, ordinal int")
-    rows = spark.createDataFrame([(1, "high blod pressure and hart failure"), (2, "nothing")], "id int, text string")
-    return correct.match_phrases(rows, terms).select("id", F.to_json("phrases").alias("phrases"))
-
-
-@query
-def m4_correct_text(spark, sf_dir):
-    terms = spark.createDataFrame([("الفقرات القطنية", "الفقرات القطنية", 1), ("كسر", "كسر", 2)], "variant string, term string, ordinal int").withColumn("variant", normalize.normalize_arabic("variant"))
-    rows = spark.createDataFrame([(1, "الفقرات القطنيه"), (2, "ك سر"), (3, "Hello"), (4, None)], "id int, text string")
-    return correct.correct_text(rows, terms).select("id", "corrected", "changed")
-
-
-@query
-def m6_word_cascade(spark, sf_dir):
-    list_of = lambda names: spark.createDataFrame([(d, d, i) for i, d in enumerate(names)], "variant string, term string, ordinal int")
-    words = frame(spark, "WORDS").union(spark.createDataFrame([("5mg",), ("asprin",), ("hypertensio",)], "word string"))
-    return correct.word_cascade(words, frame(spark, "TERMS"), list_of(clinical.DRUGS), list_of(clinical.CONDITIONS))
-
-
-@query
-def m7_three_stages(spark, sf_dir):
-    words = frame(spark, "WORDS")
-    learned = spark.createDataFrame([("zzz", "sleep")], "word string, term string")
-    medical = m6_word_cascade(spark, sf_dir)
-    spelled = fuzzy.by_edits(words, frame(spark, "TERMS"))
-    return correct.three_stages(words, learned, medical, spelled)
-
-
 @query
 def m9_votes(spark, sf_dir):
     return ensemble.ensemble_vote(frame(spark, "READINGS"))
@@ -777,12 +716,6 @@ def do10_permissions(spark, sf_dir):
     return users.join(F.broadcast(roles), "role", "left").select("c_custkey", F.coalesce(F.array_contains("permissions", "write"), F.lit(False)).alias("may_write"))
 
 
-@query
-def f3_ratios(spark, sf_dir):
-    w, t = frame(spark, "WORDS"), frame(spark, "TERMS")
-    return w.join(t).select("word", "variant", F.round(similarity.indel_ratio("word", "variant"), 6).alias("indel"), F.round(similarity.matcher_ratio("word", "variant"), 6).alias("matcher"), similarity.may_reach(F.col("word"), F.col("variant"), 0.7).alias("may_reach"))
-
-
 @query
 def w3_least_used(spark, sf_dir):
     return sampling.per_class(table(spark, sf_dir, "part"), "p_brand", 3, [F.col("p_size"), F.col("p_partkey")]).select("p_partkey")
