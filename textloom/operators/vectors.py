@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.sources.shared import shared_folder
@@ -22,6 +22,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    """The rows of a matrix at length one; rows without length stay."""
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(x) else x
+
+
+def best_of(found: DataFrame, key: str, k: int) -> DataFrame:
+    """(query, rank, key, score) of the k best of each query; every task leaves out what cannot be among them before rows are exchanged."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", key, "score")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = 4096) -> DataFrame:
     """(query, rank, key, score): the k nearest vectors by cosine of each query, itself excepted.
 
@@ -41,7 +52,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector
 def _top_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     rows = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).collect()
     ids, held = np.array([r["q"] for r in rows]), np.array([r["v"] for r in rows], np.float32)
-    held = held / np.maximum(np.linalg.norm(held, axis=1, keepdims=True), 1e-12) if len(held) else held
+    held = directions(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,7 +60,7 @@ def _top_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
             x = np.array(batch.column(1).to_pylist(), np.float32)
             if not len(own) or not len(ids):
                 continue
-            scores = held @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T
+            scores = held @ directions(x).T
             scores[ids[:, None] == own[None, :]] = -np.inf
             best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             flat = np.take_along_axis(scores, best, 1).ravel()
@@ -57,8 +68,7 @@ def _top_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])[fine]), pa.array(own[best].ravel()[fine]), pa.array(flat[fine].astype(np.float64))], names=["query", key, "score"])
 
     found = vectors.select(key, vector).mapInArrow(run, f"query long, `{key}` long, score double")
-    best = found.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("i")))), 1, k).alias("b"))  # k rows of each batch
-    return best.select("query", F.posexplode("b").alias("rank", "x")).select("query", (F.col("rank") + 1).alias("rank"), F.col("x.i").alias(key), (-F.col("x.s")).alias("score"))
+    return best_of(found, key, k)
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, *, key: str = "vec_id", vector: str = "embedding", most: int = 4096) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import extract, normalize, redact, similarity
-from textloom.operators import clinical, correct, corrections, documents, ensemble, evaluate, fuzzy, logs, registry, sampling, vectors
+from textloom.operators import clinical, correct, corrections, documents, ensemble, evaluate, fuzzy, inverted, logs, registry, sampling, vectors
 from textloom.plans.fixtures import frame
 from textloom.sources import sinks
 
@@ -679,6 +679,13 @@ def do6_top_vectors(spark, sf_dir):
     return vectors.top_k(v, v.filter("vec_id % 100 = 0"), k=10).select("query", "rank", F.col("vec_id"), F.round("score", 4).alias("score"))
 
 
+@query
+def do6_inverted_lists(spark, sf_dir):
+    """The same by an inverted file, of which each query probes the nearest lists."""
+    v = table(spark, sf_dir, "embeddings")
+    return inverted.search(inverted.build(v), v.filter("vec_id % 100 = 0")).select("query", "rank", "vec_id", F.round("score", 4).alias("score"))
+
+
 @query
 def do6_pair_cosine(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
