@@ -124,7 +124,7 @@ def named(x: Column) -> Column:
 def patient(x: Column) -> Column:
     gender = F.lower(_first(x, PATIENT["gender"]))
     allergies = F.flatten(F.transform(_all(x, ALLERGY, 1), lambda a: F.split(a, r"[,،;]")))
-    allergies = F.filter(F.transform(allergies, F.trim), lambda a: (a != "") & ~F.lower(a).isin(*NO_ALLERGY))
+    allergies = F.filter(F.transform(allergies, lambda s: F.trim(s)), lambda a: (a != "") & ~F.lower(a).isin(*NO_ALLERGY))
     return F.struct(F.trim(_first(x, PATIENT["name"])).alias("name"), plain_digits(_first(x, PATIENT["age"])).alias("age"), F.when(gender.isin("male", "m", "ذكر"), "male").when(gender.isin("female", "f", "أنثى"), "female").alias("gender"), _first(x, PATIENT["id"]).alias("id"), F.regexp_replace(_first(x, PHONE), native(r"^\s+|\s+$"), "").alias("phone"), allergies.alias("allergies"))
 
 

@@ -102,13 +102,13 @@ def fixed_chunks(docs: DataFrame, *, text: str = "text", size: int = 1000, overl
 
 
 def sentence_chunks(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    found = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?؟])\s+"), F.trim), lambda s: s != "")
+    found = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?؟])\s+"), lambda s: F.trim(s)), lambda s: s != "")
     return docs.select("*", F.posexplode(found).alias("chunk", "chunk_text"))
 
 
 def section_chunks(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """Blank lines part sections."""
-    found = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), F.trim), lambda s: s != "")
+    found = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), lambda s: F.trim(s)), lambda s: s != "")
     return docs.select("*", F.posexplode(found).alias("chunk", "chunk_text"))
 
 

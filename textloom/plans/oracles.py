@@ -55,6 +55,14 @@ def _html() -> str:
     return f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM pages"
 
 
+SEMANTIC = r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?؟])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
+w AS (SELECT *, list_transform(s, lambda x: list_distinct(list_filter(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), lambda t: length(t) >= 4))) AS w FROM s WHERE len(s) > 0),
+c AS (SELECT doc_id, s, list_transform(generate_series(1, len(w) - 1), lambda i: coalesce(round(2 * len(list_intersect(list_distinct(flatten(w[greatest(i - 2, 1):i])), list_distinct(flatten(w[i + 1:i + 3])))) / nullif(len(list_distinct(flatten(w[greatest(i - 2, 1):i]))) + len(list_distinct(flatten(w[i + 1:i + 3]))), 0), 6), 0.0)) AS c FROM w),
+v AS (SELECT doc_id, s, list_filter(generate_series(1, len(c)), lambda i: (i = 1 OR c[i] < c[i - 1]) AND (i = len(c) OR c[i] <= c[i + 1]) AND round(list_max(c[greatest(i - 5, 1):i]) + list_max(c[i:i + 5]) - 2 * c[i], 6) >= 0.2) AS v FROM c),
+e AS (SELECT doc_id, s, list_concat([0], v, [len(s)]) AS e FROM v)
+SELECT doc_id, (k - 1)::INT AS chunk, length(t)::INT AS chars, md5(t) AS digest FROM (SELECT doc_id, k, array_to_string(s[e[k] + 1:e[k + 1]], ' ') AS t FROM e, range(1, 100000) r(k) WHERE k < len(e))"""
+
+
 def oracle_sql() -> dict[str, str]:
     c = values("CORRECTIONS")
     interactions = values("", INTERACTIONS, "a, b, severity, evidence")
@@ -65,7 +73,8 @@ def oracle_sql() -> dict[str, str]:
         (SELECT id, lower(trim(unnest(drugs))) AS d, generate_subscripts(drugs, 1) AS i FROM {values("DRUG_LISTS")}) x JOIN (SELECT id, lower(trim(unnest(drugs))) AS d, generate_subscripts(drugs, 1) AS i FROM {values("DRUG_LISTS")}) y ON x.id = y.id AND x.i < y.i) p
         JOIN (SELECT least(a, b) AS a2, greatest(a, b) AS b2, severity, evidence FROM {interactions}) i ON p.a = i.a2 AND p.b = i.b2"""
     found = {
-        "do5_sentences": r"SELECT doc_id, sentences FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?؟])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sentences FROM documents) WHERE sentences > 0",
+        "do5_semantic": SEMANTIC,
+        "do5_sentences": r"SELECT doc_id, len(s) AS sentences, list_sum(list_transform(s, lambda x: length(x)))::BIGINT AS chars, s[11] AS eleventh FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?؟])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents) WHERE len(s) > 0",
         "do8_fhir": "SELECT event_id, to_json({'resourceType': 'Observation', 'code': {'text': event_type}, 'subject': {'reference': 'Patient/' || user_id}, 'effectiveDateTime': strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'valueQuantity': {'value': value}})::VARCHAR AS resource FROM events",
         "a2_store_stats": f"WITH p AS {PATTERNS.format(c)}, t AS (SELECT * FROM p ORDER BY frequency DESC, pattern, correction LIMIT 10) SELECT (SELECT count(*) FROM {c} x) AS total, (SELECT count(DISTINCT pattern) FROM p) AS patterns, (SELECT '[' || string_agg('{{\"n\":' || -frequency || coalesce(',\"pattern\":\"' || pattern || '\"', '') || coalesce(',\"correction\":\"' || correction || '\"', '') || '}}', ',' ORDER BY frequency DESC, pattern NULLS FIRST, correction NULLS FIRST) || ']' FROM t) AS top",
         "r3_context_lines": f"SELECT id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '{'|'.join(KEYWORDS)}') AND length(trim(x)) > 5 THEN '[REDACTED]' ELSE x END), chr(10)) AS redacted FROM (VALUES (1, 'اسم المريض: علي' || chr(10) || 'ok'), (2, 'العنوان' || chr(10) || 'x'), (3, 'plain')) t(id, text)",

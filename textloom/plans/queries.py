@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import extract, normalize, redact, similarity
-from textloom.operators import clinical, correct, corrections, documents, ensemble, evaluate, fuzzy, inverted, logs, registry, sampling, vectors
+from textloom.operators import clinical, cohesion, correct, corrections, documents, ensemble, evaluate, fuzzy, inverted, logs, registry, sampling, vectors
 from textloom.plans.fixtures import frame
 from textloom.sources import sinks
 
@@ -669,7 +669,13 @@ def do5_fixed_chunks(spark, sf_dir):
 
 @query
 def do5_sentences(spark, sf_dir):
-    return documents.sentence_chunks(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("sentences"))
+    return documents.sentence_chunks(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("chunk_text")).alias("chars"), F.max(F.when(F.col("chunk") == 10, F.col("chunk_text"))).alias("eleventh"))
+
+
+@query
+def do5_semantic(spark, sf_dir):
+    """Chunks of sentences that share words."""
+    return cohesion.semantic_chunks(table(spark, sf_dir, "documents")).select("doc_id", "chunk", F.length("chunk_text").alias("chars"), F.md5("chunk_text").alias("digest"))
 
 
 @query

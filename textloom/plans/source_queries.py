@@ -358,9 +358,9 @@ def e6_phones(spark, sf_dir):
     return rows.select("id", extract.patient(F.col("text"))["phone"].alias("phone"))
 
 
-@said("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda s: trim(s) <> '')) AS sections FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda s: trim(s) <> '')) > 0")
+@said("SELECT doc_id, len(s) AS sections, list_sum(list_transform(s, lambda x: length(x)))::BIGINT AS chars, s[2] AS second FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents) WHERE len(s) > 0")
 def do5_sections(spark, sf_dir):
-    return documents.section_chunks(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("sections"))
+    return documents.section_chunks(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("chunk_text")).alias("chars"), F.max(F.when(F.col("chunk") == 1, F.col("chunk_text"))).alias("second"))
 
 
 # clinical rules with their texts
