@@ -195,7 +195,7 @@ def test_orphans_resolve_in_a_stream(spark, tmp_path):
         spark.sql(sql).write.parquet(str(tmp_path / name))
     read = lambda name, ddl: spark.readStream.schema(ddl).parquet(str(tmp_path / name))
     joined = streaming.resolved(read("o", "document_id long, ts timestamp"), read("d", "document_id long, document_ts timestamp"))
-    streaming.start(joined, streaming.upsert_by(str(tmp_path / "out"), []), str(tmp_path / "checkpoint"))
+    streaming.start(joined, streaming.append_batches(str(tmp_path / "out")), str(tmp_path / "checkpoint"))
     rows = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["document_ts"] is not None]
     assert [r["document_id"] for r in rows] == [1]
 
@@ -219,16 +219,6 @@ def test_hold_out_holds_as_many_as_it_says(spark, n):
     assert got == int(n * 0.1)
 
 
-def test_ranks_in_parts(spark):
-    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(400)).alias("v"), "id")
-    got = logs.ranked(rows, ["g"], ["v", "id"], parts=16).collect()
-    for g in range(3):
-        own = sorted((r["v"], r["id"], r["r"], r["n"]) for r in got if r["g"] == g)
-        assert [x[2] for x in own] == list(range(1000)) and {x[3] for x in own} == {1000}
-    same = spark.range(50).select(F.lit(1).alias("g"), F.lit(2.0).alias("v"), "id")
-    assert sorted(r["r"] for r in logs.ranked(same, ["g"], ["v", "id"]).collect()) == list(range(50))
-
-
 def test_first_rows_of_classes_however_they_are_dealt(spark):
     rows = spark.range(900).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("h"), "id").repartition(5)
     want = {g: [i for _, i in sorted((r["h"], r["id"]) for r in rows.collect() if r["g"] == g)][:7] for g in (0, 1)}
@@ -299,7 +289,7 @@ def test_sorting_by_a_chosen_column(spark):
 def test_a_batch_every_few_seconds(spark, tmp_path):
     spark.range(20).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
-    running = streaming.every(stream, streaming.upsert_by(str(tmp_path / "out"), []), str(tmp_path / "c"), seconds=1, until_idle=True)
+    running = streaming.every(stream, streaming.append_batches(str(tmp_path / "out")), str(tmp_path / "c"), seconds=1, until_idle=True)
     assert not running.isActive and spark.read.parquet(str(tmp_path / "out")).count() == 20
 
 

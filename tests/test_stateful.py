@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom import streaming
 from textloom.operators import logs
+from textloom.sources import stores
 from textloom.streaming import stateful
 
 
@@ -26,8 +26,8 @@ class Feed:
         return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.path}/in/*")
 
     def run(self, out, keys):
-        stateful.start(out, streaming.upsert_by(f"{self.path}/out", keys), f"{self.path}/checkpoint")
-        return streaming.latest(self.spark.read.parquet(f"{self.path}/out"), keys)
+        stateful.start(out, stores.upsert_batches(f"{self.path}/out", keys, buckets=3), f"{self.path}/checkpoint")
+        return stores.stored(self.spark, f"{self.path}/out")
 
 
 EVALUATIONS = "series string, ts timestamp, firing boolean"

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import selection
+from textloom.operators.fuzzy import small
+
 RETENTION, MOST = "7 days", 5000
 
 
@@ -50,35 +53,22 @@ def health(logs: DataFrame) -> DataFrame:
     return logs.agg(F.count("*").alias("total"), F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warn").alias("warnings"), F.count_if(F.col("level") == "fatal").alias("fatal"), F.count_distinct("device_id").alias("devices"), F.count_distinct("session_id").alias("sessions"), F.round(100 * crashed / F.count_distinct("session_id"), 4).alias("crash_percent"))
 
 
-def ranked(rows: DataFrame, by: list[str], order: list[str], parts: int = 1024) -> DataFrame:
-    """rows with r (the place from 0 within by, in the order of some columns, the first a number or a time) and n (rows of by).
-
-    Places are found in parts of equal width between the least and the largest value, so that no task sorts all rows of a large
-    group. Rows without a value of the first column don't count.
-    """
-    first = F.col(order[0])
-    x = (first.cast("timestamp") if rows.schema[order[0]].dataType.typeName() == "timestamp_ntz" else first).cast("double")
-    rows = rows.filter(first.isNotNull())
-    ends = rows.groupBy(*by).agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.count("*").alias("n"))
-    share = (x - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    keyed = rows.join(ends, by).withColumn("_p", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * parts), F.lit(parts - 1))).drop("_low", "_high")
-    counts = keyed.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
-    offsets = counts.select(*by, "_p", (F.sum("_c").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_c")).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order)) - 1
-    return keyed.withColumn("r", inside).join(offsets, [*by, "_p"]).withColumn("r", F.col("r") + F.col("_o")).drop("_p", "_o")
-
-
 def latency(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean and the values at index int(n * p) of the sorted ones, which is no interpolated percentile. Missing values don't count."""
-    at = lambda p: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value)))
-    return ranked(rows.select(*by, value), by, [value]).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 9).alias("mean"), *(at(p).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)))
+    shares = (0.5, 0.95, 0.99)
+    at = selection.places(rows, by, F.col(value), {f"p{int(100 * p)}": (p, lambda n, p=p: F.least(F.floor(n * p), n - 1)) for p in shares})
+    held = at.groupBy(*by).agg(*(F.max(F.when(F.col("name") == f"p{int(100 * p)}", F.col("value"))).alias(f"p{int(100 * p)}") for p in shares))
+    means = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 9).alias("mean"))
+    return means.join(held, by)
 
 
 def degradation(rows: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
-    """Mean of the last quarter over that of the first, by places n // 4 and 3n // 4."""
-    early = F.avg(F.when(F.col("r") < F.expr("n div 4"), F.col(value)))
-    late = F.avg(F.when(F.col("r") >= F.expr("3 * n div 4"), F.col(value)))
-    return ranked(rows, by, order).groupBy(*by).agg(F.round(early, 9).alias("early"), F.round(late, 9).alias("late"), F.round(late / early, 9).alias("ratio"))
+    """Mean of the last quarter over that of the first, by places n // 4 and 3n // 4. Rows without a value of the first order column don't count."""
+    edges = selection.thresholds(rows, by, order, {"_first": (0.25, lambda n: F.expr("n div 4")), "_last": (0.75, lambda n: F.expr("3 * n div 4"))})
+    own = F.struct(*(selection.as_number(rows, c).alias(f"_o{k}") for k, c in enumerate(order)))
+    keyed = rows.filter(F.col(order[0]).isNotNull()).withColumn("_own", own).join(small(edges), by)
+    early, late = F.avg(F.when(F.col("_own") < F.col("_first"), F.col(value))), F.avg(F.when(F.col("_own") >= F.col("_last"), F.col(value)))
+    return keyed.groupBy(*by).agg(F.round(early, 9).alias("early"), F.round(late, 9).alias("late"), F.round(late / early, 9).alias("ratio"))
 
 
 def windowed_rates(rows: DataFrame, *, width: str = "5 minutes", slide: str = "30 seconds", by: list[str] = [], error: Column) -> DataFrame:  # noqa: B006

@@ -196,6 +196,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT vec_id, cluster, round(distance, 4) AS distance FROM (SELECT vec_id, c.label AS cluster, list_distance(embedding::DOUBLE[], c) AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(embedding::DOUBLE[], c), 6), c.label) AS r FROM embeddings, c) WHERE r = 1""",
         "r2_redacted_documents": _redacted(),
         "x8_html_text": _html(),
+        "st6_stream_alerts": """WITH e AS (SELECT user_id % 20 AS device, ts, value > 20 AS f FROM events WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 86400000 FROM events)), g AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY ts) - row_number() OVER (PARTITION BY device, f ORDER BY ts) AS g FROM e)
+            SELECT device, min(ts) AS start, max(ts) AS "end", count(*) AS evaluations FROM g WHERE f GROUP BY device, g HAVING max(ts) - min(ts) >= INTERVAL 6 HOUR""",
         "st1_stream_reservoir": 'SELECT lang AS "group", least(count(*), 50) AS n, count(*) AS seen FROM documents GROUP BY lang',
         "st2_stream_patterns": "SELECT event_type AS pattern, props AS correction, count(*) AS frequency, max(ts) AS last_used FROM events GROUP BY ALL",
         "st3_stream_rates": "SELECT start, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS start FROM events) GROUP BY start",

@@ -14,7 +14,7 @@ from textloom.operators import clinical, correct, corrections, documents, ensemb
 from textloom.plans.fixtures import frame, values
 from textloom.plans.queries import event_logs, query, table
 from textloom.plans.stream_queries import appended, stream, unzoned
-from textloom.sources import sinks
+from textloom.sources import sinks, stores
 from textloom.sources.shared import shared_folder
 
 _sql: dict[str, str] = {}
@@ -195,6 +195,16 @@ def st11_since(spark, sf_dir):
     return sources.since(o, mark, "o_orderdate").select("o_orderkey")
 
 
+@said("SELECT CASE WHEN o_orderdate < DATE '1996-01-01' AND o_orderkey % 3 > 0 THEN 0 WHEN o_orderdate < DATE '1996-01-01' OR o_orderdate <= DATE '1999-01-01' THEN 1 ELSE 2 END AS sync, count(*) AS orders, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE NOT (o_orderdate < DATE '1996-01-01' AND o_orderkey % 3 = 0 AND o_orderdate < (SELECT max(o_orderdate) FROM orders WHERE o_orderdate < DATE '1996-01-01' AND o_orderkey % 3 > 0)) GROUP BY 1")
+def st11_syncs(spark, sf_dir):
+    """Three syncs from the stored mark; the second finds late orders of the mark's own time, older ones are not looked at."""
+    folder, o = shared_folder(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    early = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")
+    parts = [o.filter(early & (F.col("o_orderkey") % 3 > 0)), o.filter(early | (F.col("o_orderdate") <= F.lit("1999-01-01").cast("timestamp_ntz"))), o]
+    out = [stores.sync(part, f"{folder}/orders", at="o_orderdate", key="o_orderkey").withColumn("sync", F.lit(k)) for k, part in enumerate(parts)]
+    return out[0].union(out[1]).union(out[2]).groupBy("sync").agg(F.count("*").alias("orders"), F.sum("o_orderkey").alias("keys"))
+
+
 @said("SELECT doc_id, n_chars * 4000 <= 10485760 AND lang IN ('en', 'de') AND NOT source = 'src1' AS accepted FROM documents")
 def p16_uploads(spark, sf_dir):
     """Documents as files: English are png, German pdf, others txt; those of one source hide a blocked kind in their names."""
@@ -222,14 +232,13 @@ def sk4_feedback(spark, sf_dir):
 
 @said("SELECT event_type AS pattern, props AS correction, count(*) AS frequency, max(ts) AS last_used FROM events GROUP BY 1, 2")
 def sk1_upserts(spark, sf_dir):
-    """Two batches, the second sent twice, and their counts merged batch by batch."""
+    """Pattern counts of two batches, the second sent twice, merged into the buckets of a store."""
     folder = shared_folder(spark)
     e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("raw_text"), F.col("props").alias("corrected_text"), F.col("ts").alias("created_at"))
     for batch in (0, 1, 1):
-        sinks.append_corrections(e.filter(F.col("event_id") % 2 == batch), f"{folder}/store", batch)
-    store = spark.read.parquet(f"{folder}/store")
-    each = [corrections.pattern_counts(store.filter(F.col("batch") == k)) for k in (0, 1)]
-    return sinks.merge_patterns(*each).select("pattern", "correction", F.col("frequency").cast("long"), "last_used")
+        counts = corrections.pattern_counts(e.filter(F.col("event_id") % 2 == batch)).withColumn("frequency", F.col("frequency").cast("long"))
+        stores.upsert(counts, batch, f"{folder}/patterns", ["pattern", "correction"], {"frequency": F.sum, "last_used": F.max}, buckets=8)
+    return stores.stored(spark, f"{folder}/patterns")
 
 
 @said("SELECT 'tablet' AS device, count(*) OVER () AS entries, sum(n) OVER ()::BIGINT AS total, wrong, n AS count FROM (SELECT event_type AS wrong, count(*) AS n FROM events GROUP BY 1)")
@@ -418,7 +427,7 @@ def st10_late_documents(spark, sf_dir):
 def st8_flushes(spark, sf_dir):
     """Flushed at intervals until nothing is left; each flush is a batch that may be repeated."""
     folder = shared_folder(spark)
-    streaming.every(stream(spark, sf_dir, "events"), streaming.upsert_by(f"{folder}/out", []), f"{folder}/checkpoint", seconds=1, until_idle=True)
+    streaming.every(stream(spark, sf_dir, "events"), streaming.append_batches(f"{folder}/out"), f"{folder}/checkpoint", seconds=1, until_idle=True)
     return unzoned(spark.read.parquet(f"{folder}/out")).groupBy("event_type").agg(F.count("*").alias("events"))
 
 

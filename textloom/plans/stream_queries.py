@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import streaming
+from textloom.streaming import stateful
 from textloom.plans.queries import queries, query, table  # noqa: F401
+from textloom.sources import stores
 from textloom.sources.shared import shared_folder
 
 
@@ -21,15 +23,15 @@ def unzoned(rows: DataFrame) -> DataFrame:
 
 
 def settled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Run in update mode, and take each key's newest row."""
+    """Run in update mode into a table that has each key's newest row."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
-    streaming.start(rows, streaming.upsert_by(f"{folder}/out", keys), f"{folder}/checkpoint", mode="update")
-    return unzoned(streaming.latest(spark.read.parquet(f"{folder}/out"), keys))
+    streaming.start(rows, stores.upsert_batches(f"{folder}/out", keys), f"{folder}/checkpoint", mode="update")
+    return unzoned(stores.stored(spark, f"{folder}/out"))
 
 
 def appended(rows: DataFrame) -> DataFrame:
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
-    streaming.start(rows, streaming.upsert_by(f"{folder}/out", []), f"{folder}/checkpoint")
+    streaming.start(rows, streaming.append_batches(f"{folder}/out"), f"{folder}/checkpoint")
     return unzoned(spark.read.parquet(f"{folder}/out").drop("batch"))
 
 
@@ -39,6 +41,25 @@ def st1_stream_reservoir(spark, sf_dir):
     return settled(rows, ["group"]).select("group", F.size("kept").cast("long").alias("n"), "seen")
 
 
+@query
+def st1_stream_slots(spark, sf_dir):
+    """The documents that a buffer of 100 over all languages keeps, no language under 10 of them that had so many."""
+    folder = shared_folder(spark)
+    rows = stateful.reservoir(stream(spark, sf_dir, "documents"), "lang", "doc_id", 100, floor=10)
+    stateful.start(rows, stores.upsert_batches(f"{folder}/out", ["shard", "slot"], buckets=4), f"{folder}/checkpoint")
+    return stores.stored(spark, f"{folder}/out").filter("slot >= 0").select("slot", F.col("key").alias("doc_id"), F.col("kind").alias("lang"))
+
+
+@query
+def st6_stream_alerts(spark, sf_dir):
+    """Devices whose events had values over 20 for six hours on end, up to a day before the last event."""
+    folder = shared_folder(spark)
+    events = stream(spark, sf_dir, "events").withColumn("device", F.col("user_id") % 20)
+    rows = stateful.held_alerts(events, F.col("value") > 20, "6 hours", ["device"], late="1 day")
+    stateful.start(rows, stores.upsert_batches(f"{folder}/out", ["device", "start"], buckets=4), f"{folder}/checkpoint")
+    return unzoned(stores.stored(spark, f"{folder}/out"))
+
+
 @query
 def st2_stream_patterns(spark, sf_dir):
     e = stream(spark, sf_dir, "events").select(F.col("event_type").alias("raw_text"), F.col("props").alias("corrected_text"), F.col("ts").alias("created_at"))

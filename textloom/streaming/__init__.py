@@ -87,16 +87,10 @@ def next_runs(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.withColumn("due", F.timestamp_seconds((F.floor((at - F.col("offset")) / F.col("period")) + 1) * F.col("period") + F.col("offset")))
 
 
-def upsert_by(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that writes each batch to a folder of its own, so that a repeated batch replaces itself; ``latest`` reads the newest of each key."""
+def append_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch for rows that are final: each batch has a folder of its own, so that a repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
-
-
-def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The row of the newest batch for each key."""
-    others = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
