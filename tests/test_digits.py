@@ -67,3 +67,16 @@ def test_doses_in_any_digits(spark):
     assert df.select(correct.context_rules(F.lit("خذ ٥٠٠مجم ثم ٣مرات و10mg"))).first()[0] == "خذ ٥٠٠ مجم ثم ٣ مرات و10 mg"
     assert df.select(correct.spell_units(F.lit("٥مجم"))).first()[0] == "٥ mg"
     assert df.select(extract.named(F.lit("٥مجم")), extract.named(F.lit("١٢"))).first()[:] == (["dosage"], ["page_number"])
+
+
+def test_medications_with_a_part_are_those_of_all_words(spark):
+    """The strict pattern finds what is left of the plain one when words without a part go."""
+    random.seed(8)
+    parts = ["Metformin", "500 mg", "BID", "daily", "oral", "PO", "for 3 days", "5mg", "abdaily", "take", "x", "IV", "كل 8 ساعات", "وحدة", "12", "once-a", "insulin"]
+    texts = [" ".join(random.choice(parts) for _ in range(random.randrange(1, 9))).replace(" x ", "\n") for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    both = df.select(extract.medications(F.col("text")).alias("a"), F.filter(extract.medications(F.col("text"), strict=False), lambda r: F.coalesce(r["dose"], r["frequency"], r["route"], r["duration"]).isNotNull()).alias("b"), "text").collect()
+    for r in both:
+        # of equal names the first with a part counts for the one, the first of all for the other
+        assert {tuple(x) for x in r["b"]} <= {tuple(x) for x in r["a"]}, r["text"]
+        assert [x["name"].lower() for x in r["a"]] == list(dict.fromkeys(x["name"].lower() for x in r["a"]))

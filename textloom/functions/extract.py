@@ -25,6 +25,8 @@ FREQUENCY = r"(BID|TID|QID|QD|OD|PRN|SOS|once|twice|daily|weekly|كل\s*\d+\s*(?
 ROUTE = r"(PO|IV|IM|SC|SubQ|topical|inhaled|rectal|oral|فم|وريد|عضل|تحت الجلد|موضعي)"
 DURATION = r"(for\s+\d+\s*(?:days?|weeks?|months?)|لمدة\s*\d+\s*(?:يوم|أيام|أسبوع|أسابيع|شهر|أشهر))"
 MEDICATION = rf"(?i){NAME}\s*{DOSE}?\s*{FREQUENCY}?\s*{ROUTE}?\s*{DURATION}?"
+# the same, where one of the parts follows; the lookahead has groups of its own
+STRICT = rf"(?i){NAME}(?![\w؀-ۿ\-])(?=\s*(?:{DOSE}|{FREQUENCY}|{ROUTE}|{DURATION}))\s*{DOSE}?\s*{FREQUENCY}?\s*{ROUTE}?\s*{DURATION}?"
 ICD = r"\b([A-Z]\d{2}(?:\.\d{1,4})?)\b"
 DIAGNOSIS = r"(?i)(?:dx|diagnosis|diagnoses|تشخيص|المرض|الحالة)[:\s–-]+(.+?)(?:\n|$)"
 CHRONIC = r"(?i)(?:chronic|مزمن|long[- ]standing|دائم)"
@@ -33,7 +35,8 @@ UNIT = r"mg/dL|mmol/L|g/L|U/L|ng/mL|pg/mL|mg/L|µmol/L|%|ملغ/ديسيلتر|
 UNIT = rf"(?:{UNIT}|[\w^]{{1,9}}/(?:dL|L|mL|[µu]L|mm3|hpf|ديسيلتر|لتر)(?!\w))"
 KNOWN_LABS = r"hemoglobin|haemoglobin|glucose|creatinine|urea|sodium|potassium|calcium|cholesterol|triglycerides|bilirubin|albumin|platelets|hematocrit|HbA1c|INR|WBC|RBC|TSH|ESR|CRP|الهيموجلوبين|السكر|الكرياتينين|اليوريا|الصوديوم|البوتاسيوم|الكالسيوم|الكوليسترول"
 NUMBER = r"\d+(?:\.\d+)?"
-LAB = rf"(?i)(\b(?:{KNOWN_LABS})\b|[A-Za-z؀-ۿ][\w؀-ۿ \-]{{1,50}}?(?=\s*[:\s]\s*{NUMBER}\s*{UNIT}))\s*[:\s]\s*({NUMBER})(?![\d/])\s*({UNIT})?(?:\s*\(?([<>]?\s*[\d.]+(?:\s*[-~]\s*[\d.]+)?)\s*{UNIT}?\)?)?(?:\s*(high|low|↑|↓|مرتفع|منخفض|crit|حرج))?"
+# a name begins where a word does
+LAB = rf"(?i)(?<!\w)((?:{KNOWN_LABS})(?!\w)|[A-Za-z؀-ۿ][\w؀-ۿ \-]{{1,50}}?(?=\s*[:\s]\s*{NUMBER}\s*{UNIT}))\s*[:\s]\s*({NUMBER})(?![\d/])\s*({UNIT})?(?:\s*\(?([<>]?\s*[\d.]+(?:\s*[-~]\s*[\d.]+)?)\s*{UNIT}?\)?)?(?:\s*(high|low|↑|↓|مرتفع|منخفض|crit|حرج))?"
 PATIENT = {
     "name": r"(?i)(?:patient[:\s]|المريض[:\s]|الاسم[:\s]|name[:\s]+)\s*([A-Za-z؀-ۿ][\w؀-ۿ \-']{1,80})",
     "age": r"(?i)(?:age|العمر)[:\s]*([\d٠-٩]+)",
@@ -52,6 +55,12 @@ def _all(x: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(x, F.lit(native(pattern)), F.lit(group))
 
 
+def _matches(x: Column, pattern: str, parts: tuple[str, ...], numbers: tuple[int, ...] | None = None) -> Column:
+    """Array of (parts), the groups of every match: the text is gone through once, and each short match again for its groups."""
+    groups = lambda m: F.struct(*(F.regexp_extract(m, native(pattern), g).alias(n) for g, n in zip(numbers or range(1, len(parts) + 1), parts, strict=True)))
+    return F.transform(_all(x, pattern, 0), groups)
+
+
 def _some(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 
@@ -68,8 +77,9 @@ def medications(x: Column, *, strict: bool = True) -> Column:
     The pattern's parts are all optional but the name; strict keeps only matches with one of them, else every word is a match.
     """
     parts = ("name", "dose", "frequency", "route", "duration")
-    rows = F.arrays_zip(*(_all(x, MEDICATION, g + 1).alias(n) for g, n in enumerate(parts)))
-    rows = F.transform(rows, lambda r: F.struct(*(_some(r[n]).alias(n) for n in parts)))
+    # in the strict pattern the lookahead's four groups stand between the name's and the others'
+    pattern, numbers = (STRICT, (1, 6, 7, 8, 9)) if strict else (MEDICATION, None)
+    rows = F.transform(_matches(x, pattern, parts, numbers), lambda r: F.struct(*(_some(r[n]).alias(n) for n in parts)))
     if strict:
         rows = F.filter(rows, lambda r: F.coalesce(*(r[n] for n in parts[1:])).isNotNull())
     names = F.transform(rows, lambda r: F.lower(r["name"]))
@@ -102,8 +112,7 @@ def in_range(value: Column, text: Column) -> Column:
 def labs(x: Column) -> Column:
     """Array of (name, value, unit, range, abnormal): abnormal by a written flag, else by the range, else false."""
     parts = ("name", "value", "unit", "range", "flag")
-    rows = F.arrays_zip(*(_all(x, LAB, g + 1).alias(n) for g, n in enumerate(parts)))
-    return F.transform(rows, lambda r: F.struct(F.trim(r["name"]).alias("name"), plain_digits(r["value"]).try_cast("double").alias("value"), _some(r["unit"]).alias("unit"), _some(r["range"]).alias("range"), (_some(r["flag"]).isNotNull() | ~F.coalesce(in_range(plain_digits(r["value"]).try_cast("double"), r["range"]), F.lit(True))).alias("abnormal")))
+    return F.transform(_matches(x, LAB, parts), lambda r: F.struct(F.trim(r["name"]).alias("name"), plain_digits(r["value"]).try_cast("double").alias("value"), _some(r["unit"]).alias("unit"), _some(r["range"]).alias("range"), (_some(r["flag"]).isNotNull() | ~F.coalesce(in_range(plain_digits(r["value"]).try_cast("double"), r["range"]), F.lit(True))).alias("abnormal")))
 
 
 # A telephone number behind its name, and the named patterns of lines.
