@@ -32,11 +32,52 @@ SCHEMAS = {
 }
 
 
+def _pick(key: str, *options: str) -> str:
+    return f"CASE {key} % {len(options)} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(options)) + " END"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_K, _O, _E, _C = "p_partkey", "o_orderkey", "event_id", "c_custkey"
+_DRUG = ("Warfarin", "Aspirin", "Insulin", "Simvastatin", "Amlodipine", "tramadol", "ssri", "metformin", "contrast_dye", "NSAID", "beta blocker")
+_CONDITION = ("renal failure", "peptic ulcer", "asthma", "gout")
+_SYMPTOM = ("headache", "fever", "neck_stiffness", "unknown", "dyspnea", "الصداع", "chest_pain")
+_drug, _condition, _symptom = (lambda key, own=own: _pick(key, *map(_quoted, own)) for own in (_DRUG, _CONDITION, _SYMPTOM))
+#: The same tables made of given ones: the table, and its columns in expressions that Spark and DuckDB share but for arrays.
+DERIVED = {
+    "TEXTS": ("part", {"id": _K, "text": _pick(_K, "'مرحبا ' || p_name", "p_name", "CAST(p_size AS STRING)", "'الحالة L' || CAST(p_size AS STRING) || '-L5'", "'الفقرة'", "''", "CAST(p_size AS STRING) || '.5mg'", "'  مُحَمَّد  ـــ أحمد  ' || p_name", "'٠١٢٣٤ جرعة ' || CAST(p_size AS STRING)", "'إدارة الألم' || chr(10) || p_name", "upper(p_name)")}),
+    "READINGS": ("lineitem", {"region_id": "l_orderkey", "ordinal": "l_linenumber", "engine": _pick("l_linenumber", "'alpha'", "'beta'", "'gamma'"), "text": _pick("(l_partkey + l_linenumber)", "'GENTAMICIN'", "'GENTAMICIN'", "'FOGMACIN'", "' '", "'Osteoblastoma'", "'Ostecblastoma'", "'left'"), "confidence": "CAST(l_quantity AS DOUBLE) / 50"}),
+    "CORRECTIONS": ("events", {"id": _E, "raw_text": "event_type || " + _pick("user_id", "''", "' mg'", "'  x'"), "corrected_text": _pick("(event_id + user_id)", "upper(event_type)", "''", "'a'", "event_type || " + _pick("user_id", "''", "' mg'", "'  x'"), "'Osteoblastoma'", "NULL", "event_type || ' fixed'"), "crop_base64": _pick("user_id", "NULL", "'AAAA' || CAST(event_id % 50 AS STRING)", "'BBBB'", "'CCCC' || CAST(event_id AS STRING)"), "engines": _pick(_E, "NULL", "props", "'{\"alpha\":\"x\",\"beta\":\"y\"}'"), "confidence": "CASE WHEN event_id % 9 = 0 THEN 0.0 ELSE value / 1000 END"}),
+    "PRIVATE": ("customer", {"id": _C, "text": _pick(_C, "'call 055' || lpad(CAST(c_custkey AS STRING), 7, '1') || ' now'", "'id ' || lpad(CAST(c_custkey AS STRING), 10, '3') || ' date 12/03/2024'", "'mail ' || lower(c_mktsegment) || '.b@example.com, MRN: ' || lpad(CAST(c_custkey AS STRING), 5, '7')", "'born 2024-01-05 in town'", "'plain ' || c_name", "'tel +1 555 123 4567 end'", "'اسم المريض: علي' || chr(10) || 'ok'")}),
+    "DRUG_LISTS": ("orders", {"id": _O, "drugs": f"array({_drug(_O)}, {_drug('(o_orderkey + o_custkey)')}, {_drug('(o_custkey + 3)')})"}),
+    "PATIENTS": ("orders", {"id": _O, "drug": _drug(_O), "conditions": f"array({_condition('o_custkey')}, {_condition('(o_custkey + o_orderkey + 1)')})"}),
+    "CASES": ("orders", {"id": _O, "symptoms": f"array({_symptom(_O)}, {_symptom('(o_orderkey + 1 + o_custkey % 3)')})"}),
+    "DOSES": ("orders", {"id": _O, "drug": _pick(_O, "'Amoxicillin'", "'paracetamol'", "'unknown'", "'ibuprofen'"), "weight_kg": "CAST(o_custkey % 1200 AS DOUBLE) / 4 + 2", "age": "CAST(o_orderkey % 90 AS INT)"}),
+    "QUESTIONS": ("part", {"id": _K, "text": _pick(_K, "'What is the interaction between warfarin and aspirin in ' || p_name", "'What dose of paracetamol?'", "'How to manage hypertension'", "'Is metformin contraindicated in renal failure'", "'What is asthma'", "'hello ' || p_name", "'interaction of ibuprofen and copd'")}),
+    "RUNS": ("orders", {"model": "'m' || CAST(o_custkey AS STRING)", "at": _O, "cer": "CAST(o_orderkey * 37 % 211 AS DOUBLE) / 1000", "samples": "CAST(10 + o_orderkey % 90 AS INT)"}),
+    "VERSIONS": ("orders", {"model": "'m' || CAST(o_custkey AS STRING)", "at": _O, "version": "'v' || CAST(o_orderkey AS STRING)", "cer": "CAST(o_orderkey * 37 % 211 AS DOUBLE) / 1000", "wer": "CAST(o_orderkey * 53 % 307 AS DOUBLE) / 1000", "accuracy": "CAST(o_orderkey * 71 % 97 AS DOUBLE) / 100", "is_active": "o_orderkey % 5 = 0"}),
+    "EVENTS": ("orders", {"model": "'m' || CAST(o_custkey AS STRING)", "at": _O, "version": "'v' || CAST(o_orderkey % 3 AS STRING)", "action": _pick("(o_orderkey + o_custkey)", "'register'", "'register'", "'promote'", "'rollback'", "'delete'"), "cer": "CAST(o_orderkey * 37 % 211 AS DOUBLE) / 1000"}),
+    "TERMS": ("part", {"variant": "p_name", "term": "p_name", "ordinal": _K}),
+    "WORDS": ("part", {"word": _pick(_K, "p_name", "upper(p_name)", "p_brand", "substr(p_name, 2)")}),
+    "PAIRS": ("part", {"id": _K, "reference": "p_name || ' of ' || p_brand", "predicted": _pick(_K, "p_name || ' of ' || p_brand", "substr(p_name, 2) || ' of ' || p_brand", "p_name || ' ' || p_brand", "'x ' || p_name || ' off ' || p_brand"), "medical": "p_size % 2 = 0"}),
+}
+
+
 def frame(spark: SparkSession, name: str) -> DataFrame:
     rows = globals()[name]
     return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], SCHEMAS[name])
 
 
+def derived(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
+    """A row for each row of the given table that this one is made of."""
+    source, columns = DERIVED[name]
+    kinds = dict(c.split(" ") for c in SCHEMAS[name].split(", "))
+    wide = {"int": "bigint"}
+    return spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(*(f"CAST({x} AS {wide.get(kinds[c], kinds[c])}) AS `{c}`" for c, x in columns.items()))
+
+
 def _literal(x) -> str:
     if x is None:
         return "NULL"
@@ -52,8 +93,12 @@ def _literal(x) -> str:
 
 
 def values(name: str, rows: list | None = None, columns: str | None = None) -> str:
-    """A fixture as a common table expression's body for DuckDB."""
-    rows = globals()[name] if rows is None else rows
-    columns = columns or ", ".join(f'"{c.split()[0]}"' for c in SCHEMAS[name].split(", "))
+    """A table of these as a subquery for DuckDB: what it is made of, or the rows given."""
+    if rows is None:
+        source, own = DERIVED[name]
+        kinds = dict(c.split(" ") for c in SCHEMAS[name].split(", "))
+        # numbers keep the width that Spark gives them, decimals are doubles
+        cast = lambda c, x: f"CAST({x} AS DOUBLE)" if kinds[c] == "double" else f"CAST({x} AS BIGINT)" if kinds[c] == "int" else x
+        return "(SELECT " + ", ".join(f'{cast(c, x.replace("array(", "list_value("))} AS "{c}"' for c, x in own.items()) + f" FROM {source})"
     body = ", ".join("(" + ", ".join(map(_literal, r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) t({columns}))"

@@ -96,7 +96,7 @@ def oracle_sql() -> dict[str, str]:
         "w1_keep_first": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
         "a1_pattern_counts": f"SELECT * FROM {PATTERNS.format(c)}",
         "a1_event_patterns": "SELECT event_type AS pattern, props AS correction, count(*) AS frequency, max(ts) AS last_used FROM events GROUP BY ALL",
-        "l2_most_frequent": f"SELECT pattern, correction, frequency FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY frequency DESC, correction) AS r FROM {PATTERNS.format(c)}) WHERE r = 1",
+        "l2_most_frequent": f"SELECT pattern, correction, frequency FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY frequency DESC, correction NULLS FIRST) AS r FROM {PATTERNS.format(c)}) WHERE r = 1",
         "sk2_save_batch": f"""SELECT e.idx, CASE WHEN trim(coalesce(e.corrected, '')) = '' THEN 'empty' WHEN t.text IS NULL THEN 'out_of_range' WHEN trim(e.corrected) = trim(t.text) THEN 'unchanged' ELSE 'saved' END AS disposition
             FROM (VALUES (1, 'مرحبا'), (2, 'Hello there'), (6, ' '), (99, 'x'), (4, NULL)) e(idx, corrected) LEFT JOIN {values("TEXTS")} t ON t.id = e.idx""",
         "a3_length_profile": "WITH n AS (SELECT length(p_name) AS n FROM part) SELECT CASE WHEN n <= 5 THEN '1-5' WHEN n <= 15 THEN '6-15' WHEN n <= 30 THEN '16-30' WHEN n <= 50 THEN '31-50' ELSE '50+' END AS bin, count(*) AS texts, (SELECT min(n) FROM n) AS least, (SELECT max(n) FROM n) AS most, (SELECT round(avg(n), 1) FROM n) AS mean, (SELECT median(n) FROM n) AS median FROM n GROUP BY bin",
@@ -147,7 +147,7 @@ def oracle_sql() -> dict[str, str]:
         "a13_readiness": "SELECT lang AS model, count(DISTINCT source) AS files, count(*) AS samples, count(*) >= 120 AS ready FROM documents GROUP BY lang",
         "a14_compare": f"WITH v AS (SELECT * FROM {values('VERSIONS')}) SELECT 'cer' AS metric, min(cer) AS best, max(cer) AS worst, round(avg(cer), 6) AS mean FROM v UNION ALL SELECT 'wer', min(wer), max(wer), round(avg(wer), 6) FROM v UNION ALL SELECT 'accuracy', max(accuracy), min(accuracy), round(avg(accuracy), 6) FROM v",
         "a15_summary": f"SELECT count(*) AS versions, count(*) FILTER (is_active) AS active, min(cer) AS best_cer FROM {values('VERSIONS')}",
-        "do15_new_versions": "SELECT 'v9' AS version_name",
+        "do15_new_versions": "SELECT 'v' || o_orderkey * 2 AS version_name FROM orders WHERE o_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)",
         "a16_type_errors": "SELECT p_brand, count(*) AS texts, round(sum(levenshtein(p_type, 'x' || substr(p_type, 3))) / sum(length(p_type)), 6) AS cer, round(avg((p_type = 'x' || substr(p_type, 3))::INT), 6) AS exact FROM part GROUP BY p_brand",
         "p9_log_search": f"SELECT id FROM {LOGS} WHERE category = 'error' AND (contains(lower(message), '\"k\": 7') OR contains(lower(details), '\"k\": 7')) ORDER BY ts DESC, id DESC LIMIT 100",
         "p12_retained": f"SELECT id FROM {LOGS} WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 7 DAY ORDER BY ts DESC, id DESC LIMIT 5000",

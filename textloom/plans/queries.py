@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import extract, normalize, redact, similarity
 from textloom.operators import clinical, cohesion, correct, corrections, documents, ensemble, evaluate, fuzzy, inverted, logs, registry, sampling, vectors
-from textloom.plans.fixtures import frame
+from textloom.plans.fixtures import derived
 from textloom.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +56,7 @@ def j1_gold_standard(spark, sf_dir):
 
 @query
 def p2_truthy_text(spark, sf_dir):
-    return frame(spark, "CORRECTIONS").select("id", corrections.truthy("corrected_text", "raw_text").alias("text"))
+    return derived(spark, "CORRECTIONS", sf_dir).select("id", corrections.truthy("corrected_text", "raw_text").alias("text"))
 
 
 @query
@@ -80,7 +80,7 @@ def p7_hard_examples(spark, sf_dir):
 
 @query
 def p17_hints(spark, sf_dir):
-    return frame(spark, "TEXTS").select("id", F.array_join(corrections.hints(F.col("text"), normalize.script_class("text")), ",").alias("hints"))
+    return derived(spark, "TEXTS", sf_dir).select("id", F.array_join(corrections.hints(F.col("text"), normalize.script_class("text")), ",").alias("hints"))
 
 
 @query
@@ -96,18 +96,18 @@ def p18_edited_lines(spark, sf_dir):
 
 @query
 def n_arabic_normalization(spark, sf_dir):
-    t = frame(spark, "TEXTS")
+    t = derived(spark, "TEXTS", sf_dir)
     return t.select("id", normalize.normalize_arabic("text").alias("normalized"), normalize.learner_key("text").alias("learner"), normalize.clinical_key("text").alias("clinical"), normalize.script_class("text").alias("script"), normalize.ascii_digits("text").alias("digits"), normalize.line_count("text").alias("lines"))
 
 
 @query
 def n3_presentation_forms(spark, sf_dir):
-    return frame(spark, "TEXTS").select("id", normalize.normalize_arabic(F.concat("text", F.lit("ﺍﻻﷲ")), "table").alias("by_table"), normalize.normalize_arabic(F.concat("text", F.lit("ﺍﻻ")), "nfkc").alias("by_nfkc"))
+    return derived(spark, "TEXTS", sf_dir).select("id", normalize.normalize_arabic(F.concat("text", F.lit("ﺍﻻﷲ")), "table").alias("by_table"), normalize.normalize_arabic(F.concat("text", F.lit("ﺍﻻ")), "nfkc").alias("by_nfkc"))
 
 
 @query
 def n15_arabic_runs(spark, sf_dir):
-    return frame(spark, "TEXTS").select("id", normalize.reverse_arabic_runs("text").alias("reversed"), normalize.rtl_lines("text").alias("marked"))
+    return derived(spark, "TEXTS", sf_dir).select("id", normalize.reverse_arabic_runs("text").alias("reversed"), normalize.rtl_lines("text").alias("marked"))
 
 
 @query
@@ -134,7 +134,7 @@ def a21_private_counts(spark, sf_dir):
 
 @query
 def r2_redacted(spark, sf_dir):
-    return frame(spark, "PRIVATE").select("id", redact.redact("text").alias("redacted"))
+    return derived(spark, "PRIVATE", sf_dir).select("id", redact.redact("text").alias("redacted"))
 
 
 @query
@@ -144,7 +144,7 @@ def r2_redacted_documents(spark, sf_dir):
 
 @query
 def r2_redacted_items(spark, sf_dir):
-    return frame(spark, "PRIVATE").select("id", F.explode(redact.items("text")).alias("x")).select("id", "x.*")
+    return derived(spark, "PRIVATE", sf_dir).select("id", F.explode(redact.items("text")).alias("x")).select("id", "x.*")
 
 
 @query
@@ -170,7 +170,7 @@ def x8_html_text(spark, sf_dir):
 
 @query
 def p6_quality_reasons(spark, sf_dir):
-    return corrections.quality_reasons(frame(spark, "CORRECTIONS")).select("id", "reason")
+    return corrections.quality_reasons(derived(spark, "CORRECTIONS", sf_dir)).select("id", "reason")
 
 
 @query
@@ -187,7 +187,7 @@ def w1_keep_first(spark, sf_dir):
 
 @query
 def a1_pattern_counts(spark, sf_dir):
-    rows = frame(spark, "CORRECTIONS").withColumn("created_at", F.col("id"))
+    rows = derived(spark, "CORRECTIONS", sf_dir).withColumn("created_at", F.col("id"))
     return corrections.pattern_counts(rows)
 
 
@@ -199,23 +199,23 @@ def a1_event_patterns(spark, sf_dir):
 
 @query
 def a2_store_stats(spark, sf_dir):
-    return corrections.store_stats(frame(spark, "CORRECTIONS")).select("total", "patterns", F.to_json("top").alias("top"))
+    return corrections.store_stats(derived(spark, "CORRECTIONS", sf_dir)).select("total", "patterns", F.to_json("top").alias("top"))
 
 
 @query
 def l2_most_frequent(spark, sf_dir):
-    return corrections.most_frequent(corrections.pattern_counts(frame(spark, "CORRECTIONS").withColumn("created_at", F.col("id"))))
+    return corrections.most_frequent(corrections.pattern_counts(derived(spark, "CORRECTIONS", sf_dir).withColumn("created_at", F.col("id"))))
 
 
 @query
 def l3_latest_similar(spark, sf_dir):
     texts = spark.createDataFrame([("Ostecb",), ("Ostecbl",), ("FOGMACN",), ("nothing like",)], "text string")
-    return corrections.lookup(texts, frame(spark, "CORRECTIONS"))
+    return corrections.lookup(texts, derived(spark, "CORRECTIONS", sf_dir))
 
 
 @query
 def sk2_save_batch(spark, sf_dir):
-    regions = frame(spark, "TEXTS").select(F.col("id").alias("idx"), "text")
+    regions = derived(spark, "TEXTS", sf_dir).select(F.col("id").alias("idx"), "text")
     edits = spark.createDataFrame([(1, "مرحبا"), (2, "Hello there"), (6, " "), (99, "x"), (4, None)], "idx int, corrected string")
     return corrections.save_batch(regions, edits)
 
@@ -227,12 +227,12 @@ def a3_length_profile(spark, sf_dir):
 
 @query
 def a4_confidence_profile(spark, sf_dir):
-    return corrections.confidence_profile(frame(spark, "CORRECTIONS"), "confidence")
+    return corrections.confidence_profile(derived(spark, "CORRECTIONS", sf_dir), "confidence")
 
 
 @query
 def a5_engine_counts(spark, sf_dir):
-    return corrections.engine_counts(frame(spark, "CORRECTIONS").withColumnRenamed("engines", "j"), "j")
+    return corrections.engine_counts(derived(spark, "CORRECTIONS", sf_dir).withColumnRenamed("engines", "j"), "j")
 
 
 @query
@@ -289,7 +289,7 @@ def m8_brand_edits(spark, sf_dir):
 
 @query
 def m9_votes(spark, sf_dir):
-    return ensemble.ensemble_vote(frame(spark, "READINGS"))
+    return ensemble.ensemble_vote(derived(spark, "READINGS", sf_dir))
 
 
 @query
@@ -314,8 +314,8 @@ def j9_dictionary_search(spark, sf_dir):
 
 @query
 def j9_validate(spark, sf_dir):
-    terms = frame(spark, "TERMS").select("term", F.when(F.col("ordinal") % 2 == 0, "a").otherwise("b").alias("dictionary"))
-    return fuzzy.validate(frame(spark, "WORDS"), terms).select("word", F.array_join("dictionaries", ",").alias("dictionaries"), "valid")
+    terms = derived(spark, "TERMS", sf_dir).select("term", F.when(F.col("ordinal") % 2 == 0, "a").otherwise("b").alias("dictionary"))
+    return fuzzy.validate(derived(spark, "WORDS", sf_dir).distinct(), terms).select("word", F.array_join("dictionaries", ",").alias("dictionaries"), "valid")
 
 
 @query
@@ -328,8 +328,8 @@ def do14_dictionary_status(spark, sf_dir):
 def do1_suggestions(spark, sf_dir):
     history = spark.createDataFrame([("zzz", "sleep", 3)], "pattern string, correction string, frequency int")
     short = spark.createDataFrame([("ORIF", "Open Reduction Internal Fixation"), ("AVN", "Avascular Necrosis")], "short string, long string")
-    words = frame(spark, "WORDS").union(spark.createDataFrame([("orif",)], "word string"))
-    return fuzzy.suggestions(words, frame(spark, "TERMS"), history, short).select("word", "rank", "text", "strategy", F.round("score", 4).alias("score"))
+    words = derived(spark, "WORDS", sf_dir).union(spark.createDataFrame([("orif",)], "word string"))
+    return fuzzy.suggestions(words, derived(spark, "TERMS", sf_dir), history, short).select("word", "rank", "text", "strategy", F.round("score", 4).alias("score"))
 
 
 # clinical rules
@@ -337,7 +337,7 @@ def do1_suggestions(spark, sf_dir):
 
 @query
 def j2_drug_interactions(spark, sf_dir):
-    return clinical.drug_interactions(frame(spark, "DRUG_LISTS"), clinical.interactions(spark))
+    return clinical.drug_interactions(derived(spark, "DRUG_LISTS", sf_dir), clinical.interactions(spark))
 
 
 @query
@@ -347,12 +347,12 @@ def a17_worst_severity(spark, sf_dir):
 
 @query
 def j3_contraindications(spark, sf_dir):
-    return clinical.contraindicated(frame(spark, "PATIENTS"), clinical.contraindications(spark))
+    return clinical.contraindicated(derived(spark, "PATIENTS", sf_dir), clinical.contraindications(spark))
 
 
 @query
 def j4_differential(spark, sf_dir):
-    return clinical.differential(frame(spark, "CASES"), clinical.symptoms(spark)).select("id", "condition", F.round("score", 3).alias("score"))
+    return clinical.differential(derived(spark, "CASES", sf_dir), clinical.symptoms(spark)).select("id", "condition", F.round("score", 3).alias("score"))
 
 
 @query
@@ -363,17 +363,17 @@ def j5_protocol(spark, sf_dir):
 
 @query
 def j6_dosage(spark, sf_dir):
-    return clinical.check_dosage(frame(spark, "DOSES"), clinical.dosages(spark))
+    return clinical.check_dosage(derived(spark, "DOSES", sf_dir), clinical.dosages(spark))
 
 
 @query
 def q1_routes(spark, sf_dir):
-    return frame(spark, "QUESTIONS").select("id", clinical.route(F.col("text")).alias("route"), F.array_join(clinical.mentioned(F.col("text"), clinical.DRUGS), ",").alias("drugs"), F.array_join(clinical.mentioned(F.col("text"), clinical.CONDITIONS), ",").alias("conditions"))
+    return derived(spark, "QUESTIONS", sf_dir).select("id", clinical.route(F.col("text")).alias("route"), F.array_join(clinical.mentioned(F.col("text"), clinical.DRUGS), ",").alias("drugs"), F.array_join(clinical.mentioned(F.col("text"), clinical.CONDITIONS), ",").alias("conditions"))
 
 
 @query
 def q2_answers(spark, sf_dir):
-    return clinical.answers(frame(spark, "QUESTIONS"), spark)
+    return clinical.answers(derived(spark, "QUESTIONS", sf_dir), spark)
 
 
 # samples and splits
@@ -460,7 +460,7 @@ def u5_mixed_batch(spark, sf_dir):
 
 @query
 def w5_improvements(spark, sf_dir):
-    return registry.improvements(frame(spark, "RUNS")).select("model", "at", "cer_before", F.round("gain", 6).alias("gain"), "deploys", F.col("total_samples").alias("total"))
+    return registry.improvements(derived(spark, "RUNS", sf_dir)).select("model", "at", "cer_before", F.round("gain", 6).alias("gain"), "deploys", F.col("total_samples").alias("total"))
 
 
 @query
@@ -472,28 +472,28 @@ def w6_customer_running(spark, sf_dir):
 
 @query
 def w7_promotions(spark, sf_dir):
-    e = frame(spark, "EVENTS").withColumn("at", F.timestamp_seconds("at"))
+    e = derived(spark, "EVENTS", sf_dir).withColumn("at", F.timestamp_seconds("at"))
     return registry.promotions(e).withColumn("at", F.unix_timestamp("at"))
 
 
 @query
 def j8_active_version(spark, sf_dir):
-    return registry.active(frame(spark, "VERSIONS"))
+    return registry.active(derived(spark, "VERSIONS", sf_dir))
 
 
 @query
 def w8_history(spark, sf_dir):
-    return registry.history(frame(spark, "VERSIONS"), 3).select("version", "cer")
+    return registry.history(derived(spark, "VERSIONS", sf_dir), 3).select("version", "cer")
 
 
 @query
 def w9_archive(spark, sf_dir):
-    return registry.archive_excess(frame(spark, "VERSIONS"), 1).select("version")
+    return registry.archive_excess(derived(spark, "VERSIONS", sf_dir), 1).select("version")
 
 
 @query
 def w11_version_ids(spark, sf_dir):
-    return registry.version_ids(frame(spark, "VERSIONS").withColumn("at", F.timestamp_seconds("at"))).select("version", "version_id")
+    return registry.version_ids(derived(spark, "VERSIONS", sf_dir).withColumn("at", F.timestamp_seconds("at"))).select("version", "version_id")
 
 
 @query
@@ -510,23 +510,24 @@ def a13_readiness(spark, sf_dir):
 
 @query
 def a14_compare(spark, sf_dir):
-    return registry.compare(frame(spark, "VERSIONS")).select("metric", "best", "worst", "mean")
+    return registry.compare(derived(spark, "VERSIONS", sf_dir)).select("metric", "best", "worst", "mean")
 
 
 @query
 def a15_summary(spark, sf_dir):
-    return registry.summary(frame(spark, "VERSIONS"))
+    return registry.summary(derived(spark, "VERSIONS", sf_dir))
 
 
 @query
 def do15_new_versions(spark, sf_dir):
-    v = frame(spark, "VERSIONS").select(F.col("version").alias("version_name"))
-    return registry.new_versions(spark.createDataFrame([("v2",), ("v9",)], "version_name string"), v)
+    v = derived(spark, "VERSIONS", sf_dir).select(F.col("version").alias("version_name"))
+    offered = table(spark, sf_dir, "orders").select(F.concat(F.lit("v"), (F.col("o_orderkey") * 2).cast("string")).alias("version_name"))
+    return registry.new_versions(offered, v)
 
 
 @query
 def a16_error_rates(spark, sf_dir):
-    return evaluate.error_rates(frame(spark, "PAIRS"), medical="medical")
+    return evaluate.error_rates(derived(spark, "PAIRS", sf_dir), medical="medical")
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom import sources, streaming
 from textloom.functions import extract, redact
 from textloom.operators import clinical, correct, corrections, documents, ensemble, registry, sampling, vectors
-from textloom.plans.fixtures import frame, values
+from textloom.plans.fixtures import derived, values
 from textloom.plans.queries import event_logs, query, table
 from textloom.plans.stream_queries import appended, stream, unzoned
 from textloom.sources import sinks, stores
@@ -158,7 +158,7 @@ def sc17_demo_cases(spark, sf_dir):
 @said(f"SELECT version AS version_id, cer AS cer_score, is_active FROM {values('VERSIONS')}")
 def sc18_versions(spark, sf_dir):
     folder = shared_folder(spark)
-    v = frame(spark, "VERSIONS").select(F.col("version").alias("version_id"), F.col("cer").alias("cer_score"), "is_active")
+    v = derived(spark, "VERSIONS", sf_dir).select(F.col("version").alias("version_id"), F.col("cer").alias("cer_score"), "is_active")
     v.agg(F.to_json(F.collect_list(F.struct("version_id", "cer_score", "is_active"))).alias("value")).write.text(f"{folder}/versions")
     return sources.versions(spark, f"{folder}/versions").union(sources.versions(spark, f"{folder}/none")).select("version_id", "cer_score", "is_active")
 
@@ -377,13 +377,13 @@ def do5_sections(spark, sf_dir):
 
 @said(f"SELECT id, a, b, severity, mechanism, effect, management, source FROM (SELECT DISTINCT x.id, d.* FROM (SELECT id, lower(unnest(drugs)) AS a FROM {values('DRUG_LISTS')}) x JOIN (SELECT id, lower(unnest(drugs)) AS b FROM {values('DRUG_LISTS')}) y ON x.id = y.id AND x.a < y.b JOIN (SELECT least(i.a, i.b) AS a, greatest(i.a, i.b) AS b, severity, mechanism, effect, management, source FROM {values('', clinical.INTERACTIONS, 'a, b, severity, evidence')} i JOIN {values('', clinical.INTERACTION_TEXTS, 'a, b, mechanism, effect, management, source')} t ON i.a = t.a AND i.b = t.b) d ON d.a = x.a AND d.b = y.b)")
 def j2_interaction_texts(spark, sf_dir):
-    found = clinical.drug_interactions(frame(spark, "DRUG_LISTS"), clinical.interactions(spark))
+    found = clinical.drug_interactions(derived(spark, "DRUG_LISTS", sf_dir), clinical.interactions(spark))
     return clinical.with_texts(found, clinical.interaction_texts(spark), ["a", "b"]).select("id", "a", "b", "severity", "mechanism", "effect", "management", "source")
 
 
 @said(f"SELECT id, p.drug, p.condition, details, alternative FROM (SELECT id, replace(lower(drug), '_', ' ') AS drug, replace(lower(unnest(conditions)), '_', ' ') AS condition FROM {values('PATIENTS')}) p JOIN {values('', [(a.replace('_', ' '), b.replace('_', ' '), *r) for a, b, *r in clinical.CONTRAINDICATION_TEXTS], 'drug, condition, details, details_ar, alternative')} t ON p.drug = t.drug AND p.condition = t.condition")
 def j3_contraindication_texts(spark, sf_dir):
-    found = clinical.contraindicated(frame(spark, "PATIENTS"), clinical.contraindications(spark))
+    found = clinical.contraindicated(derived(spark, "PATIENTS", sf_dir), clinical.contraindications(spark))
     return clinical.with_texts(found, clinical.contraindication_texts(spark), ["drug", "condition"]).select("id", "drug", "condition", "details", "alternative")
 
 
