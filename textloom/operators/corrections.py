@@ -181,3 +181,12 @@ def valid_keys(presented: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     hashed = presented.select(F.sha2("api_key", 256).alias("key_hash"))
     joined = hashed.join(keys.select("key_hash", "active", "expires"), "key_hash", "left")
     return joined.select("key_hash", F.coalesce(F.col("active") & (F.col("expires").isNull() | (F.col("expires") > now)), F.lit(False)).alias("valid"))
+
+
+def review_state(confidence: Column) -> Column:
+    """Regions read with confidence are approved, others wait."""
+    return F.when(confidence >= 0.75, "approved").otherwise("pending")
+
+
+def confidence_bucket(confidence: Column) -> Column:
+    return F.when(confidence > 0.9, "high").when(confidence > 0.7, "medium").otherwise("low")

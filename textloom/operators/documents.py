@@ -71,7 +71,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 kind = path.rsplit(".", 1)[-1].lower()
                 try:
-                    if kind in ("docx", "pptx"):
+                    if kind in ("docx", "pptx", "ppt"):  # a .ppt is read if it is an archive under an old name
                         rows += [(path, k, text, None) for k, text in _office(kind, content)]
                     elif kind in ("html", "htm"):
                         rows.append((path, 1, content.decode(errors="replace"), None))

@@ -77,7 +77,7 @@ def oracle_sql() -> dict[str, str]:
         "do5_sentences": r"SELECT doc_id, len(s) AS sentences, list_sum(list_transform(s, lambda x: length(x)))::BIGINT AS chars, s[11] AS eleventh FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?؟])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents) WHERE len(s) > 0",
         "do8_fhir": "SELECT event_id, to_json({'resourceType': 'Observation', 'code': {'text': event_type}, 'subject': {'reference': 'Patient/' || user_id}, 'effectiveDateTime': strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'valueQuantity': {'value': value}})::VARCHAR AS resource FROM events",
         "a2_store_stats": f"WITH p AS {PATTERNS.format(c)}, t AS (SELECT * FROM p ORDER BY frequency DESC, pattern, correction LIMIT 10) SELECT (SELECT count(*) FROM {c} x) AS total, (SELECT count(DISTINCT pattern) FROM p) AS patterns, (SELECT '[' || string_agg('{{\"n\":' || -frequency || coalesce(',\"pattern\":\"' || pattern || '\"', '') || coalesce(',\"correction\":\"' || correction || '\"', '') || '}}', ',' ORDER BY frequency DESC, pattern NULLS FIRST, correction NULLS FIRST) || ']' FROM t) AS top",
-        "r3_context_lines": f"SELECT id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '{'|'.join(KEYWORDS)}') AND length(trim(x)) > 5 THEN '[REDACTED]' ELSE x END), chr(10)) AS redacted FROM (VALUES (1, 'اسم المريض: علي' || chr(10) || 'ok'), (2, 'العنوان' || chr(10) || 'x'), (3, 'plain')) t(id, text)",
+        "r3_context_lines": f"SELECT id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '{'|'.join(KEYWORDS)}') AND length(trim(x)) > 5 THEN '[REDACTED]' ELSE x END), chr(10)) AS redacted FROM (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'اسم المريض: ' || p_name WHEN 1 THEN 'العنوان' WHEN 2 THEN 'رقم الملف ' || p_name ELSE p_name END || chr(10) || 'ok ' || p_type AS text FROM part)",
         "entry_quality_profile": r"SELECT lang, count(*) AS docs, round(avg(length(text)), 4) AS avg_len, count(*) FILTER (length(text) > 1000) AS long_docs, count(*) FILTER (regexp_matches(text, '[\w.\-]+@[\w.\-]+\.\w{2,}')) AS with_email, count(*) FILTER (regexp_matches(text, '\b[0-9]{10}\b')) AS with_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY lang",
         "j1_gold_standard": """WITH r AS (SELECT o_orderkey AS region_id, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'gold_standard' WHEN 'O' THEN 'pending' ELSE 'approved' END AS status, CASE WHEN o_totalprice > 200000 THEN o_orderpriority END AS corrected_text, o_orderkey % 3 AS n, o_orderdate AS corrected_at FROM orders)
             SELECT region_id, c_name AS page, status, corrected_text, corrected_at FROM r JOIN customer ON o_custkey = c_custkey WHERE status = 'gold_standard' OR (status = 'pending' AND corrected_text IS NOT NULL AND n >= 1)""",
@@ -98,7 +98,7 @@ def oracle_sql() -> dict[str, str]:
         "a1_event_patterns": "SELECT event_type AS pattern, props AS correction, count(*) AS frequency, max(ts) AS last_used FROM events GROUP BY ALL",
         "l2_most_frequent": f"SELECT pattern, correction, frequency FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY frequency DESC, correction NULLS FIRST) AS r FROM {PATTERNS.format(c)}) WHERE r = 1",
         "sk2_save_batch": f"""SELECT e.idx, CASE WHEN trim(coalesce(e.corrected, '')) = '' THEN 'empty' WHEN t.text IS NULL THEN 'out_of_range' WHEN trim(e.corrected) = trim(t.text) THEN 'unchanged' ELSE 'saved' END AS disposition
-            FROM (VALUES (1, 'مرحبا'), (2, 'Hello there'), (6, ' '), (99, 'x'), (4, NULL)) e(idx, corrected) LEFT JOIN {values("TEXTS")} t ON t.id = e.idx""",
+            FROM (SELECT CASE WHEN id % 7 = 0 THEN id + 1000000000 ELSE id END AS idx, CASE id % 5 WHEN 0 THEN ' ' WHEN 1 THEN ' ' || text WHEN 2 THEN NULL ELSE text || '!' END AS corrected FROM {values("TEXTS")} WHERE id % 2 = 0) e LEFT JOIN {values("TEXTS")} t ON t.id = e.idx""",
         "a3_length_profile": "WITH n AS (SELECT length(p_name) AS n FROM part) SELECT CASE WHEN n <= 5 THEN '1-5' WHEN n <= 15 THEN '6-15' WHEN n <= 30 THEN '16-30' WHEN n <= 50 THEN '31-50' ELSE '50+' END AS bin, count(*) AS texts, (SELECT min(n) FROM n) AS least, (SELECT max(n) FROM n) AS most, (SELECT round(avg(n), 1) FROM n) AS mean, (SELECT median(n) FROM n) AS median FROM n GROUP BY bin",
         "a4_confidence_profile": f"SELECT count(*) AS n, round(avg(confidence), 3) AS mean, round(min(confidence), 3) AS least, round(max(confidence), 3) AS most FROM {c} WHERE confidence > 0",
         "a5_engine_counts": f"SELECT engine, count(*) AS texts FROM (SELECT unnest(json_keys(engines)) AS engine FROM {c}) GROUP BY engine",
@@ -111,8 +111,8 @@ def oracle_sql() -> dict[str, str]:
         "p15_orphans": "SELECT doc_id AS document_id FROM labels WHERE toxic <> 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
         "m8_brand_edits": "WITH v AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS variant FROM part), w AS (SELECT DISTINCT 'X' || substr(variant, 2) AS word FROM v) SELECT word, min(levenshtein(word, variant)) AS distance FROM w JOIN v ON levenshtein(word, variant) <= 1 GROUP BY word",
         "m9_exact_votes": "WITH g AS (SELECT source || '-' || (doc_id // 1000)::VARCHAR AS region_id, lang AS text, count(*) AS votes, max(n_chars / 1000.0)::DOUBLE AS confidence, min_by('e' || (doc_id % 7), doc_id) AS engine, min(doc_id) AS first FROM documents WHERE trim(lang) <> '' GROUP BY 1, 2) SELECT region_id, text, engine, confidence, votes FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY votes DESC, confidence DESC, first) AS r FROM g) WHERE r = 1",
-        "m10_boxes": "SELECT id, greatest(x1 - 5, 0) AS x1, greatest(y1 - 5, 0) AS y1, least(x2 + 5, 33) AS x2, least(y2 + 5, 24) AS y2 FROM (VALUES (1, 9, 1, 31, 22), (2, 0, 0, 5, 5)) t(id, x1, y1, x2, y2)",
-        "j9_dictionary_search": "SELECT p_brand AS dictionary, count(*) AS terms FROM part WHERE contains(lower(p_name), '1') AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY p_brand",
+        "m10_boxes": "SELECT l_orderkey, l_linenumber, greatest(x - 1 - 5, 0) AS x1, greatest(y - 1 - 5, 0) AS y1, least(x + 9 + 5, 60) AS x2, least(y + 3 + 5, 40) AS y2 FROM (SELECT l_orderkey, l_linenumber, l_quantity::INT AS x, (l_partkey % 40)::INT AS y FROM lineitem)",
+        "j9_dictionary_search": "SELECT p_brand AS dictionary, count(*) AS terms FROM part WHERE contains(lower(p_name), 'ring') AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY p_brand",
         "j9_validate": f"SELECT w.word, coalesce(string_agg(DISTINCT t.d, ',' ORDER BY t.d), '') AS dictionaries, count(t.d) > 0 AS valid FROM {values('WORDS')} w LEFT JOIN (SELECT term, CASE WHEN ordinal % 2 = 0 THEN 'a' ELSE 'b' END AS d FROM {values('TERMS')}) t ON lower(t.term) = lower(w.word) GROUP BY w.word",
         "do14_dictionary_status": "SELECT count(*) AS terms, count(DISTINCT p_brand) AS dictionaries, max(p_size) AS last_sync FROM part",
         "j2_drug_interactions": pairs,
@@ -120,7 +120,7 @@ def oracle_sql() -> dict[str, str]:
         "j3_contraindications": f"""WITH r AS (SELECT id, replace(lower(drug), '_', ' ') AS drug, replace(lower(unnest(conditions)), '_', ' ') AS condition FROM {values("PATIENTS")}), k AS (SELECT replace(drug, '_', ' ') AS d, replace(condition, '_', ' ') AS c, severity FROM {contra})
             SELECT id, drug, condition, severity FROM r JOIN k ON drug = d AND condition = c""",
         "j4_differential": f"""SELECT id, condition, round(least(sum(weight) / n, 1.0::DOUBLE), 3) AS score FROM (SELECT id, greatest(len(symptoms), 1) AS n, lower(trim(unnest(symptoms))) AS symptom FROM {values("CASES")}) q JOIN {symptoms} USING (symptom) GROUP BY id, condition, n HAVING sum(weight) / n >= 0.01""",
-        "j5_protocol": f"""SELECT q.id, p.condition, p.icd10, generate_subscripts(p.steps, 1) AS step, unnest(p.steps) AS description FROM (VALUES (1, 'hypertension'), (2, 'type 2 diabetes')) q(id, asked) JOIN {values("", PROTOCOLS, "condition, icd10, steps, medications")} p ON contains(q.asked, p.condition) OR contains(p.condition, q.asked)""",
+        "j5_protocol": f"""SELECT q.id, p.condition, p.icd10, generate_subscripts(p.steps, 1) AS step, unnest(p.steps) AS description FROM (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'hypertension' WHEN 1 THEN 'type 2 diabetes, ' || lower(c_mktsegment) WHEN 2 THEN 'gout' ELSE 'tension' END AS asked FROM customer) q JOIN {values("", PROTOCOLS, "condition, icd10, steps, medications")} p ON contains(q.asked, p.condition) OR contains(p.condition, q.asked)""",
         "j6_dosage": f"""SELECT q.id, lower(q.drug) AS drug, d.cap IS NOT NULL AS known, round(weight_kg * low, 2) AS low_mg, round(least(weight_kg * high, cap), 2) AS high_mg, round(least(weight_kg * high, cap), 2) AS dose_mg, coalesce(weight_kg * high > cap, false) AS capped, CASE WHEN age < 2 THEN 'infant' WHEN age >= 65 THEN 'elderly' END AS adjust FROM {values("DOSES")} q LEFT JOIN {dosages} d ON lower(q.drug) = d.drug""".replace("least(weight_kg * high, cap)", "CASE WHEN cap IS NULL THEN NULL ELSE least(weight_kg * high, cap) END"),
         "q1_routes": f"SELECT id, CASE {' '.join(f'''WHEN regexp_matches(lower(text), '{w}') THEN '{n}' ''' for n, w in ROUTES)} ELSE 'general' END AS route, {_mentioned(DRUGS)} AS drugs, {_mentioned(CONDITIONS)} AS conditions FROM {values('QUESTIONS')}",
         "s9_exact_split": "WITH n AS (SELECT count(*) AS n FROM orders) SELECT 'test' AS split, floor(n * 0.15)::BIGINT AS rows FROM n UNION ALL SELECT 'validation', floor(n * 0.15)::BIGINT FROM n UNION ALL SELECT 'train', n - 2 * floor(n * 0.15)::BIGINT FROM n",
@@ -169,7 +169,7 @@ def oracle_sql() -> dict[str, str]:
         "st7_sessions": "WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS new FROM events) SELECT user_id, count(*) FILTER (coalesce(new, true)) AS sessions, count(*) AS events FROM g GROUP BY user_id",
         "st14_over_limit": "SELECT user_id, date_trunc('day', ts) AS start, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 4",
         "st15_increases": "WITH d AS (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events) SELECT user_id, round(sum(CASE WHEN d < 0 THEN value ELSE d END), 6) AS increase FROM d GROUP BY user_id",
-        "f9_durations": "SELECT * FROM (VALUES (5, '5ms'), (999, '999ms'), (1500, '1.5s'), (61000, '1.0m')) t(ms, text)",
+        "f9_durations": "SELECT o_orderkey, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', ms / 1000.0) ELSE printf('%.1fm', ms / 60000.0) END AS text FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS ms FROM orders)",
         "do16_component_health": "SELECT n_regionkey AS system, CASE WHEN bool_and(n_nationkey < 20) THEN 'healthy' ELSE 'degraded' END AS status FROM nation GROUP BY 1",
         "sk8_log_lines": f"SELECT id, level || ',' || category || ',\"' || replace(details, '\"', '\"\"') || '\"' AS csv FROM {LOGS}",
         "a20_roll_up": f"SELECT conv_id, count(*) AS pages, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest, bool_or(regexp_matches(text, '{ARABIC}')) AS arabic FROM conversations GROUP BY conv_id",
@@ -186,9 +186,9 @@ def oracle_sql() -> dict[str, str]:
         "a22_page_confidence": "SELECT l_orderkey, round(avg(l_discount), 9) AS confidence, count(*) AS lines FROM lineitem GROUP BY l_orderkey",
         "a23_status_tallies": "SELECT count(*) FILTER (o_orderstatus = 'F') AS gold, count(*) FILTER (o_orderstatus = 'O') AS pending, count(*) AS regions FROM orders",
         "do9_job_progress": "SELECT user_id AS job, count(*) AS total, count(*) FILTER (event_type = 'view') AS done, count(*) FILTER (event_type = 'error') AS failed, round(100 * count(*) FILTER (event_type = 'view') / count(*), 6) AS percent FROM events GROUP BY user_id",
-        "do13_valid_keys": "SELECT sha256(k) AS key_hash, k = 'alpha' AS valid FROM (VALUES ('alpha'), ('beta'), ('gamma'), ('delta')) t(k)",
+        "do13_valid_keys": "SELECT sha256(c_name) AS key_hash, c_custkey % 5 > 0 AND c_custkey % 3 > 0 AND c_custkey % 4 > 0 AS valid FROM customer",
         "p10_log_levels": "SELECT CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'warn' ELSE 'debug' END AS level, count(*) AS n FROM events GROUP BY 1",
-        "sk6_changed_only": "SELECT doc_id FROM documents WHERE text <> trim(text, ' ')",
+        "sk6_changed_only": "SELECT doc_id FROM documents WHERE text <> regexp_replace(replace(text, '  ', ' '), '[.]{2,}|[0-9]{10}', '', 'g')",
         "f5_levenshtein": "SELECT p_partkey, levenshtein(p_type, next) AS edits FROM (SELECT p_partkey, p_type, lead(p_type) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next FROM part) WHERE next IS NOT NULL",
         "p17_hints": f"SELECT id, concat_ws(',', CASE WHEN {SCRIPT} IN ('arabic', 'mixed') AND regexp_matches(text, '[0-9]') THEN 'digits' END, CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) > 50 THEN 'long' END, CASE WHEN regexp_matches(text, '^[^\\p{{L}}\\p{{N}}]') THEN 'first_character' END) AS hints FROM {values('TEXTS')}",
         "s8_at_ratios": "SELECT lang, least(count(*), CASE lang WHEN 'en' THEN 20 WHEN 'fr' THEN 12 ELSE 8 END) AS rows FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY lang",

@@ -62,7 +62,7 @@ def p2_truthy_text(spark, sf_dir):
 @query
 def p3_review_state(spark, sf_dir):
     c = F.col("value") / 100
-    return table(spark, sf_dir, "events").groupBy(F.when(c >= 0.75, "approved").otherwise("pending").alias("status"), F.when(c > 0.9, "high").when(c > 0.7, "medium").otherwise("low").alias("bucket")).agg(F.count("*").alias("regions"), F.count_if(c < 0.75).alias("needs_review"))
+    return table(spark, sf_dir, "events").groupBy(corrections.review_state(c).alias("status"), corrections.confidence_bucket(c).alias("bucket")).agg(F.count("*").alias("regions"), F.count_if(c < 0.75).alias("needs_review"))
 
 
 @query
@@ -118,7 +118,8 @@ def n18_text_counts(spark, sf_dir):
 
 @query
 def n20_arabic_soundex(spark, sf_dir):
-    w = spark.createDataFrame([("كتاب",), ("كتب",), ("قلب",), ("كلب",)], "word string")
+    """Names of parts in Arabic letters; those that differ in vowels alone sound alike."""
+    w = table(spark, sf_dir, "part").select(F.explode(F.split(F.translate("p_name", "abdeghilmnoprstuwz", "ابدقغهيلمنوبرستوزك"), " ")).alias("word")).distinct()
     return w.select("word", normalize.arabic_soundex("word").alias("code"))
 
 
@@ -149,7 +150,9 @@ def r2_redacted_items(spark, sf_dir):
 
 @query
 def r3_context_lines(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "اسم المريض: علي\nok"), (2, "العنوان\nx"), (3, "plain")], "id int, text string")
+    key, name = F.col("p_partkey"), F.col("p_name")
+    line = F.when(key % 4 == 0, F.concat(F.lit("اسم المريض: "), name)).when(key % 4 == 1, "العنوان").when(key % 4 == 2, F.concat(F.lit("رقم الملف "), name)).otherwise(name)
+    rows = table(spark, sf_dir, "part").select(key.alias("id"), F.concat(line, F.lit("\nok "), "p_type").alias("text"))
     return rows.select("id", redact.redact("text").alias("redacted"))
 
 
@@ -209,14 +212,18 @@ def l2_most_frequent(spark, sf_dir):
 
 @query
 def l3_latest_similar(spark, sf_dir):
-    texts = spark.createDataFrame([("Ostecb",), ("Ostecbl",), ("FOGMACN",), ("nothing like",)], "text string")
+    """Misread types of events: the most frequent correction of an equal pattern, else of the most similar of the latest rows."""
+    texts = table(spark, sf_dir, "events").select(F.explode(F.array("event_type", F.concat(F.lit("x"), "event_type"), F.substr("event_type", F.lit(2)), "props")).alias("text")).distinct()
     return corrections.lookup(texts, derived(spark, "CORRECTIONS", sf_dir))
 
 
 @query
 def sk2_save_batch(spark, sf_dir):
+    """Edits of half of the regions, some of them empty, missing, unchanged or beyond the last region."""
     regions = derived(spark, "TEXTS", sf_dir).select(F.col("id").alias("idx"), "text")
-    edits = spark.createDataFrame([(1, "مرحبا"), (2, "Hello there"), (6, " "), (99, "x"), (4, None)], "idx int, corrected string")
+    key = F.col("idx")
+    edited = F.when(key % 5 == 0, F.lit(" ")).when(key % 5 == 1, F.concat(F.lit(" "), "text")).when(key % 5 == 2, F.lit(None)).otherwise(F.concat("text", F.lit("!")))
+    edits = regions.filter(key % 2 == 0).select(F.when(key % 7 == 0, key + 1_000_000_000).otherwise(key).alias("idx"), edited.alias("corrected"))
     return corrections.save_batch(regions, edits)
 
 
@@ -301,15 +308,17 @@ def m9_exact_votes(spark, sf_dir):
 
 @query
 def m10_boxes(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [[10, 2], [30, 1], [31, 20], [9, 22]]), (2, [[0, 0], [5, 0], [5, 5], [0, 5]])], "id int, points array<array<int>>")
+    """Quadrangles around the size and quantity of every line, padded within a page of 60 by 40."""
+    x, y = F.col("l_quantity").cast("int"), (F.col("l_partkey") % 40).cast("int")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.array(x, y), F.array(x + 9, y - 1), F.array(x + 8, y + 3), F.array(x - 1, y + 2)).alias("points"))
     box = ensemble.polygon_box(F.col("points"))
-    return rows.select("id", box.alias("b")).select("id", ensemble.padded_box(F.col("b"), F.lit(33), F.lit(24)).alias("p")).select("id", "p.*")
+    return rows.select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", ensemble.padded_box(F.col("b"), F.lit(60), F.lit(40)).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
 
 
 @query
 def j9_dictionary_search(spark, sf_dir):
     t = table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.col("p_brand").alias("dictionary"))
-    return fuzzy.search(t, "1", ["Brand#11", "Brand#12", "Brand#13"]).groupBy("dictionary").agg(F.count("*").alias("terms"))
+    return fuzzy.search(t, "RING", ["Brand#11", "Brand#12", "Brand#13"]).groupBy("dictionary").agg(F.count("*").alias("terms"))
 
 
 @query
@@ -326,10 +335,12 @@ def do14_dictionary_status(spark, sf_dir):
 
 @query
 def do1_suggestions(spark, sf_dir):
-    history = spark.createDataFrame([("zzz", "sleep", 3)], "pattern string, correction string, frequency int")
-    short = spark.createDataFrame([("ORIF", "Open Reduction Internal Fixation"), ("AVN", "Avascular Necrosis")], "short string, long string")
-    words = derived(spark, "WORDS", sf_dir).union(spark.createDataFrame([("orif",)], "word string"))
-    return fuzzy.suggestions(words, derived(spark, "TERMS", sf_dir), history, short).select("word", "rank", "text", "strategy", F.round("score", 4).alias("score"))
+    """Words of the parts, of which some are brands, some lack a letter; each brand's most frequent type was its correction before."""
+    p = table(spark, sf_dir, "part")
+    history = p.groupBy(F.col("p_brand").alias("pattern"), F.col("p_type").alias("correction")).agg(F.count("*").alias("frequency"))
+    history = history.groupBy("pattern").agg(F.max_by(F.struct("correction", "frequency"), F.struct("frequency", "correction")).alias("b")).select("pattern", "b.*")
+    short = p.select(F.upper(F.substr("p_name", F.lit(2))).alias("short"), F.col("p_name").alias("long")).distinct()
+    return fuzzy.suggestions(derived(spark, "WORDS", sf_dir), derived(spark, "TERMS", sf_dir).dropDuplicates(["variant"]), history, short).select("word", "rank", "text", "strategy", F.round("score", 4).alias("score"))
 
 
 # clinical rules
@@ -357,7 +368,10 @@ def j4_differential(spark, sf_dir):
 
 @query
 def j5_protocol(spark, sf_dir):
-    asked = spark.createDataFrame([(1, "Hypertension"), (2, "type 2 diabetes"), (3, "gout")], "id int, condition string")
+    """Conditions as people write them, by customer."""
+    key = F.col("c_custkey")
+    named = F.when(key % 4 == 0, "Hypertension").when(key % 4 == 1, F.concat(F.lit("type 2 diabetes, "), F.lower("c_mktsegment"))).when(key % 4 == 2, "gout").otherwise("tension")
+    asked = table(spark, sf_dir, "customer").select(key.alias("id"), named.alias("condition"))
     return clinical.protocol_steps(asked, clinical.protocols(spark))
 
 
@@ -638,8 +652,8 @@ def st15_increases(spark, sf_dir):
 
 @query
 def f9_durations(spark, sf_dir):
-    rows = spark.createDataFrame([(5,), (999,), (1500,), (61000,)], "ms int")
-    return rows.select("ms", logs.humanize(F.col("ms")).alias("text"))
+    """Prices as milliseconds."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", logs.humanize(F.floor("o_totalprice").cast("long")).alias("text"))
 
 
 @query
@@ -781,9 +795,13 @@ def do9_job_progress(spark, sf_dir):
 
 @query
 def do13_valid_keys(spark, sf_dir):
-    presented = spark.createDataFrame([("alpha",), ("beta",), ("gamma",), ("delta",)], "api_key string")
-    known = spark.createDataFrame([("alpha", True, None), ("beta", False, None), ("gamma", True, "2020-01-01")], "k string, active boolean, e string")
-    return corrections.valid_keys(presented, known.select(F.sha2("k", 256).alias("key_hash"), "active", F.col("e").cast("date").alias("expires")), F.lit("2024-01-01").cast("date"))
+    """Every customer's name is a key, of which some are not known, not active or expired."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    presented = c.select(F.col("c_name").alias("api_key"))
+    expires = F.when(key % 4 == 0, F.lit("2020-01-01")).when(key % 4 == 1, F.lit("2030-01-01")).cast("date")
+    known = c.filter(key % 5 > 0).select(F.sha2("c_name", 256).alias("key_hash"), (key % 3 > 0).alias("active"), expires.alias("expires"))
+    return corrections.valid_keys(presented, known, F.lit("2024-01-01").cast("date"))
 
 
 @query
@@ -795,8 +813,8 @@ def p10_log_levels(spark, sf_dir):
 
 @query
 def sk6_changed_only(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"), F.trim("text").alias("corrected_text"))
-    return sinks.changed_only(d).select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"), F.replace("text", F.lit("  "), F.lit(" ")).alias("spaced"))
+    return sinks.changed_only(d.select("doc_id", "raw_text", F.regexp_replace("spaced", "[.]{2,}|[0-9]{10}", "").alias("corrected_text"))).select("doc_id")
 
 
 @query

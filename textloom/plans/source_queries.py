@@ -5,8 +5,14 @@ A reader's query first writes a table in the reader's format below the shared fo
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom import sources, streaming
 from textloom.functions import extract, redact
@@ -390,13 +396,64 @@ def j3_contraindication_texts(spark, sf_dir):
 # corrections in five stages
 
 
-@said("SELECT word, CASE WHEN word = 'a' THEN 'ortho' WHEN word = 'b' THEN 'user' WHEN word = 'c' THEN 'context' WHEN word = 'd' THEN 'advanced' WHEN word = 'e' THEN 'large' ELSE 'none' END AS source, CASE WHEN word IN ('a','b','c','d','e') THEN upper(word) ELSE word END AS corrected FROM (SELECT DISTINCT substr(lower(p_name), 1, 1) AS word FROM part)")
+_STAGES = ("ortho", "user", "context", "advanced", "large")
+
+
+@said("SELECT word, CASE length(word) WHEN 3 THEN 'ortho' WHEN 4 THEN 'user' WHEN 5 THEN 'context' WHEN 6 THEN 'advanced' WHEN 7 THEN 'large' ELSE 'none' END AS source, CASE WHEN length(word) BETWEEN 3 AND 7 THEN CASE length(word) WHEN 3 THEN 'ortho' WHEN 4 THEN 'user' WHEN 5 THEN 'context' WHEN 6 THEN 'advanced' ELSE 'large' END || ' ' || upper(word) ELSE word END AS corrected FROM (SELECT DISTINCT unnest(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS word FROM part)")
 def do12_five_stages(spark, sf_dir):
-    """First letters of part names; each stage knows its own letter and those of the stages before it."""
-    words = table(spark, sf_dir, "part").select(F.substr(F.lower("p_name"), F.lit(1), F.lit(1)).alias("word")).distinct()
-    names = ("ortho", "user", "context", "advanced", "large")
-    stages = [(name, spark.createDataFrame([(c, c.upper()) for c in "abcde"[: k + 1]], "word string, corrected string")) for k, name in enumerate(names)]
-    return correct.staged(words, stages)
+    """All words of the parts; each stage's dictionary has the words of its own length and those of the stages before it."""
+    known = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ")).alias("word")).distinct()
+    stages = [(name, known.filter(F.length("word").between(3, 3 + k)).select("word", F.concat(F.lit(f"{name} "), F.upper("word")).alias("corrected"))) for k, name in enumerate(_STAGES)]
+    return correct.staged(known, stages)
+
+
+# office files
+
+
+@F.pandas_udf(T.BinaryType())
+def _office(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+    """The smallest office file of a kind that holds a text: a paragraph for each line, in slides of three."""
+    spaces = {"docx": "wordprocessingml", "pptx": "drawingml", "ppt": "drawingml"}
+
+    def one(kind: str, text: str) -> bytes:
+        space = f"http://schemas.openxmlformats.org/{spaces[kind]}/2006/main"
+        lines = [f"<p><t>{escape(line)}</t></p>" for line in text.split("\n")]
+        groups = [lines] if kind == "docx" else [lines[k : k + 3] for k in range(0, len(lines), 3)]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for k, group in enumerate(groups):
+                archive.writestr("word/document.xml" if kind == "docx" else f"ppt/slides/slide{k + 1}.xml", f'<d xmlns="{space}">{"".join(group)}</d>')
+        return out.getvalue()
+
+    return pd.Series([one(k, t) for k, t in zip(kinds, texts, strict=True)])
+
+
+def office_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The conversations' turns as files."""
+    c = table(spark, sf_dir, "conversations").filter("text is not null")
+    return c.select(F.concat_ws("/", "conv_id", F.concat("turn", F.lit(f".{kind}"))).alias("path"), _office(F.lit(kind), F.col("text")).alias("content"))
+
+
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+
+
+@said(f"SELECT conv_id || '/' || turn || '.docx' AS path, 1::INT AS page, md5(array_to_string({_LINES}, chr(10))) AS digest FROM conversations WHERE text IS NOT NULL")
+def sc14_docx(spark, sf_dir):
+    return documents.parse_files(office_files(spark, sf_dir, "docx")).select("path", "page", F.md5("text").alias("digest"))
+
+
+@said("SELECT conv_id || '/' || turn || '.pptx' AS path, k::INT AS page, md5(array_to_string(list_filter(l[3 * k - 2:3 * k], lambda x: trim(x) <> ''), chr(10))) AS digest FROM (SELECT *, string_split(text, chr(10)) AS l FROM conversations WHERE text IS NOT NULL), range(1, 10000) r(k) WHERE 3 * k - 2 <= len(l)")
+def sc15_pptx(spark, sf_dir):
+    return documents.parse_files(office_files(spark, sf_dir, "pptx")).select("path", "page", F.md5("text").alias("digest"))
+
+
+@said("SELECT conv_id || '/' || turn || CASE conv_id % 4 WHEN 0 THEN '.docx' WHEN 1 THEN '.ppt' WHEN 2 THEN '.pdf' ELSE '.xyz' END AS path, CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'unreadable: BadZipFile' WHEN 2 THEN 'no PDF reader is installed' ELSE 'unknown type xyz' END AS warning FROM conversations WHERE text IS NOT NULL")
+def sc12_dispatch(spark, sf_dir):
+    """Files by their names: a document, a presentation of the old format (which is no archive), a PDF and an unknown kind."""
+    kind = F.when(F.col("conv_id") % 4 == 0, "docx").when(F.col("conv_id") % 4 == 1, "ppt").when(F.col("conv_id") % 4 == 2, "pdf").otherwise("xyz")
+    c = table(spark, sf_dir, "conversations").filter("text is not null").select(F.concat_ws("/", "conv_id", F.concat("turn", F.lit("."), kind)).alias("path"), kind.alias("kind"), "text")
+    files = c.filter("kind = 'docx'").select("path", _office("kind", "text").alias("content")).union(c.filter("kind <> 'docx'").select("path", F.col("text").cast("binary")))
+    return documents.parse_files(files).select("path", "warning")
 
 
 # vectors
