@@ -169,7 +169,7 @@ def oracle_sql() -> dict[str, str]:
         "st7_sessions": "WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS new FROM events) SELECT user_id, count(*) FILTER (coalesce(new, true)) AS sessions, count(*) AS events FROM g GROUP BY user_id",
         "st14_over_limit": "SELECT user_id, date_trunc('day', ts) AS start, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 4",
         "st15_increases": "WITH d AS (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events) SELECT user_id, round(sum(CASE WHEN d < 0 THEN value ELSE d END), 6) AS increase FROM d GROUP BY user_id",
-        "f9_durations": "SELECT o_orderkey, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', ms / 1000.0) ELSE printf('%.1fm', ms / 60000.0) END AS text FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS ms FROM orders)",
+        "f9_durations": "SELECT o_orderkey, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', ((ms + 50) // 100) / 10.0) ELSE printf('%.1fm', ((ms + 3000) // 6000) / 10.0) END AS text FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS ms FROM orders)",
         "do16_component_health": "SELECT n_regionkey AS system, CASE WHEN bool_and(n_nationkey < 20) THEN 'healthy' ELSE 'degraded' END AS status FROM nation GROUP BY 1",
         "sk8_log_lines": f"SELECT id, level || ',' || category || ',\"' || replace(details, '\"', '\"\"') || '\"' AS csv FROM {LOGS}",
         "a20_roll_up": f"SELECT conv_id, count(*) AS pages, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest, bool_or(regexp_matches(text, '{ARABIC}')) AS arabic FROM conversations GROUP BY conv_id",
