@@ -34,6 +34,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 SKIPPED = frozenset("script style noscript template iframe object svg head title textarea".split())
 GOOD = frozenset("article content main post body entry text story page hentry blog prose paragraph".split())
 AGAINST = frozenset("ad ads advert adverts advertisement sponsor sponsored banner promo nav navigation menu navbar breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie consent notice alert popup modal newsletter subscribe signup login form search comment comments respond reply disqus related recommended share sharing social pagination pager tags meta toolbar copyright legal skip".split())
+AMBIGUOUS = sorted(AGAINST - set("ad ads advert adverts advertisement sponsor sponsored promo cookie consent".split()))
 KINDS = ("article main", "section div", "p blockquote pre", "h1 h2 h3 h4 h5 h6", "li ul ol dl dt dd menu", "nav", "header", "footer", "aside", "form button fieldset select option legend", "table tbody thead tr td th", "figure figcaption")
 KIND = {tag: k for k, tags in enumerate(KINDS) for tag in tags.split()}
 FEATURES = 17 + len(KINDS) + 12
@@ -294,12 +295,32 @@ def training_page(random: np.random.Generator) -> str:
     short = often(0.5)
     tiny = often(0.15)
     paragraphs = [block("p", 2, words(1, 5).capitalize() + "." if tiny or short and often(0.5) else ("<b>" if often(0.1) else "") + " ".join(sentence(3, 25) for _ in range(random.integers(1, 7))) + (f" {link(1, 3)} {sentence(3, 9)}" if often(0.15) else "") + ("<br>" if often(0.1) else "")) for _ in range(1 if tiny else random.integers(1, 3) if often(0.35) else random.integers(2, 14))]
-    if often(0.3):
-        paragraphs.insert(random.integers(len(paragraphs) + 1), block(random.choice(["h2", "h3"]), 2, words(2, 6)))
-    if often(0.2):
-        paragraphs.insert(random.integers(len(paragraphs) + 1), block(random.choice(["ul", "ol"]), 2, "".join(block("li", 2, sentence(3, 15)) for _ in range(random.integers(2, 6)))))
-    if often(0.15):
-        paragraphs.insert(random.integers(len(paragraphs) + 1), block("blockquote", 2, block("p", 2, sentence(5, 25))))
+    # words of attributes that say nothing of their block's purpose: "header-image-text" is a paragraph of the article
+    misled = lambda p=0.12: (f"{random.choice(AMBIGUOUS)}-{random.choice(known)}", f"{random.choice(AMBIGUOUS)}-{random.choice(known)}-{random.choice(known)}") if often(p) else ()
+    phrase = lambda: words(1, 5).capitalize() if often(0.5) else sentence(3, 15)
+    items = lambda n, deep: "".join(block("li", 2, phrase() + (block(random.choice(["ul", "ol"]), 2, items(random.integers(1, 4), False)) if deep and often(0.3) else ""), misled(), True) for _ in range(n))
+    cells = lambda tag, n: block("tr", 2, "".join(block(tag, 2, words(1, 4) if often(0.6) else str(random.integers(1, 9999))) for _ in range(n)))
+
+    def data_table() -> str:
+        n, m = random.integers(2, 6), random.integers(1, 8)
+        head, body = cells("th", n), "".join(cells("td", n) for _ in range(m))
+        return block("table", 2, block("thead", 2, head) + block("tbody", 2, body) if often(0.5) else (head if often(0.6) else "") + body, misled(), True)
+
+    parts = (
+        (0.35, lambda: block(random.choice(["h2", "h3", "h4"]), 2, words(1, 7).capitalize(), misled(), True)),
+        (0.3, lambda: block(random.choice(["ul", "ol"]), 2, items(random.integers(2, 6), True), misled(), True)),
+        (0.15, lambda: block("blockquote", 2, block("p", 2, sentence(5, 25)))),
+        (0.2, data_table),
+        (0.12, lambda: block("dl", 2, "".join(block("dt", 2, words(1, 4).capitalize()) + block("dd", 2, phrase()) for _ in range(random.integers(1, 5))))),
+        (0.1, lambda: block("details", 2, block("summary", 2, words(2, 7).capitalize()) + block("p", 2, sentence(4, 20)))),
+        (0.1, lambda: block("figure", 2, '<img src="/i">' + block("figcaption", 2, phrase()))),
+        (0.4, lambda: block("p", 2, sentence(5, 25) + (" " + sentence(3, 20) if often(0.4) else ""), misled(0.8), True)),
+        (0.06, lambda: block("pre", 2, words(3, 20))),
+    )
+    for p, part in parts:
+        for _ in range(3):  # the last places as often as the others
+            if often(p / 2):
+                paragraphs.insert(len(paragraphs) if often(0.3) else random.integers(len(paragraphs) + 1), part())
     if often(0.3):
         paragraphs.insert(random.integers(len(paragraphs) + 1), advert())
     if often(0.15):
@@ -311,12 +332,16 @@ def training_page(random: np.random.Generator) -> str:
             whole = block(random.choice(["article", "div", "section", "main"]), 2, whole)
         return random.choice([f"<html><body data-y=1>{whole}</body></html>", whole])
     article = block("article" if semantic else "div", 2, heading + "".join(paragraphs), ("content", "article-body", "post", "entry-content", "story"))
-    comments = block(random.choice(["section", "div"]), 0, block("h3", 0, words(1, 3)) + "".join(block("div", 0, block("p", 0, sentence(3, 25)), ("comment", "reply")) for _ in range(random.integers(1, 6))), ("comments", "respond", "disqus-thread"))
+    listed = random.choice(["ol", "ul"])
+    remark = lambda: block("li", 0, (f"<b>{words(1, 3)}</b>" if often(0.7) else "") + (block("p", 0, sentence(2, 20)) if often(0.7) else sentence(2, 20)))
+    bare = f"<{listed} data-y=0>{''.join(remark() for _ in range(random.integers(1, 7)))}</{listed}>"  # comments that nothing names
+    comments = (block(random.choice(["section", "div"]), 0, block(random.choice(["h2", "h3"]), 0, words(1, 5)) + bare) if often(0.6) else bare) if often(0.3) else block(random.choice(["section", "div"]), 0, block("h3", 0, words(1, 3)) + "".join(block("div", 0, block("p", 0, sentence(3, 25)), ("comment", "reply")) for _ in range(random.integers(1, 6))), ("comments", "respond", "disqus-thread"))
     related = block(random.choice(["div", "section", "aside"]), 0, block("h3", 0, words(1, 3)) + listing(random.integers(2, 6), 2, 8), ("related", "recommended"))
     form = block("form", 0, block("p", 0, sentence(2, 8)) + '<input name="q">' + block("button", 0, words(1, 2)), ("search", "newsletter", "login"))
     notice = block("div", 0, sentence(5, 20) + link(1, 3), ("cookie-notice", "consent", "alert", "notice"))
     nav = block("nav" if semantic or often(0.5) else "div", 0, listing(random.integers(3, 10), 1, 3), ("nav", "menu", "navbar", "navigation"))
-    head = block("header" if semantic else "div", 0, (block("p", 0, words(1, 5)) if often(0.5) else "") + (nav if often(0.6) else ""), ("header", "masthead", "top-header"))
+    title = block("h1" if often(0.4) else "p", 0, words(1, 5).capitalize()) if often(0.6) else ""
+    head = block("header" if semantic or often(0.3) else "div", 0, title + (block("p", 0, phrase()) if often(0.3) else "") + (nav if often(0.6) else ""), ("header", "masthead", "top-header"))
     footer = block("footer" if semantic or often(0.5) else "div", 0, random.choice(["&copy; ", ""]) + words(1, 4) + " &middot; " + sentence(2, 25) + (listing(random.integers(1, 5), 1, 3) if often(0.4) else ""), ("footer", "copyright", "legal"))
     side = block("aside" if semantic else "div", 0, "".join(random.choice([related, form, advert()]) for _ in range(random.integers(1, 4))), ("sidebar", "widget-area"))
     after = "".join(x for x, p in ((comments, 0.35), (related, 0.25), (side, 0.3), (form, 0.15)) if often(p))
@@ -331,7 +356,7 @@ LABEL = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)[^>]*?data-y=(\d)")
 
 
 @functools.lru_cache(maxsize=2)
-def model(pages: int = 600, seed: int = 7) -> Trees:
+def model(pages: int = 900, seed: int = 7) -> Trees:
     """The trees, trained on so many composed pages."""
     random = np.random.default_rng(seed)
     xs, ys = [], []
