@@ -56,10 +56,9 @@ def health(logs: DataFrame) -> DataFrame:
 def latency(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean and the values at index int(n * p) of the sorted ones, which is no interpolated percentile. Missing values don't count."""
     shares = (0.5, 0.95, 0.99)
-    at = selection.places(rows, by, F.col(value), {f"p{int(100 * p)}": (p, lambda n, p=p: F.least(F.floor(n * p), n - 1)) for p in shares})
-    held = at.groupBy(*by).agg(*(F.max(F.when(F.col("name") == f"p{int(100 * p)}", F.col("value"))).alias(f"p{int(100 * p)}") for p in shares))
-    means = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 9).alias("mean"))
-    return means.join(held, by)
+    ranks = {f"p{int(100 * p)}": (p, lambda n, p=p: F.least(F.floor(n * p), n - 1)) for p in shares}
+    at = selection.places(rows, by, F.col(value), ranks, {"mean": F.round(F.avg("_x"), 9)})
+    return at.groupBy(*by, "n", "mean").agg(*(F.max(F.when(F.col("name") == p, F.col("value"))).alias(p) for p in ranks))
 
 
 def degradation(rows: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:

@@ -55,6 +55,33 @@ def _html() -> str:
     return f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM pages"
 
 
+ALL_ARABIC = "\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFF}"
+
+
+def _private_lines(source: str) -> str:
+    """All patterns masked, then lines with a telling keyword and no mask."""
+    out = "text"
+    for _, pattern in PRIVATE_PATTERNS:
+        out = f"regexp_replace({out}, '{pattern}', '[REDACTED]', 'g')"
+    line = f"CASE WHEN regexp_matches(x, '{'|'.join(KEYWORDS)}') AND NOT contains(x, '[REDACTED]') AND length(trim(x)) > 5 THEN '[REDACTED]' ELSE x END"
+    return f"SELECT id, array_to_string(list_transform(string_split({out}, chr(10)), lambda x: {line}), chr(10)) AS redacted FROM {source}"
+
+
+def _soundex() -> str:
+    """Weak letters dropped, the others as digits, runs of one digit merged."""
+    word = "translate(unnest(string_split(p_name, ' ')), 'abdeghilmnoprstuwz', 'ابدقغهيلمنوبرستوزك')"
+    code = "string_split(translate(regexp_replace(word, '[اويءه]', '', 'g'), 'بفمتدطذثظزسصضشجرلنكقغخعح', '123444555666677890abcdde'), '')"
+    return f"SELECT word, array_to_string(list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]), '') AS code FROM (SELECT word, {code} AS c FROM (SELECT DISTINCT {word} AS word FROM part))"
+
+
+def _error_rates(source: str) -> str:
+    """Words become single characters, so that the edits between them are those between strings."""
+    coded = lambda c: f"array_to_string(list_transform({c}, lambda x: chr((32 + list_position(k, x))::INT)), '')"
+    return f"""WITH p AS (SELECT reference AS a, predicted AS b, medical, list_filter(regexp_split_to_array(reference, '\\s+'), lambda x: x <> '') AS r, list_filter(regexp_split_to_array(predicted, '\\s+'), lambda x: x <> '') AS q FROM {source}),
+        k AS (SELECT *, list_distinct(list_concat(r, q)) AS k FROM p)
+        SELECT count(*) AS texts, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer, round(sum(levenshtein({coded("r")}, {coded("q")})) / sum(len(r)), 6) AS wer, round(avg((a = b)::INT), 6) AS exact, round(avg((a = b)::INT) FILTER (medical), 6) AS medical FROM k"""
+
+
 SEMANTIC = r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?؟])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
 w AS (SELECT *, list_transform(s, lambda x: list_distinct(list_filter(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), lambda t: length(t) >= 4))) AS w FROM s WHERE len(s) > 0),
 c AS (SELECT doc_id, s, list_transform(generate_series(1, len(w) - 1), lambda i: coalesce(round(2 * len(list_intersect(list_distinct(flatten(w[greatest(i - 2, 1):i])), list_distinct(flatten(w[i + 1:i + 3])))) / nullif(len(list_distinct(flatten(w[greatest(i - 2, 1):i]))) + len(list_distinct(flatten(w[i + 1:i + 3]))), 0), 6), 0.0)) AS c FROM w),
@@ -74,6 +101,11 @@ def oracle_sql() -> dict[str, str]:
         JOIN (SELECT least(a, b) AS a2, greatest(a, b) AS b2, severity, evidence FROM {interactions}) i ON p.a = i.a2 AND p.b = i.b2"""
     found = {
         "do5_semantic": SEMANTIC,
+        "n15_arabic_runs": f"""SELECT id, array_to_string(list_transform(regexp_extract_all(text, '[{ALL_ARABIC}]+|[^{ALL_ARABIC}]+'), lambda p: CASE WHEN regexp_matches(p, '[{ALL_ARABIC}]') THEN array_to_string(list_reverse(regexp_extract_all(p, '(?s).')), '') ELSE p END), '') AS reversed,
+            array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '{ARABIC}') THEN chr(8235) || x || chr(8236) ELSE x END), chr(10)) AS marked FROM {values("TEXTS")}""",
+        "n20_arabic_soundex": _soundex(),
+        "r2_redacted": _private_lines(values("PRIVATE")),
+        "a16_error_rates": _error_rates(values("PAIRS")),
         "do5_sentences": r"SELECT doc_id, len(s) AS sentences, list_sum(list_transform(s, lambda x: length(x)))::BIGINT AS chars, s[11] AS eleventh FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?؟])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents) WHERE len(s) > 0",
         "do8_fhir": "SELECT event_id, to_json({'resourceType': 'Observation', 'code': {'text': event_type}, 'subject': {'reference': 'Patient/' || user_id}, 'effectiveDateTime': strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'valueQuantity': {'value': value}})::VARCHAR AS resource FROM events",
         "a2_store_stats": f"WITH p AS {PATTERNS.format(c)}, t AS (SELECT * FROM p ORDER BY frequency DESC, pattern, correction LIMIT 10) SELECT (SELECT count(*) FROM {c} x) AS total, (SELECT count(DISTINCT pattern) FROM p) AS patterns, (SELECT '[' || string_agg('{{\"n\":' || -frequency || coalesce(',\"pattern\":\"' || pattern || '\"', '') || coalesce(',\"correction\":\"' || correction || '\"', '') || '}}', ',' ORDER BY frequency DESC, pattern NULLS FIRST, correction NULLS FIRST) || ']' FROM t) AS top",
