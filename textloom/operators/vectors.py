@@ -120,9 +120,40 @@ def online_clusters(vectors: DataFrame, by: str, *, order: str = "vec_id", vecto
     return rows.repartition("_by").sortWithinPartitions("_by", order).mapInArrow(fold, f"`{order}` long, cluster int")
 
 
-def hybrid(vectors: DataFrame, query: list[float], texts: DataFrame, terms: list[str], *, key: str = "vec_id", vector: str = "embedding", text: str = "text", where: Column | None = None, weight: float = 0.7, n: int = 10) -> DataFrame:
-    """(key, score): the best by weight * cosine + (1 - weight) * share of the terms that the text holds, of those that where (on texts) lets through."""
+def hybrid(vectors: DataFrame, queries: DataFrame, texts: DataFrame, *, key: str = "vec_id", vector: str = "embedding", text: str = "text", where: Column | None = None, weight: float = 0.7, k: int = 10, block: int = 1024) -> DataFrame:
+    """(query, rank, key, score): for each query (key, vector, terms array) the k best by weight * cosine + (1 - weight) * share of its terms that the text holds, of those that where (on texts) lets through.
+
+    Exact: queries come in blocks of about so many to every task, as in top_k; a task tells the terms of a block once for each text, and keeps its k best of a batch.
+    """
     held = texts if where is None else texts.filter(where)
-    share = sum((F.contains(F.lower(text), F.lit(t.lower())).cast("double") for t in terms), F.lit(0.0)) / max(len(terms), 1)
-    rows = vectors.select(key, cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query))).alias("near")).join(held.select(key, share.alias("told")), key)
-    return rows.select(key, F.round(weight * F.col("near") + (1 - weight) * F.col("told"), 6).alias("score")).orderBy(F.desc("score"), key).limit(n)
+    rows = vectors.select(key, vector).join(held.select(key, F.lower(text).alias("_text")), key)
+    blocks = max(1, -(-queries.count() // block))
+    parts = [_hybrid_block(rows, queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), key, vector, weight, k) for b in range(blocks)]
+    if blocks == 1:
+        return parts[0]
+    folder = shared_folder(vectors.sparkSession)
+    for b, part in enumerate(parts):
+        part.write.parquet(f"{folder}/block={b}")
+    return vectors.sparkSession.read.parquet(folder).drop("block")
+
+
+def _hybrid_block(rows: DataFrame, queries: DataFrame, key: str, vector: str, weight: float, k: int) -> DataFrame:
+    asked = queries.select(F.col(key).alias("q"), F.col(vector).alias("v"), F.transform("terms", lambda t: F.lower(t)).alias("t")).collect()
+    ids, held = np.array([r["q"] for r in asked], np.int64), np.array([r["v"] for r in asked], np.float64)
+    held = directions(held)
+    terms = sorted({t for r in asked for t in r["t"]})
+    # the share of a query's terms as a product of what a text holds with these columns
+    shares = np.array([[r["t"].count(t) / max(len(r["t"]), 1) for t in terms] for r in asked]).reshape(len(asked), len(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64)
+            if not len(own) or not len(ids):
+                continue
+            told = np.array([[t in text for t in terms] for text in (y or "" for y in batch.column(2).to_pylist())], float).reshape(len(own), len(terms))
+            scores = weight * (held @ directions(x).T) + (1 - weight) * (shares @ told.T)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            flat = np.take_along_axis(scores, best, 1).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best].ravel()), pa.array(np.round(flat, 6))], names=["query", key, "score"])
+
+    return best_of(rows.select(key, vector, "_text").mapInArrow(run, f"query long, `{key}` long, score double"), key, k)

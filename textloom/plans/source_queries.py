@@ -459,13 +459,13 @@ def sc12_dispatch(spark, sf_dir):
 # vectors
 
 
-@said("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT e.vec_id, round(0.7 * list_cosine_similarity(e.embedding::DOUBLE[], q.q) + 0.3 * (contains(lower(d.text), 'the')::INT + contains(lower(d.text), 'and')::INT) / 2.0, 6) AS score FROM embeddings e, q, documents d WHERE d.doc_id = e.vec_id AND d.lang <> 'fr') SELECT vec_id, round(score, 4) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10")
+@said("WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q, CASE WHEN vec_id % 200 = 0 THEN ['the', 'and'] ELSE ['de', 'la', 'is'] END AS terms FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, e.vec_id, round(0.7 * list_cosine_similarity(e.embedding::DOUBLE[], q.q) + 0.3 * len(list_filter(q.terms, lambda t: contains(lower(d.text), t)))::DOUBLE / len(q.terms), 6) AS score FROM embeddings e, q, documents d WHERE d.doc_id = e.vec_id AND d.lang <> 'fr') SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 4) AS score FROM s QUALIFY rank <= 10")
 def do6_hybrid(spark, sf_dir):
-    """The ten best by nearness and words, without French texts."""
+    """The ten best by nearness and words of every vector whose id is divisible by 100, without French texts."""
     v = table(spark, sf_dir, "embeddings")
-    asked = v.filter("vec_id = 0").first()["embedding"]
+    terms = F.when(F.col("vec_id") % 200 == 0, F.array(F.lit("the"), F.lit("AND"))).otherwise(F.array(F.lit("de"), F.lit("la"), F.lit("is")))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "lang")
-    return vectors.hybrid(v, asked, texts, ["the", "and"], where=F.col("lang") != "fr").select("vec_id", F.round("score", 4).alias("score"))
+    return vectors.hybrid(v, v.filter("vec_id % 100 = 0").withColumn("terms", terms), texts, where=F.col("lang") != "fr").select("query", "rank", "vec_id", F.round("score", 4).alias("score"))
 
 
 # streams

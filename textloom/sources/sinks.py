@@ -50,10 +50,11 @@ def dictionary_envelope(learned: DataFrame, device: str, at: Column) -> DataFram
     return learned.select("wrong", "correct", "count").join(F.broadcast(head)).select(F.lit(device).alias("device"), at.alias("at"), "entries", "total", "wrong", "correct", "count")
 
 
-def save_learned(learned: DataFrame, path: str) -> None:
-    """One line {wrong: {correct, count}} for each part of the table, in the format that the reader takes; what was there is replaced."""
+def save_learned(learned: DataFrame, path: str, *, entries: int = 10_000) -> None:
+    """A line {wrong: {correct, count}} for about every so many entries of the table, in the format that the reader takes; what was there is replaced."""
     entry = F.struct("wrong", F.struct("correct", "count"))
-    parts = learned.groupBy(F.pmod(F.xxhash64("wrong"), F.lit(64)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    n = -(-learned.count() // entries) or 1
+    parts = learned.groupBy(F.pmod(F.xxhash64("wrong"), F.lit(n)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     parts.repartition(F.col("part")).write.mode("overwrite").partitionBy("part").text(path)
 
 
