@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import extract, redact
+from textloom.functions import extract, normalize, redact
 from textloom.operators import clinical, correct
+from textloom.plans.fixtures import derived, values
 from textloom.plans.queries import table
 from textloom.plans.source_queries import said
 
@@ -128,3 +129,21 @@ def _masked() -> str:
 @said(f"SELECT doc_id, md5({_INDIC.format(_masked())}) AS digest FROM documents")
 def r2_redacted_indic_digits(spark, sf_dir):
     return indic_documents(spark, sf_dir).select("doc_id", F.md5(redact.redact("text", lines=False)).alias("digest"))
+
+
+_MARKS = "[\\x{0610}-\\x{061A}\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06DC}\\x{06DF}-\\x{06E8}\\x{06EA}-\\x{06ED}]"
+_WIDE = "[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]"
+_TEXTS = values("TEXTS")
+
+
+@said(f"SELECT id, translate(regexp_replace(trim(text), '{_MARKS}', '', 'g'), 'إأآٱةىؤئ', 'ااااهيوي') AS medical FROM {_TEXTS}")
+def n8_medical_keys(spark, sf_dir):
+    """The keys under which a term dictionary is looked up."""
+    return derived(spark, "TEXTS", sf_dir).select("id", normalize.medical_key("text").alias("medical"))
+
+
+@said(f"SELECT id, regexp_matches(text, '{_WIDE}') AS wide, regexp_matches(text, '[\\x{{0600}}-\\x{{06FF}}]') AS basic, CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[\\x{{0600}}-\\x{{06FF}}]')) / length(text) > 0.3 ELSE false END AS mostly FROM {_TEXTS}")
+def n11_is_arabic(spark, sf_dir):
+    """The three ways to tell whether a text is Arabic: any letter of the wide blocks, of the basic one, or over three tenths of all."""
+    return derived(spark, "TEXTS", sf_dir).select("id", normalize.has_arabic("text").alias("wide"), normalize.has_basic_arabic("text").alias("basic"), normalize.mostly_arabic("text").alias("mostly"))
+
