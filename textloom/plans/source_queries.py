@@ -488,12 +488,13 @@ def st8_flushes(spark, sf_dir):
     return unzoned(spark.read.parquet(f"{folder}/out")).groupBy("event_type").agg(F.count("*").alias("events"))
 
 
-@said("SELECT name, due FROM (VALUES ('hourly', '2024-01-01 11:00:00'), ('nightly', '2024-01-02 02:00:00'), ('weekly', '2024-01-07 03:00:00')) t(name, due)")
+@said("SELECT name, strftime(to_timestamp((floor((1704105000 - o) / p) + 1) * p + o) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS due FROM (SELECT c_name AS name, 3600.0 * (1 + c_custkey % 200) AS p, (c_custkey * 61 % 3600)::DOUBLE AS o FROM customer)")
 def st13_schedule(spark, sf_dir):
-    """When the batch jobs run next after 10:30 on the first day: hourly, nightly at two, weekly on Sundays at three."""
+    """When a job of each customer runs next after 10:30 on the first day, every so many hours and at a minute of its own."""
     from datetime import datetime
 
-    jobs = spark.createDataFrame([("hourly", 3600, 0), ("nightly", 86400, 7200), ("weekly", 604800, 3 * 86400 + 10800)], "name string, period long, offset long")
+    key = F.col("c_custkey")
+    jobs = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), (3600 * (1 + key % 200)).alias("period"), (key * 61 % 3600).alias("offset"))
     return streaming.next_runs(jobs, F.lit(datetime(2024, 1, 1, 10, 30))).select("name", F.date_format("due", "yyyy-MM-dd HH:mm:ss").alias("due"))
 
 
