@@ -595,3 +595,13 @@ def test_clashing_columns_of_pages_and_texts(spark):
     items = spark.createDataFrame([(3, "the thing", 4)], "item_id long, text string, doc_id long")
     assert [tuple(r) for r in pigeonhole.matches(docs, items).collect()] == [(1, 3, 0)]
     assert pigeonhole.without_matches(docs, items).count() == 0
+
+
+def test_pairs_of_a_bucket_come_back_as_they_were():
+    random = np.random.default_rng(4)
+    for buckets in (4, 102, 5000):
+        pairs = np.sort(random.integers(0, 2**64, 4000, np.uint64))
+        own = pairs[pairs % np.uint64(buckets) == pairs[0] % np.uint64(buckets)]
+        cut = maxent.cut(own, buckets)
+        assert (np.diff(cut.astype(np.int64)) >= 0).all() and int(cut.max()) < 2**maxent.PAIR_BITS and len(np.unique(cut)) == len(own)
+        assert (maxent.from_differences(maxent.to_differences(cut)) == cut).all()
