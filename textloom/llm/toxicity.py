@@ -2,8 +2,9 @@
 
 Words are read as symbols: insult, threat, target, negation, speech verb, quote, or any other. Three transducers are composed into
 one machine: negation marks what it scopes over, reported speech marks what others are said to have said, and the scorer weighs
-what is left, more if the clause aims at someone. The machine runs over clauses, so what counts is a matched clause and not a word
-alone; an insult's own weight is its log-odds in the labelled texts. A logistic curve over the sum, and over the length of a text
+what is left, more if the clause aims at someone; a threat counts only if it does, whether the one that it aims at is named before or
+behind it. The machine runs over clauses, so what counts is a matched clause and not a word alone; the weights of insults, and of an aimed
+threat, are their log-odds in the labelled texts. A logistic curve over the sum, and over the length of a text
 with a match (long ones match more by chance), makes the score.
 
 The lexicon is learned: whole words and word beginnings that stand in many toxic and hardly any clean texts of a sample of at most
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import kernels
+from textloom.llm import kernels, packed
 
 #: Labelled rows of each label that are learned from, at most.
 SAMPLE = 3000
@@ -35,10 +36,14 @@ SUPPORT, ODDS = 0.015, 20.0
 #: Toxic texts with every known word, and clean ones without, that count besides the sample.
 PRIOR = 5, 50
 BEGINNINGS = (4, 5, 6, 7)
+#: What stands for an aimed threat among the counted terms.
+AIMED = " threat"
 
 # Fixed word lists of the grammar.
 SEEDS = "idiot moron stupid loser scum trash pathetic worthless disgusting idiota imbécil estúpido basura imbécile stupide ordure connard dumm trottel abschaum dreckig".split()
 THREATS = "kill hurt destroy shoot stab beat matar golpear tuer frapper töten umbringen schlagen".split()
+#: Endings that make an infinitive's stem a form of it, and those that stems of other forms take.
+INFINITIVES, ENDINGS = re.compile("(?:ar|er|en)$"), "s ed bed ing bing er en e es t st te ten a an as o é ó aré ará ée és erai era ez".split()
 TARGETS = "you your he she they him her them his their tú tu usted ustedes ellos ella él vous toi ils elles il du ihr sie dich euch".split()
 NEGATIONS = "not never no isn't aren't don't nunca jamás ne pas jamais nicht kein keine nie".split()
 SPEECH = "said says say told claimed wrote called dijo dice llamó dit disait appelé sagte sagt nannte".split()
@@ -76,9 +81,9 @@ def grammar(scope: int = 3, denied: float = 0.5, reported: float = 0.5, aimed: f
         for x in SYMBOLS:
             negation[state, x] = (scope, x) if x == NEGATION else (max(0, state - 1), f"{x}-" if state and x in (INSULT, THREAT) else x)
     speech = {}
-    for state in (0, 1):
+    for state in (0, 1, 2):  # one's own words, told of others, quoted
         for x in (*SYMBOLS, f"{INSULT}-", f"{THREAT}-"):
-            to = 1 if x == SAID else 1 - state if x == QUOTE else state
+            to = max(1, state) if x == SAID else (0 if state == 2 else 2) if x == QUOTE else state
             speech[state, x] = to, f"{x}r" if state and x[0] in (INSULT, THREAT) else x
     score = {}
     for state in (0, 1, 2):  # nothing yet, a target was named, a threat was
@@ -87,8 +92,8 @@ def grammar(scope: int = 3, denied: float = 0.5, reported: float = 0.5, aimed: f
             factor = (denied if "-" in x else 1.0) * (reported if "r" in x[1:] else 1.0)
             if kind == INSULT:
                 score[state, x] = state, factor * (aimed if state == 1 else 1.0)
-            elif kind == THREAT:
-                score[state, x] = (2 if factor == 1.0 else state), 0.0
+            elif kind == THREAT:  # at someone named before, or at whom is named next
+                score[state, x] = (2 if factor == 1.0 else state), threat if state == 1 and factor == 1.0 else 0.0
             elif kind == TARGET:
                 score[state, x] = 1, threat if state == 2 else 0.0
             else:
@@ -96,11 +101,19 @@ def grammar(scope: int = 3, denied: float = 0.5, reported: float = 0.5, aimed: f
     return Transducer(negation) >> Transducer(speech) >> Transducer(score)
 
 
+def forms(verb: str) -> set[str]:
+    """A verb and the forms that its stem may take."""
+    stem = INFINITIVES.sub("", verb) if len(verb) > 4 else verb
+    return {verb, *(stem + x for x in ENDINGS)}
+
+
 class Model(NamedTuple):
     words: dict[str, float]
     beginnings: dict[str, float]
     #: weights of 1, the logarithm of the clauses' sum, and that of the words of a text with a match
     curve: tuple[float, float, float]
+    #: the weight of a threat that is aimed at someone
+    threat: float = 1.0
 
 
 class Scorer:
@@ -108,11 +121,12 @@ class Scorer:
         import ahocorasick
 
         self.model = model
-        self.steps = grammar().steps
-        self.fixed = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (SAID, SPEECH)) for w in words}
+        self.steps = grammar(threat=model.threat).steps
+        threats = sorted({form for verb in THREATS for form in forms(verb)})
+        self.fixed = {w: s for s, words in ((THREAT, threats), (TARGET, TARGETS), (NEGATION, NEGATIONS), (SAID, SPEECH)) for w in words}
         self.lengths = sorted({len(x) for x in model.beginnings}, reverse=True)
         self.any = ahocorasick.Automaton()
-        for word in (*model.words, *model.beginnings, *THREATS):
+        for word in (*model.words, *model.beginnings, *threats):
             self.any.add_word(word, word)
         self.any.make_automaton()
         self.memo: dict[str, tuple[str, float]] = {}
@@ -180,14 +194,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     """The lexicon and the curve, from the labelled rows whose crc32(key) mod 3 is not held_out (None: from all)."""
     spark = docs.sparkSession
     rows = labelled(docs, labels, text=text, key=key, label=label, held_out=held_out, sample=sample).groupBy("text", "y").agg(F.lit(1)).select("text", "y")
+    rows = packed.table(rows, packed.shared_folder(spark), "sample")  # of at most 2 * sample rows, which are read three times
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Counter(), Counter()
+        held, threats = (Counter(), Counter()), Scorer(plain)
         n = [0, 0]
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 n[y] += 1
                 held[y].update(features(x.as_py()))
+                held[y][AIMED] += bool(threats.clauses(x.as_py())[0])  # without a lexicon only aimed threats match
         held[0][""], held[1][""] = n
         for part in (held[1], {t: 0 for t in held[0] if t not in held[1]}):
             terms = list(part)
@@ -195,11 +211,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
                 some = terms[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([held[1][t] for t in some], pa.int64()), pa.array([held[0][t] for t in some], pa.int64())], names=["term", "toxic", "clean"])
 
+    plain = Model({}, {}, (0.0, 1.0, 0.0))
+
     counts = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     held = counts.filter("term = ''").first()
     toxic, clean = (held["toxic"] if held else 0) + PRIOR[0], (held["clean"] if held else 0) + PRIOR[1]
     known = spark.createDataFrame([(w, PRIOR[0], 0) for w in SEEDS], "term string, toxic long, clean long")
-    counts = counts.filter("term <> ''").union(known).groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    aimed = counts.filter(F.col("term") == AIMED).first()
+    weight_of = lambda t, c: math.log((t + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1)))
+    threat = max(0.0, weight_of(PRIOR[0] + (aimed["toxic"] if aimed else 0), aimed["clean"] if aimed else 0))
+    counts = counts.filter(~F.col("term").isin("", AIMED)).union(known).groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = (F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1))
     # what reaches the driver: of each text of the sample at most 1 / SUPPORT terms, on average
     scored = [tuple(r) for r in counts.filter((F.col("t") >= max(PRIOR[0], SUPPORT * toxic)) & (odds >= ODDS)).select(F.log(odds), "t", "term").collect()]
@@ -217,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
             chosen[term] = weight
     best = sorted(chosen, key=lambda t: (-chosen[t], t))
     words, beginnings = {t: chosen[t] for t in best if t[-1] != "*"}, {t[:-1]: chosen[t] for t in best if t[-1] == "*"}
-    raw = Model(words, beginnings, (0.0, 1.0, 0.0))
+    raw = Model(words, beginnings, (0.0, 1.0, 0.0), threat)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(raw)
@@ -237,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     for kind in (0, 1):
         drawn = (y == kind) & (own == 0)
         weight[drawn] = totals.get(kind, 0) / max(drawn.sum(), 1)
-    return Model(words, beginnings, logistic(np.stack([np.ones_like(x), x, n], 1), y, weight))
+    return Model(words, beginnings, logistic(np.stack([np.ones_like(x), x, n], 1), y, weight), threat)
 
 
 def logistic(design: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
