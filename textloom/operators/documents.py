@@ -18,19 +18,22 @@ from textloom.functions.normalize import has_basic_arabic, word_count
 REFERENCES = (("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&reg;", "®"), ("&trade;", "™"), ("&deg;", "°"), ("&euro;", "€"), ("&pound;", "£"), ("&sect;", "§"), ("&times;", "×"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
-def numeric_references(text: Column) -> Column:
-    """Decimal and hexadecimal character references as their characters; what names no character stays as it is."""
+def character_references(text: Column) -> Column:
+    """Named, decimal and hexadecimal character references as their characters, each once; what names no character stays as it is.
+
+    The text is parted at its ampersands, so that it is gone through once, however many names there are.
+    """
+    named = F.create_map(*(F.lit(x) for reference, character in REFERENCES if reference[1] != "#" for x in (reference[1:-1], character)))
     character = lambda code: F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
 
     def piece(p: Column) -> Column:
-        decimal, hexadecimal = F.regexp_extract(p, "^([0-9]{1,7});", 1), F.regexp_extract(p, "^[xX]([0-9a-fA-F]{1,6});", 1)
+        name = F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{1,8});", 1)
+        decimal, hexadecimal = F.regexp_extract(name, "^#([0-9]+)$", 1), F.regexp_extract(name, "^#[xX](.+)$", 1)
         code = F.when(decimal != "", decimal).when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).cast("long")
-        fine = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.when(fine, F.concat(character(code), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p))
+        found = F.coalesce(named[name], F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), character(code)))
+        return F.when((name != "") & found.isNotNull(), F.concat(found, F.substr(p, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), p))
 
-    parts = F.split(text, "&#")
-    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece)
-    return F.when(F.contains(text, F.lit("&#")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+    return F.array_join(F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
 
 
 def html_text(html: Column) -> Column:
@@ -38,9 +41,7 @@ def html_text(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
     body = F.regexp_extract(bare, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
     out = F.regexp_replace(F.when(body != "", body).otherwise(bare), r"(?s)<!--.*?-->|<[^>]*>", "\n")
-    out = numeric_references(out)
-    for reference, character in REFERENCES:
-        out = F.replace(out, F.lit(reference), F.lit(character))
+    out = character_references(out)
     lines = F.transform(F.split(out, "\n"), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", ""))
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
