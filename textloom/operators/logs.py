@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import selection
-from textloom.operators.fuzzy import small
 
 RETENTION, MOST = "7 days", 5000
 
@@ -65,7 +64,7 @@ def degradation(rows: DataFrame, value: str, order: list[str], by: list[str]) ->
     """Mean of the last quarter over that of the first, by places n // 4 and 3n // 4. Rows without a value of the first order column don't count."""
     edges = selection.thresholds(rows, by, order, {"_first": (0.25, lambda n: F.expr("n div 4")), "_last": (0.75, lambda n: F.expr("3 * n div 4"))})
     own = F.struct(*(selection.as_number(rows, c).alias(f"_o{k}") for k, c in enumerate(order)))
-    keyed = rows.filter(F.col(order[0]).isNotNull()).withColumn("_own", own).join(small(edges), by)
+    keyed = rows.filter(F.col(order[0]).isNotNull()).withColumn("_own", own).join(edges, by)
     early, late = F.avg(F.when(F.col("_own") < F.col("_first"), F.col(value))), F.avg(F.when(F.col("_own") >= F.col("_last"), F.col(value)))
     return keyed.groupBy(*by).agg(F.round(early, 9).alias("early"), F.round(late, 9).alias("late"), F.round(late / early, 9).alias("ratio"))
 

@@ -56,9 +56,10 @@ def places(rows: DataFrame, by: list[str], x: Column, ranks: dict[str, tuple[flo
 
 
 def _settle(held: DataFrame, by: list[str], asked: DataFrame) -> DataFrame:
+    """What is asked for, of the rows; asked is a written table, which Spark broadcasts if its files are small enough."""
     low, high = lambda w: w["low"].isNotNull() & (F.col("_x") < w["low"]), lambda w: w["high"].isNotNull() & (F.col("_x") > w["high"])
     told = F.filter(F.transform("_w", lambda w: F.when(~high(w), F.struct(w["name"].alias("name"), w["rank"].alias("rank"), F.when(~low(w), F.col("_x")).alias("value")))), lambda t: t.isNotNull())
-    keyed = held.join(small(asked), by).select(*by, "n", F.explode(told).alias("t")).select(*by, "n", "t.*")
+    keyed = held.join(asked, by).select(*by, "n", F.explode(told).alias("t")).select(*by, "n", "t.*")
     sums = keyed.groupBy(*by, "n", "name", "rank", "value").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*by, "name").orderBy(F.col("value").asc_nulls_first()))
     at = sums.withColumn("before", upto - F.col("c"))
