@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import logs, selection
+from textloom.plans import stream_queries
 from textloom.sources import stores
 
 MERGE = {"frequency": F.sum, "last_used": F.max}
@@ -81,6 +82,22 @@ def test_streams_into_a_store_go_on_after_a_restart(spark, tmp_path):
     assert {r["pattern"]: r["n"] for r in stores.stored(spark, f"{tmp_path}/t").collect()} == {"a": 7, "b0": 2, "b1": 2}
 
 
+def test_a_store_without_rows_is_an_empty_table(spark, tmp_path):
+    """As of alerts that no device gave."""
+    rows = counts(spark, [])
+    assert stores.stored(spark, f"{tmp_path}/t", rows.schema).count() == 0
+    stores.upsert(rows, 0, f"{tmp_path}/t", ["pattern", "correction"], MERGE, buckets=4)
+    assert stores.stored(spark, f"{tmp_path}/t", rows.schema).collect() == []
+    stores.upsert(counts(spark, [("a", "b", 1, 2)]), 1, f"{tmp_path}/t", ["pattern", "correction"], MERGE, buckets=4)
+    assert [tuple(r) for r in stores.stored(spark, f"{tmp_path}/t", rows.schema).collect()] == [("a", "b", 1, 2)]
+
+
+def test_alerts_of_events_that_give_none(spark, tmp_path):
+    spark.range(50).selectExpr("id AS event_id", "timestamp_seconds(id * 60)::timestamp_ntz AS ts", "id AS user_id", "'a' AS event_type", "1D AS value", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got = stream_queries.st6_stream_alerts(spark, str(tmp_path))
+    assert got.columns == ["device", "start", "end", "evaluations"] and got.count() == 0
+
+
 def test_sync_delivers_late_rows_of_the_marks_time_once(spark, tmp_path):
     at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
     path, schema = str(tmp_path / "s"), "id long, updated_at timestamp, v string"

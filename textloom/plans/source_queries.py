@@ -244,7 +244,7 @@ def sk1_upserts(spark, sf_dir):
     for batch in (0, 1, 1):
         counts = corrections.pattern_counts(e.filter(F.col("event_id") % 2 == batch)).withColumn("frequency", F.col("frequency").cast("long"))
         stores.upsert(counts, batch, f"{folder}/patterns", ["pattern", "correction"], {"frequency": F.sum, "last_used": F.max}, buckets=8)
-    return stores.stored(spark, f"{folder}/patterns")
+    return stores.stored(spark, f"{folder}/patterns", counts.schema)
 
 
 @said("SELECT 'tablet' AS device, count(*) OVER () AS entries, sum(n) OVER ()::BIGINT AS total, wrong, n AS count FROM (SELECT event_type AS wrong, count(*) AS n FROM events GROUP BY 1)")

@@ -26,13 +26,13 @@ def settled(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Run in update mode into a table that has each key's newest row."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
     streaming.start(rows, stores.upsert_batches(f"{folder}/out", keys), f"{folder}/checkpoint", mode="update")
-    return unzoned(stores.stored(spark, f"{folder}/out"))
+    return unzoned(stores.stored(spark, f"{folder}/out", rows.schema))
 
 
 def appended(rows: DataFrame) -> DataFrame:
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
     streaming.start(rows, streaming.append_batches(f"{folder}/out"), f"{folder}/checkpoint")
-    return unzoned(spark.read.parquet(f"{folder}/out").drop("batch"))
+    return unzoned(stores.stored(spark, f"{folder}/out", rows.schema))
 
 
 @query
@@ -47,7 +47,7 @@ def st1_stream_slots(spark, sf_dir):
     folder = shared_folder(spark)
     rows = stateful.reservoir(stream(spark, sf_dir, "documents"), "lang", "doc_id", 100, floor=10)
     stateful.start(rows, stores.upsert_batches(f"{folder}/out", ["shard", "slot"], buckets=4), f"{folder}/checkpoint")
-    return stores.stored(spark, f"{folder}/out").filter("slot >= 0").select("slot", F.col("key").alias("doc_id"), F.col("kind").alias("lang"))
+    return stores.stored(spark, f"{folder}/out", rows.schema).filter("slot >= 0").select("slot", F.col("key").alias("doc_id"), F.col("kind").alias("lang"))
 
 
 @query
@@ -57,7 +57,7 @@ def st6_stream_alerts(spark, sf_dir):
     events = stream(spark, sf_dir, "events").withColumn("device", F.col("user_id") % 20)
     rows = stateful.held_alerts(events, F.col("value") > 20, "6 hours", ["device"], late="1 day")
     stateful.start(rows, stores.upsert_batches(f"{folder}/out", ["device", "start"], buckets=4), f"{folder}/checkpoint")
-    return unzoned(stores.stored(spark, f"{folder}/out"))
+    return unzoned(stores.stored(spark, f"{folder}/out", rows.schema))
 
 
 @query

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Buckets of a new store. Each should hold what a task can; a store keeps the number that it began with.
 BUCKETS = 64
@@ -50,9 +51,13 @@ def upsert(rows: DataFrame, number: int, path: str, keys: list[str], merge: dict
     new.select(*order).repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(path)
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of an upserted table."""
-    return spark.read.parquet(path).drop(_BUCKET, _BATCH)
+def stored(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """The rows of an upserted table. A table that no batch has put a row into has no file to tell its schema: give it where that may be."""
+    if schema is None:
+        return spark.read.parquet(path).drop(_BUCKET, _BATCH)
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def upsert_batches(path: str, keys: list[str], merge: dict[str, Callable[[Column], Column]] | None = None, *, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
