@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import logs, selection
 from textloom.plans import stream_queries
-from textloom.sources import stores
+from textloom.sources import sinks, stores
 
 MERGE = {"frequency": F.sum, "last_used": F.max}
 
@@ -98,6 +98,13 @@ def test_alerts_of_events_that_give_none(spark, tmp_path):
     assert got.columns == ["device", "start", "end", "evaluations"] and got.count() == 0
 
 
+def test_uploads_are_due_by_rounded_seconds(spark):
+    """Half seconds go to the even one, as the SQL's cast of seconds has it."""
+    rows = [("00:00:00.600", "00:05:00.500", False), ("00:00:00.400", "00:04:59.600", True), ("00:00:00.500", "00:04:59.500", True), ("00:00:01.500", "00:05:01.400", False), (None, "00:00:00", True), ("00:00:00", None, None)]
+    at = spark.createDataFrame(rows, "last string, now string, want boolean").select(*(F.concat(F.lit("2024-01-01 "), c).cast("timestamp_ntz").alias(c) for c in ("last", "now")), "want")
+    assert [r["due"] for r in at.select(sinks.due(F.col("last"), F.col("now")).alias("due")).collect()] == [r[2] for r in rows]
+
+
 def test_sync_delivers_late_rows_of_the_marks_time_once(spark, tmp_path):
     at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
     path, schema = str(tmp_path / "s"), "id long, updated_at timestamp, v string"

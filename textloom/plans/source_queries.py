@@ -258,7 +258,7 @@ def sk7_due(spark, sf_dir):
     """Which events of a user would trigger an upload, if each did one."""
     from pyspark.sql import Window
 
-    last = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    last = F.lag("ts").over(Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")))
     return table(spark, sf_dir, "events").select("user_id", sinks.due(last, F.col("ts")).alias("due"), "event_id")
 
 

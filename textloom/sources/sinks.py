@@ -59,8 +59,9 @@ def save_learned(learned: DataFrame, path: str, *, entries: int = 10_000) -> Non
 
 
 def due(last: Column, now: Column, seconds: int = 300) -> Column:
-    """Whether an upload is due: never done, or so many seconds ago."""
-    return last.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(last) >= seconds)
+    """Whether an upload is due: never done, or so many seconds ago, both times to the nearest second (of two the even one)."""
+    second = lambda at: F.rint(F.unix_micros(at.cast("timestamp")) / 1e6)
+    return last.isNull() | (second(now) - second(last) >= seconds)
 
 
 def csv_line(*columns: Column, quoted: Column) -> Column:
