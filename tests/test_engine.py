@@ -123,6 +123,24 @@ def test_promotions(spark):
     assert rows[-1]["active"] == "v1"
 
 
+
+def test_promotions_of_many_models_are_folded_batch_by_batch(spark):
+    """No group of its own for each model (one cost some milliseconds), and batches that end within a history."""
+    own = frame(spark, "EVENTS").withColumn("at", F.timestamp_seconds("at"))
+    many = own.crossJoin(spark.range(40)).withColumn("model", F.when(F.col("id") > 0, F.concat("model", F.col("id").cast("string")))).drop("id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        out = registry.promotions(many)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in out.collect():
+            got.setdefault(r["model"], []).append(tuple(r)[1:])
+        want = sorted(tuple(r)[1:] for r in registry.promotions(own).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 40 and all(sorted(rows) == want for rows in got.values())
+
+
 def test_clinical_answers(spark):
     got = {r["id"]: (r["route"], r["confidence"]) for r in clinical.answers(frame(spark, "QUESTIONS"), spark).collect()}
     assert got == {1: ("interaction", 0.85), 2: ("dosage", 0.8), 3: ("treatment", 0.8), 4: ("contraindication", 0.85), 5: ("general", 0.7), 6: ("general", 0.3)}

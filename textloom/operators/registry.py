@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,33 +27,41 @@ def improvements(runs: DataFrame, *, at: str = "at", cer: str = "cer", samples:
 def promotions(events: DataFrame) -> DataFrame:
     """The fold of each model's events (model, at, version, action, cer) in order: promote (rejected if its error rate is more than the gate over the active one's), activate, rollback to a version, delete (not the active one).
 
-    One active version at most. A gate depends on what was active just then, so the fold runs over each model's history.
+    One active version at most. A gate depends on what was active just then, so the fold runs over each model's history. Rows are dealt by
+    model and sorted (a sort may spill), and a task reads them batch by batch, whatever the number of models and the length of a history: it holds the known versions of one model at a time.
     """
-    out = "model string, at timestamp, version string, action string, accepted boolean, active string"
-
-    def fold(key: tuple, batches: pd.DataFrame) -> pd.DataFrame:
-        rows, active, known = [], None, {}
-        for e in batches.sort_values(["at", "version"]).itertuples():
-            ok = True
-            if e.action == "register":
-                ok = e.version not in known
-                if ok:
-                    known[e.version] = e.cer
-            elif e.action == "promote":
-                gate = active is not None and pd.notna(known.get(active)) and pd.notna(known.get(e.version))
-                ok = e.version in known and not (gate and known[e.version] - known[active] > MAX_REGRESSION)
-                active = e.version if ok else active
-            elif e.action in ("activate", "rollback"):
-                ok = e.version in known
-                active = e.version if ok else active
-            elif e.action == "delete":
-                ok = e.version in known and e.version != active
-                if ok:
-                    del known[e.version]
-            rows.append((e.model, e.at, e.version, e.action, ok, active))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
-
-    return events.groupBy("model").applyInPandas(fold, out)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, active, known = object(), None, {}
+        rated = lambda version: known.get(version) is not None and not math.isnan(known[version])
+        for batch in batches:
+            accepted, actives = [], []
+            for model, version, action, cer in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if model != group:
+                    group, active, known = model, None, {}
+                ok = True
+                if action == "register":
+                    ok = version not in known
+                    if ok:
+                        known[version] = cer
+                elif action == "promote":
+                    gate = active is not None and rated(active) and rated(version)
+                    ok = version in known and not (gate and known[version] - known[active] > MAX_REGRESSION)
+                    active = version if ok else active
+                elif action in ("activate", "rollback"):
+                    ok = version in known
+                    active = version if ok else active
+                elif action == "delete":
+                    ok = version in known and version != active
+                    if ok:
+                        del known[version]
+                accepted.append(ok)
+                actives.append(active)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(accepted, pa.bool_()), pa.array(actives, pa.string())], names=["model", "at", "version", "action", "accepted", "active"])
+
+    rows = events.select(F.col("model").cast("string").alias("model"), F.col("at").cast("timestamp").alias("at"), F.col("version").cast("string").alias("version"), F.col("action").cast("string").alias("action"), F.col("cer").cast("double").alias("cer"))
+    dealt = rows.repartition("model").sortWithinPartitions("model", F.asc_nulls_last("at"), F.asc_nulls_last("version"), "action", "cer")
+    return dealt.mapInArrow(fold, "model string, at timestamp, version string, action string, accepted boolean, active string")
 
 
 def active(versions: DataFrame) -> DataFrame:
