@@ -80,3 +80,18 @@ def test_medications_with_a_part_are_those_of_all_words(spark):
         # of equal names the first with a part counts for the one, the first of all for the other
         assert {tuple(x) for x in r["b"]} <= {tuple(x) for x in r["a"]}, r["text"]
         assert [x["name"].lower() for x in r["a"]] == list(dict.fromkeys(x["name"].lower() for x in r["a"]))
+
+
+def test_a_texts_matches_are_found_once(spark):
+    """The pattern of medications stands once in the plan: it was evaluated again for the names, and once for each group of a match."""
+    rows = spark.createDataFrame([("aspirin 50 mg BID oral for 3 days, Aspirin 5 mg PO",)], "text string").select(extract.medications(F.col("text")).alias("m"), extract.labs(F.col("text")).alias("l"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("1-0-1|1-1-1") <= 2 and plan.count("hemoglobin|haemoglobin") <= 1  # the strict pattern names frequencies twice
+    names = [tuple(m) for m in rows.first()["m"]]
+    assert names == [("aspirin", "50 mg", "BID", "oral", "for 3 days")]
+
+
+def test_a_name_begins_within_words_that_are_longer_than_a_name(spark):
+    texts = ["z" * 45 + " 5 mg", "z" * 41 + " 5 mg", "5mgx 7 mg", "aspirin\x02 5 mg", "aspirin 5 mg\x01\x03warfarin 6 mg"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", F.transform(extract.medications(F.col("text")), lambda m: m["name"]).alias("n"))
+    assert dict(got.collect()) == {0: ["z" * 41], 1: ["z" * 41], 2: ["mgx"], 3: [], 4: ["aspirin", "warfarin"]}

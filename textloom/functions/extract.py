@@ -5,6 +5,8 @@ Numbers may be in the digits of any script: what is returned as a number is read
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ ROUTE = r"(PO|IV|IM|SC|SubQ|topical|inhaled|rectal|oral|فم|وريد|عضل|ت
 DURATION = r"(for\s+\d+\s*(?:days?|weeks?|months?)|لمدة\s*\d+\s*(?:يوم|أيام|أسبوع|أسابيع|شهر|أشهر))"
 MEDICATION = rf"(?i){NAME}\s*{DOSE}?\s*{FREQUENCY}?\s*{ROUTE}?\s*{DURATION}?"
 # the same, where one of the parts follows; the lookahead has groups of its own
-STRICT = rf"(?i){NAME}(?![\w؀-ۿ\-])(?=\s*(?:{DOSE}|{FREQUENCY}|{ROUTE}|{DURATION}))\s*{DOSE}?\s*{FREQUENCY}?\s*{ROUTE}?\s*{DURATION}?"
+# within a word the name begins once: further on it would end at the same place, unless the word is longer than a name
+STRICT = rf"(?i)(?:\G|(?<![A-Za-z؀-ۿ])|(?=[\w؀-ۿ\-]{{41}})){NAME[:-1]}+)(?![\w؀-ۿ\-])(?=\s*(?:{DOSE}|{FREQUENCY}|{ROUTE}|{DURATION}))\s*{DOSE}?\s*{FREQUENCY}?\s*{ROUTE}?\s*{DURATION}?"
 ICD = r"\b([A-Z]\d{2}(?:\.\d{1,4})?)\b"
 DIAGNOSIS = r"(?i)(?:dx|diagnosis|diagnoses|تشخيص|المرض|الحالة)[:\s–-]+(.+?)(?:\n|$)"
 CHRONIC = r"(?i)(?:chronic|مزمن|long[- ]standing|دائم)"
@@ -56,9 +59,20 @@ def _all(x: Column, pattern: str, group: int) -> Column:
 
 
 def _matches(x: Column, pattern: str, parts: tuple[str, ...], numbers: tuple[int, ...] | None = None) -> Column:
-    """Array of (parts), the groups of every match: the text is gone through once, and each short match again for its groups."""
-    groups = lambda m: F.struct(*(F.regexp_extract(m, native(pattern), g).alias(n) for g, n in zip(numbers or range(1, len(parts) + 1), parts, strict=True)))
-    return F.transform(_all(x, pattern, 0), groups)
+    """Array of (parts), the groups of every match: the text is gone through once, each match is replaced by its groups between marks, and what stands between matches is left out.
+
+    The groups must not be able to hold the marks, characters 1 to 3; where a text has them they become another that no group can hold.
+    """
+    clean = F.when(x.rlike("[\x01-\x03]"), F.translate(x, "\x01\x02\x03", "\x04\x04\x04")).otherwise(x)
+    marked = F.regexp_replace(clean, native(pattern), "\x02" + "\x01".join(f"${g}" for g in numbers or range(1, len(parts) + 1)) + "\x03")
+    found = F.split(marked, "\x02")
+    groups = F.transform(F.slice(found, 2, 1 << 30), lambda m: F.split(F.substring_index(m, "\x03", 1), "\x01"))
+    return F.transform(groups, lambda g: F.struct(*(g[k].alias(n) for k, n in enumerate(parts))))
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is computed once however often f names it, also for each element of an array."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def _some(x: Column) -> Column:
@@ -82,17 +96,17 @@ def medications(x: Column, *, strict: bool = True) -> Column:
     rows = F.transform(_matches(x, pattern, parts, numbers), lambda r: F.struct(*(_some(r[n]).alias(n) for n in parts)))
     if strict:
         rows = F.filter(rows, lambda r: F.coalesce(*(r[n] for n in parts[1:])).isNotNull())
-    names = F.transform(rows, lambda r: F.lower(r["name"]))
-    return F.filter(rows, lambda r, i: F.array_position(names, F.lower(r["name"])) == i + 1)
+    first = lambda found, names: F.filter(found, lambda r, i: F.array_position(names, F.lower(r["name"])) == i + 1)
+    return _let(rows, lambda found: _let(F.transform(found, lambda r: F.lower(r["name"])), lambda names: first(found, names)))
 
 
 def diagnoses(x: Column) -> Column:
     """Array of (text, icd, chronic): keyword lines first, then codes that none of them holds, with the text around them."""
     named = F.transform(_all(x, DIAGNOSIS, 1), lambda d: F.struct(F.trim(d).alias("text"), _first(d, ICD).alias("icd"), d.rlike(CHRONIC).alias("chronic")))
-    codes = F.array_except(F.array_distinct(_all(x, ICD, 1)), F.transform(named, lambda d: d["icd"]))
-
-    coded = F.transform(codes, lambda c: F.struct(F.trim(_window(x, c)).alias("text"), c.alias("icd"), _window(x, c).rlike(CHRONIC).alias("chronic")))
-    return F.concat(named, coded)
+    # a code has an ASCII letter before a digit, so only such places are looked at
+    every = F.array_distinct(_all(x, rf"(?=[A-Z]\d){ICD}", 1))
+    coded = lambda codes: F.transform(codes, lambda c: _let(_window(x, c), lambda w: F.struct(F.trim(w).alias("text"), c.alias("icd"), w.rlike(CHRONIC).alias("chronic"))))
+    return _let(named, lambda n: F.concat(n, coded(F.array_except(every, F.transform(n, lambda d: d["icd"])))))
 
 
 def _window(x: Column, code: Column, before: int = 60, behind: int = 100) -> Column:
@@ -130,11 +144,19 @@ def named(x: Column) -> Column:
     return F.array_compact(F.array(*(F.when(x.rlike(native(pattern)), F.lit(name)) for name, pattern in CATALOGUE.items())))
 
 
-def patient(x: Column) -> Column:
-    gender = F.lower(_first(x, PATIENT["gender"]))
+def patient_fields(x: Column) -> dict[str, Column]:
+    """The fields of a patient one by one, for a query that takes some of them."""
+    genders = F.create_map(*(F.lit(y) for names, gender in ((("male", "m", "ذكر"), "male"), (("female", "f", "أنثى"), "female")) for name in names for y in (name, gender)))
     allergies = F.flatten(F.transform(_all(x, ALLERGY, 1), lambda a: F.split(a, r"[,،;]")))
     allergies = F.filter(F.transform(allergies, lambda s: F.trim(s)), lambda a: (a != "") & ~F.lower(a).isin(*NO_ALLERGY))
-    return F.struct(F.trim(_first(x, PATIENT["name"])).alias("name"), plain_digits(_first(x, PATIENT["age"])).alias("age"), F.when(gender.isin("male", "m", "ذكر"), "male").when(gender.isin("female", "f", "أنثى"), "female").alias("gender"), _first(x, PATIENT["id"]).alias("id"), F.regexp_replace(_first(x, PHONE), native(r"^\s+|\s+$"), "").alias("phone"), allergies.alias("allergies"))
+    return {
+        "name": F.trim(_first(x, PATIENT["name"])), "age": plain_digits(_first(x, PATIENT["age"])), "gender": F.try_element_at(genders, F.lower(_first(x, PATIENT["gender"]))), "id": _first(x, PATIENT["id"]),
+        "phone": F.regexp_replace(_first(x, PHONE), native(r"^\s+|\s+$"), ""), "allergies": allergies,
+    }
+
+
+def patient(x: Column) -> Column:
+    return F.struct(*(c.alias(n) for n, c in patient_fields(x).items()))
 
 
 def confidence(record: Column) -> Column:
