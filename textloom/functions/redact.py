@@ -25,6 +25,8 @@ PATTERNS = (
 KEYWORDS = ("اسم المريض", "رقم المريض", "رقم الملف", "الاسم", "تاريخ الميلاد", "العمر", "الهاتف", "الجوال", "العنوان", "رقم الهوية")
 #: What a phone number may begin with is looked at first, or its optional parts would be tried at every character; and it is over 3 characters.
 GUARD = r"(?=[+\d]|[\s\-]\d)(?!\s*\d\s{7,14}(?![\d\-\(\)]))"
+#: What a match must begin with, looked at before its pattern is tried; a word's part before the @ is tried from its first character only.
+BEGINS = {"phone": r"(?=[+\d]|[\s\-]\d)", "national_id": r"(?=\d)", "date": r"(?=\d)", "patient_id": "(?=[رMmFfPp])", "email": r"(?:\G|(?<![\w.\-]))", "medical_number": "(?=[عمحركت])"}
 
 
 def col(x: Column | str) -> Column:
@@ -33,7 +35,7 @@ def col(x: Column | str) -> Column:
 
 def counts(x: Column | str) -> list[Column]:
     """Matches of each pattern on the text as it is; they overlap."""
-    return [F.regexp_count(col(x), F.lit(native(pattern))).alias(f"n_{name}") for name, pattern in PATTERNS]
+    return [F.regexp_count(col(x), F.lit(native(BEGINS[name] + pattern))).alias(f"n_{name}") for name, pattern in PATTERNS]
 
 
 def redact(x: Column | str, *, lines: bool = True) -> Column:
@@ -43,7 +45,7 @@ def redact(x: Column | str, *, lines: bool = True) -> Column:
     """
     out = col(x)
     for name, pattern in PATTERNS:
-        out = F.regexp_replace(out, native(f"{GUARD if name == 'phone' else ''}{pattern}"), MASK)
+        out = F.regexp_replace(out, native(f"{GUARD if name == 'phone' else BEGINS[name]}{pattern}"), MASK)
     out = F.when(col(x).rlike(native(r"[\d@]")), out).otherwise(col(x))  # no pattern matches without a digit of any script or an @
     if not lines:
         return out
