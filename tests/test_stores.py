@@ -176,3 +176,21 @@ def test_quarters_by_time_and_id(spark):
         n = len(own)
         early, late = own[: n // 4], own[3 * n // 4 :]
         assert (r["early"], r["late"]) == (pytest.approx(sum(early) / len(early)), pytest.approx(sum(late) / len(late)))
+
+
+def test_nearest_vectors_go_by_key_where_scores_are_equal(spark, monkeypatch):
+    """Copies in any order, over parts of vectors and of queries, and products no larger than a part."""
+    from textloom.operators import vectors
+
+    monkeypatch.setattr(vectors, "PART", 7, raising=False)
+    monkeypatch.setattr(vectors, "QUERIES", 3, raising=False)
+    random.seed(3)
+    kinds = [[random.uniform(-1, 1) for _ in range(8)] for _ in range(4)]
+    rows = [(k, kinds[k % 4]) for k in range(100)]
+    random.shuffle(rows)
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in sorted(vectors.top_k(v, v.filter("vec_id % 10 = 0"), k=5).collect(), key=lambda r: (r["query"], r["rank"])):
+        got.setdefault(r["query"], []).append(r["vec_id"])
+    for query in range(0, 100, 10):
+        assert got[query] == [k for k in range(query % 4, 100, 4) if k != query][:5]

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from textloom.sources.shared import shared_folder
 
+#: Vectors and queries that a task of ``top_k`` multiplies at once.
+PART, QUERIES = 1024, 256
+
 
 def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
@@ -36,8 +39,8 @@ def best_of(found: DataFrame, key: str, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = 4096) -> DataFrame:
     """(query, rank, key, score): the k nearest vectors by cosine of each query, itself excepted.
 
-    Queries come in blocks of about so many to every task, one scan of the vectors for each block; each task keeps its k best of a
-    batch, and only those are shuffled.
+    Queries come in blocks of about so many to every task, one scan of the vectors for each block; each task keeps its k best, and only
+    those are shuffled. Equal scores go by key.
     """
     blocks = max(1, -(-queries.count() // block))
     own = lambda b: _top_block(vectors, queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), key, vector, k)
@@ -51,21 +54,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector
 
 def _top_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     rows = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).collect()
-    ids, held = np.array([r["q"] for r in rows]), np.array([r["v"] for r in rows], np.float32)
-    held = directions(held)
+    ids, held = np.array([r["q"] for r in rows], np.int64), directions(np.array([r["v"] for r in rows], np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the k best of each query so far; vectors and queries meet in parts, so a task's memory doesn't follow the queries times a batch
+        scores, keys = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            x = np.array(batch.column(1).to_pylist(), np.float32)
-            if not len(own) or not len(ids):
-                continue
-            scores = held @ directions(x).T
-            scores[ids[:, None] == own[None, :]] = -np.inf
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            flat = np.take_along_axis(scores, best, 1).ravel()
-            fine = np.isfinite(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])[fine]), pa.array(own[best].ravel()[fine]), pa.array(flat[fine].astype(np.float64))], names=["query", key, "score"])
+            for a in range(0, batch.num_rows if len(ids) else 0, PART):
+                part = batch.slice(a, PART)
+                own = part.column(0).to_numpy()
+                order = np.argsort(own)
+                own, x = own[order], directions(np.array(part.column(1).to_pylist(), np.float64)[order])
+                for q in range(0, len(ids), QUERIES):
+                    at = slice(q, q + QUERIES)
+                    near = np.round(held[at] @ x.T, 12)  # equal vectors have equal scores, wherever they stand in the product
+                    near[ids[at, None] == own[None, :]] = -np.inf
+                    best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                    both, named = np.concatenate([scores[at], np.take_along_axis(near, best, 1)], 1), np.concatenate([keys[at], own[best]], 1)
+                    chosen = np.lexsort((named, -both), axis=1)[:, :k]
+                    scores[at], keys[at] = np.take_along_axis(both, chosen, 1), np.take_along_axis(named, chosen, 1)
+        fine = np.isfinite(scores)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[fine.ravel()]), pa.array(keys[fine]), pa.array(scores[fine])], names=["query", key, "score"])
 
     found = vectors.select(key, vector).mapInArrow(run, f"query long, `{key}` long, score double")
     return best_of(found, key, k)
