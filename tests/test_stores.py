@@ -194,3 +194,13 @@ def test_nearest_vectors_go_by_key_where_scores_are_equal(spark, monkeypatch):
         got.setdefault(r["query"], []).append(r["vec_id"])
     for query in range(0, 100, 10):
         assert got[query] == [k for k in range(query % 4, 100, 4) if k != query][:5]
+
+
+def test_versions_are_read_from_many_arrays(spark, tmp_path, monkeypatch):
+    from textloom.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "shared_folder", lambda spark: f"{tmp_path}/shared")
+    spark.range(45_000).selectExpr("id AS o_orderkey", "id % 100 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = source_queries.sc18_versions(spark, str(tmp_path))
+    assert got.count() == 45_000 and got.distinct().count() == 45_000
+    assert len(list(Path(f"{tmp_path}/shared/versions").glob("part-*"))) == 3

@@ -165,7 +165,10 @@ def sc17_demo_cases(spark, sf_dir):
 def sc18_versions(spark, sf_dir):
     folder = shared_folder(spark)
     v = derived(spark, "VERSIONS", sf_dir).select(F.col("version").alias("version_id"), F.col("cer").alias("cer_score"), "is_active")
-    v.agg(F.to_json(F.collect_list(F.struct("version_id", "cer_score", "is_active"))).alias("value")).write.text(f"{folder}/versions")
+    # arrays of about 20,000 versions, each in a file of its own: one array of all is one task's, written and read
+    parts = max(1, -(-v.count() // 20_000))
+    arrays = v.groupBy(F.pmod(F.xxhash64("version_id"), F.lit(parts)).alias("part")).agg(F.to_json(F.collect_list(F.struct("version_id", "cer_score", "is_active"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/versions")
     return sources.versions(spark, f"{folder}/versions").union(sources.versions(spark, f"{folder}/none")).select("version_id", "cer_score", "is_active")
 
 
