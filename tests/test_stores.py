@@ -204,3 +204,24 @@ def test_versions_are_read_from_many_arrays(spark, tmp_path, monkeypatch):
     got = source_queries.sc18_versions(spark, str(tmp_path))
     assert got.count() == 45_000 and got.distinct().count() == 45_000
     assert len(list(Path(f"{tmp_path}/shared/versions").glob("part-*"))) == 3
+
+
+def test_office_files_are_unpacked_a_few_at_a_time(spark, monkeypatch):
+    """What comes out of a task comes in small batches, whatever the number of files in one of its own."""
+    import pyarrow as pa
+
+    from textloom.operators import documents
+    from textloom.plans import source_queries
+
+    sizes = []
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            kind = pa.RecordBatch.from_arrays([pa.array([f"{k}.pptx" for k in range(1000)]), pa.array(["pptx"] * 1000), pa.array(["a\nb\nc\nd"] * 1000)], names=["path", "kind", "text"])
+            sizes.extend(b.num_rows for b in run(iter([kind])))
+
+    source_queries._office(Rows())
+    assert max(sizes) <= documents.FILES and sum(sizes) == 1000

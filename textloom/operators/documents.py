@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,9 @@ from textloom.functions.normalize import has_basic_arabic, word_count
 # The named character references of text; the ampersand's comes last.
 REFERENCES = (("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&reg;", "®"), ("&trade;", "™"), ("&deg;", "°"), ("&euro;", "€"), ("&pound;", "£"), ("&sect;", "§"), ("&times;", "×"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
+#: Files that a task unpacks at once.
+FILES = 64
+
 
 def character_references(text: Column) -> Column:
     """Named, decimal and hexadecimal character references as their characters, each once; what names no character stays as it is.
@@ -66,25 +69,27 @@ def _office(kind: str, content: bytes) -> list[tuple[int, str]]:
 def parse_files(files: DataFrame) -> DataFrame:
     """(path, page, text, warning) of binaryFile rows (path, content), by extension; what can't be read is a row with a warning."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a few files at a time: what is unpacked of them is many times a batch's contents
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                kind = path.rsplit(".", 1)[-1].lower()
-                try:
-                    if kind in ("docx", "pptx", "ppt"):  # a .ppt is read if it is an archive under an old name
-                        rows += [(path, k, text, None) for k, text in _office(kind, content)]
-                    elif kind in ("html", "htm"):
-                        rows.append((path, 1, content.decode(errors="replace"), None))
-                    elif kind == "pdf":
-                        rows.append((path, None, None, "no PDF reader is installed"))
-                    else:
-                        rows.append((path, None, None, f"unknown type {kind}"))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
-                    rows.append((path, None, None, f"unreadable: {type(error).__name__}"))
-            yield pd.DataFrame(rows, columns=["path", "page", "text", "warning"]).astype({"page": "Int32"})
-
-    parsed = files.select("path", "content").mapInPandas(run, "path string, page int, text string, warning string")
+            for a in range(0, batch.num_rows, FILES):
+                rows = []
+                for path, content in zip(*(c.to_pylist() for c in batch.slice(a, FILES).columns), strict=True):
+                    kind = path.rsplit(".", 1)[-1].lower()
+                    try:
+                        if kind in ("docx", "pptx", "ppt"):  # a .ppt is read if it is an archive under an old name
+                            rows += [(path, k, text, None) for k, text in _office(kind, content)]
+                        elif kind in ("html", "htm"):
+                            rows.append((path, 1, content.decode(errors="replace"), None))
+                        elif kind == "pdf":
+                            rows.append((path, None, None, "no PDF reader is installed"))
+                        else:
+                            rows.append((path, None, None, f"unknown type {kind}"))
+                    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
+                        rows.append((path, None, None, f"unreadable: {type(error).__name__}"))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["path", "page", "text", "warning"])
+
+    parsed = files.select("path", "content").mapInArrow(run, "path string, page int, text string, warning string")
     page = F.lower("path").rlike(r"\.html?$")
     return parsed.withColumn("text", F.when(page, html_text(F.col("text"))).otherwise(F.col("text")))
 

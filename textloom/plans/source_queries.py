@@ -7,12 +7,12 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom import sources, streaming
 from textloom.functions import extract, redact
@@ -413,9 +413,8 @@ def do12_five_stages(spark, sf_dir):
 # office files
 
 
-@F.pandas_udf(T.BinaryType())
-def _office(kinds: pd.Series, texts: pd.Series) -> pd.Series:
-    """The smallest office file of a kind that holds a text: a paragraph for each line, in slides of three."""
+def _office(rows: DataFrame) -> DataFrame:
+    """(path, content) of rows (path, kind, text): the smallest office file of a kind that holds the text, a paragraph for each line, in slides of three. They are made a few at a time, as a batch of them is many times its texts."""
     spaces = {"docx": "wordprocessingml", "pptx": "drawingml", "ppt": "drawingml"}
 
     def one(kind: str, text: str) -> bytes:
@@ -428,13 +427,20 @@ def _office(kinds: pd.Series, texts: pd.Series) -> pd.Series:
                 archive.writestr("word/document.xml" if kind == "docx" else f"ppt/slides/slide{k + 1}.xml", f'<d xmlns="{space}">{"".join(group)}</d>')
         return out.getvalue()
 
-    return pd.Series([one(k, t) for k, t in zip(kinds, texts, strict=True)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, documents.FILES):
+                part = batch.slice(a, documents.FILES)
+                contents = [one(kind, text) for kind, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    return rows.select("path", "kind", "text").mapInArrow(run, "path string, content binary")
 
 
 def office_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """The conversations' turns as files."""
     c = table(spark, sf_dir, "conversations").filter("text is not null")
-    return c.select(F.concat_ws("/", "conv_id", F.concat("turn", F.lit(f".{kind}"))).alias("path"), _office(F.lit(kind), F.col("text")).alias("content"))
+    return _office(c.select(F.concat_ws("/", "conv_id", F.concat("turn", F.lit(f".{kind}"))).alias("path"), F.lit(kind).alias("kind"), "text"))
 
 
 _LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
@@ -455,7 +461,7 @@ def sc12_dispatch(spark, sf_dir):
     """Files by their names: a document, a presentation of the old format (which is no archive), a PDF and an unknown kind."""
     kind = F.when(F.col("conv_id") % 4 == 0, "docx").when(F.col("conv_id") % 4 == 1, "ppt").when(F.col("conv_id") % 4 == 2, "pdf").otherwise("xyz")
     c = table(spark, sf_dir, "conversations").filter("text is not null").select(F.concat_ws("/", "conv_id", F.concat("turn", F.lit("."), kind)).alias("path"), kind.alias("kind"), "text")
-    files = c.filter("kind = 'docx'").select("path", _office("kind", "text").alias("content")).union(c.filter("kind <> 'docx'").select("path", F.col("text").cast("binary")))
+    files = _office(c.filter("kind = 'docx'")).union(c.filter("kind <> 'docx'").select("path", F.col("text").cast("binary")))
     return documents.parse_files(files).select("path", "warning")
 
 
