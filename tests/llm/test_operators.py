@@ -360,6 +360,44 @@ def test_op8_gradient_is_the_slope_of_the_likelihood(monkeypatch):
         assert math.isclose((2 * held[1] - held[0] - held[2]) / step**2, curvature[k, k], rel_tol=5e-2, abs_tol=5e-1)
 
 
+def test_op8_weights_of_pairs_are_trained():
+    """The slope is that of the likelihood, updates raise it, and the tokens of a class sum to one under any weights."""
+    random = np.random.default_rng(3)
+    sizes = random.integers(1, 40, 300)
+    n, u = random.zipf(1.6, sizes.sum()).clip(0, 5000), random.uniform(1e-5, 1e-3, sizes.sum())
+    theta = random.normal(0, 1, (maxent.LEVELS, maxent.PAIR_BINS))
+    slope, curvature = maxent.Within(n, u, sizes, theta).slope()
+    for k in range(theta.size):
+        near = np.repeat(theta.ravel()[None], 2, 0)
+        near[:, k] += [-1e-4, 1e-4]
+        low, high = (maxent.Within(n, u, sizes, x.reshape(theta.shape)).likelihood() for x in near)
+        assert math.isclose((high - low) / 2e-4, slope[k], rel_tol=1e-3, abs_tol=1e-2)
+    held = [maxent.Within(n, u, sizes, theta).likelihood()]
+    for _ in range(4):
+        theta, _ = maxent.newton(theta, np.concatenate(maxent.Within(n, u, sizes, theta).slope()))
+        held.append(maxent.Within(n, u, sizes, theta).likelihood())
+    assert held == sorted(held) and held[-1] > held[0] + 1
+    shares = random.dirichlet(np.ones(50))
+    own = np.where(random.uniform(size=50) < 0.3, random.zipf(1.6, 50).clip(0, 5000), 0)
+    sums = np.bincount(maxent.bins_of(own), own, maxent.PAIR_BINS)[None]
+    added = np.exp(theta)[maxent.levels_of(sums.sum(1))[0], maxent.bins_of(own)] * own / maxent.MASS
+    assert math.isclose(((shares + added) / maxent.normaliser(sums, theta)).sum(), 1, rel_tol=1e-9)
+
+
+def test_op8_pairs_of_frequent_tokens_are_dealt_by_class():
+    """Every position finds its pair again, and groups of a frequent token have keys of their own."""
+    texts = pa.table({"doc_id": pa.array([1, 2, None]), "text": pa.array(["a b a c a d b", None, "a a b"])})
+    own = maxent.of_texts(maxent.to_texts(texts, "text", "doc_id"))
+    kind = np.arange(len(own.words)) % 5
+    for often in (False, True):
+        pairs = maxent.pairs_of(own, kind, np.full(len(own.words), often), 3)
+        assert (pairs.second[pairs.inverse] == own.places).all() and (np.repeat(pairs.kinds, pairs.sizes) == kind[pairs.second]).all()
+        key = np.repeat(np.repeat(np.arange(len(pairs.keys)), pairs.held), pairs.sizes)[pairs.inverse]
+        seen = list(zip(own.before(1).tolist(), *([kind[own.places].tolist()] if often else []), strict=True))
+        assert len(set(zip(seen, key.tolist(), strict=True))) == len(set(seen)) == len(set(key.tolist()))
+        assert (pairs.keys[pairs.place] == own.words).all() and pairs.pair_cuts[-1] == len(pairs.second)
+
+
 def test_op8_learns_the_same_however_texts_are_dealt(spark, unique):
     scores = []
     for n in (1, 5):
