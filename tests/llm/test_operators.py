@@ -372,6 +372,7 @@ def test_op8_weights_of_pairs_are_trained():
         near[:, k] += [-1e-4, 1e-4]
         low, high = (maxent.Within(n, u, sizes, x.reshape(theta.shape)).likelihood() for x in near)
         assert math.isclose((high - low) / 2e-4, slope[k], rel_tol=1e-3, abs_tol=1e-2)
+    assert not np.concatenate(maxent.Within(n[:0], u[:0], sizes[:0], theta).slope()).any()
     held = [maxent.Within(n, u, sizes, theta).likelihood()]
     for _ in range(4):
         theta, _ = maxent.newton(theta, np.concatenate(maxent.Within(n, u, sizes, theta).slope()))
