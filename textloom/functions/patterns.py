@@ -19,25 +19,34 @@ BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CLASSES = {"d": DIGIT, "w": LETTER, "s": BLANK}
 #: The same with ASCII first, as one look-up: a union is tried part by part, and most characters are ASCII. (Not within a negated class, where Java's unions are another matter.)
 FAST = {"d": r"0-9[\x80-\x{10FFFF}&&[\p{Nd}]]", "w": r"\w[\x80-\x{10FFFF}&&[\p{L}\p{N}]]", "s": r"\s[\x1c-\u3000&&[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"}
-EDGE = f"(?:(?<![{FAST['w']}])(?=[{FAST['w']}])|(?<=[{FAST['w']}])(?![{FAST['w']}]))"
+#: ASCII's alone, as the SQL engine beside the queries (RE2) has them; its blanks are one fewer than Java's.
+PLAIN = {"d": r"\d", "w": r"\w", "s": r"\t\n\f\r "}
+
+
+def _edge(word: str) -> str:
+    return f"(?:(?<![{word}])(?=[{word}])|(?<=[{word}])(?![{word}]))"
+
+
+EDGE = _edge(FAST["w"])
 
 
 @cache
-def native(pattern: str) -> str:
-    """The pattern for Spark's functions."""
+def native(pattern: str, *, plain: bool = False) -> str:
+    """The pattern for Spark's functions; plain: with classes of ASCII alone."""
+    classes, fast, edge = (PLAIN, PLAIN, _edge(PLAIN["w"])) if plain else (CLASSES, FAST, EDGE)
     out, inside, negated, k = [], False, False, 0
     while k < len(pattern):
         c = pattern[k]
         if c == "\\":
             name = pattern[k + 1]
-            if name in CLASSES:
-                out.append((CLASSES if negated else FAST)[name] if inside else f"[{FAST[name]}]")
-            elif name.lower() in CLASSES:
+            if name in classes:
+                out.append((classes if negated else fast)[name] if inside else f"[{fast[name]}]")
+            elif name.lower() in classes:
                 if inside:
                     raise ValueError("a negated class within a class has no spelling here")
-                out.append(f"[^{CLASSES[name.lower()]}]")
+                out.append(f"[^{classes[name.lower()]}]")
             else:
-                out.append(EDGE if name == "b" and not inside else c + name)
+                out.append(edge if name == "b" and not inside else c + name)
             k += 2
             continue
         negated = (c == "[" and not inside and pattern[k + 1] == "^") or (negated and c != "]")

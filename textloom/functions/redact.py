@@ -33,9 +33,9 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def counts(x: Column | str) -> list[Column]:
-    """Matches of each pattern on the text as it is; they overlap."""
-    return [F.regexp_count(col(x), F.lit(native(BEGINS[name] + pattern))).alias(f"n_{name}") for name, pattern in PATTERNS]
+def counts(x: Column | str, *, plain: bool = False) -> list[Column]:
+    """Matches of each pattern on the text as it is; they overlap. With plain, digits, letters and blanks are ASCII's, as in SQL, not those of every script."""
+    return [F.regexp_count(col(x), F.lit(native(BEGINS[name] + pattern, plain=plain))).alias(f"n_{name}") for name, pattern in PATTERNS]
 
 
 def redact(x: Column | str, *, lines: bool = True) -> Column:

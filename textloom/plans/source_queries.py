@@ -358,7 +358,7 @@ def p13_legacy_columns(spark, sf_dir):
 @said(r"SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:رقم المريض|رقم الملف|MRN|File\s*[Nn]o|Patient\s*[Ii]D)[:\s\-]*(\d{3,})')) AS n_patient_id, len(regexp_extract_all(text, '(?i)(?:عيادة|مريض|حجز|موعد|رقم|كشف|تذكرة)[\s:]*(\d{3,8})')) AS n_medical_number, len(regexp_extract_all(text, '(?:(?:\+?966|\+?971|\+?965|\+?974|\+?968|\+?20|\+?1)?[\s\-]?(?:05|5)?\d[\d\-\(\)\s]{7,14})')) AS n_phone FROM documents")
 def a21_other_private_counts(spark, sf_dir):
     """The other three of the six patterns."""
-    n = dict(zip((name for name, _ in redact.PATTERNS), redact.counts("text"), strict=True))
+    n = dict(zip((name for name, _ in redact.PATTERNS), redact.counts("text", plain=True), strict=True))
     return table(spark, sf_dir, "documents").select("doc_id", *(n[name].cast("long").alias(f"n_{name}") for name in ("patient_id", "medical_number", "phone")))
 
 
